@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, license_scan, packing, quality_rules
+from . import byte_bpe, license_scan, line_dedup, ngram_join, packing, quality_rules, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_license_scan": license_scan.query,
     "op4_byte_bpe": byte_bpe.query,
     "op7_packing": packing.query,
+    "op8_ngram_join": ngram_join.query,
+    "op9_suffix_dedup": suffix_dedup.query,
+    "op10_line_dedup": line_dedup.query,
 }
-SQL = {"op1_quality_rules": quality_rules.SQL}
+SQL = {"op1_quality_rules": quality_rules.SQL, "op10_line_dedup": line_dedup.SQL}
