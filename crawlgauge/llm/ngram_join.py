@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -154,7 +154,7 @@ def frequent_words(docs: DataFrame):
     return docs.sparkSession.sparkContext.broadcast((keys[order], counts[order]))
 
 
-def _near(a: str, b: str) -> F.Column:
+def _near(a: str, b: str) -> Column:
     """Whether two nodes can be similar, by their sizes and bit sketches."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
@@ -276,6 +276,23 @@ def with_component_id(members: DataFrame) -> DataFrame:
     return out.withColumn("component_id", F.coalesce("least", "doc_id")).drop("least")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; all documents without words stay. Same columns."""
+    members = stored(join(docs))
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), "k")
+    groups = members.where("component is not null").groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    groups = broadcast_up_to(stored(groups), BROADCAST_NODES)
+    grouped = stored(members.join(groups, "component").select("k", (place == F.col("first")).alias("kept")))
+    gone = stored(grouped.where("not kept").select("k").distinct())
+    twice = stored(grouped.where("kept").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
+    rows = docs.select(F.struct("*").alias("row"), doc_key().alias("k")).join(broadcast_up_to(gone, BROADCAST_NODES), "k", "left_anti")
+    if not twice.limit(1).count():
+        return rows.select("row.*")
+    # rows that repeat a kept document: one of them stays
+    twice = broadcast_up_to(twice, BROADCAST_NODES)
+    return rows.join(twice, "k", "left_anti").unionByName(rows.join(twice, "k", "left_semi").dropDuplicates(["k"])).select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     members = stored(join(table(spark, sf_dir, "documents")))
     return with_component_id(members).select("doc_id", "n_shingles", "component_id")

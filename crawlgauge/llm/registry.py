@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, license_scan, line_dedup, ngram_join, packing, quality_rules, suffix_dedup
+from . import byte_bpe, embedding_dedup, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_license_scan": license_scan.query,
+    "op3_sharding": sharding.query,
     "op4_byte_bpe": byte_bpe.query,
+    "op5_embedding_dedup": embedding_dedup.query,
+    "op6_quality_classifier": quality_classifier.query,
     "op7_packing": packing.query,
     "op8_ngram_join": ngram_join.query,
     "op9_suffix_dedup": suffix_dedup.query,

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -276,9 +276,9 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def kept_text(kept) -> F.Column:
+def kept_text(kept: Column) -> Column:
     """The kept bytes as text: pieces of characters that a cut left are dropped."""
-    return F.replace(F.decode(F.make_valid_utf8(kept), "UTF-8"), F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
