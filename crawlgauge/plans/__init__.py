@@ -1 +1,6 @@
+"""Composite audits and the registered queries with their SQL."""
 
+from .oracles import SQL
+from .queries import QUERIES
+
+__all__ = ["QUERIES", "SQL"]
