@@ -231,7 +231,8 @@ def images(pages: DataFrame) -> DataFrame:
         N.finding("modern_formats", "pass", (n > 0) & modern), N.finding("legacy_formats", "warn", (n > 0) & ~modern),
         N.finding("lazy_loading", "pass", lazy > 0), N.finding("lazy_loading_absent", "warn", (lazy == 0) & (n > 5)),
     )
-    return out.drop("img_nodes", "img_urls", "picture_sources").withColumns({"legacy_format": n - F.col("modern_format"), "image_score": text.clamp(score), "image_grade": text.grade(score), "image_findings": found})
+    out = out.withColumns({"legacy_format": n - F.col("modern_format"), "image_score": text.clamp(score), "image_grade": text.grade(score), "image_findings": found})
+    return out.drop("img_nodes", "img_urls", "picture_sources")
 
 
 def links(pages: DataFrame, checked: DataFrame | None = None) -> DataFrame:
@@ -311,13 +312,18 @@ def external_domains(pages: DataFrame, most: int = 20) -> DataFrame:
     return counted.withColumn("rank", rank).where(F.col("rank") <= most).drop("pos")
 
 
+def _is_root(name: str):
+    if name == "data-reactroot":
+        return lambda n: F.map_contains_key(n["attrs"], name)
+    return lambda n: N.attr(n, "id") == name
+
+
 def rendering(pages: DataFrame) -> DataFrame:
     """Whether the text is there without scripts. pages: with content()."""
     out = pages
     found = F.lit(None).cast("struct<name:string,words:int>")
     for name in reversed(fixed.SPA_ROOTS):
-        test = (lambda n: F.map_contains_key(n["attrs"], "data-reactroot")) if name == "data-reactroot" else (lambda n, name=name: N.attr(n, "id") == name)
-        node = N.first(N.where(test))
+        node = N.first(N.where(_is_root(name)))
         label = f"[{name}]" if name == "data-reactroot" else f"#{name}"
         words = F.size(F.filter(F.split(text.collapse(F.coalesce(node["text"], F.lit(""))), " "), lambda w: w != ""))
         found = F.when(node.isNotNull(), F.struct(F.lit(label).alias("name"), words.alias("words"))).otherwise(found)

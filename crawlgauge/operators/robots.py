@@ -94,16 +94,15 @@ def verdicts(asked: DataFrame, robots: DataFrame) -> DataFrame:
     longest matching pattern wins, on a tie allow, then the first. A server error denies all.
     """
     known = rules(robots)
-    agents = known.select("origin", F.col("agent").alias("known_agent")).distinct()
-    status = robots.select("origin", "status")
-    keys = asked.columns
-    base = asked.withColumn("_row", F.struct(*keys)).join(status, "origin", "left")
-    named = base.join(agents, (base["origin"] == agents["origin"]) & (F.lower(base["agent"]) == F.col("known_agent")), "left").drop(agents["origin"])
-    star = agents.where("known_agent = '*'").select(F.col("origin").alias("star_origin"), F.lit("*").alias("star"))
-    chosen = named.join(star, named["origin"] == star["star_origin"], "left").withColumn("matched_agent", F.coalesce("known_agent", "star"))
-    r = known.where("type is not null and path <> ''").select(F.col("origin").alias("r_origin"), F.col("agent").alias("r_agent"), "ordinal", "type", F.col("path").alias("pattern"))
-    joined = chosen.join(r, (chosen["origin"] == r["r_origin"]) & (chosen["matched_agent"] == r["r_agent"]), "left")
-    hit = F.when(matches(F.col("pattern"), F.col("_row.path")), F.struct(F.length("pattern").alias("length"), (F.col("type") == "allow").alias("allow"), (-F.col("ordinal")).alias("order"), "type", "pattern"))
+    # only the asked row as a struct enters the joins, so its columns may have any names
+    base = asked.select(F.struct("*").alias("_row")).join(robots.select(F.col("origin").alias("s_origin"), "status"), F.col("_row.origin") == F.col("s_origin"), "left")
+    agents = known.select(F.col("origin").alias("a_origin"), F.col("agent").alias("known_agent")).distinct()
+    named = base.join(agents, (F.col("_row.origin") == F.col("a_origin")) & (F.lower("_row.agent") == F.col("known_agent")), "left")
+    star = known.where("agent = '*'").select(F.col("origin").alias("star_origin"), F.lit("*").alias("star")).distinct()
+    chosen = named.join(star, F.col("_row.origin") == F.col("star_origin"), "left").withColumn("matched_agent", F.coalesce("known_agent", "star"))
+    r = known.where("type is not null and path <> ''").select(F.col("origin").alias("r_origin"), F.col("agent").alias("r_agent"), F.col("ordinal").alias("r_ordinal"), "type", F.col("path").alias("pattern"))
+    joined = chosen.join(r, (F.col("_row.origin") == F.col("r_origin")) & (F.col("matched_agent") == F.col("r_agent")), "left")
+    hit = F.when(matches(F.col("pattern"), F.col("_row.path")), F.struct(F.length("pattern").alias("length"), (F.col("type") == "allow").alias("allow"), (-F.col("r_ordinal")).alias("order"), "type", "pattern"))
     best = joined.groupBy("_row", "status", "matched_agent").agg(F.max(hit).alias("best"))
     allowed = F.when(F.col("status") >= 500, False).when(F.col("best").isNull(), True).otherwise(F.col("best.allow"))
     return best.select("_row.*", "status", allowed.alias("allowed"), "matched_agent", F.col("best.type").alias("matched_type"), F.col("best.pattern").alias("matched_path"))
