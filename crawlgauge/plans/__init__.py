@@ -1,6 +1,8 @@
 """Composite audits and the registered queries with their SQL."""
 
-from .oracles import SQL
-from .queries import QUERIES
+from . import oracles, queries, site_queries
+
+QUERIES = queries.QUERIES | site_queries.QUERIES
+SQL = oracles.SQL | site_queries.SQL
 
 __all__ = ["QUERIES", "SQL"]
