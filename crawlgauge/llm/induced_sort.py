@@ -67,20 +67,23 @@ def suffix_ranks(text: np.ndarray) -> np.ndarray:
     ends_falling[leftmost] = True
     ends_rising = ~is_s
     ends_rising[n - 1] = True
-    everything = np.arange(n)
+    rising = np.flatnonzero(is_s | np.concatenate(([False], is_s[:-1])))  # with what their runs end in
 
-    def induce(of_leftmost: np.ndarray) -> np.ndarray:
+    def induce(of_leftmost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         larger = _induced(value, of_leftmost, falling, ends_falling)
-        smaller = _induced(value, np.where(is_s, 0, larger), everything, ends_rising)
-        return smaller
+        return larger, _induced(value, np.where(is_s, 0, larger), rising, ends_rising)
 
-    names = induce(np.zeros(n, dtype=np.int64))[leftmost]
+    names = induce(np.zeros(n, dtype=np.int64))[1][leftmost]
     _, names = np.unique(names, return_inverse=True)  # the end of the text has name 0
     if names.max() + 1 < len(names):
         names = np.append(suffix_ranks(names[:-1]) + 1, 0)
     of_leftmost = np.zeros(n, dtype=np.int64)
     of_leftmost[leftmost] = names
-    return induce(of_leftmost)[:-1] - 1
+    larger, smaller = induce(of_leftmost)
+    order = np.argsort(value * np.int64(n + 1) + np.where(is_s, smaller, larger))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    return rank[:-1] - 1
 
 
 def common_prefixes(data: np.ndarray, before: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:

@@ -9,9 +9,10 @@ of smaller doc_id, or earlier in the same one. Strings are judged on the input.
    context holds all strings that chose it.
 2. A context that occurs again as a whole is removed as a whole: within a batch at once,
    else after an aggregate that finds its first place.
-3. Anchors with different contexts go to shards by their hash. A shard's contexts are one
-   text, whose suffixes are ranked by induced sorting; common prefixes in text order give
-   the runs of suffixes that share LENGTH bytes, and of a run all but the earliest place go.
+3. Anchors with different contexts go to shards by their earliest document. A shard's
+   contexts are one text (those of a document that overlap are one stretch of it), whose
+   suffixes are ranked by induced sorting; common prefixes in text order give the runs of
+   suffixes that share LENGTH bytes, and of a run all but the earliest place go.
    Anchors with more than SHARD_MOST contexts go by the hashes of their strings instead,
    which an aggregate can split over tasks however many there are.
 
@@ -34,9 +35,11 @@ from pyspark.sql import Window
 from .common import broadcast_up_to, doc_key, order_of_id, small_batches, stored, table
 from .induced_sort import common_prefixes, suffix_ranks
 
-LENGTH, GRAM = 100, 24
-#: Contexts of one anchor that a shard takes; contexts that a shard should hold; rows up to which lists are broadcast.
-SHARD_MOST, SHARD_ROWS, BROADCAST_ROWS = 1000, 1500, 1_000_000
+#: Longer grams recur less by chance, shorter ones need fewer anchors: 2 in LENGTH - GRAM + 2 bytes.
+LENGTH, GRAM = 100, 40
+#: Contexts of one anchor that a shard takes; contexts that a shard should hold; bytes of an earliest document whose
+#: anchors meet in one shard; rows up to which lists are broadcast; the shard number of what goes by hashes.
+SHARD_MOST, SHARD_ROWS, LEADER_BYTES, BROADCAST_ROWS, HASHED = 1000, 6000, 8192, 1_000_000, -1
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -109,7 +112,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return d, grams[at].view(np.int64), context.view(np.int64), lo - starts[d], hi - starts[d]
 
 
-ROWS = "kind int, anchor long, context long, ord long, k long, lo int, hi int"
+#: by: what the row is dealt by, of a COUNTED row its anchor; code: kind, start and length of the span in one number.
+ROWS = "by long, anchor long, context long, ord long, k long, code long"
 #: kind of a row: it counts towards its anchor's places; its anchor is known to recur; a span to remove.
 COUNTED, RECURS, SPAN = 0, 1, 2
 
@@ -127,13 +131,18 @@ def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             d, anchor, context, lo, hi = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8), ends, length, gram)
             if not len(d):
                 continue
-            out = pd.DataFrame({"kind": np.int32(COUNTED), "anchor": anchor, "context": context, "ord": batch["ord"].to_numpy()[d], "k": batch["k"].to_numpy()[d], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
-            later = out.duplicated(["anchor", "context"]).to_numpy()
-            out.loc[later, "kind"] = SPAN
+            out = pd.DataFrame({"anchor": anchor, "context": context})
+            kind = np.where(out.duplicated().to_numpy(), SPAN, COUNTED)
             # of an anchor with several contexts here, two rows stand witness and the others need no count
-            number = out[~later].groupby("anchor", sort=False).cumcount()
-            out.loc[number.index[number >= 2], "kind"] = RECURS
-            yield out
+            kept = out[kind == COUNTED]
+            number = kept.groupby("anchor", sort=False).cumcount()
+            kind[number.index[number >= 2]] = RECURS
+            counted = kind == COUNTED
+            spread = _mix((anchor ^ context).view(np.uint64) + lo.astype(np.uint64)).view(np.int64)
+            yield pd.DataFrame({
+                "by": np.where(counted, anchor, spread), "anchor": np.where(counted, 0, anchor), "context": context, "ord": batch["ord"].to_numpy()[d],
+                "k": batch["k"].to_numpy()[d], "code": kind + 4 * ((hi - lo) + 256 * lo),
+            })
 
     return docs.mapInPandas(compute, ROWS)
 
@@ -201,29 +210,45 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     texts = docs.select(doc_key().alias("k"), order_of_id().alias("ord"), "text")
     rows = anchor_rows(texts, length, gram)
     # recurring anchors: rows of unknown anchors meet by anchor, all others are dealt out
-    dealt = rows.withColumn("by", F.when(F.col("kind") == COUNTED, F.col("anchor")).otherwise(F.xxhash64("anchor", "k", "lo")))
-    recurs = dealt.withColumn("places", F.count("*").over(Window.partitionBy("by", "kind"))).where((F.col("kind") != COUNTED) | (F.col("places") > 1))
-    seen = stored(recurs.drop("by", "places"))
+    kind = F.pmod("code", F.lit(4)).cast("int")
+    length_, start = F.pmod(F.shiftright("code", 2), F.lit(256)).cast("int"), F.shiftright("code", 10).cast("int")
+    recurs = rows.withColumn("places", F.count_if(kind == COUNTED).over(Window.partitionBy("by"))).where((kind != COUNTED) | (F.col("places") > 1))
+    seen = stored(recurs.select(
+        kind.alias("kind"), F.when(kind == COUNTED, F.col("by")).otherwise(F.col("anchor")).alias("anchor"), "context", "ord", "k", start.alias("lo"), (start + length_).alias("hi")
+    ))
     places = seen.where(F.col("kind") != SPAN)
     spot = F.struct("ord", "k", "lo", "hi")
     first = stored(places.groupBy("anchor", "context").agg(F.min(spot).alias("first"), F.count("*").alias("n")))
     whole = places.join(first.where("n > 1").select("anchor", "context", "first"), ["anchor", "context"]).where(spot > F.col("first"))
-    several = first.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    mixed = first.join(several, "anchor").select("anchor", "contexts", "first.*")
-    mixed = stored(mixed.groupBy("k").agg(F.collect_list(F.struct("anchor", "contexts", "ord", "lo", "hi")).alias("at")))  # a document's own anchors
-    total = mixed.agg(F.sum(F.size("at"))).first()[0] or 0
-    fetched = texts.select("k", "text").join(broadcast_up_to(mixed, BROADCAST_ROWS if total <= BROADCAST_ROWS else -1), "k")
-    contexts = fetched.select("k", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"), F.explode("at").alias("c")).select(
-        "k", "c.anchor", "c.contexts", "c.ord", "c.lo", F.substring("b", F.col("c.lo") + 1, F.col("c.hi") - F.col("c.lo")).alias("bytes")
+    # an anchor's contexts meet where its earliest document is dealt, so contexts that overlap there become one stretch
+    several = first.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("first").alias("leader")).where("contexts > 1")
+    total = several.agg(F.sum("contexts")).first()[0] or 0
+    shard = F.pmod(F.xxhash64("leader.k", F.floor(F.col("leader.lo") / LEADER_BYTES)), F.lit(max(1, total // SHARD_ROWS)))
+    several = several.select("anchor", F.when(F.col("contexts") <= shard_most, shard).otherwise(F.lit(HASHED)).alias("shard"))
+    mixed = first.join(several, "anchor").groupBy("first.k").agg(F.collect_list(F.struct("shard", "first.ord", "first.lo", "first.hi")).alias("at"))  # a document's own anchors
+
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for at in batch["at"]:
+                merged: list[dict] = []
+                for c in sorted((x["shard"], x["lo"], x["hi"], x["ord"]) for x in at):
+                    if merged and merged[-1]["shard"] == c[0] and c[1] <= merged[-1]["hi"]:
+                        merged[-1]["hi"] = max(merged[-1]["hi"], c[2])
+                    else:
+                        merged.append({"shard": c[0], "lo": c[1], "hi": c[2], "ord": c[3]})
+                out.append(merged)
+            yield pd.DataFrame({"k": batch["k"], "at": out})
+
+    mixed = stored(mixed.mapInPandas(stretches, "k long, at array<struct<shard:long,lo:int,hi:int,ord:long>>"))
+    held = mixed.agg(F.sum(F.size("at"))).first()[0] or 0
+    fetched = texts.select("k", "text").join(broadcast_up_to(mixed, BROADCAST_ROWS if held <= BROADCAST_ROWS else -1), "k")
+    parts = fetched.select("k", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"), F.explode("at").alias("c")).select(
+        "k", "c.shard", "c.ord", "c.lo", F.substring("b", F.col("c.lo") + 1, F.col("c.hi") - F.col("c.lo")).alias("bytes")
     )
-    contexts = stored(contexts)
-    in_shards = contexts.where(F.col("contexts") <= shard_most)
-    shards = max(1, total // SHARD_ROWS)
-    sorted_ = (
-        in_shards.withColumn("shard", F.pmod(F.col("anchor"), F.lit(shards)))
-        .groupBy("shard").applyInPandas(lambda pdf: _later_in_shard(pdf, length), "k long, lo int, hi int")
-    )
-    strings = _strings(contexts.where(F.col("contexts") > shard_most).select("k", "ord", "lo", "bytes"), length)
+    parts = stored(parts.dropDuplicates(["k", "shard", "lo"]))
+    sorted_ = parts.where(F.col("shard") != HASHED).groupBy("shard").applyInPandas(lambda pdf: _later_in_shard(pdf, length), "k long, lo int, hi int")
+    strings = _strings(parts.where(F.col("shard") == HASHED).select("k", "ord", "lo", "bytes"), length)
     place = F.struct("ord", "k", "at")
     earliest = strings.groupBy("string").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("string", "first")
     by_hash = strings.join(earliest, "string").where(place > F.col("first")).select("k", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
