@@ -49,12 +49,16 @@ def sentence_count(collapsed: Column) -> Column:
     return F.greatest(F.lit(1), F.size(pieces))
 
 
-def syllables(word: Column) -> Column:
-    w = F.regexp_replace(F.lower(word), "[^a-záéíóúüñ]", "")
-    groups = F.regexp_count(w, F.lit("[aeiouyáéíóúü]+"))
-    silent = (F.length(w) > 2) & w.endswith("e") & ~w.rlike("[aeiouy]e$")
-    count = F.when(groups == 0, 1).otherwise(groups) - F.when(silent, 1).otherwise(0)
-    return F.when(w == "", 0).otherwise(F.greatest(F.lit(1), count))
+_VOWELS = "aeiouyáéíóúü"
+#: A word of two or more vowel groups whose last letter is an e that is not heard.
+_SILENT = rf"(?<![^ ])(?=[^ ]*[{_VOWELS}][^ {_VOWELS}]+[^ ]*[{_VOWELS}])[^ ]*[^aeiouy ]e(?![^ ])"
+
+
+def syllables(words: Column) -> Column:
+    """Syllables of all words: their vowel groups, at least one each, less silent ends. A few passes over the joined words."""
+    letters = F.regexp_replace(F.lower(F.array_join(words, " ")), "[^a-záéíóúüñ ]", "")
+    voiceless = rf"(?<![^ ])[^ {_VOWELS}]+(?![^ ])"
+    return F.regexp_count(letters, F.lit(f"[{_VOWELS}]+")) + F.regexp_count(letters, F.lit(voiceless)) - F.regexp_count(letters, F.lit(_SILENT))
 
 
 def reading_ease(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:

@@ -160,7 +160,7 @@ def content(pages: DataFrame) -> DataFrame:
     out = out.withColumns({
         "word_count": F.size("word_list"),
         "sentence_count": text.sentence_count(F.col("body_text")),
-        "syllable_count": F.aggregate("word_list", F.lit(0), lambda s, w: s + text.syllables(w)),
+        "syllable_count": text.syllables(F.col("word_list")),
         "paragraph_count": F.size(N.tag("p")),
     })
     w = F.col("word_count")

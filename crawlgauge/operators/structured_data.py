@@ -52,15 +52,20 @@ def json_ld(blocks: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("items", "error"), read_block(b or ""), strict=True)) for b in (row if row is not None else [])] for row in blocks], dtype=object)
 
 
+def _rule_map(i: int) -> Column:
+    """type to its required (0) or recommended (1) properties, as one literal."""
+    quoted = lambda values: ", ".join(f"'{v}'" for v in values)
+    return F.expr("map(" + ", ".join(f"'{t}', cast(array({quoted(r[i])}) as array<string>)" for t, r in fixed.schema_rules().items()) + ")")
+
+
 def _evaluate(types: Column, properties: Column, kind: str) -> Column:
-    rules = fixed.schema_rules()
-    lists = lambda i: F.create_map(*[x for t, r in rules.items() for x in (F.lit(t), F.array(*[F.lit(p) for p in r[i]]).cast("array<string>"))])
-    ruled = F.get(F.filter(types, lambda t: F.map_contains_key(lists(0), t)), F.lit(0))
+    required, recommended = _rule_map(0), _rule_map(1)
+    ruled = F.get(F.filter(types, lambda t: F.map_contains_key(required, t)), F.lit(0))
     none = F.array().cast("array<string>")
-    missing = F.array_except(F.coalesce(F.element_at(lists(0), ruled), none), properties)
+    missing = F.array_except(F.coalesce(F.element_at(required, ruled), none), properties)
     return F.struct(
         F.lit(kind).alias("format"), F.coalesce(F.get(types, F.lit(0)), F.lit("Unknown")).alias("type"), types.alias("all_types"), properties.alias("properties"),
-        missing.alias("missing_required"), F.array_except(F.coalesce(F.element_at(lists(1), ruled), none), properties).alias("missing_recommended"), (F.size(missing) == 0).alias("valid"),
+        missing.alias("missing_required"), F.array_except(F.coalesce(F.element_at(recommended, ruled), none), properties).alias("missing_recommended"), (F.size(missing) == 0).alias("valid"),
     )
 
 
