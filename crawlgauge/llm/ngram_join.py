@@ -192,53 +192,67 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "ta", "tb").mapInPandas(similar, "a long, b long"))
 
 
-def rest_of_groups(shared: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+def rest_of_groups(shared: DataFrame, comps: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
     """(a, b): near pairs of a word's group, apart from its least member, that no link connects so far.
 
     Groups are cut into blocks and the pairs of blocks dealt to tasks, which compare bit
-    sketches in place and send near pairs only.
+    sketches in place. nearest: each component sends its nearest pair only, which connects
+    large groups at a row a component; else every near pair across components is sent.
     """
     now = shared.join(comps, shared["ident"] == comps["id"], "left").select("key", "ident", "pivot", F.coalesce("component", "ident").alias("comp"))
-    of_key = Window.partitionBy("key")
-    open_ = now.withColumns({"lo": F.min("comp").over(of_key), "hi": F.max("comp").over(of_key)}).where("lo <> hi and ident <> pivot")
-    spans = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.countDistinct("ident").alias("members")).where("lo <> hi").select("key", "members")
-    rows = open_.select("key", "ident", "comp").distinct().join(spans, "key").join(nodes.select("ident", "n", "sketch"), "ident")
+    spans = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2").select("key", "members")
+    rows = now.where("ident <> pivot").join(spans, "key").join(nodes.select("ident", "n", "sketch"), "ident")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("ident"), F.col("blocks")).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "ident", "comp", "n", "sketch"
+        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "ident", "comp", "n", "sketch"
     )
 
-    def compare(group: pd.DataFrame) -> list[np.ndarray]:
+    def compare(group: pd.DataFrame) -> np.ndarray:
         ident, comp, n = (group[c].to_numpy() for c in ("ident", "comp", "n"))
+        if len(ident) < 2 or (comp == comp[0]).all():
+            return np.zeros((0, 2), dtype=np.int64)
         sketch = np.stack(group["sketch"].to_numpy())
-        out = []
+        found = []
         for r in range(len(ident) - 1):
-            s = slice(r + 1, None)
-            able = (comp[s] != comp[r]) & (5 * np.minimum(n[s], n[r]) >= 4 * np.maximum(n[s], n[r]))
-            at = np.flatnonzero(able) + r + 1
+            at = np.flatnonzero((comp[r + 1 :] != comp[r]) & (5 * np.minimum(n[r + 1 :], n[r]) >= 4 * np.maximum(n[r + 1 :], n[r]))) + r + 1
             if len(at):
                 apart = np.bitwise_count(sketch[at] ^ sketch[r]).sum(axis=1, dtype=np.int64)
-                at = at[9 * apart <= n[at] + n[r]]
-                if len(at):
-                    out.append(np.column_stack((np.full(len(at), ident[r]), ident[at])))
-        return out
+                able = 9 * apart <= n[at] + n[r]
+                if able.any():
+                    found.append(np.column_stack((np.full(int(able.sum()), r), at[able], apart[able])))
+        if not found:
+            return np.zeros((0, 2), dtype=np.int64)
+        near = np.concatenate(found)
+        if nearest:
+            near = near[np.argsort(near[:, 2], kind="stable")]
+            both = np.concatenate((comp[near[:, 0]], comp[near[:, 1]]))
+            first = np.unique(both, return_index=True)[1]
+            near = near[np.unique(first % len(near))]
+        return np.sort(np.column_stack((ident[near[:, 0]], ident[near[:, 1]])), axis=1)
 
     def compare_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
+        sent: set[tuple[int, int]] = set()  # what this task has sent lately
+
+        def fresh(pairs: np.ndarray) -> pd.DataFrame:
+            if len(sent) > 500_000:
+                sent.clear()
+            new = [p for p in map(tuple, pairs.tolist()) if p not in sent and not sent.add(p)]
+            return pd.DataFrame(new, columns=["a", "b"], dtype="int64")
+
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            cut = held[["key", "i", "j"]].ne(held[["key", "i", "j"]].shift()).any(axis=1).to_numpy().nonzero()[0]
-            last = cut[-1] if len(cut) else 0
-            pairs = [p for s, e in zip(cut[:-1], cut[1:], strict=True) for p in compare(held.iloc[s:e])]
-            held = held.iloc[last:]
-            if pairs:
-                yield pd.DataFrame(np.concatenate(pairs), columns=["a", "b"])
-        if held is not None and (pairs := compare(held)):
-            yield pd.DataFrame(np.concatenate(pairs), columns=["a", "b"])
+            by = held[["key", "i", "j"]].to_numpy()
+            cut = np.flatnonzero(np.concatenate(([True], (by[1:] != by[:-1]).any(axis=1)))) if len(held) else np.zeros(0, dtype=int)
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                if len(pairs := compare(held.iloc[s:e])):
+                    yield fresh(pairs)
+            held = held.iloc[cut[-1] if len(cut) else 0 :]
+        if held is not None and len(pairs := compare(held)):
+            yield fresh(pairs)
 
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").drop("mine").mapInPandas(compare_all, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(compare_all, "a long, b long").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -258,9 +272,12 @@ def join(docs: DataFrame) -> DataFrame:
     nodes = stored(nodes.select("ident", "s.n", "s.sketch", "s.k"))
     links = verify(shared.where("ident <> pivot").select(F.col("pivot").alias("a"), F.col("ident").alias("b")).distinct(), nodes, docs)
     comps = stored(components(links))
-    more = verify(rest_of_groups(shared, comps, nodes), nodes, docs)
-    if more.limit(1).count():
-        comps = stored(components(links.union(more)))
+    # connect what is near first, so that the last round, which tries every near pair, has few left
+    for nearest in (True, True, False):
+        more = verify(rest_of_groups(shared, comps, nodes, nearest), nodes, docs)
+        if more.limit(1).count():
+            links = stored(links.union(more))
+            comps = stored(components(links))
     comps = broadcast_up_to(comps, BROADCAST_NODES)
     members = found.select("doc_id", "k", F.col("n").alias("n_shingles"), "ident")
     return members.join(comps, members["ident"] == comps["id"], "left").select(
