@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup
+from . import byte_bpe, embedding_dedup, license_scan, line_dedup, ngram_join, oracles, packing, quality_classifier, quality_rules, sharding, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,4 +16,10 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_line_dedup": line_dedup.query,
 }
-SQL = {"op1_quality_rules": quality_rules.SQL, "op10_line_dedup": line_dedup.SQL}
+SQL = {
+    "op1_quality_rules": quality_rules.SQL,
+    "op5_embedding_dedup": oracles.EMBEDDINGS,
+    "op8_ngram_join": oracles.NGRAMS,
+    "op9_suffix_dedup": oracles.BYTES,
+    "op10_line_dedup": line_dedup.SQL,
+}
