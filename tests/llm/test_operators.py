@@ -233,6 +233,26 @@ def test_op9_matches_brute_force(spark, documents):
     assert got == {i: (*b[:3], H.sha(b[3])) for i, b in zip(documents["doc_id"], brute, strict=True)}
 
 
+def test_op9_long_texts_are_cut_into_stretches(spark, monkeypatch):
+    texts = [H.words(300, 1), H.words(50, 2) + H.words(300, 1)[100:900] + H.words(9, 3), H.words(300, 1)[:650], "ab" * 700]
+    brute = [b[1] for b in H.repeated_bytes([t.encode() for t in texts])]
+    monkeypatch.setattr(suffix_dedup, "BUFFER", 256)
+    batch = pd.Series(texts)
+    cut = list(suffix_dedup._buffers(batch, 100))
+    assert max(sum(map(len, parts)) for parts, _, _ in cut) <= 256 and len(cut) > 8
+    whole = {}
+    for parts, numbers, starts in cut:
+        for part, number, start in zip(parts, numbers, starts, strict=True):
+            assert batch[number].encode()[start : start + len(part)] == part
+            whole.setdefault(number, []).append((start, start + len(part)))
+    for number, spans in whole.items():
+        n = len(batch[number].encode())
+        assert all(any(lo <= p and p + 100 <= hi for lo, hi in spans) for p in range(n - 99))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["row"]["doc_id"]: r["n_removed"] for r in suffix_dedup.dedup_bytes(rows).collect()}
+    assert [got[i] for i in range(4)] == brute
+
+
 def test_op9_hashed_anchors_agree(spark):
     passage = H.words(40, 5)
     texts = [H.words(12, 100 + i) + " " + passage + " " + H.words(12, 300 + i) for i in range(40)] + ["ab" * 400, "x" * 350, H.words(8, 9) + "ab" * 90]
