@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import frugal, small_batches, table
 
 #: Pre-tokens resolved together, and merged pre-tokens kept by a worker.
 BLOCK, CACHE = 400_000, 300_000
@@ -215,6 +215,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     """array<int> of ids."""
 
     @F.pandas_udf("array<int>")
+    @frugal
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(codec(path, pattern).encode_batch(texts.tolist()), dtype=object)
@@ -226,6 +227,7 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     """binary of the ids' tokens, one after the other."""
 
     @F.pandas_udf("binary")
+    @frugal
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
             yield pd.Series([codec(path, pattern).decode(x) for x in rows], dtype=object)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of Arrow batches handed to Python, and the bytes at which a batch is closed early.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +27,29 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers are kept for later tasks, and so is what their allocators hold."""
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that gives memory back when the task is done."""
+
+    @functools.wraps(run)
+    def released(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    released.__annotations__ = dict(run.__annotations__)
+    return released
+
+
 def doc_key() -> Column:
     """64-bit identity of a document: rows equal in doc_id and text are the same document. Never null."""
     return F.xxhash64("doc_id", "text")

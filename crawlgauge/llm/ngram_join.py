@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import broadcast_up_to, doc_key, small_batches, stored, table
+from .common import broadcast_up_to, doc_key, frugal, small_batches, stored, table
 from .components import components
 
 SHINGLE, SKETCH_BITS = 5, 1024
@@ -141,7 +141,7 @@ def features(docs: DataFrame, hot=None, everything: bool = False) -> DataFrame:
             out.insert(1, "k", batch["k"].to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("k"), "text").mapInPandas(compute, FEATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("k"), "text").mapInPandas(frugal(compute), FEATURES)
 
 
 def frequent_words(docs: DataFrame):
@@ -189,7 +189,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    return stored(both.select("a", "b", "ta", "tb").mapInPandas(similar, "a long, b long"))
+    return stored(both.select("a", "b", "ta", "tb").mapInPandas(frugal(similar), "a long, b long"))
 
 
 def rest_of_groups(shared: DataFrame, comps: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
@@ -252,7 +252,7 @@ def rest_of_groups(shared: DataFrame, comps: DataFrame, nodes: DataFrame, neares
         if held is not None and len(pairs := compare(held)):
             yield fresh(pairs)
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(compare_all, "a long, b long").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(frugal(compare_all), "a long, b long").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import frugal, small_batches, table
 
 WINDOW, SEPARATOR, MAX_OPEN = 1024, 0, 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -215,7 +215,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
         yield frame(list(rows(packer.finish(), numbers)))
 
     schema = PIECES + ", ids array<int>" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(pack_all, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(frugal(pack_all), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

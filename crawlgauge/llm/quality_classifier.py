@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import frugal, small_batches, table
 from .quality_rules import measure
 
 #: Texts that the driver learns from, at most (in expectation): the documented bound of the training sample.
@@ -148,7 +148,7 @@ def _matrix(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pd.DataFrame({"x": [featurize(t).astype(np.float32) for t in batch["text"]]})
 
-    rows = docs.select("text").mapInPandas(features, "x array<float>").toPandas()["x"]
+    rows = docs.select("text").mapInPandas(frugal(features), "x array<float>").toPandas()["x"]
     return np.stack(rows.to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, WIDTH))
 
 
@@ -172,6 +172,7 @@ def score(docs: DataFrame, model: Network | None, text: str = "text") -> DataFra
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
+    @frugal
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             if model is None:

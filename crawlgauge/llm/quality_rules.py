@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_up_to, small_batches, stored
+from .common import broadcast_up_to, frugal, small_batches, stored
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -84,7 +84,7 @@ def _measure_all(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Columns row (all of docs' columns), the STATS, base_failed and fails (the names of the failed rules)."""
     small_batches(docs.sparkSession)
-    stats = F.pandas_udf(_measure_all, STATS)
+    stats = F.pandas_udf(frugal(_measure_all), STATS)
     measured = docs.select(F.struct("*").alias("row")).withColumn("s", stats(F.col(f"row.{text}"))).select("row", "s.*")
     fails = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in RULES.items()]))
     return measured.withColumns({"base_failed": F.expr(BASE), "fails": fails})
@@ -138,12 +138,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_FAILS = {
-    "symbols": "10 * n_symbols > n_words",
-    "word_length": "(word_chars > 12 * n_words OR word_chars < 2 * n_words)",
-    "dup_lines": "10 * n_dup_lines > 3 * n_lines",
-    "repeats": "100 * n_repeat_words > 30 * n_words",
-}
 SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
@@ -168,7 +162,7 @@ stats AS (
          coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM docs LEFT JOIN repeats USING (k) LEFT JOIN dups USING (k)),
 failing AS (
-""" + " UNION ALL ".join(f"SELECT k, host, '{name}' AS rule, CAST({rule} AS BIGINT) AS f FROM stats" for name, rule in _FAILS.items()) + rf"""),
+""" + " UNION ALL ".join(f"SELECT k, host, '{name}' AS rule, CAST(({rule}) AS BIGINT) AS f FROM stats" for name, rule in RULES.items()) + rf"""),
 hosts AS (SELECT host, rule, count(*) AS n, sum(f) AS failed FROM failing GROUP BY ALL),
 moments AS (
   SELECT rule, sum(n) AS all_n, sum(failed) / sum(n) AS mean, count(*) AS hosts, sum(failed * failed / n) AS squares FROM hosts GROUP BY rule),

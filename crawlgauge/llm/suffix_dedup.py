@@ -32,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import broadcast_up_to, doc_key, order_of_id, small_batches, stored, table
+from .common import broadcast_up_to, doc_key, frugal, order_of_id, release_memory, small_batches, stored, table
 from .induced_sort import common_prefixes, suffix_ranks
 
 #: Longer grams recur less by chance, shorter ones need fewer anchors: 2 in LENGTH - GRAM + 2 bytes.
 LENGTH, GRAM = 100, 40
+#: Bytes hashed at once: a task's arrays hold some sixty bytes for each.
+BUFFER = 1 << 20
 #: Contexts of one anchor that a shard takes; contexts that a shard should hold; bytes of an earliest document whose
 #: anchors meet in one shard; rows up to which lists are broadcast; the shard number of what goes by hashes.
 SHARD_MOST, SHARD_ROWS, LEADER_BYTES, BROADCAST_ROWS, HASHED = 1000, 6000, 8192, 1_000_000, -1
@@ -57,8 +59,10 @@ class _Powers:
 
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > BUFFER + 1:  # only here: not kept
+            return _powers(n, _BASE), _powers(n, _INVERSE)
         if len(cls.up) < n:
-            cls.up, cls.down = _powers(2 * n, _BASE), _powers(2 * n, _INVERSE)
+            cls.up, cls.down = _powers(BUFFER + 1, _BASE), _powers(BUFFER + 1, _INVERSE)
         return cls.up[:n], cls.down[:n]
 
 
@@ -118,6 +122,38 @@ ROWS = "by long, anchor long, context long, ord long, k long, code long"
 COUNTED, RECURS, SPAN = 0, 1, 2
 
 
+def _buffers(texts: pd.Series, length: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+    """Stretches of the texts, at most BUFFER bytes at a time, with the number of their text and their start in it.
+
+    A longer text is cut into stretches that overlap by length - 1 bytes, so that each string lies in one.
+    """
+    parts: list[bytes] = []
+    numbers: list[int] = []
+    starts: list[int] = []
+    held = 0
+    for number, text in enumerate(texts):
+        data = (text or "").encode()
+        for start in range(0, max(1, len(data) - length + 1), BUFFER - length + 1):
+            part = data[start : start + BUFFER]
+            if held + len(part) > BUFFER and parts:
+                yield parts, numbers, starts
+                parts, numbers, starts, held = [], [], [], 0
+            parts.append(part)
+            numbers.append(number)
+            starts.append(start)
+            held += len(part)
+    if parts:
+        yield parts, numbers, starts
+
+
+def _anchors_of(parts: list[bytes], numbers: list[int], starts: list[int], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """anchors() of stretches, with the numbers of their texts and places in them."""
+    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    d, anchor, context, lo, hi = anchors(np.frombuffer(b"".join(parts), dtype=np.uint8), ends, length, gram)
+    first = np.array(starts, dtype=np.int64)[d]
+    return np.array(numbers, dtype=np.int64)[d], anchor, context, lo + first, hi + first
+
+
 def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """ROWS of (k, ord, text) rows. Of contexts that recur within a batch only the first is sent on; the rest are spans."""
     small_batches(docs.sparkSession)
@@ -126,11 +162,10 @@ def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
         for batch in batches:
             # documents in their order, so that the first of equal contexts is the earliest; a document met twice counts once
             batch = batch.drop_duplicates("k").sort_values(["ord", "k"], kind="stable")
-            texts = [(t or "").encode() for t in batch["text"]]
-            ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            d, anchor, context, lo, hi = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8), ends, length, gram)
-            if not len(d):
+            found = [part for buffer in _buffers(batch["text"], length) for part in [_anchors_of(*buffer, length, gram)] if len(part[0])]
+            if not found:
                 continue
+            d, anchor, context, lo, hi = map(np.concatenate, zip(*found, strict=True))
             out = pd.DataFrame({"anchor": anchor, "context": context})
             kind = np.where(out.duplicated().to_numpy(), SPAN, COUNTED)
             # of an anchor with several contexts here, two rows stand witness and the others need no count
@@ -144,7 +179,7 @@ def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
                 "k": batch["k"].to_numpy()[d], "code": kind + 4 * ((hi - lo) + 256 * lo),
             })
 
-    return docs.mapInPandas(compute, ROWS)
+    return docs.mapInPandas(frugal(compute), ROWS)
 
 
 def _later_in_shard(shard: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -186,6 +221,12 @@ def _later_in_shard(shard: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"k": shard["k"].to_numpy()[owner[head]], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
 
 
+def _later_and_release(shard: pd.DataFrame, length: int) -> pd.DataFrame:
+    out = _later_in_shard(shard, length)
+    release_memory()
+    return out
+
+
 def _strings(contexts: DataFrame, length: int) -> DataFrame:
     """(string, ord, k, at): each string of a context by its hash."""
 
@@ -202,7 +243,7 @@ def _strings(contexts: DataFrame, length: int) -> DataFrame:
             pick = lambda c: batch[c].to_numpy()[row]  # noqa: B023, E731
             yield pd.DataFrame({"string": h.of(at, at + length).view(np.int64), "ord": pick("ord"), "k": pick("k"), "at": (pick("lo") + place).astype(np.int32)})
 
-    return contexts.mapInPandas(explode, "string long, ord long, k long, at int")
+    return contexts.mapInPandas(frugal(explode), "string long, ord long, k long, at int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_most: int = SHARD_MOST) -> DataFrame:
@@ -240,14 +281,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
                 out.append(merged)
             yield pd.DataFrame({"k": batch["k"], "at": out})
 
-    mixed = stored(mixed.mapInPandas(stretches, "k long, at array<struct<shard:long,lo:int,hi:int,ord:long>>"))
+    mixed = stored(mixed.mapInPandas(frugal(stretches), "k long, at array<struct<shard:long,lo:int,hi:int,ord:long>>"))
     held = mixed.agg(F.sum(F.size("at"))).first()[0] or 0
     fetched = texts.select("k", "text").join(broadcast_up_to(mixed, BROADCAST_ROWS if held <= BROADCAST_ROWS else -1), "k")
     parts = fetched.select("k", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"), F.explode("at").alias("c")).select(
         "k", "c.shard", "c.ord", "c.lo", F.substring("b", F.col("c.lo") + 1, F.col("c.hi") - F.col("c.lo")).alias("bytes")
     )
     parts = stored(parts.dropDuplicates(["k", "shard", "lo"]))
-    sorted_ = parts.where(F.col("shard") != HASHED).groupBy("shard").applyInPandas(lambda pdf: _later_in_shard(pdf, length), "k long, lo int, hi int")
+    sorted_ = parts.where(F.col("shard") != HASHED).groupBy("shard").applyInPandas(lambda pdf: _later_and_release(pdf, length), "k long, lo int, hi int")
     strings = _strings(parts.where(F.col("shard") == HASHED).select("k", "ord", "lo", "bytes"), length)
     place = F.struct("ord", "k", "at")
     earliest = strings.groupBy("string").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("string", "first")
@@ -268,7 +309,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
                 merged.append(out)
             yield pd.DataFrame({"k": batch["k"], "spans": merged})
 
-    return stored(lists.mapInPandas(merge, "k long, spans array<int>"))
+    return stored(lists.mapInPandas(frugal(merge), "k long, spans array<int>"))
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
