@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import frugal, small_batches, table
 
 #: The base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -126,7 +126,7 @@ def rarity(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> dict[byt
                     seen[w] += 1
         yield pd.DataFrame({"word": ["", *[w.decode() for w in seen]], "docs": [n, *seen.values()]})
 
-    counted = docs.select(F.col(text)).mapInPandas(count, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    counted = docs.select(F.col(text)).mapInPandas(frugal(count), "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
     df = {r["word"]: r["docs"] for r in counted.collect()}  # bounded by the fixed vocabulary
     n = df.get("", 0)
     return {w: math.log((n + 1) / (df.get(w.decode(), 0) + 1)) + 1e-9 for w in vocabulary}
@@ -143,10 +143,44 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> DataFrame:
             out = pd.DataFrame([index.scan(t) for t in texts], columns=names)
             yield out.astype({"first_word": "Int64", "last_word": "Int64", "n_words": "int64", "n_base": "int64", "score": "float64"})
 
-    found = F.pandas_udf(scan_all, SCHEMA)
+    found = F.pandas_udf(frugal(scan_all), SCHEMA)
     return docs.select(F.struct("*").alias("row")).withColumn("s", found(F.col(f"row.{text}"))).select("row", "s.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("row.doc_id", *[c.split()[0] for c in SCHEMA.split(", ")])
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return found.select("row.doc_id", *names[:-1], F.round("score", 6).alias("score"))
+
+
+def _rows(name: str, columns: str, rows: list[tuple]) -> str:
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows) + ")"
+
+
+_NOTICES = [(t, label, i, w) for t, (label, notice, _) in enumerate(TEMPLATES) for i, w in enumerate(notice.split())]
+_MANDATORY = [(t, t * 10 + n, len(p.split()), j, w) for t, (_, _, phrases) in enumerate(TEMPLATES) for n, p in enumerate(phrases) for j, w in enumerate(p.split())]
+_BASE = [(n, label, len(p.split()), j, w) for n, (p, label) in enumerate(BASE_PHRASES.items()) for j, w in enumerate(p.split())]
+SQL = rf"""
+WITH {_rows("notice", "t, label, i, w", _NOTICES)}, {_rows("mandatory", "t, ph, len, j, w", _MANDATORY)}, {_rows("base", "ph, label, len, j, w", _BASE)},
+vocabulary AS (SELECT w FROM notice UNION SELECT w FROM mandatory UNION SELECT w FROM base),
+texts AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x01-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+places AS (SELECT k, unnest(range(0, len(words))) AS p, unnest(words) AS w FROM texts),
+held AS (SELECT k, p, w FROM places SEMI JOIN vocabulary USING (w)),
+rarity AS (
+  SELECT w, ln(((SELECT count(*) FROM texts) + 1) / (count(DISTINCT k) + 1)) + 1e-9 AS idf FROM vocabulary LEFT JOIN held USING (w) GROUP BY w),
+hits AS (SELECT k, ph, label, p - j AS s FROM held JOIN base USING (w) GROUP BY k, ph, label, p - j, len HAVING count(*) = len),
+base_of AS (SELECT k, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, list_distinct(list(label)) AS labels FROM hits GROUP BY k),
+named AS (SELECT DISTINCT k, t FROM (SELECT k, t FROM held JOIN mandatory USING (w) GROUP BY k, t, ph, p - j, len HAVING count(*) = len)),
+present AS (SELECT DISTINCT named.k, named.t, i, notice.w, idf FROM named JOIN notice ON notice.t = named.t JOIN rarity ON rarity.w = notice.w JOIN held ON held.k = named.k AND held.w = notice.w),
+anchors AS (SELECT *, row_number() OVER (PARTITION BY k, t ORDER BY idf DESC, i) AS r FROM present),
+aligned AS (SELECT DISTINCT k, t, p - i AS s FROM anchors JOIN held USING (k, w) WHERE r = 1),
+mass AS (SELECT k, t, s, sum(idf) AS m FROM aligned JOIN present USING (k, t) JOIN held USING (k, w) WHERE p = s + i GROUP BY k, t, s),
+totals AS (SELECT t, sum(idf) AS total FROM notice JOIN rarity USING (w) GROUP BY t),
+scores AS (SELECT k, max(least(1.0, m / total)) AS score FROM mass JOIN totals USING (t) GROUP BY k),
+labels_of AS (SELECT k, list_distinct(list(label)) AS labels FROM (SELECT k, label FROM named JOIN (SELECT DISTINCT t, label FROM notice) USING (t) UNION ALL SELECT k, label FROM hits) GROUP BY k)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels, coalesce(array_to_string(list_sort(l.labels), ','), '') AS labels, round(coalesce(CAST(score AS DOUBLE), 0), 6) AS score
+FROM texts LEFT JOIN base_of b USING (k) LEFT JOIN labels_of l USING (k) LEFT JOIN scores USING (k)
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "op2_license_scan": license_scan.SQL,
     "op5_embedding_dedup": oracles.EMBEDDINGS,
     "op8_ngram_join": oracles.NGRAMS,
     "op9_suffix_dedup": oracles.BYTES,
