@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import frugal, small_batches, table
 
 #: Pre-tokens resolved together, and merged pre-tokens kept by a worker.
-BLOCK, CACHE = 400_000, 300_000
+BLOCK, CACHE = 300_000, 200_000
 #: Letters, numbers and white space below U+0250, for texts that hold nothing beyond it.
 LATIN = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"\p{N}": "0-9²³¹¼-¾", r"\s": "\t-\r \x85\xa0"}
 
