@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
+import random
 import zlib
 
 import numpy as np
@@ -55,6 +56,32 @@ def test_op3_capacity_holds_for_a_huge_group(spark):
     assert sorted(out.groupby("shard").size()) == [12, 12, 12, 12, 13, 13, 13, 13]
 
 
+def test_op3_keeps_groups_together_when_all_rows_are_copies(spark):
+    texts = [f"text {i // 10}" for i in range(4000)]
+    random.Random(5).shuffle(texts)
+    out = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert out["linked"].all() and set(out.groupby("shard").size()) == {500}
+    assert (out.groupby("text_crc32")["shard"].nunique() > 1).sum() <= 7  # one group a border
+
+
+def test_op3_moves_change_places_without_room(spark):
+    rng = random.Random(6)
+    hub = [rng.randrange(8) for _ in range(200)]
+    links = spark.createDataFrame([(g + 200 * k, g) for g in range(200) for k in range(1, 10)], "a long, b long")
+    state = [(v, hub[v] if v < 200 else (v // 200 + v) % 8) for v in range(2000)]
+    quota = [sum(s == t for _, s in state) for t in range(8)]
+    out = sharding.propagate(links, spark.createDataFrame(state, "v long, shard int"), quota).toPandas()
+    assert [(out["shard"] == t).sum() for t in range(8)] == quota
+    at = dict(zip(out["v"], out["shard"], strict=True))
+    assert sum(at[g + 200 * k] != at[g] for g in range(200) for k in range(1, 10)) <= 360  # of 1,800 links
+
+
+def test_op3_exchanges_respect_room():
+    assert sharding.exchanges({(0, 1): 5, (1, 2): 4, (2, 0): 3}, [0, 0, 0]) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+    assert sharding.exchanges({(0, 1): 5, (1, 0): 2}, [0, 1]) == {(0, 1): 3, (1, 0): 2}
+    assert sharding.exchanges({(0, 1): 5}, [0, 0]) == {(0, 1): 0} and sharding.exchanges({}, [0]) == {}
+
+
 @pytest.fixture(scope="module")
 def codec():
     return byte_bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
