@@ -1,10 +1,13 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Vectors are compared within their label. Equal vectors are one point. Every tree splits a
-label's points again and again at a random quantile of their projections on a random
+Vectors are compared within their label. Equal vectors are one point. A label of at most
+NODE_MOST points is compared whole. Of a larger one every tree splits the points again and again at a random quantile of their projections on a random
 direction; points near the split go to both sides (spill). Nodes with more than NODE_MOST
 points are split by Spark, a level at a time, with quantiles aggregated over the node;
-smaller nodes are split on in one task down to leaves of LEAF_MOST points. In a leaf all
+smaller nodes are split on in one task down to leaves of LEAF_MOST points. A label has as
+many trees as its points ask for: pairs just at the threshold are made for a sample of
+them, the trees' splits are followed, and the share of pairs that a tree keeps together
+gives the number that keeps a share of RECALL, so large and narrow labels get more. In a leaf all
 points are compared; each point sends a link to the least point of its group there. The
 links of all trees are united to components, and the links of a component's points are
 then counted exactly in blocks, so a group of g close points costs g links, not g * g rows.
@@ -27,7 +30,9 @@ from .common import broadcast_up_to, stored, table
 from .components import components
 
 COSINE = 0.93
-TREES, NODE_MOST, LEAF_MOST, SPILL, SEED = 10, 20_000, 64, 0.05, 7
+TREES, NODE_MOST, LEAF_MOST, SPILL, SEED = 10, 20_000, 2048, 0.05, 7
+#: Share of pairs that a label's trees should bring together; points and trees that are followed to learn how many that takes.
+RECALL, SAMPLE, FOLLOWED = 0.99, 4000, 16
 #: Points of a component compared at once when links are counted.
 BLOCK, BROADCAST_POINTS = 1024, 500_000
 
@@ -77,20 +82,55 @@ def _split(x: np.ndarray, tree: int, depth: int, members: np.ndarray, leaf_most:
     yield from _split(x, tree, depth + 1, right, leaf_most)
 
 
-def _leaf_links(x: np.ndarray, leaf: np.ndarray, points: np.ndarray, cosine: float) -> list[np.ndarray]:
+def _leaf_links(x: np.ndarray, leaf: np.ndarray, points: np.ndarray, cosine: float, block: int = 256) -> list[np.ndarray]:
     """(point, least point of its group) for the groups of linked points in a leaf."""
-    near = (x[leaf] @ x[leaf].T) >= cosine
-    np.fill_diagonal(near, True)
-    if near.sum() == len(leaf):
-        return []
-    group = np.arange(len(leaf))
-    while True:
-        least = np.where(near, group[None, :], len(leaf)).min(axis=1)
-        if (least == group).all():
-            break
-        group = least
-    moved = group != np.arange(len(leaf))
-    return [np.column_stack((points[leaf[moved]], points[leaf[group[moved]]]))]
+    v, root = x[leaf], np.arange(len(leaf))
+    for start in range(0, len(leaf), block):
+        near = (v[start : start + block] @ v[start:].T) >= cosine
+        while True:  # pairs of different groups; of each group the least one it meets
+            a, b = (root[start + i] for i in np.nonzero(near & (root[start : start + block, None] != root[None, start:])))
+            if not len(a):
+                break
+            to = np.arange(len(leaf))
+            np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+            while (to[to] != to).any():
+                to = to[to]
+            root = to[root]
+    moved = root != np.arange(len(leaf))
+    return [np.column_stack((points[leaf[moved]], points[leaf[root[moved]]]))] if moved.any() else []
+
+
+def trees_needed(x: np.ndarray, n: int, cosine: float, leaf_most: int, least: int) -> int:
+    """Trees that bring RECALL of the pairs at the threshold together in a space of n points. x: unit vectors of a sample."""
+    u = np.random.default_rng(SEED).standard_normal(x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    length = np.linalg.norm(u, axis=1, keepdims=True)
+    y = np.where(length > 1e-9, cosine * x + np.sqrt(1 - cosine**2) * u / np.maximum(length, 1e-9), x)
+    entered = survived = 0
+    ends: list[tuple[int, np.ndarray, float]] = []  # tree, pairs together, levels that the sample is too small to follow
+    for tree in range(FOLLOWED):
+        todo = [(np.arange(len(x)), np.arange(len(x)), 0)]
+        while todo:
+            members, pairs, depth = todo.pop()
+            size = n * len(members) / len(x)
+            if size <= leaf_most or len(members) < 32:
+                ends.append((tree, pairs, max(0.0, np.log(size / leaf_most) / -np.log(0.5 + SPILL))))
+                continue
+            along, q = direction(tree, depth, x.shape[1]), quantile(tree, depth)
+            p, px, py = x[members] @ along, x[pairs] @ along, y[pairs] @ along
+            low, high = np.quantile(p, [q - SPILL, q + SPILL])
+            if low >= high:
+                ends.append((tree, pairs, 0.0))  # ties
+                continue
+            left, right = (px <= high) & (py <= high), (px >= low) & (py >= low)
+            entered, survived = entered + len(pairs), survived + int((left | right).sum())
+            todo += [(members[p <= high], pairs[left], depth + 1), (members[p >= low], pairs[right], depth + 1)]
+    level = survived / max(1, entered)
+    together = np.zeros((FOLLOWED, len(x)))
+    for tree, pairs, levels in ends:
+        together[tree, pairs] = np.maximum(together[tree, pairs], level**levels)
+    share = max(together.mean(), min(1.0, leaf_most / n))  # points dealt blindly meet that often
+    return least if share >= RECALL else max(least, int(np.ceil(np.log(1 - RECALL) / np.log(1 - share))))
 
 
 def _projection(depth: int):
@@ -111,7 +151,20 @@ def _projection(depth: int):
 def forest_links(points: DataFrame, cosine: float = COSINE, trees: int = TREES, node_most: int = NODE_MOST, leaf_most: int = LEAF_MOST) -> DataFrame:
     """(a, b) links between points that share a leaf and are close; enough of them to connect each leaf's groups."""
     spark = points.sparkSession
-    nodes = points.select("point", F.concat_ws("/", "label", F.size("v").cast("string")).alias("space"), "v").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit("r"))
+    spaced = points.select("point", F.concat_ws("/", "label", F.size("v").cast("string")).alias("space"), "v")
+    spaces = stored(spaced.groupBy("space").agg(F.count("*").alias("points")))
+    large = spaces.where(F.col("points") > node_most)
+    sample = spaced.join(large, "space").where(F.pmod(F.xxhash64("point", F.lit(SEED)), F.ceil(F.col("points") / SAMPLE)) == 0)
+
+    def count_trees(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("point", ignore_index=True)
+        return pd.DataFrame({"space": group["space"][:1], "trees": trees_needed(unit(group["v"]), int(group["points"].iloc[0]), cosine, leaf_most, trees)})
+
+    wanted = stored(sample.groupBy("space").applyInPandas(count_trees, "space string, trees int"))
+    rows = spaced.join(broadcast_up_to(wanted, BROADCAST_POINTS), "space", "left")
+    last = F.when(F.col("trees").isNull(), 0).otherwise(F.col("trees") - 1)  # a small space is compared whole, once
+    nodes = stored(rows.withColumn("tree", F.explode(F.sequence(F.lit(0), last))).select("point", "space", "v", "tree", F.lit("r").alias("node")))
+    most_trees = wanted.agg(F.max("trees")).first()[0] or 1
     done: list[DataFrame] = []
     for depth in range(64):
         sizes = stored(nodes.groupBy("space", "tree", "node").agg(F.count("*").alias("n")))
@@ -122,7 +175,7 @@ def forest_links(points: DataFrame, cosine: float = COSINE, trees: int = TREES,
         done.append(nodes.join(large, ["space", "tree", "node"], "left_anti"))
 
         split = stored(nodes.join(large, ["space", "tree", "node"], "left_semi").withColumn("p", _projection(depth)("v", "tree")))
-        shares = F.create_map(*[F.lit(x) for t in range(trees) for x in (t, quantile(t, depth))])
+        shares = F.create_map(*[F.lit(x) for t in range(most_trees) for x in (t, quantile(t, depth))])
         grid = [round(0.3 + 0.025 * i, 3) for i in range(17)]
         cuts = split.groupBy("space", "tree", "node").agg(F.percentile_approx("p", grid, 2000).alias("q"))
         at = lambda s: F.element_at("q", (F.round((F.element_at(shares, F.col("tree")) + s - 0.3) / 0.025) + 1).cast("int"))  # noqa: B023, E731
@@ -139,7 +192,7 @@ def forest_links(points: DataFrame, cosine: float = COSINE, trees: int = TREES,
         group = group.sort_values("point", ignore_index=True)
         x, points = unit(group["v"]), group["point"].to_numpy()
         tree, depth = int(group["tree"].iloc[0]), len(group["node"].iloc[0]) - 1
-        out = [p for leaf in _split(x, tree, depth, np.arange(len(x)), leaf_most) for p in _leaf_links(x, np.sort(leaf), points, cosine)]
+        out = [p for leaf in _split(x, tree, depth, np.arange(len(x)), leaf_most if depth else node_most) for p in _leaf_links(x, np.sort(leaf), points, cosine)]
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")

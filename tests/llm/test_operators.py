@@ -140,6 +140,24 @@ def test_op5_matches_brute_force(spark):
     assert embedding_dedup.link_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.8])
+def test_op5_finds_lone_pairs_in_a_large_label(spark, mean):
+    rng = np.random.default_rng(8)
+    width, n, pairs = 64, 24_000, 300
+    x = rng.standard_normal((n, width)) / np.sqrt(width)
+    x = np.sqrt(mean) * np.eye(width)[0] + np.sqrt(1 - mean) * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.standard_normal((pairs, width))
+    u -= (u * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    x = np.vstack((x, 0.935 * x[:pairs] + np.sqrt(1 - 0.935**2) * u / np.linalg.norm(u, axis=1, keepdims=True)))
+    table = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    points = embedding_dedup.stored(embedding_dedup.points_of(table))
+    got = {r["id"]: r["component"] for r in components.components(embedding_dedup.forest_links(points, node_most=3000, leaf_most=256)).collect()}
+    key = {r["vec_id"]: r["p"] for r in table.select("vec_id", embedding_dedup.point().alias("p")).collect()}
+    found = [key[i] in got and got[key[i]] == got.get(key[n + i]) for i in range(pairs)]
+    assert np.mean(found) >= 0.95, np.mean(found)
+
+
 def test_op6_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     scored = registry.QUERIES["op6_quality_classifier"](spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
