@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,13 +62,33 @@ def order_of_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
 
 
+#: Scratch tables made by each open scratch_tables(), the innermost last.
+_made: list[list[str]] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder that the session names; a temporary one only where none is set."""
+    """A new folder in the shared checkpoint folder that the session names. Where none is set, a local master gets a temporary one and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.gettempdir() + "/crawlgauge-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{uuid.uuid4().hex}"
+    path = f"{base}/{uuid.uuid4().hex}"
+    for made in _made[-1:]:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end, also after a failure. What is lazily read from them must be written before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _made.pop()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -80,3 +102,31 @@ def stored(df: DataFrame) -> DataFrame:
 def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if df, a stored table, is counted to have at most max_rows rows; else Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+#: Estimated bytes of a table's rows up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_bytes_up_to(df: DataFrame, size: int) -> DataFrame:
+    """Hint a broadcast only if the bytes of df's rows, as counted by the caller, stay within BROADCAST_BYTES."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+#: A key with more rows than this, and than one in HOT_KEYS of all rows, is hot.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+
+
+def join_heads(rows: DataFrame, heads: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with heads: stored (on, n, ...), one row a key, n: how many rows have the key (all of them, or in proportion). Inner or left_semi.
+
+    Hot keys are HOT_KEYS at most by their definition, so they are broadcast and their rows
+    stay where they are; the rows of all other keys are shuffled.
+    """
+    total = heads.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot, rest = heads.where(F.col("n") > most), heads.where(F.col("n") <= most)
+    if not hot.limit(1).count():
+        return rows.join(rest, on, how)
+    there = F.broadcast(hot.select(*on))
+    return rows.join(F.broadcast(hot), on, how).unionByName(rows.join(there, on, "left_anti").join(rest, on, how))

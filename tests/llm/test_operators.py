@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
+import os
 import random
 import zlib
 
@@ -265,11 +266,19 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100, 200: 150, 150: 150}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 3), max_size=60))
-def test_op9_suffix_ranks(symbols):
-    expected = sorted(range(len(symbols)), key=lambda i: symbols[i:])
-    assert np.argsort(induced_sort.suffix_ranks(np.array(symbols, dtype=np.int64))).tolist() == expected
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.binary(max_size=60), st.lists(st.integers(0, 2), max_size=90).map(bytes), st.lists(st.sampled_from([b"ab", b"abc", b"ca"]), max_size=40).map(b"".join)), st.sampled_from([2, 256]))
+def test_op9_suffix_array_and_common_prefixes(text, one_digit):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(induced_sort, "ONE_DIGIT", one_digit)  # names of one digit, and of two
+        data = np.frombuffer(text, dtype=np.uint8)
+        sa = induced_sort.suffix_array(data)
+    expected = sorted(range(len(text)), key=lambda i: text[i:])
+    assert sa.tolist() == expected
+    if len(text) > 1:
+        shared = induced_sort.common_prefixes(data, sa)
+        pairs = zip([None, *expected], expected, strict=False)
+        assert [shared[b] for b in expected] == [0 if a is None else len(os.path.commonprefix([text[a:], text[b:]])) for a, b in pairs]
 
 
 def test_op9_matches_brute_force(spark, documents):
@@ -298,13 +307,49 @@ def test_op9_long_texts_are_cut_into_stretches(spark, monkeypatch):
     assert [got[i] for i in range(4)] == brute
 
 
-def test_op9_hashed_anchors_agree(spark):
-    passage = H.words(40, 5)
-    texts = [H.words(12, 100 + i) + " " + passage + " " + H.words(12, 300 + i) for i in range(40)] + ["ab" * 400, "x" * 350, H.words(8, 9) + "ab" * 90]
+def _removed(rows, **how):
+    spans = suffix_dedup.repeated_spans(rows, **how).collect()
+    keys = {r["k"]: r["doc_id"] for r in rows.selectExpr("xxhash64(doc_id, text) AS k", "doc_id").collect()}
+    return {keys[s["k"]]: sum(b - a for a, b in zip(s["spans"][::2], s["spans"][1::2], strict=True)) for s in spans}
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """A passage that many documents share between different neighbours, so that anchors at its ends have many contexts."""
+    passage, rng = H.words(40, 5), random.Random(2)
+    texts = [H.words(12, 100 + i) + " " + passage + " " + H.words(12, 300 + i) for i in range(40)] + ["ab" * 400, "x" * 350, H.words(8, 9) + "ab" * 90, passage[30:150]]
+    texts += ["".join(rng.choice("xy") for _ in range(9)) + passage[7 + i % 5 : 140 - i % 7] + rng.choice("pq") for i in range(40)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    brute = [b[1] for b in H.repeated_bytes([t.encode() for t in texts])]
-    for most in (1000, 3):  # by suffix arrays, and anchors of more than three contexts by hashes
-        spans = suffix_dedup.repeated_spans(rows, shard_most=most).collect()
-        keys = {r["k"]: r["doc_id"] for r in rows.selectExpr("xxhash64(doc_id, text) AS k", "doc_id").collect()}
-        got = {keys[s["k"]]: sum(b - a for a, b in zip(s["spans"][::2], s["spans"][1::2], strict=True)) for s in spans}
-        assert [got.get(i, 0) for i in range(len(texts))] == brute
+    return rows, [b[1] for b in H.repeated_bytes([t.encode() for t in texts])]
+
+
+@pytest.mark.parametrize("most", [1000, 12, 3, 1])
+def test_op9_crowded_anchors_agree(crowded, most):
+    rows, brute = crowded
+    got = _removed(rows, anchor_most=most)
+    assert [got.get(i, 0) for i in range(len(brute))] == brute
+
+
+def test_op9_arrays_alone_decide_for_different_contexts(spark, crowded, monkeypatch):
+    rows, brute = crowded
+    contexts = []
+
+    def taken(batch_of_rows, length):
+        out = suffix_dedup._later_in_shard(batch_of_rows, length)
+        contexts.append(out)
+        return out
+
+    parts = pd.DataFrame([(r["doc_id"], r["doc_id"], 0, r["text"].encode()) for r in rows.collect()], columns=["ord", "k", "lo", "bytes"])
+    spans = taken(parts, 100)  # whole documents in one shard: no anchors, no equal contexts, arrays only
+    gone = {i: np.zeros(len(b), dtype=bool) for i, b in zip(parts["k"], parts["bytes"], strict=True)}
+    for k, lo, hi in spans.itertuples(index=False):
+        gone[k][lo:hi] = True
+    assert [int(gone[i].sum()) for i in range(len(brute))] == brute
+
+
+def test_op9_keeps_genuine_replacement_characters(spark):
+    texts = [H.words(60, 1), "a\ufffdb " + H.words(60, 1) + " c\ufffd", "é" * 120 + "!", "xé" + "é" * 120]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r for r in suffix_dedup.dedup_bytes(rows).withColumn("left", suffix_dedup.kept_text("kept")).collect()}
+    brute = H.repeated_bytes([t.encode() for t in texts])
+    assert [got[i]["left"] for i in range(4)] == [b[3].decode(errors="ignore") for b in brute] and got[1]["left"].count("\ufffd") == 2
