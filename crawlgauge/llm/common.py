@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of Arrow batches handed to Python, and the bytes at which a batch is closed early.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +87,14 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _made.pop()):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for path in _made.pop():
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table in the shared folder, whatever file system that is on."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -2,22 +2,23 @@
 
 Suffixes are classified as smaller (S) or larger (L) than the next one. Leftmost S
 suffixes start the substrings that reach to the next leftmost S suffix. Those substrings
-are sorted by inducing from their buckets; where some are equal, the string of their names
-is sorted by the same function. From the sorted leftmost S suffixes a scan of the buckets
-upwards induces the L suffixes, and a scan downwards the S suffixes.
+are sorted by inducing from their buckets, and the string of their names is sorted: by the
+same function while there are few names, else by names of two, four, eight ... names in a
+row, of only those that are not told apart yet (many names would need as many buckets).
+From the sorted leftmost S suffixes a scan of the buckets upwards induces the L suffixes,
+and a scan downwards the S suffixes.
 
 A scan is linear: each suffix is looked at once and appended to the bucket of the symbol
 before it. It goes bucket by bucket; what a bucket appends to itself is the next wave, so
-a step handles a whole wave. Names are written as one or two digits, which keeps buckets
-few. Memory is some forty bytes for each symbol.
+a step handles a whole wave. Memory is some forty bytes for each symbol.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names up to which one digit is used.
-ONE_DIGIT = 256
+#: Names up to which their string is sorted by induction too.
+FEW_NAMES = 256
 
 
 def _is_smaller(t: np.ndarray) -> np.ndarray:
@@ -119,6 +120,32 @@ def _names(t: np.ndarray, ordered: np.ndarray, leftmost: np.ndarray) -> np.ndarr
     return np.concatenate(([0], np.cumsum(~same)))
 
 
+def _order_of_names(names: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of a string of names in order."""
+    m = len(names)
+    order = np.argsort(names, kind="stable")
+    new = np.concatenate(([True], names[order[1:]] != names[order[:-1]]))
+    rank = np.empty(m + 1, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(m), 0)) + 1
+    rank[m] = 0  # the end
+    alike = ~(new & np.append(new[1:], True))
+    left, ahead = order[alike], 1
+    while len(left):
+        # suffixes that start with the same names are ordered by what follows those
+        mine, then = rank[left], rank[np.minimum(left + ahead, m)]
+        sort = np.argsort(mine * (m + 1) + then)
+        left, mine, then = left[sort], mine[sort], then[sort]
+        index = np.arange(len(left))
+        group = np.concatenate(([True], mine[1:] != mine[:-1]))
+        new = group | np.concatenate(([True], then[1:] != then[:-1]))
+        rank[left] = mine + np.maximum.accumulate(np.where(new, index, 0)) - np.maximum.accumulate(np.where(group, index, 0))
+        left = left[~(new & np.append(new[1:], True))]
+        ahead *= 2
+    out = np.empty(m, dtype=np.int64)
+    out[rank[:m] - 1] = np.arange(m)
+    return out
+
+
 def suffix_array(t: np.ndarray, symbols: int = 256) -> np.ndarray:
     """Starts of the suffixes in order; t: uint8 or uint16 below ``symbols``. A suffix precedes those that it begins."""
     if len(t) < 2:
@@ -140,13 +167,7 @@ def suffix_array(t: np.ndarray, symbols: int = 256) -> np.ndarray:
         of_place[ordered] = names
         in_text = of_place[leftmost]
         del of_place
-        if known <= ONE_DIGIT:
-            ordered = leftmost[suffix_array(in_text.astype(np.uint16), known)]
-        else:
-            base = int(np.ceil(np.sqrt(known)))
-            digits = np.column_stack((in_text // base, in_text % base)).astype(np.uint16).ravel()
-            found = suffix_array(digits, base)
-            ordered = leftmost[found[found % 2 == 0] // 2]
+        ordered = leftmost[suffix_array(in_text.astype(np.uint16), known) if known <= FEW_NAMES else _order_of_names(in_text)]
     return buckets.induce(ordered)
 
 

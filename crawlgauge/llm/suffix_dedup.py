@@ -46,8 +46,8 @@ LENGTH, GRAM = 100, 40
 #: Bytes hashed at once: a task's arrays hold some sixty bytes for each.
 BUFFER = 1 << 19
 #: Different contexts of one anchor that a shard takes whole; contexts that a shard should hold; bytes of an earliest
-#: document whose anchors meet in one shard; the shard number of contexts that are told apart first.
-ANCHOR_MOST, SHARD_ROWS, LEADER_BYTES, TOLD_APART = 1000, 6000, 8192, -1
+#: document whose anchors meet in one shard; the shard number of contexts that are told apart first; tasks that sort shards.
+ANCHOR_MOST, SHARD_ROWS, LEADER_BYTES, TOLD_APART, MOST_TASKS = 1000, 6000, 8192, -1, 20_000
 #: A byte that no text holds in UTF-8: ends the contexts in a shard's text.
 END = b"\xff"
 
@@ -310,15 +310,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, anch
     )
     parts = stored(parts.dropDuplicates(["k", "shard", "lo", "at"]))
     equal, entries = told_apart(parts.where(F.col("shard") == TOLD_APART).drop("shard"), anchor_most, length, gram)
+    tasks = shards
     shard_parts = parts.where(F.col("shard") != TOLD_APART).select("shard", "ord", "k", "lo", "bytes")
     if entries:
         apart = entries[0]
         for more in entries[1:]:
             apart = apart.unionByName(more)
         apart = stored(apart)
-        more = F.pmod(F.xxhash64("low", "core"), F.lit(max(1, apart.count() // SHARD_ROWS))) + shards
+        further = max(1, apart.count() // SHARD_ROWS)
+        more, tasks = F.pmod(F.xxhash64("low", "core"), F.lit(further)) + shards, shards + further
         shard_parts = shard_parts.unionByName(apart.select(more.alias("shard"), "ord", "k", "lo", "bytes"))
-    sorted_ = shard_parts.groupBy("shard").applyInPandas(lambda pdf: _later_and_release(pdf, length), "k long, lo long, hi long")
+    # shards are small in bytes and long to sort, so tasks follow their number
+    sorted_ = shard_parts.repartition(min(tasks, MOST_TASKS), "shard").groupBy("shard").applyInPandas(lambda pdf: _later_and_release(pdf, length), "k long, lo long, hi long")
     spans = seen.where(F.col("kind") == SPAN).select("k", "lo", "hi").unionByName(whole.select("k", "lo", "hi")).unionByName(sorted_)
     for more in equal:
         spans = spans.unionByName(more)

@@ -267,10 +267,10 @@ def test_components(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.binary(max_size=60), st.lists(st.integers(0, 2), max_size=90).map(bytes), st.lists(st.sampled_from([b"ab", b"abc", b"ca"]), max_size=40).map(b"".join)), st.sampled_from([2, 256]))
-def test_op9_suffix_array_and_common_prefixes(text, one_digit):
+@given(st.one_of(st.binary(max_size=60), st.lists(st.integers(0, 2), max_size=90).map(bytes), st.lists(st.sampled_from([b"ab", b"abc", b"ca"]), max_size=40).map(b"".join)), st.sampled_from([0, 2, 256]))
+def test_op9_suffix_array_and_common_prefixes(text, few):
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(induced_sort, "ONE_DIGIT", one_digit)  # names of one digit, and of two
+        patch.setattr(induced_sort, "FEW_NAMES", few)  # names sorted by induction, and by names of names
         data = np.frombuffer(text, dtype=np.uint8)
         sa = induced_sort.suffix_array(data)
     expected = sorted(range(len(text)), key=lambda i: text[i:])
