@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgauge.llm import line_dedup, ngram_join, packing, quality_rules, suffix_dedup
-from crawlgauge.llm.common import stored, table
+from crawlgauge.llm.common import drop, scratch, scratch_tables, table
 
 
 def _with_text(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
@@ -42,7 +42,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of byte strings go; a null text stays null."""
     out = suffix_dedup.dedup_bytes(docs)
-    return _with_text(out, docs, F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(suffix_dedup.kept_text(F.col("kept"))))
+    return _with_text(out, docs, F.coalesce(suffix_dedup.kept_text(F.when(F.col("n_removed") > 0, F.col("kept"))), F.col("row.text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's scratch tables go when its result is written, and that when the next one's is; the last table of documents stays, as the result is read from it lazily."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = scratch(spark)
+        with scratch_tables(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if last:
+            drop(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
