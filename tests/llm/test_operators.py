@@ -12,7 +12,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from crawlgauge.llm import byte_bpe, components, embedding_dedup, induced_sort, license_scan, ngram_join, packing, quality_classifier, registry, sharding, suffix_dedup
+from crawlgauge.llm import byte_bpe, components, embedding_dedup, induced_sort, license_scan, line_dedup, ngram_join, packing, quality_classifier, registry, sharding, suffix_dedup
 
 from . import helpers as H
 
@@ -195,13 +195,13 @@ def test_op7_pieces_cover_and_fill(spark, documents):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=120), st.integers(1, 8))
-def test_op7_sum_of_squares(sizes, most):
-    packer = packing.SumOfSquares(window=16, max_open=most)
+@given(st.lists(st.integers(1, 40), max_size=120))
+def test_op7_sum_of_squares(sizes):
+    packer = packing.SumOfSquares(window=16)
     done = []
     for d, n in enumerate(sizes):
         rest = n % 16
-        if rest and packer.open < most:  # the level array agrees with trying every level
+        if rest:  # the level array agrees with trying every level
             count = packer.count.copy()
             costs = {}
             for h in range(0, 16 - rest + 1):
@@ -213,13 +213,29 @@ def test_op7_sum_of_squares(sizes, most):
             best = packer.level_for(rest)
             assert costs[best] == min(costs.values())
         done += packer.add(d, np.arange(n, dtype=np.uint32))
-        assert packer.open <= most + 1
+        assert packer.open == int(packer.count[1:16].sum()) == sum(map(len, packer.at))
     done += packer.finish()
     seen = sorted((p[0], p[1] + i) for w in done for p in w for i in range(len(p[2])))
     assert seen == [(d, i) for d, n in enumerate(sizes) for i in range(n)]
     assert all((n := sum(len(p[2]) for p in w)) == 16 or n & (n - 1) == 0 for w in done)
 
 
+def test_op7_query_columns(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    table = pd.read_parquet(f"{SF}/documents.parquet")
+    ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in zip(table["doc_id"], table["text"], strict=True)}
+    pieces = registry.QUERIES["op7_packing"](spark, SF).toPandas()
+    assert pieces.groupby("doc_id")["length"].sum().to_dict() == {i: len(x) for i, x in ids.items()}
+    for r in pieces.itertuples():
+        own = np.array(ids[r.doc_id][r.start : r.start + r.length], dtype="<u4")
+        assert (r.length, r.ids_crc32, r.doc_tokens) == (len(own), zlib.crc32(own.tobytes()), len(ids[r.doc_id]))
+    for _, s in pieces.sort_values("offset").groupby("sequence_id"):
+        fill = int(s["length"].sum())
+        assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] and fill <= 1024 and (fill == 1024 or fill & (fill - 1) == 0)
+
+
 @settings(max_examples=200, deadline=None)
 @given(ANY)
 def test_op7_ids_as_the_library(text):
@@ -266,6 +282,30 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100, 200: 150, 150: 150}
 
 
+def test_op10_matches_brute_force(spark):
+    rng = random.Random(4)
+    pool = [f"line {i}" for i in range(12)] + [""]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(60)] + ["a\nb", "\n\n\n\n\n", None, "x\ny\nz", "x\ny\nz", "q\nx\ny\nz"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lines = rows.selectExpr("doc_id AS k", "doc_id AS ord", "split(coalesce(text, ''), '\n', -1) AS lines")
+    brute = H.repeated_lines(texts)
+    for stretch in (4096, 1, 3):  # long documents are cut into stretches of windows
+        prints = line_dedup.stored(line_dedup.fingerprints(lines, stretch=stretch))
+        later = {(r["k"], r["start"]) for r in line_dedup.later_runs(prints).collect()}
+        for i, t in enumerate(texts):
+            own = (t or "").split("\n")
+            gone = {p + j for p in range(len(own)) if (i, p) in later for j in range(3)}
+            assert "\n".join(x for j, x in enumerate(own) if j not in gone) == brute[i]
+    got = {r["row"]["doc_id"]: r["text"] for r in line_dedup.dedup_lines(rows).collect()}
+    assert [got[i] or "" for i in range(len(texts))] == brute
+
+
+def test_op10_keeps_only_window_minima(spark):
+    lines = spark.createDataFrame([(0, 0, [str(i) for i in range(500)])], "k long, ord long, lines array<string>")
+    at = [r["at"] for r in line_dedup.fingerprints(lines).collect()]
+    assert len(at) == len(set(at)) < 300 and all(any(p <= a < p + 3 for a in at) for p in range(498))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.binary(max_size=60), st.lists(st.integers(0, 2), max_size=90).map(bytes), st.lists(st.sampled_from([b"ab", b"abc", b"ca"]), max_size=40).map(b"".join)), st.sampled_from([0, 2, 256]))
 def test_op9_suffix_array_and_common_prefixes(text, few):
