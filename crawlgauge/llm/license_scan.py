@@ -1,17 +1,21 @@
 """Licence scan by a positional index of rare words.
 
-The notices in TEMPLATES are short word sequences. Their words are indexed with the
-positions at which each notice holds them; how rare each of those words is follows from
-the documents in which it occurs, over all documents. A document is looked up by its
-licence words: the rarest word of a notice that the document holds is the anchor, each of
-its places proposes an alignment (place in the document less place in the notice), and
-the postings of the notice's other words are intersected at that alignment. A label needs
-one of the notice's mandatory phrases in full, word after word. ``score`` is the best
-share of a notice's rarity mass that stands at one alignment.
-
-Edge cases: a null text is an empty one; it has no words, no labels and score 0. Repeated
-rows are scanned each; an empty table gives an empty result. Words are compared after
-lower-casing A-Z only.
+TEMPLATES are notices of licences: short references and full texts. Their words are
+indexed as postings, word to (template, position), and each mandatory phrase under its
+rarest word, word to (phrase, position); how rare a word is follows from the documents in
+which it occurs, over all documents. A document's licence words are looked up, rarest
+first: each place of a word and each posting of a phrase propose a start, and the phrase's
+other words must stand at the same distance from it. A template with a phrase in full
+gives its label. Its postings are then intersected by relative position: the rarest word
+of the notice that the document holds proposes alignments (place less position), and
+words that stand at one alignment add up. ``score`` is the best share of a notice's rarity
+mass that stands at one alignment. Templates without a phrase here are never visited.
+
+Edge cases: a null text is an empty one; it has no words, no labels and score 0. Texts of
+any length are scanned whole, a batch of them at a time; of equally rare words the first
+of the phrase or notice counts as rarest, which changes no label; repeated rows are
+scanned each; other columns are carried along whatever their names; an empty table gives
+an empty result. Words are compared after lower-casing A-Z only.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from .common import frugal, small_batches, table
 
 #: The base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: label, notice, mandatory phrases (any one of them, in full).
+#: label, notice, mandatory phrases (any one of them, in full). First short references, then notices in full.
 TEMPLATES = [
     ("cc-by", "licensed under cc by", ["cc by"]),
     ("cc-by-sa", "licensed under cc by sa", ["cc by sa"]),
@@ -41,6 +45,83 @@ TEMPLATES = [
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("cc0", "dedicated to the public domain under the creative commons zero cc0", ["creative commons zero", "cc0 1 0"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+        Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+        and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+        included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.""",
+        ["permission is hereby granted free of charge to any person obtaining a copy"],
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and
+        this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.""",
+        ["isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee"],
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of
+        source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of
+        the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+        ["redistributions of source code must retain the above copyright notice"],
+    ),
+    (
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+        BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        ["you may not use this file except in compliance with the license"],
+    ),
+    (
+        "gpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,
+        either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+        even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        ["under the terms of the gnu general public license"],
+    ),
+    (
+        "lgpl",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software
+        Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.""",
+        ["under the terms of the gnu lesser general public license", "under the terms of the gnu library general public license"],
+    ),
+    (
+        "mpl-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+        https://mozilla.org/MPL/2.0/.""",
+        ["this source code form is subject to the terms of the mozilla public license"],
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either
+        in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        ["anyone is free to copy modify publish use compile sell or distribute this software"],
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
+        software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.""",
+        ["zlib license", "permission is granted to anyone to use this software for any purpose including commercial applications"],
+    ),
+    (
+        "bsl-1.0",
+        """Boost Software License, Version 1.0. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software.""",
+        ["boost software license", "free of charge to any person or organization obtaining a copy of the software"],
+    ),
+    (
+        "cc-by",
+        """This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/.""",
+        ["creative commons attribution 4 0", "creative commons attribution 3 0"],
+    ),
+    (
+        "cc-by-sa",
+        """This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit
+        http://creativecommons.org/licenses/by-sa/4.0/.""",
+        ["creative commons attribution sharealike"],
+    ),
 ]
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -55,39 +136,54 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class PositionalIndex:
-    """Postings of the notices' words, with weights by rarity; small and fixed by TEMPLATES."""
+    """Postings of the templates' words, and of phrases under their rarest word; small and fixed by TEMPLATES."""
 
     def __init__(self, templates=TEMPLATES, idf: dict[bytes, float] | None = None):
-        self.templates = [(label, notice.encode().split(), [p.encode().split() for p in phrases]) for label, notice, phrases in templates]
-        self.vocabulary = {w for _, notice, phrases in self.templates for w in [*notice, *(w for p in phrases for w in p)]}
-        self.idf = {w: 1.0 for w in self.vocabulary} if idf is None else idf
-        self.base = [(p.encode().split(), label) for p, label in BASE_PHRASES.items()]
-
-    def places_of(self, phrase: list[bytes], places: dict[bytes, list[int]]) -> list[int]:
-        """Starts of the phrase: from the rarest word's places, the others' postings at the same alignment."""
-        if any(w not in places for w in phrase):
-            return []
-        anchor = max(range(len(phrase)), key=lambda i: (self.idf.get(phrase[i], 0.0), -i))
-        starts = [p - anchor for p in places[phrase[anchor]]]
-        for i, w in enumerate(phrase):
-            if i != anchor and starts:
-                at = set(places[w])
-                starts = [s for s in starts if s + i in at]
-        return starts
-
-    def coverage(self, notice: list[bytes], places: dict[bytes, list[int]]) -> float:
-        """Best share of the notice's rarity mass at one alignment that its rarest present word proposes."""
-        present = [i for i, w in enumerate(notice) if w in places]
-        if not present:
-            return 0.0
-        anchor = max(present, key=lambda i: (self.idf[notice[i]], -i))
-        total = sum(self.idf[w] for w in notice)
-        mass: dict[int, float] = dict.fromkeys((p - anchor for p in places[notice[anchor]]), 0.0)
-        for i in present:
-            for p in places[notice[i]]:
-                if p - i in mass:
-                    mass[p - i] += self.idf[notice[i]]
-        return min(1.0, max(mass.values()) / total) if total else 0.0
+        self.labels = [label for label, _, _ in templates]
+        notices = [words_of(notice) for _, notice, _ in templates]
+        #: words, label and template (None: a base phrase) of each phrase
+        self.phrases = [(words_of(p), label, None) for p, label in BASE_PHRASES.items()]
+        self.phrases += [(words_of(p), label, t) for t, (label, _, phrases) in enumerate(templates) for p in phrases]
+        self.vocabulary = {w for words in [*notices, *(p for p, _, _ in self.phrases)] for w in words}
+        self.idf = idf = dict.fromkeys(self.vocabulary, 1.0) if idf is None else idf
+        self.mass = [sum(idf[w] for w in notice) for notice in notices]
+        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        for t, notice in enumerate(notices):
+            for i, w in enumerate(notice):
+                self.postings.setdefault(w, []).append((t, i))
+        self.keys: dict[bytes, list[tuple[int, int]]] = {}
+        for n, (words, _, _) in enumerate(self.phrases):
+            at = max(range(len(words)), key=lambda i: (idf[words[i]], -i))
+            self.keys.setdefault(words[at], []).append((n, at))
+
+    def phrase_starts(self, words: list[bytes], places: dict[bytes, list[int]]) -> Iterator[tuple[int, int]]:
+        """(phrase, start) of all phrases that stand in full, from the document's licence words, rarest first."""
+        for w in sorted(places.keys() & self.keys.keys(), key=lambda w: (-self.idf[w], w)):
+            for n, at in self.keys[w]:
+                phrase = self.phrases[n][0]
+                for p in places[w]:
+                    if p >= at and words[p - at : p - at + len(phrase)] == phrase:
+                        yield n, p - at
+
+    def coverage(self, found: set[int], places: dict[bytes, list[int]]) -> float:
+        """Best share of a found template's rarity mass at one alignment that its rarest present word proposes."""
+        held: dict[int, list[tuple[bytes, int]]] = {t: [] for t in found}
+        for w in places.keys() & self.postings.keys():
+            for t, i in self.postings[w]:
+                if t in held:
+                    held[t].append((w, i))
+        best = 0.0
+        for t, present in held.items():
+            if not present or not self.mass[t]:
+                continue
+            rarest, at = max(present, key=lambda x: (self.idf[x[0]], -x[1]))
+            mass = dict.fromkeys((p - at for p in places[rarest]), 0.0)
+            for w, i in present:
+                for p in places[w]:
+                    if p - i in mass:
+                        mass[p - i] += self.idf[w]
+            best = max(best, min(1.0, max(mass.values()) / self.mass[t]))
+        return best
 
     def scan(self, text: str | None) -> tuple:
         words = words_of(text)
@@ -95,21 +191,18 @@ class PositionalIndex:
         for i, w in enumerate(words):
             if w in self.vocabulary:
                 places.setdefault(w, []).append(i)
-        if not places:
-            return len(words), 0, None, None, "", "", 0.0
-        starts, base_labels, score = [], set(), 0.0
-        for phrase, label in self.base:
-            if found := self.places_of(phrase, places):
-                starts += found
+        starts, base_labels, labels, found = [], set(), set(), set()
+        for n, start in self.phrase_starts(words, places):
+            _, label, t = self.phrases[n]
+            labels.add(label)
+            if t is None:
+                starts.append(start)
                 base_labels.add(label)
-        labels = set(base_labels)
-        for label, notice, phrases in self.templates:
-            if any(self.places_of(p, places) for p in phrases):
-                labels.add(label)
-                score = max(score, self.coverage(notice, places))
+            else:
+                found.add(t)
         return (
             len(words), len(starts), min(starts, default=None), max(starts, default=None),
-            ",".join(sorted(base_labels)), ",".join(sorted(labels)), score,
+            ",".join(sorted(base_labels)), ",".join(sorted(labels)), self.coverage(found, places) if found else 0.0,
         )
 
 
@@ -157,8 +250,8 @@ def _rows(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows) + ")"
 
 
-_NOTICES = [(t, label, i, w) for t, (label, notice, _) in enumerate(TEMPLATES) for i, w in enumerate(notice.split())]
-_MANDATORY = [(t, t * 10 + n, len(p.split()), j, w) for t, (_, _, phrases) in enumerate(TEMPLATES) for n, p in enumerate(phrases) for j, w in enumerate(p.split())]
+_NOTICES = [(t, label, i, w) for t, (label, notice, _) in enumerate(TEMPLATES) for i, w in enumerate(x.decode() for x in words_of(notice))]
+_MANDATORY = [(t, t * 100 + n, len(p.split()), j, w) for t, (_, _, phrases) in enumerate(TEMPLATES) for n, p in enumerate(phrases) for j, w in enumerate(p.split())]
 _BASE = [(n, label, len(p.split()), j, w) for n, (p, label) in enumerate(BASE_PHRASES.items()) for j, w in enumerate(p.split())]
 SQL = rf"""
 WITH {_rows("notice", "t, label, i, w", _NOTICES)}, {_rows("mandatory", "t, ph, len, j, w", _MANDATORY)}, {_rows("base", "ph, label, len, j, w", _BASE)},

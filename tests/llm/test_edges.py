@@ -32,6 +32,7 @@ def test_quality_rules(spark, docs):
 def test_license_scan(spark, docs):
     rows = license_scan.scan(docs).collect()
     assert len(rows) == N and all(0 <= r["score"] <= 1 and r["labels"] == "" for r in rows)
+    assert rows[0]["row"].asDict().keys() == set(docs.columns) and next(r for r in rows if r["row"]["doc_id"] == 4)["n_words"] == 60_000
     assert license_scan.scan(H.empty(spark)).count() == 0
 
 

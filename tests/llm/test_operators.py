@@ -40,6 +40,20 @@ def test_op2_matches_brute_force(spark, documents):
     assert index.scan("Released under the MIT License.")[5:] == ("mit", 1.0)
 
 
+def test_op2_full_notices_and_their_parts():
+    index = license_scan.PositionalIndex()
+    for label, notice, phrases in license_scan.TEMPLATES:
+        if any(" ".join(w.decode() for w in license_scan.words_of(p)) in " ".join(w.decode() for w in license_scan.words_of(notice)) for p in phrases):
+            found = index.scan(f"some words before it {notice} and after it")
+            assert label in found[5].split(",") and found[6] == 1.0
+    mit = next(t[1] for t in license_scan.TEMPLATES if t[0] == "mit" and len(t[1]) > 100)
+    changed = mit.replace("copies", "samples").replace("publish", "print")
+    label, score = index.scan(changed)[5:]
+    assert label == "mit" and 0.85 < score < 1  # words at the same alignment still count
+    shuffled = "a copy " + " ".join(reversed(mit.split()))
+    assert index.scan(shuffled)[5:] == ("", 0.0)  # all the words, none of the phrases
+
+
 def test_op3_keeps_groups_together(spark, documents):
     rows = spark.createDataFrame(documents[["doc_id", "text"]])
     out = sharding.shard_documents(rows).toPandas().merge(documents, on="doc_id")
