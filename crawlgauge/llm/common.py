@@ -53,7 +53,11 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
 
 
 def doc_key() -> Column:
-    """64-bit identity of a document: rows equal in doc_id and text are the same document. Never null."""
+    """64-bit identity of a document among those of its doc_id: rows equal in doc_id and text are the same document. Never null.
+
+    Joins on it that remove something also compare order_of_id(), so that documents of
+    different doc_id are never taken for one another.
+    """
     return F.xxhash64("doc_id", "text")
 
 

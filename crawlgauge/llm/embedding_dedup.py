@@ -10,11 +10,14 @@ them, the trees' splits are followed, and the share of pairs that a tree keeps t
 gives the number that keeps a share of RECALL, so large and narrow labels get more. In a leaf all
 points are compared; each point sends a link to the least point of its group there. The
 links of all trees are united to components, and the links of a component's points are
-then counted exactly in blocks, so a group of g close points costs g links, not g * g rows.
+then counted exactly in blocks: a group of g close points costs g links, and g / BLOCK + 1
+copies of each of its vectors for the count, which compares all its pairs.
 
 Edge cases: a vector that is null, empty, zero, or holds null or non-finite components
 links with nothing, as does a null label or vectors of other length; rows of equal vec_id
-are points of their own that share the id; an empty table gives an empty result.
+are points of their own that share the id; exactly parallel vectors that differ are points
+of their own too; columns other than vec_id, embedding and label are left out, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ TREES, NODE_MOST, LEAF_MOST, SPILL, SEED = 10, 20_000, 2048, 0.05, 7
 #: Share of pairs that a label's trees should bring together; points and trees that are followed to learn how many that takes.
 RECALL, SAMPLE, FOLLOWED = 0.99, 4000, 16
 #: Points of a component compared at once when links are counted.
-BLOCK, BROADCAST_POINTS = 1024, 500_000
+BLOCK, BROADCAST_POINTS = 4096, 500_000
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -210,11 +213,16 @@ def count_links(members: DataFrame, cosine: float = COSINE) -> DataFrame:
     def count(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("point", ignore_index=True)
         x, copies = unit(group["v"]), group["copies"].to_numpy()
-        near = (x @ x.T) >= cosine
-        np.fill_diagonal(near, False)
-        if group["i"].iloc[0] != group["j"].iloc[0]:  # two blocks: only across them
-            near &= group["mine"].to_numpy()[:, None] != group["mine"].to_numpy()[None, :]
-        return pd.DataFrame({"point": group["point"], "linked": near @ copies})
+        mine, across = group["mine"].to_numpy(), group["i"].iloc[0] != group["j"].iloc[0]  # of two blocks only pairs across them
+        linked = np.zeros(len(x), dtype=np.int64)
+        for start in range(0, len(x), 256):
+            near = (x[start : start + 256] @ x.T) >= cosine
+            rows = np.arange(len(near))
+            near[rows, start + rows] = False
+            if across:
+                near &= mine[start : start + 256, None] != mine[None, :]
+            linked[start : start + 256] = near @ copies
+        return pd.DataFrame({"point": group["point"], "linked": linked})
 
     return dealt.groupBy("component", "i", "j").applyInPandas(count, "point long, linked long").groupBy("point").agg(F.sum("linked").alias("linked"))
 

@@ -59,7 +59,7 @@ def _runs(rows: DataFrame, at, run: int, *keep: str) -> DataFrame:
 
 
 def later_runs(prints: DataFrame, run: int = RUN) -> DataFrame:
-    """(k, start) of the runs that also start earlier. prints: a stored table of fingerprints()."""
+    """(k, ord, start) of the runs that also start earlier. prints: a stored table of fingerprints()."""
     place = F.struct("ord", "k", "at")
     again = prints.groupBy("fp").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.count("*").alias("n")).where("one <> other")
     met = stored(join_heads(prints, stored(again.select("fp", "n")), ["fp"], "left_semi"))
@@ -68,21 +68,21 @@ def later_runs(prints: DataFrame, run: int = RUN) -> DataFrame:
     runs = stored(_runs(entries, F.col("first.at"), run, "first").select("lines", F.struct("first.ord", "first.k", "start").alias("place")))
     earliest = runs.groupBy("lines").agg(F.min("place").alias("earliest"), F.max("place").alias("latest"), F.count("*").alias("n")).where("earliest <> latest")
     moved = join_heads(runs, stored(earliest.select("lines", "earliest", "n")), ["lines"]).where(F.col("place") > F.col("earliest"))
-    return moved.select("place.k", "place.start").unionByName(_runs(copies, F.col("at"), run, "k").select("k", "start"))
+    return moved.select("place.k", "place.ord", "place.start").unionByName(_runs(copies, F.col("at"), run, "k", "ord").select("k", "ord", "start"))
 
 
 def removed_lines(docs: DataFrame, text: str = "text", run: int = RUN) -> DataFrame:
-    """(k, at): by document key the numbers, from 0, of the lines that go; only documents that lose lines."""
+    """(k, ord, at): by document the numbers, from 0, of the lines that go; only documents that lose lines."""
     lines = docs.select(doc_key().alias("k"), order_of_id().alias("ord"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("lines")).where(F.size("lines") >= run)
     later = later_runs(stored(fingerprints(lines, run)), run)
-    return later.select("k", F.explode(F.sequence(F.col("start"), F.col("start") + (run - 1))).alias("line")).groupBy("k").agg(F.collect_set("line").alias("at"))
+    return later.select("k", "ord", F.explode(F.sequence(F.col("start"), F.col("start") + (run - 1))).alias("line")).groupBy("k", "ord").agg(F.collect_set("line").alias("at"))
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """row (docs' columns), text (without the removed lines), n_lines, n_removed."""
     gone = stored(removed_lines(docs.select("doc_id", "text"), run=run))
     gone = broadcast_bytes_up_to(gone, gone.agg(F.sum(F.size("at") * 8 + 64)).first()[0] or 0)
-    rows = docs.select(F.struct("*").alias("row"), doc_key().alias("k")).join(gone, "k", "left")
+    rows = docs.select(F.struct("*").alias("row"), doc_key().alias("k"), order_of_id().alias("ord")).join(gone, ["k", "ord"], "left")
     lines = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "at"), lambda i: F.get("lines", i))
     return rows.withColumn("lines", F.when(F.col("at").isNotNull(), lines)).select(

@@ -11,7 +11,9 @@ then words of many shingles first. Sets near the next band's sizes send words to
 A set with too few words that hold a shingle sends its empty words as well.
 
 Documents that share a word are candidates: first each with the least of the word's group,
-then, across what is not yet connected, all others of the group in blocks. Candidates must
+then, across what is not yet connected, the others of the group in blocks: those outside
+the group's largest component with one another and with that component, which is never
+compared within. Candidates must
 pass the size ratio and a second, 1024-bit parity sketch, whose Hamming distance is a lower
 bound of the difference too; what remains is verified on the whole texts' shingle sets.
 
@@ -29,16 +31,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import broadcast_up_to, doc_key, frugal, small_batches, stored, table
+from .common import broadcast_up_to, doc_key, frugal, join_heads, small_batches, stored, table
 from .components import components
 
 SHINGLE, SKETCH_BITS = 5, 1024
 #: One document in HOT_SAMPLE shows which words are frequent: those in HOT_LEAST sampled sets, HOT_MOST words at most.
 HOT_SAMPLE, HOT_LEAST, HOT_MOST = 16, 12, 300_000
-#: Members of a word's group compared at once; rows up to which node lists are broadcast.
-BLOCK, BROADCAST_NODES = 256, 500_000
+#: Members of a word's group compared at once; rows up to which node lists are broadcast; links below which a round of nearest pairs is the last.
+BLOCK, BROADCAST_NODES, FEW_LINKS = 256, 500_000, 1000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -200,13 +201,18 @@ def rest_of_groups(shared: DataFrame, comps: DataFrame, nodes: DataFrame, neares
     large groups at a row a component; else every near pair across components is sent.
     """
     now = shared.join(comps, shared["ident"] == comps["id"], "left").select("key", "ident", "pivot", F.coalesce("component", "ident").alias("comp"))
-    spans = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2").select("key", "members")
-    rows = now.where("ident <> pivot").join(spans, "key").join(nodes.select("ident", "n", "sketch"), "ident")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("ident"), F.col("blocks")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "ident", "comp", "n", "sketch"
-    )
+    sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    groups = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("bulk"), F.max("c").alias("held"), F.sum("c").alias("n")).where("held < n and n > 2")
+    groups = stored(groups)
+    others, bulk = F.ceil((F.col("g.n") - F.col("held")) / BLOCK).cast("int"), F.ceil(F.col("held") / BLOCK).cast("int")
+    rows = join_heads(now.where("ident <> pivot"), groups.select("key", "n", F.struct("n", "held", "bulk").alias("g")), ["key"]).drop("n")
+    rows = rows.select("key", "ident", "comp", "g", F.col("g.held").alias("held")).join(nodes.select("ident", "n", "sketch"), "ident")
+    # blocks 0 to others - 1 hold the members outside the largest component, the next ones that component
+    inside = F.col("comp") == F.col("g.bulk")
+    mine = F.when(inside, others + F.pmod(F.xxhash64("ident"), bulk)).otherwise(F.pmod(F.xxhash64("ident"), others)).cast("int")
+    to = F.when(inside, others).otherwise(others + bulk)
+    rows = rows.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), to - 1))})
+    dealt = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "ident", "comp", "n", "sketch")
 
     def compare(group: pd.DataFrame) -> np.ndarray:
         ident, comp, n = (group[c].to_numpy() for c in ("ident", "comp", "n"))
@@ -263,21 +269,25 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = stored(features(docs, frequent_words(docs)))
     sent = found.where("keys is not null")
-    of_key = Window.partitionBy("key")
     words = sent.select("ident", F.explode("keys").alias("key"))
-    shared = words.withColumns({"pivot": F.min("ident").over(of_key), "top": F.max("ident").over(of_key)}).where("pivot <> top")
-    shared = stored(shared.select("key", "ident", "pivot").distinct())
+    groups = words.groupBy("key").agg(F.min("ident").alias("pivot"), F.max("ident").alias("top"), F.count("*").alias("n")).where("pivot <> top")
+    shared = stored(join_heads(words, stored(groups.select("key", "pivot", "n")), ["key"]).select("key", "ident", "pivot").distinct())
     idents = shared.select("ident").distinct()
     nodes = sent.join(idents, "ident", "left_semi").groupBy("ident").agg(F.min_by(F.struct("n", "sketch", "k"), "k").alias("s"))
     nodes = stored(nodes.select("ident", "s.n", "s.sketch", "s.k"))
     links = verify(shared.where("ident <> pivot").select(F.col("pivot").alias("a"), F.col("ident").alias("b")).distinct(), nodes, docs)
     comps = stored(components(links))
     # connect what is near first, so that the last round, which tries every near pair, has few left
-    for nearest in (True, True, False):
+    nearest = True
+    while True:
         more = verify(rest_of_groups(shared, comps, nodes, nearest), nodes, docs)
-        if more.limit(1).count():
+        new = more.count()
+        if new:
             links = stored(links.union(more))
             comps = stored(components(links))
+        if not nearest:
+            break
+        nearest = new >= FEW_LINKS
     comps = broadcast_up_to(comps, BROADCAST_NODES)
     members = found.select("doc_id", "k", F.col("n").alias("n_shingles"), "ident")
     return members.join(comps, members["ident"] == comps["id"], "left").select(

@@ -10,8 +10,10 @@ maximum falls below zero, its gradient is taken back instead. Both samples are b
 
 Scores use the text alone. Edge cases: a null text is an empty one and is scored; null or
 missing labels teach nothing; several labels of one document count as one; a null doc_id
-is never held out; without a positive every score is 0.5; an empty table gives an empty
-result.
+is never held out; repeated rows are scored each and alike; very long texts are measured
+whole; a score of exactly 0.5 predicts 1; without a positive every score is 0.5; with fewer
+than 20 positives or unlabelled texts the prior cannot be estimated and is 0.5, and an
+estimate outside 0.05 to 0.98 is taken as that bound; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import frugal, small_batches, table
 from .quality_rules import measure
 
-#: Texts that the driver learns from, at most (in expectation): the documented bound of the training sample.
+#: Texts that the driver learns from, at most: the documented bound of the training sample.
 POSITIVES, UNLABELLED = 8_000, 16_000
 FOLDS, HELD_OUT, SEED = 3, 1, 11
 HIDDEN, EPOCHS, BATCH, RATE = 24, 60, 512, 0.005
@@ -132,23 +134,29 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(tail_u[best] / tail_p[best], 0.05, 0.98))
 
 
+def _drawn(*by: str) -> Column:
+    """A number from 0 to 2**30 - 1, the same each time."""
+    return F.pmod(F.xxhash64(*by, F.lit(SEED)), F.lit(1 << 30))
+
+
 def _sampled(df: DataFrame, most: int, total: int, *by: str) -> DataFrame:
-    """About most rows of total, by a hash: the same rows each time."""
-    return df.where(F.pmod(F.xxhash64(*by, F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(total, 1))))
+    """About most rows of total, or a few more, by a hash."""
+    return df.where(_drawn(*by) < int((1 << 30) * min(1.0, 1.1 * most / max(total, 1))))
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def _matrix(docs: DataFrame) -> np.ndarray:
-    """Features of the sampled texts, gathered at the driver (bounded by POSITIVES and UNLABELLED)."""
+def _matrix(docs: DataFrame, most: int) -> np.ndarray:
+    """Features of most sampled texts, those of least hash, gathered at the driver."""
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"x": [featurize(t).astype(np.float32) for t in batch["text"]]})
+            yield pd.DataFrame({"drawn": batch["drawn"], "x": [featurize(t).astype(np.float32) for t in batch["text"]]})
 
-    rows = docs.select("text").mapInPandas(frugal(features), "x array<float>").toPandas()["x"]
+    rows = docs.select(_drawn("doc_id", "text").alias("drawn"), "text").mapInPandas(frugal(features), "drawn long, x array<float>")
+    rows = rows.orderBy("drawn").limit(most).toPandas()["x"]
     return np.stack(rows.to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, WIDTH))
 
 
@@ -158,9 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     learn = fold(F.col("doc_id")) != HELD_OUT
     trusted = labels.where("quality = 1").where(learn).select("doc_id").distinct()
     chosen = _sampled(trusted, positives, trusted.count(), "doc_id")  # bounded by `positives`, hence broadcast
-    pos = _matrix(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    pos = _matrix(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), positives)
     others = docs.where(learn)
-    unl = _matrix(_sampled(others, unlabelled, others.select("doc_id").count(), "doc_id"))
+    unl = _matrix(_sampled(others, unlabelled, others.select("doc_id").count(), "doc_id", "text"), unlabelled)
     if not len(pos) or not len(unl):
         return None, 0.5
     prior = estimate_prior(pos, unl)

@@ -7,7 +7,8 @@ that rule. A document goes if it fails a base rule, or fails a rule that its hos
 flagged for. A document that fails no rule always stays.
 
 Edge cases: a null or blank text has no words and fails the base rules; a null host
-counts as one host of its own; repeated rows are counted and judged each; an empty table
+counts as one host of its own; very long texts are measured whole; a host whose rate equals
+the limit is not flagged; repeated rows are counted and judged each; an empty table
 gives an empty result; other columns of the input are carried along whatever their names.
 """
 

@@ -15,9 +15,13 @@ counts differ by one at most (law ``rows``).
 Numbers and ranks come from counts by hash bucket plus a place within the bucket, so no
 task sorts a shard as a whole.
 
+ROUNDS bounds the rounds: what has not settled by then stays where it is, and counts are
+exact all the same.
+
 Edge cases: a null text has size 1 and links with nothing; a null doc_id is placed like any
 other; rows equal in all columns are placed one by one; an empty table gives an empty
-result; other columns are left out.
+result; very long texts are only hashed and measured; of equal proposals a hash decides;
+other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import stored, table
+from .common import join_heads, stored, table
 
 SHARDS, ROUNDS = 8, 8
 #: Rows that a numbering bucket should hold, and buckets of one gain among the proposals to a shard.
@@ -103,7 +107,7 @@ def propagate(links: DataFrame, state: DataFrame, quota: list[int], rounds: int
         wish = moving.join(best, moving["v"] == best["a"]).where("to <> shard")
         wish = wish.withColumn("gain", F.col("most") - F.coalesce(F.element_at("by", F.col("shard")), F.lit(0))).where("gain > 0")
         bucket = F.pmod(F.xxhash64("hub", F.lit(r)), F.lit(GAIN_BUCKETS))
-        wish = stored(wish.select("v", "shard", "to", "hub", F.least("gain", F.lit(1000)).alias("gain"), bucket.alias("bucket")))
+        wish = stored(wish.select("v", "shard", "to", "hub", "gain", bucket.alias("bucket")))
         held = {x["shard"]: x["n"] for x in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
         room = [max(0, quota[s] - held.get(s, 0)) for s in range(shards)]
         wishes = {(x["shard"], x["to"]): x["n"] for x in wish.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}  # one row a pair of shards
@@ -116,7 +120,7 @@ def propagate(links: DataFrame, state: DataFrame, quota: list[int], rounds: int
         quiet = 0
         met = F.create_map(*[x for (a, b), n in met.items() for x in (F.lit(a * shards + b), F.lit(n))])
         group = ["shard", "to", "gain", "bucket"]
-        counts = wish.groupBy(*group).agg(F.count("*").alias("n"))  # at most shards**2 * 1000 * GAIN_BUCKETS rows, and fewer than wishes
+        counts = wish.groupBy(*group).agg(F.count("*").alias("n"))  # fewer rows than wishes
         upto = Window.partitionBy("shard", "to").orderBy(F.desc("gain"), "bucket")
         left = F.coalesce(F.element_at(met, F.col("shard") * shards + F.col("to")), F.lit(0)) - (F.sum("n").over(upto) - F.col("n"))
         granted = stored(counts.withColumn("take", left).where("take > 0"))
@@ -158,8 +162,8 @@ def shard_documents(docs: DataFrame, links: DataFrame | None = None, shards: int
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     if links is None:
         same = numbered_rows.where("same is not null")
-        hub = same.groupBy("same").agg(F.min("v").alias("hub"), F.count("*").alias("n")).where("n > 1").select("same", "hub")
-        links = same.join(hub, "same").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b"))
+        hub = stored(same.groupBy("same").agg(F.min("v").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+        links = join_heads(same, hub, ["same"]).where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b"))
     links = stored(links)
     ends = links.select(F.col("a").alias("v"), F.least("a", "b").alias("hub")).union(links.select("b", F.least("a", "b")))
     linked = stored(ends.groupBy("v").agg(F.min("hub").alias("hub")))

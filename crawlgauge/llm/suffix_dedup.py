@@ -191,16 +191,16 @@ def anchor_rows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
 
 def _later_in_shard(shard: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Spans (k, lo, hi) of a shard's contexts that repeat an earlier one's strings."""
+    """Spans (k, ord, lo, hi) of a shard's contexts that repeat an earlier one's strings."""
     shard = shard.sort_values(["ord", "k", "lo"], ignore_index=True)
     data = np.frombuffer(END.join([*shard["bytes"], b""]), dtype=np.uint8)
     sizes = shard["bytes"].map(len).to_numpy().astype(np.int32)
-    k, at = shard["k"].to_numpy(), shard["lo"].to_numpy()
+    ord_, k, at = shard["ord"].to_numpy(), shard["k"].to_numpy(), shard["lo"].to_numpy()
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     sa = suffix_array(data)
     shared = common_prefixes(data, sa)
     # contexts are in document order, so (document, place) orders strings, those of overlapping contexts too
-    doc = np.cumsum(np.concatenate(([True], k[1:] != k[:-1])))
+    doc = np.cumsum(np.concatenate(([True], (k[1:] != k[:-1]) | (ord_[1:] != ord_[:-1]))))
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
     place = np.arange(len(data)) - starts[owner]
     whole = place + length <= sizes[owner]  # the suffix holds a string of its own context
@@ -211,10 +211,10 @@ def _later_in_shard(shard: pd.DataFrame, length: int) -> pd.DataFrame:
     late = sa[whole[sa] & (in_order > first)].astype(np.int64)
     late.sort()
     if not len(late):
-        return pd.DataFrame({"k": np.zeros(0, np.int64), "lo": np.zeros(0, np.int64), "hi": np.zeros(0, np.int64)})
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("k", "ord", "lo", "hi")})
     new = np.concatenate(([True], (late[1:] != late[:-1] + 1) | (owner[late[1:]] != owner[late[:-1]])))
     head, tail = late[new], late[np.append(np.flatnonzero(new)[1:] - 1, len(late) - 1)]
-    return pd.DataFrame({"k": k[owner[head]], "lo": at[owner[head]] + place[head], "hi": at[owner[tail]] + place[tail] + length})
+    return pd.DataFrame({"k": k[owner[head]], "ord": ord_[owner[head]], "lo": at[owner[head]] + place[head], "hi": at[owner[tail]] + place[tail] + length})
 
 
 def _later_and_release(shard: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -235,7 +235,7 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     merged.append(dict(c))
             out.append(merged)
-        yield pd.DataFrame({"k": batch["k"], "at": out})
+        yield pd.DataFrame({"k": batch["k"], "ord": batch["ord"], "at": out})
 
 
 def _halves(rows: DataFrame, low: int, high: int, length: int) -> DataFrame:
@@ -248,7 +248,7 @@ def _halves(rows: DataFrame, low: int, high: int, length: int) -> DataFrame:
 
 
 def told_apart(rows: DataFrame, most: int, length: int, gram: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Of contexts of crowded anchors: (k, lo, hi) spans that repeat another whole, and entries (k, ord, lo, bytes, core, low) of cores with 2 to most contexts."""
+    """Of contexts of crowded anchors: (k, ord, lo, hi) spans that repeat another whole, and entries (k, ord, lo, bytes, core, low) of cores with 2 to most contexts."""
     spans, entries = [], []
     ranges = [(0, length - gram)]
     while ranges and rows.limit(1).count():
@@ -265,7 +265,7 @@ def told_apart(rows: DataFrame, most: int, length: int, gram: int) -> tuple[list
         spot = F.struct("ord", "k", "lo", "at")
         first = stored(seen.groupBy("low", "core", "bytes").agg(F.min(spot).alias("first"), F.count("*").alias("n")))
         again = join_heads(seen, first.where("n > 1"), ["low", "core", "bytes"]).where(spot > F.col("first"))
-        spans.append(again.select("k", "lo", (F.col("lo") + F.octet_length("bytes")).alias("hi")))
+        spans.append(again.select("k", "ord", "lo", (F.col("lo") + F.octet_length("bytes")).alias("hi")))
         cores = stored(first.groupBy("low", "core").agg(F.count("*").alias("n")).where("n > 1"))
         mixed = join_heads(first.select("low", "core", "bytes", "first"), cores, ["low", "core"])
         entry = mixed.select("first.k", "first.ord", "first.lo", "first.at", "bytes", "low", "core", "n")
@@ -276,7 +276,7 @@ def told_apart(rows: DataFrame, most: int, length: int, gram: int) -> tuple[list
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, anchor_most: int = ANCHOR_MOST) -> DataFrame:
-    """Stored (k, spans): by document key the removed runs as [start, end, start, end, ...], only of documents that lose bytes."""
+    """Stored (k, ord, spans): by document the removed runs as [start, end, start, end, ...], only of documents that lose bytes."""
     texts = docs.select(doc_key().alias("k"), order_of_id().alias("ord"), "text")
     rows = anchor_rows(texts, length, gram)
     # recurring anchors: rows of unknown anchors meet by anchor, all others are dealt out
@@ -301,14 +301,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, anch
     calm = calm.select("anchor", "n", F.pmod(F.xxhash64("leader.k", block, "part"), F.lit(shards)).alias("shard"))
     crowded = several.where(F.col("n") > anchor_most).select("anchor", "n", F.lit(TOLD_APART).cast("long").alias("shard"))
     mixed = join_heads(first.select("anchor", "first"), stored(calm.unionByName(crowded)), ["anchor"])
-    mixed = mixed.groupBy("first.k").agg(F.collect_list(F.struct("shard", "first.ord", "first.lo", "first.at", "first.hi")).alias("at"))  # a document's own anchors
-    mixed = stored(mixed.mapInPandas(frugal(_stretches), "k long, at array<struct<shard:long,ord:long,lo:long,at:long,hi:long>>"))
+    mixed = mixed.groupBy("first.k", "first.ord").agg(F.collect_list(F.struct("shard", "first.lo", "first.at", "first.hi")).alias("at"))  # a document's own anchors
+    mixed = stored(mixed.mapInPandas(frugal(_stretches), "k long, ord long, at array<struct<shard:long,lo:long,at:long,hi:long>>"))
     size = mixed.agg(F.sum(F.size("at") * 64 + 64)).first()[0] or 0  # bytes of a list's struct and row
-    fetched = texts.select("k", "text").join(broadcast_bytes_up_to(mixed, size), "k")
-    parts = fetched.select("k", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"), F.explode("at").alias("c")).select(
-        "k", "c.shard", "c.ord", "c.lo", "c.at", F.substring("b", (F.col("c.lo") + 1).cast("int"), (F.col("c.hi") - F.col("c.lo")).cast("int")).alias("bytes")
+    fetched = texts.join(broadcast_bytes_up_to(mixed, size), ["k", "ord"])
+    parts = fetched.select("k", "ord", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"), F.explode("at").alias("c")).select(
+        "k", "ord", "c.shard", "c.lo", "c.at", F.substring("b", (F.col("c.lo") + 1).cast("int"), (F.col("c.hi") - F.col("c.lo")).cast("int")).alias("bytes")
     )
-    parts = stored(parts.dropDuplicates(["k", "shard", "lo", "at"]))
+    parts = stored(parts.dropDuplicates(["k", "ord", "shard", "lo", "at"]))
     equal, entries = told_apart(parts.where(F.col("shard") == TOLD_APART).drop("shard"), anchor_most, length, gram)
     tasks = shards
     shard_parts = parts.where(F.col("shard") != TOLD_APART).select("shard", "ord", "k", "lo", "bytes")
@@ -321,11 +321,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, anch
         more, tasks = F.pmod(F.xxhash64("low", "core"), F.lit(further)) + shards, shards + further
         shard_parts = shard_parts.unionByName(apart.select(more.alias("shard"), "ord", "k", "lo", "bytes"))
     # shards are small in bytes and long to sort, so tasks follow their number
-    sorted_ = shard_parts.repartition(min(tasks, MOST_TASKS), "shard").groupBy("shard").applyInPandas(lambda pdf: _later_and_release(pdf, length), "k long, lo long, hi long")
-    spans = seen.where(F.col("kind") == SPAN).select("k", "lo", "hi").unionByName(whole.select("k", "lo", "hi")).unionByName(sorted_)
+    sorted_ = shard_parts.repartition(min(tasks, MOST_TASKS), "shard").groupBy("shard").applyInPandas(lambda pdf: _later_and_release(pdf, length), "k long, ord long, lo long, hi long")
+    spans = seen.where(F.col("kind") == SPAN).select("k", "ord", "lo", "hi").unionByName(whole.select("k", "ord", "lo", "hi")).unionByName(sorted_)
     for more in equal:
         spans = spans.unionByName(more)
-    lists = spans.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # a document's own spans
+    lists = spans.groupBy("k", "ord").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # a document's own spans
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -338,9 +338,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, anch
                     else:
                         out += [lo, hi]
                 merged.append(out)
-            yield pd.DataFrame({"k": batch["k"], "spans": merged})
+            yield pd.DataFrame({"k": batch["k"], "ord": batch["ord"], "spans": merged})
 
-    return stored(lists.mapInPandas(frugal(merge), "k long, spans array<long>"))
+    return stored(lists.mapInPandas(frugal(merge), "k long, ord long, spans array<long>"))
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -362,7 +362,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(b"".join([*kept, b[done:]]))
         return pd.Series(out, dtype=object)
 
-    rows = docs.select(F.struct("*").alias("row"), doc_key().alias("k")).join(spans, "k", "left")
+    rows = docs.select(F.struct("*").alias("row"), doc_key().alias("k"), order_of_id().alias("ord")).join(spans, ["k", "ord"], "left")
     whole = F.encode(F.coalesce("row.text", F.lit("")), "UTF-8")
     rows = rows.withColumn("kept", F.coalesce(cut(F.when(F.col("spans").isNotNull(), F.col("row.text")), F.col("spans")), whole))
     n = F.octet_length(F.coalesce("row.text", F.lit(""))).cast("long")
