@@ -204,33 +204,39 @@ def rest_of_groups(shared: DataFrame, comps: DataFrame, nodes: DataFrame, neares
     sizes = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
     groups = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("bulk"), F.max("c").alias("held"), F.sum("c").alias("n")).where("held < n and n > 2")
     groups = stored(groups)
-    others, bulk = F.ceil((F.col("g.n") - F.col("held")) / BLOCK).cast("int"), F.ceil(F.col("held") / BLOCK).cast("int")
+    one = F.col("g.n") <= BLOCK
+    others = F.when(one, 1).otherwise(F.ceil((F.col("g.n") - F.col("held")) / BLOCK)).cast("int")
+    bulk = F.when(one, 0).otherwise(F.ceil(F.col("held") / BLOCK)).cast("int")
     rows = join_heads(now.where("ident <> pivot"), groups.select("key", "n", F.struct("n", "held", "bulk").alias("g")), ["key"]).drop("n")
     rows = rows.select("key", "ident", "comp", "g", F.col("g.held").alias("held")).join(nodes.select("ident", "n", "sketch"), "ident")
-    # blocks 0 to others - 1 hold the members outside the largest component, the next ones that component
-    inside = F.col("comp") == F.col("g.bulk")
+    # a group that fits is one block; else blocks 0 to others - 1 hold the members outside the largest component, the next ones that component
+    inside = ~one & (F.col("comp") == F.col("g.bulk"))
     mine = F.when(inside, others + F.pmod(F.xxhash64("ident"), bulk)).otherwise(F.pmod(F.xxhash64("ident"), others)).cast("int")
     to = F.when(inside, others).otherwise(others + bulk)
     rows = rows.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), to - 1))})
-    dealt = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "ident", "comp", "n", "sketch")
+    dealt = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "ident", "comp", "n", "sketch")
 
     def compare(group: pd.DataFrame) -> np.ndarray:
-        ident, comp, n = (group[c].to_numpy() for c in ("ident", "comp", "n"))
+        ident, comp, n, mine = (group[c].to_numpy() for c in ("ident", "comp", "n", "mine"))
         if len(ident) < 2 or (comp == comp[0]).all():
             return np.zeros((0, 2), dtype=np.int64)
         sketch = np.stack(group["sketch"].to_numpy())
         found = []
-        for r in range(len(ident) - 1):
-            at = np.flatnonzero((comp[r + 1 :] != comp[r]) & (5 * np.minimum(n[r + 1 :], n[r]) >= 4 * np.maximum(n[r + 1 :], n[r]))) + r + 1
-            if len(at):
-                apart = np.bitwise_count(sketch[at] ^ sketch[r]).sum(axis=1, dtype=np.int64)
-                able = 9 * apart <= n[at] + n[r]
-                if able.any():
-                    found.append(np.column_stack((np.full(int(able.sum()), r), at[able], apart[able])))
+        across = group["i"].iloc[0] != group["j"].iloc[0]  # of two blocks only pairs across them: each meets itself elsewhere
+        for start in range(0, len(ident) - 1, 64):
+            rows = slice(start, start + 64)
+            able = (comp[rows, None] != comp[None, start:]) & (5 * np.minimum(n[rows, None], n[None, start:]) >= 4 * np.maximum(n[rows, None], n[None, start:]))
+            if across:
+                able &= mine[rows, None] != mine[None, start:]
+            a, b = (x + start for x in np.nonzero(np.triu(able, 1)))
+            if len(a):
+                apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+                near = 9 * apart <= n[a] + n[b]
+                found.append(np.column_stack((a[near], b[near], apart[near])))
         if not found:
             return np.zeros((0, 2), dtype=np.int64)
         near = np.concatenate(found)
-        if nearest:
+        if nearest and len(near):
             near = near[np.argsort(near[:, 2], kind="stable")]
             both = np.concatenate((comp[near[:, 0]], comp[near[:, 1]]))
             first = np.unique(both, return_index=True)[1]
