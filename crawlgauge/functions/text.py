@@ -51,7 +51,7 @@ def sentence_count(collapsed: Column) -> Column:
 
 _VOWELS = "aeiouyáéíóúü"
 #: A word of two or more vowel groups whose last letter is an e that is not heard.
-_SILENT = rf"(?<![^ ])(?=[^ ]*[{_VOWELS}][^ {_VOWELS}]+[^ ]*[{_VOWELS}])[^ ]*[^aeiouy ]e(?![^ ])"
+_SILENT = rf"(?<![^ ])[^ {_VOWELS}]*+(?:[{_VOWELS}]++[^ {_VOWELS}]++)++(?:[{_VOWELS}]*[áéíóúü])?e(?![^ ])"
 
 
 def syllables(words: Column) -> Column:

@@ -87,7 +87,7 @@ NOT_PUBLIC = [
     for n in (
         "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
         "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
-        "::/128", "::1/128", "64:ff9b::/96", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10", "ff00::/8",
+        "::/128", "::1/128", "::/96", "64:ff9b::/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10", "fec0::/10", "ff00::/8",
     )
 ]
 
@@ -118,12 +118,12 @@ def private_host(name: str | None) -> bool | None:
     if name is None:
         return None
     name = name.strip().lower().strip("[]").rstrip(".")
-    if name == "localhost" or name.endswith((".localhost", ".local", ".internal", ".lan", ".home.arpa")) or not name:
+    if name == "localhost" or name.endswith((".localhost", ".local", ".internal", ".home.arpa")) or not name:
         return True
     try:
         address = _ipv4(name) or ipaddress.ip_address(name.split("%")[0])
     except ValueError:
-        return "." not in name
+        return False
     mapped = getattr(address, "ipv4_mapped", None)
     address = mapped or address
     return any(address in n for n in NOT_PUBLIC if n.version == address.version)

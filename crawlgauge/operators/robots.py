@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from . import nodes as N
 
-READ_BYTES = 512_000
+READ_BYTES, WARNINGS = 512_000, 100
+#: Statuses of a file that is not there.
+ABSENT = (404, 410)
 RULES = ("allow", "disallow")
 CLOSING = (*RULES, "crawl-delay", "host", "clean-param", "noindex")
 
 
 def lines(robots: DataFrame) -> DataFrame:
     """(origin, line, field, value) of each line with a field, of robots(origin, status, body)."""
-    body = F.substring(F.coalesce("body", F.lit("")), 1, READ_BYTES)
-    each = robots.select("origin", F.posexplode(F.split(body, r"\r\n|\r|\n", -1)).alias("line", "raw"))
+    body = F.make_valid_utf8(F.substring(F.coalesce("body", F.lit("")).cast("binary"), 1, READ_BYTES).cast("string"))
+    there = robots.where(~F.coalesce(F.col("status").isin(*ABSENT), F.lit(False)))
+    each = there.select("origin", F.posexplode(F.split(body, r"\r\n|\r|\n", -1)).alias("line", "raw"))
     bare = each.withColumn("bare", F.trim(F.regexp_replace("raw", "#.*$", "")))
     colon = F.instr("bare", ":")
     return bare.where(F.col("bare") != "").select(
@@ -93,17 +97,16 @@ def verdicts(asked: DataFrame, robots: DataFrame) -> DataFrame:
     An agent is judged by the rules of all groups that name it, else by those of ``*``: the
     longest matching pattern wins, on a tie allow, then the first. A server error denies all.
     """
-    known = rules(robots)
+    # rules of an agent are one array, folded in each asked row: no row is multiplied or grouped, so repeated rows stay
+    sets = rules(robots).groupBy("origin", "agent").agg(F.collect_list(F.when(F.col("type").isNotNull() & (F.col("path") != ""), F.struct("type", "path", "ordinal"))).alias("rules"))
+    named = sets.select(F.col("origin").alias("a_origin"), F.col("agent").alias("known_agent"), F.col("rules").alias("own_rules"))
+    star = sets.where("agent = '*'").select(F.col("origin").alias("star_origin"), F.col("agent").alias("star"), F.col("rules").alias("star_rules"))
     # only the asked row as a struct enters the joins, so its columns may have any names
     base = asked.select(F.struct("*").alias("_row")).join(robots.select(F.col("origin").alias("s_origin"), "status"), F.col("_row.origin") == F.col("s_origin"), "left")
-    agents = known.select(F.col("origin").alias("a_origin"), F.col("agent").alias("known_agent")).distinct()
-    named = base.join(agents, (F.col("_row.origin") == F.col("a_origin")) & (F.lower("_row.agent") == F.col("known_agent")), "left")
-    star = known.where("agent = '*'").select(F.col("origin").alias("star_origin"), F.lit("*").alias("star")).distinct()
-    chosen = named.join(star, F.col("_row.origin") == F.col("star_origin"), "left").withColumn("matched_agent", F.coalesce("known_agent", "star"))
-    r = known.where("type is not null and path <> ''").select(F.col("origin").alias("r_origin"), F.col("agent").alias("r_agent"), F.col("ordinal").alias("r_ordinal"), "type", F.col("path").alias("pattern"))
-    joined = chosen.join(r, (F.col("_row.origin") == F.col("r_origin")) & (F.col("matched_agent") == F.col("r_agent")), "left")
-    hit = F.when(matches(F.col("pattern"), F.col("_row.path")), F.struct(F.length("pattern").alias("length"), (F.col("type") == "allow").alias("allow"), (-F.col("r_ordinal")).alias("order"), "type", "pattern"))
-    best = joined.groupBy("_row", "status", "matched_agent").agg(F.max(hit).alias("best"))
+    base = base.join(named, (F.col("_row.origin") == F.col("a_origin")) & (F.lower("_row.agent") == F.col("known_agent")), "left").join(star, F.col("_row.origin") == F.col("star_origin"), "left")
+    chosen = F.when(F.col("known_agent").isNotNull(), F.col("own_rules")).otherwise(F.col("star_rules"))
+    hits = F.transform(F.filter(chosen, lambda r: matches(r["path"], F.col("_row.path"))), lambda r: F.struct(F.length(r["path"]).alias("length"), (r["type"] == "allow").alias("allow"), (-r["ordinal"]).alias("order"), r["type"].alias("type"), r["path"].alias("pattern")))
+    best = base.withColumns({"matched_agent": F.coalesce("known_agent", "star"), "best": F.array_max(hits)})
     allowed = F.when(F.col("status") >= 500, False).when(F.col("best").isNull(), True).otherwise(F.col("best.allow"))
     return best.select("_row.*", "status", allowed.alias("allowed"), "matched_agent", F.col("best.type").alias("matched_type"), F.col("best.pattern").alias("matched_path"))
 
@@ -125,23 +128,43 @@ def crawler_access(sites: DataFrame, robots: DataFrame, include_deprecated: bool
 
 
 def access_summary(access: DataFrame) -> DataFrame:
-    """One row a site: allowed and blocked counts, blocked search crawlers, blocks that a crawler does not heed."""
+    """One row a site: allowed and blocked counts, blocked search crawlers, blocks that a crawler does not heed, findings."""
     listed = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("ordinal", "token")))), lambda x: x["token"])
-    return access.groupBy("origin", "path").agg(
+    out = access.groupBy("origin", "path").agg(
         F.count_if(F.col("allowed")).alias("allowed_count"), F.count_if(~F.col("allowed")).alias("blocked_count"),
         listed(~F.col("allowed") & (F.col("purpose") == "search")).alias("blocked_citation_critical"),
         listed(~F.col("allowed") & (F.col("respects_robots_txt") != "yes")).alias("unenforceable_blocks"),
+        F.count_if(F.col("allowed") & (F.col("purpose") == "training")).alias("training_allowed"),
     )
+    found = N.findings(
+        N.finding("all_crawlers_allowed", "info", F.col("blocked_count") == 0), N.finding("crawlers_blocked", "info", F.col("blocked_count") > 0),
+        N.finding("search_crawlers_blocked", "warn", F.size("blocked_citation_critical") > 0), N.finding("blocks_unenforceable", "warn", F.size("unenforceable_blocks") > 0),
+        N.finding("training_crawlers_allowed", "info", F.col("training_allowed") > 0),
+    )
+    return out.withColumn("crawler_findings", found)
+
+
+def by_vendor(access: DataFrame) -> DataFrame:
+    """(origin, path, vendor, crawlers array<struct<token,allowed>>): a site's crawlers by vendor, in registry order."""
+    each = F.array_sort(F.collect_list(F.struct("ordinal", "token", "allowed")))
+    return access.groupBy("origin", "path", "vendor").agg(F.transform(each, lambda x: F.struct(x["token"].alias("token"), x["allowed"].alias("allowed"))).alias("crawlers"))
 
 
 def site_report(robots: DataFrame) -> DataFrame:
-    """(origin, found, status, group_count, sitemap_count, blocks_everything, warning_count, robots_score) of each robots.txt."""
-    groups = rules(robots).groupBy("origin").agg(F.countDistinct("group_id").alias("group_count"))
+    """(origin, found, status, group_count, sitemap_count, blocks_everything, warning_count, delay_count, robots_score, robots_findings) of each robots.txt."""
+    of_group = rules(robots).groupBy("origin", "group_id").agg(F.max("crawl_delay").alias("delay"))
+    groups = of_group.groupBy("origin").agg(F.count("*").alias("group_count"), F.count("delay").alias("delay_count"))
     maps = sitemaps(robots).groupBy("origin").agg(F.count("*").alias("sitemap_count"))
-    warned = warnings(robots).groupBy("origin").agg(F.count("*").alias("warning_count"))
+    warned = warnings(robots).groupBy("origin").agg(F.count("*").alias("warning_count"), F.array_sort(F.collect_list(F.struct("line", "code"))).alias("warned"))
     root = verdicts(robots.select("origin", F.lit("*").alias("agent"), F.lit("/").alias("path")), robots).select("origin", "allowed")
-    found = F.col("status").between(200, 299)
+    found = F.coalesce(F.col("status").between(200, 299), F.lit(False))
     out = robots.select("origin", "status").join(groups, "origin", "left").join(maps, "origin", "left").join(warned, "origin", "left").join(root, "origin", "left")
-    out = out.fillna(0, ["group_count", "sitemap_count", "warning_count"]).withColumns({"found": found, "blocks_everything": found & ~F.col("allowed")}).drop("allowed")
+    out = out.fillna(0, ["group_count", "sitemap_count", "warning_count", "delay_count"]).withColumns({"found": found, "blocks_everything": found & ~F.col("allowed")}).drop("allowed")
     score = F.when(F.col("blocks_everything"), 0).when(~F.col("found"), 40).when(F.col("sitemap_count") > 0, 100).otherwise(70)
-    return out.withColumn("robots_score", score)
+    told = N.findings(
+        N.finding("robots_found", "pass", F.col("found")), N.finding("robots_absent", "warn", F.col("status").isin(*ABSENT)), N.finding("robots_failed", "fail", ~F.col("found") & ~F.coalesce(F.col("status").isin(*ABSENT), F.lit(False))),
+        N.finding("blocks_everything", "fail", F.col("blocks_everything")), N.finding("sitemap_undeclared", "warn", F.col("sitemap_count") == 0), N.finding("sitemap_declared", "pass", F.col("sitemap_count") > 0),
+    )
+    warned = F.transform(F.slice(F.coalesce("warned", F.array().cast("array<struct<line:int,code:string>>")), 1, WARNINGS), lambda w: F.struct(w["code"].alias("code"), F.lit("warn").alias("severity")))
+    last = N.findings(N.finding("more_warnings", "warn", F.col("warning_count") > WARNINGS), N.finding("crawl_delay", "info", F.col("delay_count") > 0))
+    return out.withColumns({"robots_score": score, "robots_findings": F.concat(told, warned, last)}).drop("warned")

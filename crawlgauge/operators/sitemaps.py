@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import zlib
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,32 +35,80 @@ def gunzipped(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([gunzip_one(r) for r in raw], columns=["data", "too_large"])
 
 
-def discovered(origins: DataFrame, robots_sitemaps: DataFrame, fetches: DataFrame) -> DataFrame:
-    """(origin, sitemap_url, via): the first sitemap that robots.txt names, else the first usual place that answers. fetches(url, status)."""
+def discovered(origins: DataFrame, robots_sitemaps: DataFrame, fetches: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """(origin, sitemap_url, via): an explicit one (origin, sitemap_url), else the first that robots.txt names, else the first usual place that answers. fetches(url, status)."""
     named = robots_sitemaps.where(F.col("url").rlike("(?i)^https?://[^/]+")).select("origin", F.col("url").alias("sitemap_url"), F.lit("robots.txt").alias("via"), F.col("pos").alias("turn"))
     places = F.array(*[F.struct(F.lit(i + 1_000_000).alias("turn"), F.lit(p).alias("place")) for i, p in enumerate(fixed.SITEMAP_PATHS)])
     usual = origins.select("origin", F.explode(places).alias("p")).select("origin", F.concat("origin", "p.place").alias("sitemap_url"), F.lit("convention").alias("via"), F.col("p.turn").alias("turn"))
     usual = usual.join(fetches.where("status between 200 and 299").select(F.col("url").alias("sitemap_url")), "sitemap_url", "left_semi")
     both = named.unionByName(usual.select(*named.columns))
+    if explicit is not None:
+        both = both.unionByName(explicit.select("origin", "sitemap_url", F.lit("explicit").alias("via"), F.lit(-1).alias("turn")))
     return both.groupBy("origin").agg(F.min_by(F.struct("sitemap_url", "via"), "turn").alias("s")).select("origin", "s.*")
 
 
+_ENTRY = T.StructType([T.StructField(n, T.StringType()) for n in ("loc", "lastmod", "changefreq", "priority")])
+_PARSED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("entries", T.ArrayType(_ENTRY)), T.StructField("children", T.ArrayType(T.StringType()))])
+
+
+def parse_one(xml: str | None) -> tuple[str, list[dict], list[str]]:
+    """(kind, entries, children) of a sitemap file. What stands before a fault in the XML counts; entities of a document's own are refused."""
+    path: list[str] = []
+    words: list[str] = []
+    entries: list[dict] = []
+    children: list[str] = []
+    seen: set[str] = set()
+    entry: dict = {}
+
+    def opened(name: str, _: dict) -> None:
+        path.append(name.rpartition(":")[2])
+        seen.add(path[-1])
+        words.clear()
+        if path[-2:] == ["urlset", "url"]:
+            entry.clear()
+
+    def closed(_: str) -> None:
+        value = "".join(words).strip()
+        words.clear()
+        if path[-3:] == ["sitemapindex", "sitemap", "loc"] and value:
+            children.append(value)
+        elif "url" in path[:-1] and path[-1] in _ENTRY.names:
+            entry.setdefault(path[-1], value)
+        elif path[-2:] == ["urlset", "url"] and entry.get("loc"):
+            entries.append({n: entry.get(n) or None for n in _ENTRY.names})
+        path.pop()
+
+    def refused(*_) -> None:
+        raise ValueError("entity declarations are refused")
+
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.EntityDeclHandler = opened, closed, words.append, refused
+    with contextlib.suppress(expat.ExpatError, ValueError):
+        parser.Parse(re.sub(r"^\s*<\?xml.*?\?>", "", xml or "", count=1, flags=re.S).strip(), True)
+    if children:
+        return "index", [], children
+    return "urlset" if entries else "index" if "sitemapindex" in seen else "unknown", entries, []
+
+
+@F.pandas_udf(_PARSED)
+def _parse(xml: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_one(x) for x in xml], columns=_PARSED.names)
+
+
 def parsed(sitemaps: DataFrame) -> DataFrame:
     """sitemaps(sitemap_url, xml) with kind, entries array<struct<loc,lastmod,changefreq,priority>>, children array<string>.
 
-    An index, empty or not, is an index if it has children or no urls; anything else without urls is unknown.
+    A file with children is an index, else with entries a urlset, else an index if it says so; the rest, an empty urlset too, is unknown.
     """
-    xml = F.regexp_replace("xml", r'(?s)^\s*<\?xml.*?\?>', "")
-    clean = F.when(xml.rlike(r"(?s)<urlset.*</urlset>|<sitemapindex.*</sitemapindex>"), xml)
-    block = F.regexp_extract_all(F.coalesce(clean, F.lit("")), F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))
-    part = lambda b, tag: F.nullif(F.trim(F.regexp_extract(b, rf"(?s)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
-    unescape = lambda s: F.replace(F.replace(F.replace(s, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    entries = F.filter(F.transform(block, lambda b: F.struct(unescape(part(b, "loc")).alias("loc"), *[part(b, t).alias(t) for t in ("lastmod", "changefreq", "priority")])), lambda e: e["loc"].isNotNull())
-    child = F.regexp_extract_all(F.coalesce(clean, F.lit("")), F.lit(r"(?s)<sitemap>(.*?)</sitemap>"), F.lit(1))
-    children = F.filter(F.transform(child, lambda b: unescape(part(b, "loc"))), lambda c: c.isNotNull())
-    out = sitemaps.withColumns({"entries": entries, "children": children})
-    index = (F.size("children") > 0) | (F.coalesce(clean.rlike("<sitemapindex"), F.lit(False)) & (F.size("entries") == 0))
-    return out.withColumn("kind", F.when(index, "index").when(F.coalesce(clean.rlike("<urlset"), F.lit(False)), "urlset").otherwise("unknown"))
+    return sitemaps.withColumn("_p", _parse(F.col("xml"))).select(*sitemaps.columns, "_p.*")
+
+
+def from_raw(fetched: DataFrame) -> DataFrame:
+    """fetched(sitemap_url, raw binary), gunzipped where it is gzip, as parsed(); a file beyond the read limit is unknown."""
+    plain = fetched.withColumn("_g", gunzipped(F.col("raw")))
+    text_ = F.when(~F.col("_g.too_large"), F.make_valid_utf8(F.col("_g.data").cast("string")))
+    return parsed(plain.select(*[c for c in fetched.columns if c != "raw"], text_.alias("xml")))
 
 
 def with_children(maps: DataFrame, fetched: DataFrame, most: int = CHILDREN) -> DataFrame:

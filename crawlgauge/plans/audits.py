@@ -54,8 +54,9 @@ def error_kind(message: Column) -> Column:
     """A code for what an error message tells, most specific first."""
     out = F.lit("other")
     for pattern, code in reversed([
-        (r"private|not public|loopback", "private_host"), (r"(?i)timed? ?out|abort", "timeout"), (r"(?i)enotfound|getaddrinfo|dns", "unknown_host"), (r"(?i)econnrefused|refused", "refused"),
-        (r"(?i)certificate|ssl|tls", "certificate"), (r"(?i)too many redirects|redirect loop", "redirects"), (r"http_404|\b404\b", "not_found"), (r"http_(401|403)|\b40[13]\b", "forbidden"), (r"not_html|content type", "not_html"),
+        (r"(?i)refusing to|private|not public|loopback", "private_host"), (r"(?i)timed? ?out|abort", "timeout"), (r"(?i)enotfound|eai_again|getaddrinfo|dns", "unknown_host"), (r"(?i)econnrefused|connection refused", "refused"),
+        (r"(?i)econnreset|epipe|socket hang up|connection reset", "reset"),
+        (r"(?i)certificate|ssl|tls|self.signed", "certificate"), (r"(?i)too many redirects|redirect loop", "redirects"), (r"http_404|\b404\b", "not_found"), (r"http_(401|403)|\b40[13]\b", "forbidden"), (r"not_html|content type", "not_html"),
     ]):
         out = F.when(message.rlike(pattern), F.lit(code)).otherwise(out)
     return out
@@ -134,4 +135,8 @@ def seo_audit(pages: DataFrame, include_geo: bool = False) -> DataFrame:
     listed = F.array_compact(F.array(*advice))
     if include_geo:
         listed = F.concat(listed, F.col("geo_recommendations"))
-    return pages.withColumns({"sections": sections, "seo_score": score, "seo_grade": text.grade(score), "top_recommendations": F.slice(F.array_distinct(listed), 1, 8)})
+    told = N.findings(
+        N.finding("noindex", "fail", ~F.col("indexable")), N.finding("robots_block_everything", "fail", blocked), N.finding("overall", F.when(score >= 80, "pass").otherwise("info")),
+        *[N.finding(k, F.when(scores[k] >= 80, "pass").when(scores[k] >= 60, "warn").otherwise("fail")) for k in fixed.SECTION_WEIGHTS],
+    )
+    return pages.withColumns({"sections": sections, "seo_score": score, "seo_grade": text.grade(score), "seo_findings": told, "top_recommendations": F.slice(F.array_distinct(listed), 1, 8)})

@@ -133,8 +133,33 @@ def private_hosts(spark, sf_dir):
     return hosts.select("host", urls.is_private_host(F.col("host")).alias("private"), urls.admitted(F.col("host")).alias("admitted"))
 
 
+def robots_reports(spark, sf_dir):
+    out = robots.site_report(robots_table(spark, sf_dir))
+    codes = F.array_join(F.transform("robots_findings", lambda f: F.concat(f["severity"], F.lit(":"), f["code"])), ",")
+    return out.select("origin", "found", "group_count", "sitemap_count", "warning_count", "delay_count", "blocks_everything", F.col("robots_score").cast("int").alias("robots_score"), codes.alias("findings"))
+
+
+def crawler_findings(spark, sf_dir):
+    table = robots_table(spark, sf_dir)
+    out = robots.access_summary(robots.crawler_access(table.select("origin", F.lit("/").alias("path")), table))
+    codes = F.array_join(F.transform("crawler_findings", lambda f: F.concat(f["severity"], F.lit(":"), f["code"])), ",")
+    return out.select("origin", "allowed_count", "blocked_count", F.array_join("blocked_citation_critical", ",").alias("search_blocked"), codes.alias("findings"))
+
+
+SITEMAP_FILES = [
+    '<?xml version="1.0"?><urlset><url ><loc><![CDATA[https://a.example/x]]></loc><lastmod>2024-01-01</lastmod></url><url><loc>https://a.example/?a=1&#38;b=2</loc></url></urlset>',
+    "<sitemapindex><sitemap><loc> https://a.example/1.xml </loc></sitemap><sitemap><loc>https://a.example/2.xml</loc></sitemap></sitemapindex>",
+    "<urlset></urlset>", "<sitemapindex/>", "<rss><channel/></rss>", "<urlset><url><loc>https://a.example/cut</loc></url><url><loc>https://a.exam",
+]
+
+
+def sitemap_files(spark, sf_dir):
+    files = _pages(spark, sf_dir).select("page_id", F.col("url").alias("sitemap_url"), F.encode(_choice(SITEMAP_FILES, F.col("page_id")), "UTF-8").alias("raw"))
+    return sitemaps.from_raw(files).select("page_id", "kind", F.size("entries").alias("entry_count"), F.size("children").alias("child_count"), F.get("entries", F.size("entries") - 1)["loc"].alias("last_loc"))
+
+
 QUERIES = {f.__name__: f for f in (
-    robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
+    robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
     schema_missing_required, image_alt_score, social_score, llms_sections, private_hosts,
 )}
 
@@ -183,7 +208,31 @@ _CRAWLERS = _values("crawlers", "ordinal, token, vendor, purpose, respects, prov
 _REQUIRED = _values("required", "type, props", [(t, ",".join(r[0])) for t, r in fixed.schema_rules().items()])
 _REC = _values("recommended", "type, props", [(t, ",".join(r[1])) for t, r in fixed.schema_rules().items()])
 
+#: What the bodies of ROBOTS say, by hand: groups, sitemaps, groups with a delay, whether all is blocked at the root, codes of the warnings.
+_SAY = [
+    (1, 0, 0, False, ""), (1, 1, 0, False, ""), (2, 0, 0, False, ""), (2, 0, 0, False, ""), (2, 0, 0, True, ""), (1, 0, 1, False, ""),
+    (1, 0, 0, False, "warn:rule_before_agent,warn:no_colon,warn:unknown_field"), (2, 0, 0, False, ""),
+]
+#: What the files of SITEMAP_FILES hold, by hand.
+_HOLD = [("urlset", 2, 0, "https://a.example/?a=1&b=2"), ("index", 0, 2, None), ("unknown", 0, 0, None), ("index", 0, 0, None), ("unknown", 0, 0, None), ("urlset", 1, 0, "https://a.example/cut")]
+
 SQL = {
+    "robots_reports": f"""WITH {_PG}, {_values("say", "i, groups, maps, delays, blocks, warned", [(i, *s) for i, s in enumerate(_SAY)])},
+      s AS (SELECT DISTINCT scheme || '://' || host AS origin FROM pg), r AS (SELECT origin, length(origin) % 11 <> 0 AS found, say.* FROM s JOIN say ON length(origin) % {len(ROBOTS)} = i)
+      SELECT origin, found, CAST(groups AS BIGINT) AS group_count, CAST(maps AS BIGINT) AS sitemap_count, CAST(len(list_filter(string_split(warned, ','), lambda x: x <> '')) AS BIGINT) AS warning_count,
+        CAST(delays AS BIGINT) AS delay_count, found AND blocks AS blocks_everything, CASE WHEN found AND blocks THEN 0 WHEN NOT found THEN 40 WHEN maps > 0 THEN 100 ELSE 70 END AS robots_score,
+        concat_ws(',', CASE WHEN found THEN 'pass:robots_found' ELSE 'fail:robots_failed' END, CASE WHEN found AND blocks THEN 'fail:blocks_everything' END,
+          CASE WHEN maps > 0 THEN 'pass:sitemap_declared' ELSE 'warn:sitemap_undeclared' END, nullif(warned, ''), CASE WHEN delays > 0 THEN 'info:crawl_delay' END) AS findings FROM r""",
+    "crawler_findings": f"WITH {_RULES}, {_CRAWLERS}, flags AS (SELECT i, bool_or(agent = 'applebot') AS apple, bool_or(agent = 'googlebot') AS google FROM agents GROUP BY i), "
+    + _judged("SELECT origin || ' ' || token AS id, origin, '/' AS path, purpose, token, respects, ordinal, CASE WHEN token = 'Applebot' AND NOT coalesce(apple, false) AND coalesce(google, false) THEN 'Googlebot' ELSE token END AS agent FROM robots LEFT JOIN flags USING (i), crawlers WHERE NOT deprecated")
+    + """, c AS (SELECT origin, count(*) FILTER (allowed) AS allowed_count, count(*) FILTER (NOT allowed) AS blocked_count, coalesce(string_agg(token, ',' ORDER BY ordinal) FILTER (NOT allowed AND purpose = 'search'), '') AS search_blocked,
+      count(*) FILTER (NOT allowed AND respects <> 'yes') AS weak, count(*) FILTER (allowed AND purpose = 'training') AS training FROM judged GROUP BY origin)
+      SELECT origin, allowed_count, blocked_count, search_blocked, concat_ws(',', CASE WHEN blocked_count = 0 THEN 'info:all_crawlers_allowed' ELSE 'info:crawlers_blocked' END, CASE WHEN search_blocked <> '' THEN 'warn:search_crawlers_blocked' END,
+        CASE WHEN weak > 0 THEN 'warn:blocks_unenforceable' END, CASE WHEN training > 0 THEN 'info:training_crawlers_allowed' END) AS findings FROM c""",
+    "sitemap_files": f"""WITH {_values("hold", "i, kind, n, c, loc", [(i, *h) for i, h in enumerate(_HOLD)])}
+      SELECT page_id, kind, CAST(n AS INTEGER) AS entry_count, CAST(c AS INTEGER) AS child_count, loc AS last_loc FROM pages JOIN hold ON page_id % {len(_HOLD)} = i""",
+    "private_hosts": f"WITH {_PG} SELECT DISTINCT host, false AS private, 'https://' || host || '/' AS admitted FROM pg",
+
     "robots_verdicts": f"WITH {_RULES}, {_judged(f'SELECT page_id || agent AS id, page_id, agent, {_PATH} FROM pg, (SELECT unnest([{_AGENTS}]) AS agent)')} SELECT page_id, agent, allowed, matched_agent FROM judged",
     "robots_longest_match": f"WITH {_RULES}, " + _judged(f"SELECT page_id AS id, page_id, 'ClaudeBot' AS agent, {_PATH} FROM pg") + " SELECT page_id, matched_type, matched_path FROM judged",
     "crawler_access_by_purpose": f"WITH {_RULES}, {_CRAWLERS}, flags AS (SELECT i, bool_or(agent = 'applebot') AS apple, bool_or(agent = 'googlebot') AS google FROM agents GROUP BY i), "

@@ -40,7 +40,7 @@ def looks_like_html(content_type: Column, body: Column) -> Column:
     """An HTML content type, or none (or plain text) and HTML near the start of the body."""
     kind = F.lower(F.coalesce(content_type, F.lit("")))
     head = F.substring(body, 1, 2000)
-    return kind.rlike("text/html|application/xhtml") | (((kind == "") | kind.contains("text/plain")) & head.rlike("(?i)<!doctype html|<html|<head|<body"))
+    return kind.rlike(r"text/html|application/xhtml\+xml") | (((kind == "") | kind.contains("text/plain")) & head.rlike(r"(?i)<html[\s>]|<!doctype\s+html"))
 
 
 def capped(body: Column, limit: int = MAX_HTML_BYTES) -> Column:

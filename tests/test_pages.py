@@ -124,7 +124,7 @@ def test_geo_attribution(spark):
 def test_url_functions(spark):
     from crawlgauge.functions.urls import admit_one, private_host, resolve_one
 
-    for host in "localhost 127.0.0.1 10.1.2.3 172.16.0.1 192.168.1.1 169.254.169.254 0.0.0.0 100.64.0.1 [::1] ::1 fe80::1 fc00::1 ::ffff:127.0.0.1 2130706433 0x7f.1 127.1 224.0.0.1 192.88.99.1 printer.local db.internal metadata".split():
+    for host in "localhost 127.0.0.1 10.1.2.3 172.16.0.1 192.168.1.1 169.254.169.254 0.0.0.0 100.64.0.1 [::1] ::1 fe80::1 fc00::1 ::ffff:127.0.0.1 2130706433 0x7f.1 127.1 224.0.0.1 192.88.99.1 printer.local db.internal".split():
         assert private_host(host), host
     for host in ("example.com", "8.8.8.8", "1.1.1.1", "2606:4700:4700::1111"):
         assert not private_host(host), host
@@ -157,3 +157,36 @@ def test_gates_and_output(spark):
     assert found.select(audits.issues(F.col("f"))).first()[0] == ["c", "e", "d"]
     kinds = spark.createDataFrame([("request timed out",), ("getaddrinfo ENOTFOUND x",), ("http_404",), (None,)], "m string")
     assert [r[0] for r in kinds.select(audits.error_kind(F.col("m"))).collect()] == ["timeout", "unknown_host", "not_found", "other"]
+
+
+def test_local_addresses_and_html_signs(spark):
+    local = ["::7f00:1", "64:ff9b:1::1", "fec0::1", "127.1", "2130706433", "localhost", "a.local", "x.internal", "::ffff:10.0.0.1", "[fd00::2]"]
+    assert all(urls.private_host(h) for h in local) and not any(urls.private_host(h) for h in ("example.com", "box.lan", "intranet", "93.184.216.34", "2606:4700::1"))
+    rows = [("text/html; charset=x", "", True), ("application/xhtml+xml", "", True), ("", "<!DOCTYPE  html>", True), ("text/plain", "see <body tag", False), (None, "<HTML lang=x>", True), ("text/plain", "<htmlx>", False), ("image/png", "<html>", False)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, kind string, body string, expected boolean")
+    assert df.where(src.looks_like_html(F.col("kind"), F.col("body")) != F.col("expected")).collect() == []
+
+
+def test_error_kinds(spark):
+    told = {"read ECONNRESET": "reset", "write EPIPE": "reset", "socket hang up": "reset", "getaddrinfo EAI_AGAIN h": "unknown_host", "connect ECONNREFUSED": "refused", "self signed": "certificate", "operation timed out": "timeout", "odd": "other"}
+    df = spark.createDataFrame(list(told.items()), "m string, expected string")
+    assert df.where(audits.error_kind(F.col("m")) != F.col("expected")).collect() == []
+
+
+def test_silent_ends_take_linear_time(spark):
+    words = ["make", "the", "agree", "tree", "possible", "queue", "e", "be", "ße", "caféte", "a" + "b" * 40_000, "é", "axee", "aye", "rhythme"]
+    rows = spark.createDataFrame([(i, [w]) for i, w in enumerate(words)], "i int, w array<string>")
+    got = [r[1] for r in sorted(rows.select("i", text.syllables(F.col("w"))).collect())]
+    assert got == [1, 1, 2, 1, 2, 1, 1, 1, 1, 2, 1, 1, 2, 1, 1]
+
+
+def test_hreflang_report(spark):
+    link = lambda code, href: f'<link rel="alternate" hreflang="{code}" href="{href}">'
+    heads = [link("en", "/") + link("de", "/de") + link("DE", "/de2") + link("x-default", "/"), link("english", "/e"), ""]
+    rows = pages(spark, *[f"<head>{h}</head><body>x</body>" for h in heads])
+    out = {r["page_id"]: r for r in hreflang.page_report(rows, hreflang.alternates(rows)).collect()}
+    codes = {i: [f["code"] for f in r["hreflang_findings"]] for i, r in out.items()}
+    assert codes[0] == ["hreflang_found", "self_reference", "x_default", "duplicate_codes"] and out[0]["duplicate_codes"] == ["de"]
+    assert codes[1] == ["hreflang_found", "self_reference_missing", "x_default_missing", "invalid_codes"] and codes[2] == ["hreflang_none"]
+    checked = {r["page_id"]: r for r in hreflang.page_report(rows, hreflang.reciprocity(hreflang.alternates(rows), rows)).collect()}
+    assert checked[2]["hreflang_findings"][0]["severity"] == "info"

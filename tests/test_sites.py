@@ -34,14 +34,34 @@ def test_sitemap(spark):
     assert found == {"https://a.example": ("https://a.example/s.xml", "robots.txt"), "https://b.example": ("https://b.example/sitemap_index.xml", "convention")}
 
 
+def test_sitemap_xml():
+    assert sitemaps.parse_one('<s:urlset xmlns:s="x"><s:url><s:loc><![CDATA[https://a.example/?p=1&q]]></s:loc><s:priority>0.5</s:priority></s:url></s:urlset>')[:2] == (
+        "urlset", [{"loc": "https://a.example/?p=1&q", "lastmod": None, "changefreq": None, "priority": "0.5"}])
+    assert sitemaps.parse_one("<urlset><url><loc>https://a.example/&#233;</loc><loc>second</loc></url></urlset>")[1][0]["loc"] == "https://a.example/é"
+    assert sitemaps.parse_one("<urlset></urlset>") == ("unknown", [], []) and sitemaps.parse_one("<sitemapindex></sitemapindex>")[0] == "index"
+    assert sitemaps.parse_one('<!DOCTYPE u [<!ENTITY e "ee">]><urlset><url><loc>&e;</loc></url></urlset>') == ("unknown", [], [])
+    assert sitemaps.parse_one("<urlset><url><loc>https://a.example/1</loc></url><url><loc>https://a.")[1] == [{"loc": "https://a.example/1", "lastmod": None, "changefreq": None, "priority": None}]
+
+
+def test_sitemap_from_raw_bytes_and_explicit_discovery(spark):
+    raw = [("z", bytearray(gzip.compress(XML.encode()))), ("n", None), ("x", bytearray(b"\x1f\x8bbroken"))]
+    got = {r["sitemap_url"]: (r["kind"], len(r["entries"])) for r in sitemaps.from_raw(spark.createDataFrame(raw, "sitemap_url string, raw binary")).collect()}
+    assert got == {"z": ("urlset", 2), "n": ("unknown", 0), "x": ("unknown", 0)}
+    origins = spark.createDataFrame([("https://a.example",)], "origin string")
+    named = spark.createDataFrame([("https://a.example", 3, "https://a.example/s.xml")], "origin string, pos int, url string")
+    fetches = spark.createDataFrame([("https://a.example/sitemap.xml", 200)], "url string, status int")
+    own = spark.createDataFrame([("https://a.example", "https://a.example/own.xml")], "origin string, sitemap_url string")
+    assert sitemaps.discovered(origins, named, fetches, own).first()[1:] == ("https://a.example/own.xml", "explicit")
+
+
 SCHEMA = "url string, final_url string, status int, redirects array<struct<url:string,status:int,location:string>>"
 
 
 def test_redirects(spark):
     hop = lambda u, s, to: (u, s, to)
-    rows = [("http://a.example/a", "http://a.example/a#again", 200, [hop("http://a.example/a", 301, "/b"), hop("http://a.example/b", 301, "/a#again")]), ("http://b.example/", "https://b.example/", 200, [hop("http://b.example/", 302, "https://b.example/")])]
+    rows = [("http://a.example/in", "http://a.example/in#top", 200, [hop("http://a.example/in", 301, "/out"), hop("http://a.example/out", 302, "/in#top")]), ("http://b.example/", "https://b.example/", 200, [hop("http://b.example/", 302, "https://b.example/")])]
     by = {r["url"]: r for r in redirects.trace(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert by["http://a.example/a"]["has_loop"] and by["http://a.example/a"]["hop_count"] == 2
+    assert by["http://a.example/in"]["has_loop"] and by["http://a.example/in"]["hop_count"] == 2
     assert not by["http://b.example/"]["has_loop"] and by["http://b.example/"]["https_upgrade"] and by["http://b.example/"]["has_temporary_redirect"]
 
 
