@@ -184,9 +184,9 @@ def forest_links(points: DataFrame, cosine: float = COSINE, trees: int = TREES,
         at = lambda s: F.element_at("q", (F.round((F.element_at(shares, F.col("tree")) + s - 0.3) / 0.025) + 1).cast("int"))  # noqa: B023, E731
         cuts = stored(cuts.select("space", "tree", "node", at(-SPILL).alias("low"), at(SPILL).alias("high")))
         sides = F.array_compact(F.array(F.when(F.col("p") <= F.col("high"), F.lit("0")), F.when(F.col("p") >= F.col("low"), F.lit("1"))))
-        # ties of a node whose projections hardly differ are dealt by hash so that it still shrinks
+        # ties of a node whose projections hardly differ are dealt by hash, otherwise in each tree, so that it still shrinks
         stuck = F.col("low") >= F.col("high")
-        sides = F.when(stuck, F.array(F.pmod(F.xxhash64("point", F.lit(depth)), F.lit(2)).cast("string"))).otherwise(sides)
+        sides = F.when(stuck, F.array(F.pmod(F.xxhash64("point", "tree", F.lit(depth)), F.lit(2)).cast("string"))).otherwise(sides)
         nodes = stored(split.join(cuts, ["space", "tree", "node"]).withColumn("side", F.explode(sides)).select("point", "space", "v", "tree", F.concat("node", "side").alias("node")))
     for part in done:
         nodes = nodes.unionByName(part.select(*nodes.columns))
