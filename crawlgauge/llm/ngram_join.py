@@ -5,9 +5,9 @@ each hash into one of m words chosen by the hash: sets that differ in d shingles
 at most d words. Sets of Jaccard similarity 0.8 or more and sizes a and b differ in at most
 (a + b) / 9 shingles. So, within a band of sizes with one m above that bound, similar sets
 share a word, and by the pigeonhole they share one among the first k + 1 of their words in
-any order common to all, k being the bound for the set's own size. The order takes words
-that are frequent in a sample of documents last (it decides cost only, never results),
-then words of many shingles first. Sets near the next band's sizes send words to it too.
+any order common to all, k being the bound for the set's own size. The order takes frequent
+words, as counted over all documents, last (it decides cost only, never results), then
+words of many shingles first. Sets near the next band's sizes send words to it too.
 A set with too few words that hold a shingle sends its empty words as well.
 
 Documents that share a word are candidates: first each with the least of the word's group,
@@ -29,15 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import broadcast_up_to, doc_key, frugal, join_heads, small_batches, stored, table
+from .common import broadcast_up_to, doc_key, drop, frugal, join_heads, scratch, small_batches, stored, table
 from .components import components
 
 SHINGLE, SKETCH_BITS = 5, 1024
-#: One document in HOT_SAMPLE shows which words are frequent: those in HOT_LEAST sampled sets, HOT_MOST words at most.
-HOT_SAMPLE, HOT_LEAST, HOT_MOST = 16, 12, 300_000
+#: A word is frequent if it makes up more than one in FREQUENT of all sets' words, which FREQUENT words at most can do, and stands in FREQUENT_LEAST sets.
+FREQUENT, FREQUENT_LEAST = 300_000, 12
 #: Members of a word's group compared at once; rows up to which node lists are broadcast; links below which a round of nearest pairs is the last.
 BLOCK, BROADCAST_NODES, FEW_LINKS = 256, 500_000, 1000
 
@@ -85,23 +85,30 @@ def parity_words(x: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.n
     return _mix(word + salt(at[starts])), np.diff(np.append(starts, len(x))), _mix(salt(empty) ^ np.uint64(0x2545F4914F6CDD1D))
 
 
-def keys_of(x: np.ndarray, hot: tuple[np.ndarray, np.ndarray] | None, everything: bool = False) -> np.ndarray:
-    """The words by which a set is joined, in its own band and, if a partner can be there, in the next."""
+def words_of(x: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Words by which a set can be joined, in its own band and, if a partner can be there, in the next; those of many shingles first.
+
+    With them, for each band, how many words stand here and how many of these are to be sent.
+    """
     n = len(x)
     band = n.bit_length() - 1
-    k, out = most_apart(n), []
+    k, out, parts = most_apart(n), [], []
     for b in (band, band + 1) if 5 * n // 4 >= 2 ** (band + 1) else (band,):
         keys, holds, empty = parity_words(x, b)
-        if everything:
-            out.append(keys)
-        elif len(keys) <= k:
-            out += [keys, empty]
-        else:
-            often = np.zeros(len(keys), dtype=np.int64)
-            if hot is not None and len(hot[0]):
-                at = np.minimum(np.searchsorted(hot[0], keys), len(hot[0]) - 1)
-                often = np.where(hot[0][at] == keys, hot[1][at], 0)
-            out.append(keys[np.lexsort((keys, -holds, often))[: k + 1]])
+        few = len(keys) <= k
+        keys = np.concatenate((keys, empty)) if few else keys[np.lexsort((keys, -holds))]
+        out.append(keys)
+        parts += [len(keys), len(keys) if few else k + 1]
+    return np.concatenate(out), parts
+
+
+def chosen(keys: np.ndarray, often: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Of each band's words those to be sent, the least frequent ones."""
+    out, start = [], 0
+    for here, sent in zip(parts[::2].tolist(), parts[1::2].tolist(), strict=True):
+        band = slice(start, start + here)
+        out.append(keys[band] if sent == here else keys[band][np.argsort(often[band], kind="stable")[:sent]])
+        start += here
     return np.concatenate(out)
 
 
@@ -120,13 +127,12 @@ def identity(x: np.ndarray) -> int:
 FEATURES = "doc_id long, k long, n long, ident long, sketch array<long>, keys array<long>"
 
 
-def features(docs: DataFrame, hot=None, everything: bool = False) -> DataFrame:
-    """FEATURES of each row; a task sends sketch and keys once for each set, however many copies it meets."""
+def features(docs: DataFrame) -> DataFrame:
+    """FEATURES and parts (see words_of) of each row; a task sends sketch and keys once for each set, however many copies it meets."""
     small_batches(docs.sparkSession)
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: set[int] = set()
-        hot_words = hot.value if hot is not None else None
         for batch in batches:
             rows = []
             for text in batch["text"]:
@@ -134,25 +140,47 @@ def features(docs: DataFrame, hot=None, everything: bool = False) -> DataFrame:
                 ident = identity(x)
                 first = bool(len(x)) and ident not in known
                 known.add(ident)
-                keys = keys_of(x, hot_words, everything).view(np.int64) if first else None
-                rows.append((len(x), ident if len(x) else None, bit_sketch(x) if first and not everything else None, keys))
-            out = pd.DataFrame(rows, columns=["n", "ident", "sketch", "keys"])
+                keys, parts = words_of(x) if first else (None, None)
+                rows.append((len(x), ident if len(x) else None, bit_sketch(x) if first else None, keys.view(np.int64) if first else None, parts))
+            out = pd.DataFrame(rows, columns=["n", "ident", "sketch", "keys", "parts"])
             out["ident"] = pd.array([r[1] for r in rows], dtype="Int64")
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             out.insert(1, "k", batch["k"].to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("k"), "text").mapInPandas(frugal(compute), FEATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("k"), "text").mapInPandas(frugal(compute), FEATURES + ", parts array<int>")
+
 
+def frequent_words(found: DataFrame):
+    """Broadcast (sorted keys, counts) of the frequent words of features' rows, counted over all of them; FREQUENT words at most, by their definition."""
+    seen = Observation()
+    words = found.where("keys is not null").select("keys").observe(seen, F.sum(F.size("keys")).alias("words"))
+    counts = stored(words.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT_LEAST))
+    top = counts.where(F.col("c") > (seen.get["words"] or 0) // FREQUENT).toPandas().sort_values("key", key=lambda k: k.to_numpy().view(np.uint64))
+    return found.sparkSession.sparkContext.broadcast((top["key"].to_numpy().view(np.uint64), top["c"].to_numpy()))
 
-def frequent_words(docs: DataFrame):
-    """Broadcast (sorted keys, counts) of the sketch words most frequent in the sample; bounded by HOT_MOST."""
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0)
-    words = features(sample, everything=True).where("keys is not null").select("ident", F.explode("keys").alias("key"))
-    top = words.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "key").limit(HOT_MOST).collect()
-    keys, counts = np.array([r["key"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["c"] for r in top], dtype=np.int64)
-    order = np.argsort(keys)
-    return docs.sparkSession.sparkContext.broadcast((keys[order], counts[order]))
+
+def sent_words(found: DataFrame, frequent) -> DataFrame:
+    """FEATURES of features' rows, with the words by which each set is joined."""
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, counts = frequent.value
+        for batch in batches:
+            rows = np.flatnonzero(batch["keys"].notna())
+            out: list[np.ndarray | None] = [None] * len(batch)
+            if len(rows):
+                lists = [batch["keys"].iat[i] for i in rows]
+                flat = np.concatenate(lists).view(np.uint64)
+                often = np.zeros(len(flat), dtype=np.int64)
+                if len(words):
+                    at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+                    often = np.where(words[at] == flat, counts[at], 0)
+                ends = np.cumsum([len(x) for x in lists])
+                for i, keys, o in zip(rows, lists, np.split(often, ends[:-1]), strict=True):
+                    out[i] = chosen(keys, o, batch["parts"].iat[i])
+            yield batch.drop(columns="parts").assign(keys=pd.Series(out, index=batch.index, dtype=object))
+
+    return found.mapInPandas(frugal(choose), FEATURES)
 
 
 def _near(a: str, b: str) -> Column:
@@ -273,7 +301,12 @@ def join(docs: DataFrame) -> DataFrame:
     k is the document's key (common.doc_key); rows of one component are linked, directly or through others.
     """
     docs = docs.select("doc_id", "text")
-    found = stored(features(docs, frequent_words(docs)))
+    every = scratch(docs.sparkSession)
+    known = features(docs)
+    known.write.parquet(every)
+    known = docs.sparkSession.read.schema(known.schema).parquet(every)
+    found = stored(sent_words(known, frequent_words(known)))
+    drop(docs.sparkSession, every)
     sent = found.where("keys is not null")
     words = sent.select("ident", F.explode("keys").alias("key"))
     groups = words.groupBy("key").agg(F.min("ident").alias("pivot"), F.max("ident").alias("top"), F.count("*").alias("n")).where("pivot <> top")

@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
+import collections
 import os
 import random
 import zlib
@@ -173,6 +174,14 @@ def test_op5_finds_lone_pairs_in_a_large_label(spark, mean):
     assert np.mean(found) >= 0.95, np.mean(found)
 
 
+def test_op5_links_parallel_vectors_beyond_a_node(spark):
+    """Projections of parallel vectors all tie, so their nodes are split by hash alone."""
+    rows = [(i, [float(i), 2.0 * i, 0.0], 1) for i in range(1, 401)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.link_vectors(table, node_most=150, leaf_most=64).collect()
+    assert {(r["component_id"], r["n_links"]) for r in got} == {(1, 399)}
+
+
 def test_op6_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     scored = registry.QUERIES["op6_quality_classifier"](spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
@@ -290,6 +299,22 @@ def test_op8_finds_near_copies_of_all_sizes(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: least[groups[t]] for i, t in rows}
 
 
+def test_op8_counts_words_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2000)
+    known = ngram_join.stored(ngram_join.features(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")))
+    words = [w for r in known.where("keys is not null").select("keys").collect() for w in r["keys"]]
+    want = {w: c for w, c in collections.Counter(words).items() if c >= ngram_join.FREQUENT_LEAST and c > len(words) // 2000}
+    keys, counts = ngram_join.frequent_words(known).value
+    assert dict(zip(keys.view(np.int64).tolist(), counts.tolist(), strict=True)) == want
+    assert (np.diff(keys.astype(object)) > 0).all()
+
+
+def test_op8_sends_the_least_frequent_words():
+    keys, often = np.arange(6), np.array([5, 0, 0, 2, 9, 1])
+    assert ngram_join.chosen(keys, often, np.array([4, 2, 2, 2])).tolist() == [1, 2, 4, 5]
+    assert ngram_join.chosen(keys, often, np.array([4, 3, 2, 1])).tolist() == [1, 2, 3, 5]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (200, 150)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
