@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_up_to, doc_key, drop, frugal, join_heads, scratch, small_batches, stored, table
@@ -153,10 +153,10 @@ def features(docs: DataFrame) -> DataFrame:
 
 def frequent_words(found: DataFrame):
     """Broadcast (sorted keys, counts) of the frequent words of features' rows, counted over all of them; FREQUENT words at most, by their definition."""
-    seen = Observation()
-    words = found.where("keys is not null").select("keys").observe(seen, F.sum(F.size("keys")).alias("words"))
-    counts = stored(words.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT_LEAST))
-    top = counts.where(F.col("c") > (seen.get["words"] or 0) // FREQUENT).toPandas().sort_values("key", key=lambda k: k.to_numpy().view(np.uint64))
+    words = found.where("keys is not null").select(F.explode("keys").alias("key"))
+    counts = stored(words.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT_LEAST))
+    total = found.agg(F.sum(F.get("parts", F.lit(0)) + F.coalesce(F.get("parts", F.lit(2)), F.lit(0)))).first()[0] or 0
+    top = counts.where(F.col("c") > total // FREQUENT).toPandas().sort_values("key", key=lambda k: k.to_numpy().view(np.uint64))
     return found.sparkSession.sparkContext.broadcast((top["key"].to_numpy().view(np.uint64), top["c"].to_numpy()))
 
 
