@@ -6,8 +6,8 @@ at most d words. Sets of Jaccard similarity 0.8 or more and sizes a and b differ
 (a + b) / 9 shingles. So, within a band of sizes with one m above that bound, similar sets
 share a word, and by the pigeonhole they share one among the first k + 1 of their words in
 any order common to all, k being the bound for the set's own size. The order takes frequent
-words, as counted over all documents, last (it decides cost only, never results), then
-words of many shingles first. Sets near the next band's sizes send words to it too.
+words, as counted over all documents by a hash of 20 bits, last (it decides cost only, never
+results), then words of many shingles first. Sets near the next band's sizes send words to it too.
 A set with too few words that hold a shingle sends its empty words as well.
 
 Documents that share a word are candidates: first each with the least of the word's group,
@@ -32,12 +32,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_up_to, doc_key, drop, frugal, join_heads, scratch, small_batches, stored, table
+from .common import broadcast_up_to, doc_key, frugal, join_heads, small_batches, stored, table
 from .components import components
 
 SHINGLE, SKETCH_BITS = 5, 1024
-#: A word is frequent if it makes up more than one in FREQUENT of all sets' words, which FREQUENT words at most can do, and stands in FREQUENT_LEAST sets.
-FREQUENT, FREQUENT_LEAST = 300_000, 12
+#: Words are counted by BUCKETS hashes, in slots of SLOT. Those of a bucket with more than twice a bucket's mean, and FREQUENT_LEAST, are frequent.
+BUCKETS, SLOT, FREQUENT_LEAST = 1 << 20, 1 << 12, 12
 #: Members of a word's group compared at once; rows up to which node lists are broadcast; links below which a round of nearest pairs is the last.
 BLOCK, BROADCAST_NODES, FEW_LINKS = 256, 500_000, 1000
 
@@ -102,10 +102,10 @@ def words_of(x: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return np.concatenate(out), parts
 
 
-def chosen(keys: np.ndarray, often: np.ndarray, parts: np.ndarray) -> np.ndarray:
+def chosen(keys: np.ndarray, often: np.ndarray, parts: list[int]) -> np.ndarray:
     """Of each band's words those to be sent, the least frequent ones."""
     out, start = [], 0
-    for here, sent in zip(parts[::2].tolist(), parts[1::2].tolist(), strict=True):
+    for here, sent in zip(parts[::2], parts[1::2], strict=True):
         band = slice(start, start + here)
         out.append(keys[band] if sent == here else keys[band][np.argsort(often[band], kind="stable")[:sent]])
         start += here
@@ -124,12 +124,64 @@ def identity(x: np.ndarray) -> int:
     return int(_mix(both).view(np.int64)[0])
 
 
+def bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - 20)).astype(np.int64)
+
+
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """How many words of all documents' sets fall into each of BUCKETS; a task counts a set once, however many copies it meets.
+
+    What a task sends, and what reaches the driver, is BUCKETS numbers, whatever the input.
+    """
+    small_batches(docs.sparkSession)
+    slots = BUCKETS // SLOT
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, known, waiting, held = np.zeros(BUCKETS, dtype=np.int64), set(), [], 0
+        for batch in batches:
+            for text in batch["text"]:
+                x = shingle_set(text)
+                ident = identity(x)
+                if len(x) and ident not in known:
+                    known.add(ident)
+                    waiting.append(bucket(words_of(x)[0]))
+                    held += len(waiting[-1])
+                    if held > BUCKETS:
+                        total += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+                        waiting, held = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+        if known:
+            yield pd.DataFrame({"slot": np.arange(slots), "counts": list(total.reshape(slots, SLOT))})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, counts in zip(batch["slot"], batch["counts"], strict=True):
+                sums[slot] = sums[slot] + counts if slot in sums else counts
+        if sums:
+            yield pd.DataFrame({"slot": list(sums), "counts": list(sums.values())})
+
+    schema = "slot long, counts array<long>"
+    found = docs.select("text").mapInPandas(frugal(count), schema).repartition("slot").mapInPandas(frugal(add), schema).toPandas()
+    out = np.zeros((slots, SLOT), dtype=np.int64)
+    for slot, counts in zip(found["slot"], found["counts"], strict=True):
+        out[slot] = counts
+    return out.reshape(-1)
+
+
+def frequent(counts: np.ndarray) -> np.ndarray:
+    """counts of the buckets that are frequent, 0 elsewhere."""
+    return np.where(counts > max(2 * counts.sum() // BUCKETS, FREQUENT_LEAST - 1), counts, 0)
+
+
 FEATURES = "doc_id long, k long, n long, ident long, sketch array<long>, keys array<long>"
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """FEATURES and parts (see words_of) of each row; a task sends sketch and keys once for each set, however many copies it meets."""
+def features(docs: DataFrame, often: np.ndarray) -> DataFrame:
+    """FEATURES of each row; a task sends sketch and keys (the words by which a set is joined) once for each set, however many copies it meets."""
     small_batches(docs.sparkSession)
+    often = docs.sparkSession.sparkContext.broadcast(often)
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: set[int] = set()
@@ -140,47 +192,18 @@ def features(docs: DataFrame) -> DataFrame:
                 ident = identity(x)
                 first = bool(len(x)) and ident not in known
                 known.add(ident)
-                keys, parts = words_of(x) if first else (None, None)
-                rows.append((len(x), ident if len(x) else None, bit_sketch(x) if first else None, keys.view(np.int64) if first else None, parts))
-            out = pd.DataFrame(rows, columns=["n", "ident", "sketch", "keys", "parts"])
+                keys = None
+                if first:
+                    words, parts = words_of(x)
+                    keys = chosen(words, often.value[bucket(words)], parts).view(np.int64)
+                rows.append((len(x), ident if len(x) else None, bit_sketch(x) if first else None, keys))
+            out = pd.DataFrame(rows, columns=["n", "ident", "sketch", "keys"])
             out["ident"] = pd.array([r[1] for r in rows], dtype="Int64")
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             out.insert(1, "k", batch["k"].to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("k"), "text").mapInPandas(frugal(compute), FEATURES + ", parts array<int>")
-
-
-def frequent_words(found: DataFrame):
-    """Broadcast (sorted keys, counts) of the frequent words of features' rows, counted over all of them; FREQUENT words at most, by their definition."""
-    words = found.where("keys is not null").select(F.explode("keys").alias("key"))
-    counts = stored(words.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT_LEAST))
-    total = found.agg(F.sum(F.get("parts", F.lit(0)) + F.coalesce(F.get("parts", F.lit(2)), F.lit(0)))).first()[0] or 0
-    top = counts.where(F.col("c") > total // FREQUENT).toPandas().sort_values("key", key=lambda k: k.to_numpy().view(np.uint64))
-    return found.sparkSession.sparkContext.broadcast((top["key"].to_numpy().view(np.uint64), top["c"].to_numpy()))
-
-
-def sent_words(found: DataFrame, frequent) -> DataFrame:
-    """FEATURES of features' rows, with the words by which each set is joined."""
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counts = frequent.value
-        for batch in batches:
-            rows = np.flatnonzero(batch["keys"].notna())
-            out: list[np.ndarray | None] = [None] * len(batch)
-            if len(rows):
-                lists = [batch["keys"].iat[i] for i in rows]
-                flat = np.concatenate(lists).view(np.uint64)
-                often = np.zeros(len(flat), dtype=np.int64)
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-                    often = np.where(words[at] == flat, counts[at], 0)
-                ends = np.cumsum([len(x) for x in lists])
-                for i, keys, o in zip(rows, lists, np.split(often, ends[:-1]), strict=True):
-                    out[i] = chosen(keys, o, batch["parts"].iat[i])
-            yield batch.drop(columns="parts").assign(keys=pd.Series(out, index=batch.index, dtype=object))
-
-    return found.mapInPandas(frugal(choose), FEATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("k"), "text").mapInPandas(frugal(compute), FEATURES)
 
 
 def _near(a: str, b: str) -> Column:
@@ -301,12 +324,7 @@ def join(docs: DataFrame) -> DataFrame:
     k is the document's key (common.doc_key); rows of one component are linked, directly or through others.
     """
     docs = docs.select("doc_id", "text")
-    every = scratch(docs.sparkSession)
-    known = features(docs)
-    known.write.parquet(every)
-    known = docs.sparkSession.read.schema(known.schema).parquet(every)
-    found = stored(sent_words(known, frequent_words(known)))
-    drop(docs.sparkSession, every)
+    found = stored(features(docs, frequent(word_counts(docs))))
     sent = found.where("keys is not null")
     words = sent.select("ident", F.explode("keys").alias("key"))
     groups = words.groupBy("key").agg(F.min("ident").alias("pivot"), F.max("ident").alias("top"), F.count("*").alias("n")).where("pivot <> top")

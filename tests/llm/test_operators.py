@@ -299,20 +299,32 @@ def test_op8_finds_near_copies_of_all_sizes(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: least[groups[t]] for i, t in rows}
 
 
-def test_op8_counts_words_over_all_documents(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 2000)
-    known = ngram_join.stored(ngram_join.features(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")))
-    words = [w for r in known.where("keys is not null").select("keys").collect() for w in r["keys"]]
-    want = {w: c for w, c in collections.Counter(words).items() if c >= ngram_join.FREQUENT_LEAST and c > len(words) // 2000}
-    keys, counts = ngram_join.frequent_words(known).value
-    assert dict(zip(keys.view(np.int64).tolist(), counts.tolist(), strict=True)) == want
-    assert (np.diff(keys.astype(object)) > 0).all()
+def test_op8_counts_words_over_all_documents(spark, documents):
+    sets = {t: ngram_join.shingle_set(t) for t in documents["text"] if isinstance(t, str)}
+    different = {ngram_join.identity(x): x for x in sets.values() if len(x)}
+    want = collections.Counter(int(w) >> 44 for x in different.values() for w in ngram_join.words_of(x)[0])
+    rows = spark.createDataFrame(documents[["text"]])
+    got = ngram_join.word_counts(rows.coalesce(1))
+    assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == want
+    # a task counts a set once, so copies in different tasks count more than once
+    parts = ngram_join.word_counts(rows.union(rows).repartition(3))
+    assert (parts >= got).all() and (parts <= 3 * got).all() and parts.sum() > got.sum()
+    assert not ngram_join.word_counts(rows.limit(0)).any()
+
+
+def test_op8_buckets_above_twice_the_mean_are_frequent():
+    counts = np.full(ngram_join.BUCKETS, 7, dtype=np.int64)
+    counts[[3, 5, 9]] = 14, 16, 50
+    assert np.flatnonzero(ngram_join.frequent(counts)).tolist() == [5, 9]
+    rare = np.zeros(ngram_join.BUCKETS, dtype=np.int64)
+    rare[[1, 2]] = ngram_join.FREQUENT_LEAST - 1, ngram_join.FREQUENT_LEAST
+    assert np.flatnonzero(ngram_join.frequent(rare)).tolist() == [2]
 
 
 def test_op8_sends_the_least_frequent_words():
     keys, often = np.arange(6), np.array([5, 0, 0, 2, 9, 1])
-    assert ngram_join.chosen(keys, often, np.array([4, 2, 2, 2])).tolist() == [1, 2, 4, 5]
-    assert ngram_join.chosen(keys, often, np.array([4, 3, 2, 1])).tolist() == [1, 2, 3, 5]
+    assert ngram_join.chosen(keys, often, [4, 2, 2, 2]).tolist() == [1, 2, 4, 5]
+    assert ngram_join.chosen(keys, often, [4, 3, 2, 1]).tolist() == [1, 2, 3, 5]
 
 
 def test_components(spark):
