@@ -55,7 +55,7 @@ def json_ld(blocks: pd.Series) -> pd.Series:
 def _rule_map(i: int) -> Column:
     """type to its required (0) or recommended (1) properties, as one literal."""
     quoted = lambda values: ", ".join(f"'{v}'" for v in values)
-    return F.expr("map(" + ", ".join(f"'{t}', cast(array({quoted(r[i])}) as array<string>)" for t, r in fixed.schema_rules().items()) + ")")
+    return F.expr("map(" + ", ".join(f"'{t}', cast(array({quoted(r[i])}) as array<string>)" for t, r in fixed.SCHEMA_RULES.items()) + ")")
 
 
 def _evaluate(types: Column, properties: Column, kind: str) -> Column:

@@ -205,8 +205,8 @@ judged AS (SELECT c.*, CASE WHEN status >= 500 THEN false WHEN hit IS NULL THEN
 _PATH = "scheme || '://' || host AS origin, CASE WHEN p = '' THEN '/' ELSE p END AS path"
 _AGENTS = ", ".join(f"'{a}'" for a in AGENTS)
 _CRAWLERS = _values("crawlers", "ordinal, token, vendor, purpose, respects, provenance, deprecated", fixed.crawler_rows())
-_REQUIRED = _values("required", "type, props", [(t, ",".join(r[0])) for t, r in fixed.schema_rules().items()])
-_REC = _values("recommended", "type, props", [(t, ",".join(r[1])) for t, r in fixed.schema_rules().items()])
+_REQUIRED = _values("required", "type, props", [(t, ",".join(r[0])) for t, r in fixed.SCHEMA_RULES.items()])
+_REC = _values("recommended", "type, props", [(t, ",".join(r[1])) for t, r in fixed.SCHEMA_RULES.items()])
 
 #: What the bodies of ROBOTS say, by hand: groups, sitemaps, groups with a delay, whether all is blocked at the root, codes of the warnings.
 _SAY = [
