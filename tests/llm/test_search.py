@@ -44,7 +44,7 @@ def rows_of(df):
 
 @pytest.mark.parametrize("many", [False, True])
 def test_search_is_exact(spark, monkeypatch, many):
-    """Skewed terms, ties, repeats and documents of no terms; also with lists in slices and a vocabulary that is not broadcast."""
+    """Skewed terms, ties, repeats and documents of no terms; also with queries in blocks, lists in slices and nothing broadcast that can grow."""
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)] + ["Éa", "x9"]
     pick = lambda n: " ".join(vocabulary[min(int(rng.expovariate(0.15)), 61)] for _ in range(n))
@@ -52,9 +52,8 @@ def test_search_is_exact(spark, monkeypatch, many):
     docs += [(i + 400, docs[i][1]) for i in range(40)] + [(7, docs[7][1]), (None, docs[9][1]), (900, None), (901, " ,;"), (902, "rare only here"), (903, "W1-w2_W3\x00w4")]
     items = [(i, pick(8)) for i in range(25)] + [(25, "rare"), (26, "nowhere"), (27, None), (28, "w0 W0"), (29, " ".join(vocabulary)), (3, "rare w1")]
     if many:
-        monkeypatch.setattr(lexical_search, "VOCABULARY", 10)
-        monkeypatch.setattr(lexical_search, "SLICE", 20)
-        monkeypatch.setattr(lexical_search, "BROADCAST_ROWS", 5)
+        for name, value in (("BLOCK_TERMS", 100), ("SLICE", 20), ("BROADCAST_ROWS", 5), ("CHUNK", 300)):
+            monkeypatch.setattr(lexical_search, name, value)
     got = rows_of(lexical_search.search(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")))
     assert sorted(got, key=repr) == sorted(ranked(docs, items), key=repr)
 
