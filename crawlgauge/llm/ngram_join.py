@@ -6,7 +6,7 @@ at most d words. Sets of Jaccard similarity 0.8 or more and sizes a and b differ
 (a + b) / 9 shingles. So, within a band of sizes with one m above that bound, similar sets
 share a word, and by the pigeonhole they share one among the first k + 1 of their words in
 any order common to all, k being the bound for the set's own size. The order takes frequent
-words, as counted over all documents by a hash of 20 bits, last (it decides cost only, never
+words, as counted over all documents by a hash of 16 bits, last (it decides cost only, never
 results), then words of many shingles first. Sets near the next band's sizes send words to it too.
 A set with too few words that hold a shingle sends its empty words as well.
 
@@ -36,8 +36,8 @@ from .common import broadcast_up_to, doc_key, frugal, join_heads, small_batches,
 from .components import components
 
 SHINGLE, SKETCH_BITS = 5, 1024
-#: Words are counted by BUCKETS hashes, in slots of SLOT. Those of a bucket with more than twice a bucket's mean, and FREQUENT_LEAST, are frequent.
-BUCKETS, SLOT, FREQUENT_LEAST = 1 << 20, 1 << 12, 12
+#: Words are counted by BUCKETS hashes. Those of a bucket with more than twice a bucket's mean, and FREQUENT_LEAST, are frequent. Sets that a task remembers as sent.
+BUCKETS, FREQUENT_LEAST, KNOWN_MOST = 1 << 16, 12, 1_000_000
 #: Members of a word's group compared at once; rows up to which node lists are broadcast; links below which a round of nearest pairs is the last.
 BLOCK, BROADCAST_NODES, FEW_LINKS = 256, 500_000, 1000
 
@@ -124,50 +124,16 @@ def identity(x: np.ndarray) -> int:
     return int(_mix(both).view(np.int64)[0])
 
 
-def bucket(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - 20)).astype(np.int64)
+def word_counts(found: DataFrame) -> np.ndarray:
+    """How many words of all sets fall into each of BUCKETS. found: stored features().
 
-
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """How many words of all documents' sets fall into each of BUCKETS; a task counts a set once, however many copies it meets.
-
-    What a task sends, and what reaches the driver, is BUCKETS numbers, whatever the input.
+    Words are added up in the JVM, in each task first: a task sends a row for each bucket that it met.
     """
-    small_batches(docs.sparkSession)
-    slots = BUCKETS // SLOT
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, known, waiting, held = np.zeros(BUCKETS, dtype=np.int64), set(), [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                x = shingle_set(text)
-                ident = identity(x)
-                if len(x) and ident not in known:
-                    known.add(ident)
-                    waiting.append(bucket(words_of(x)[0]))
-                    held += len(waiting[-1])
-                    if held > BUCKETS:
-                        total += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
-                        waiting, held = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
-        if known:
-            yield pd.DataFrame({"slot": np.arange(slots), "counts": list(total.reshape(slots, SLOT))})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for slot, counts in zip(batch["slot"], batch["counts"], strict=True):
-                sums[slot] = sums[slot] + counts if slot in sums else counts
-        if sums:
-            yield pd.DataFrame({"slot": list(sums), "counts": list(sums.values())})
-
-    schema = "slot long, counts array<long>"
-    found = docs.select("text").mapInPandas(frugal(count), schema).repartition("slot").mapInPandas(frugal(add), schema).toPandas()
-    out = np.zeros((slots, SLOT), dtype=np.int64)
-    for slot, counts in zip(found["slot"], found["counts"], strict=True):
-        out[slot] = counts
-    return out.reshape(-1)
+    bucket = F.shiftrightunsigned("key", 64 - BUCKETS.bit_length() + 1).cast("int").alias("bucket")
+    counts = found.select(F.explode("keys").alias("key")).groupBy(bucket).agg(F.count("*").alias("n")).toPandas()
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    out[counts["bucket"].to_numpy(dtype=np.int64)] = counts["n"]
+    return out
 
 
 def frequent(counts: np.ndarray) -> np.ndarray:
@@ -175,29 +141,27 @@ def frequent(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > max(2 * counts.sum() // BUCKETS, FREQUENT_LEAST - 1), counts, 0)
 
 
-FEATURES = "doc_id long, k long, n long, ident long, sketch array<long>, keys array<long>"
+FEATURES = "doc_id long, k long, n long, ident long, sketch array<long>, keys array<long>, parts array<int>"
 
 
-def features(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """FEATURES of each row; a task sends sketch and keys (the words by which a set is joined) once for each set, however many copies it meets."""
+def features(docs: DataFrame) -> DataFrame:
+    """FEATURES of each row; a task sends sketch, keys (all words by which a set can be joined) and parts (see words_of) once for each set that it meets, however many copies."""
     small_batches(docs.sparkSession)
-    often = docs.sparkSession.sparkContext.broadcast(often)
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: set[int] = set()
         for batch in batches:
             rows = []
+            if len(known) > KNOWN_MOST:
+                known.clear()
             for text in batch["text"]:
                 x = shingle_set(text)
                 ident = identity(x)
                 first = bool(len(x)) and ident not in known
                 known.add(ident)
-                keys = None
-                if first:
-                    words, parts = words_of(x)
-                    keys = chosen(words, often.value[bucket(words)], parts).view(np.int64)
-                rows.append((len(x), ident if len(x) else None, bit_sketch(x) if first else None, keys))
-            out = pd.DataFrame(rows, columns=["n", "ident", "sketch", "keys"])
+                keys, parts = words_of(x) if first else (None, None)
+                rows.append((len(x), ident if len(x) else None, bit_sketch(x) if first else None, keys.view(np.int64) if first else None, parts))
+            out = pd.DataFrame(rows, columns=["n", "ident", "sketch", "keys", "parts"])
             out["ident"] = pd.array([r[1] for r in rows], dtype="Int64")
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             out.insert(1, "k", batch["k"].to_numpy())
@@ -206,6 +170,20 @@ def features(docs: DataFrame, often: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("k"), "text").mapInPandas(frugal(compute), FEATURES)
 
 
+def words_sent(found: DataFrame, often: np.ndarray) -> DataFrame:
+    """(ident, key): the words by which each set of features() is joined."""
+    often = found.sparkSession.sparkContext.broadcast(often)  # BUCKETS numbers
+    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sent = [chosen(keys, often.value[(keys.view(np.uint64) >> shift).astype(np.int64)], parts) for keys, parts in zip(batch["keys"], batch["parts"], strict=True)]
+            yield pd.DataFrame({"ident": batch["ident"], "keys": sent})
+
+    small_batches(found.sparkSession)
+    return found.where("keys is not null").select("ident", "keys", "parts").mapInPandas(frugal(choose), "ident long, keys array<long>").select("ident", F.explode("keys").alias("key"))
+
+
 def _near(a: str, b: str) -> Column:
     """Whether two nodes can be similar, by their sizes and bit sketches."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -221,27 +199,29 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = stored(near.select(F.col("ka").alias("k")).union(near.select("kb")).distinct())
     texts = docs.select(doc_key().alias("k"), "text").join(broadcast_up_to(wanted, BROADCAST_NODES), "k", "left_semi").dropDuplicates(["k"])
     texts = stored(texts)
-    both = near.join(texts.select(F.col("k").alias("ka"), F.col("text").alias("ta")), "ka").join(texts.select(F.col("k").alias("kb"), F.col("text").alias("tb")), "kb")
+    # the partners of one set in blocks: its text is sent once a block, each partner's once a pair
+    partners = stored(near.groupBy("a").agg(F.count("*").alias("n")))
+    dealt = join_heads(near, partners, ["a"]).withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).cast("int"))
+    leads = dealt.select("a", "block", F.lit(0).alias("role"), F.col("a").alias("b"), F.col("ka").alias("k")).distinct()
+    rows = leads.unionByName(dealt.select("a", "block", F.lit(1).alias("role"), "b", F.col("kb").alias("k"))).join(texts, "k").select("a", "block", "role", "b", "text")
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: dict[int, np.ndarray] = {}
-
-        def of(ident: int, text: str) -> np.ndarray:
-            if ident not in sets:
-                if len(sets) > 500:
-                    sets.clear()
-                sets[ident] = shingle_set(text)
-            return sets[ident]
-
+        x = np.zeros(0, dtype=np.uint64)
         for batch in batches:
             keep = []
-            for ia, ib, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True):
-                x, y = of(ia, ta), of(ib, tb)
+            for role, text in zip(batch["role"], batch["text"], strict=True):
+                y = shingle_set(text)
+                if role == 0:
+                    x = y
+                    keep.append(False)
+                    continue
                 common = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    return stored(both.select("a", "b", "ta", "tb").mapInPandas(frugal(similar), "a long, b long"))
+    small_batches(docs.sparkSession)
+    rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", "role")
+    return stored(rows.mapInPandas(frugal(similar), "a long, b long"))
 
 
 def rest_of_groups(shared: DataFrame, comps: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
@@ -324,9 +304,9 @@ def join(docs: DataFrame) -> DataFrame:
     k is the document's key (common.doc_key); rows of one component are linked, directly or through others.
     """
     docs = docs.select("doc_id", "text")
-    found = stored(features(docs, frequent(word_counts(docs))))
+    found = stored(features(docs))
     sent = found.where("keys is not null")
-    words = sent.select("ident", F.explode("keys").alias("key"))
+    words = words_sent(found, frequent(word_counts(found)))
     groups = words.groupBy("key").agg(F.min("ident").alias("pivot"), F.max("ident").alias("top"), F.count("*").alias("n")).where("pivot <> top")
     shared = stored(join_heads(words, stored(groups.select("key", "pivot", "n")), ["key"]).select("key", "ident", "pivot").distinct())
     idents = shared.select("ident").distinct()

@@ -302,14 +302,15 @@ def test_op8_finds_near_copies_of_all_sizes(spark):
 def test_op8_counts_words_over_all_documents(spark, documents):
     sets = {t: ngram_join.shingle_set(t) for t in documents["text"] if isinstance(t, str)}
     different = {ngram_join.identity(x): x for x in sets.values() if len(x)}
-    want = collections.Counter(int(w) >> 44 for x in different.values() for w in ngram_join.words_of(x)[0])
-    rows = spark.createDataFrame(documents[["text"]])
-    got = ngram_join.word_counts(rows.coalesce(1))
+    want = collections.Counter(int(w) >> 48 for x in different.values() for w in ngram_join.words_of(x)[0])
+    rows = spark.createDataFrame(documents[["doc_id", "text"]])
+    counts = lambda docs: ngram_join.word_counts(ngram_join.features(docs))
+    got = counts(rows.coalesce(1))
     assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == want
     # a task counts a set once, so copies in different tasks count more than once
-    parts = ngram_join.word_counts(rows.union(rows).repartition(3))
+    parts = counts(rows.union(rows).repartition(3))
     assert (parts >= got).all() and (parts <= 3 * got).all() and parts.sum() > got.sum()
-    assert not ngram_join.word_counts(rows.limit(0)).any()
+    assert not counts(rows.limit(0)).any()
 
 
 def test_op8_buckets_above_twice_the_mean_are_frequent():
