@@ -25,6 +25,7 @@ doc_ids take part, and are the component's id only if no other is there.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,7 +62,8 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     for i in range(n):
         x += h[i : len(h) - n + 1 + i] * _MULTIPLIERS[i % 5]
         x = _mix(x) if i % 5 == 4 else x
-    return np.unique(_mix(x))
+    x = np.sort(x if n % 5 == 0 else _mix(x))
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
 
 def most_apart(n: int) -> int:
@@ -74,15 +76,24 @@ def words_in_band(band: int) -> int:
     return 2 * (2 ** (band + 1) - 1) // 9 + 2 + 2**band // 10
 
 
-def parity_words(x: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the sketch's words that hold a shingle, how many each holds, and keys of the empty words."""
-    m = words_in_band(band)
-    at = ((x >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # rises with x
+@functools.lru_cache(64)
+def _salts(band: int) -> np.ndarray:
+    return _mix(np.arange(words_in_band(band), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
+
+
+def remixed(x: np.ndarray) -> np.ndarray:
+    """What the words of sketches are made of."""
+    return _mix(x ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def parity_words(x: np.ndarray, y: np.ndarray, band: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the sketch's words that hold a shingle, how many each holds, and, if no more than k hold one, keys of the empty words. y: remixed(x)."""
+    salts = _salts(band)
+    at = ((x >> np.uint64(32)) * np.uint64(len(salts))) >> np.uint64(32)  # rises with x
     starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    word = np.bitwise_xor.reduceat(_mix(x ^ np.uint64(0x5851F42D4C957F2D)), starts)
-    salt = lambda p: _mix(p * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
-    empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at[starts]) if m - len(starts) else np.zeros(0, dtype=np.uint64)
-    return _mix(word + salt(at[starts])), np.diff(np.append(starts, len(x))), _mix(salt(empty) ^ np.uint64(0x2545F4914F6CDD1D))
+    word = np.bitwise_xor.reduceat(y, starts)
+    empty = np.setdiff1d(np.arange(len(salts), dtype=np.uint64), at[starts]) if len(starts) <= k else np.zeros(0, dtype=np.uint64)
+    return _mix(word + salts[at[starts]]), np.diff(np.append(starts, len(x))), _mix(salts[empty] ^ np.uint64(0x2545F4914F6CDD1D))
 
 
 def words_of(x: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -90,13 +101,17 @@ def words_of(x: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
     With them, for each band, how many words stand here and how many of these are to be sent.
     """
-    n = len(x)
+    n, y = len(x), remixed(x)
     band = n.bit_length() - 1
     k, out, parts = most_apart(n), [], []
     for b in (band, band + 1) if 5 * n // 4 >= 2 ** (band + 1) else (band,):
-        keys, holds, empty = parity_words(x, b)
+        keys, holds, empty = parity_words(x, y, b, k)
         few = len(keys) <= k
-        keys = np.concatenate((keys, empty)) if few else keys[np.lexsort((keys, -holds))]
+        if few:
+            keys = np.concatenate((keys, empty))
+        else:
+            order = np.argsort(keys)
+            keys = keys[order[np.argsort(-np.minimum(holds[order], 30_000).astype(np.int16), kind="stable")]]
         out.append(keys)
         parts += [len(keys), len(keys) if few else k + 1]
     return np.concatenate(out), parts
@@ -120,7 +135,7 @@ def identity(x: np.ndarray) -> int:
     """64 bits of the whole set."""
     if not len(x):
         return 0
-    both = np.add.reduce(_mix(x), keepdims=True) + np.bitwise_xor.reduce(x, keepdims=True) * _MULTIPLIERS[:1] + np.uint64(len(x))
+    both = np.add.reduce(x ^ (x >> np.uint64(23)), keepdims=True) + np.bitwise_xor.reduce(x, keepdims=True) * _MULTIPLIERS[:1] + np.uint64(len(x))
     return int(_mix(both).view(np.int64)[0])
 
 
@@ -247,13 +262,11 @@ def rest_of_groups(shared: DataFrame, comps: DataFrame, nodes: DataFrame, neares
     rows = rows.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), to - 1))})
     dealt = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "ident", "comp", "n", "sketch")
 
-    def compare(group: pd.DataFrame) -> np.ndarray:
-        ident, comp, n, mine = (group[c].to_numpy() for c in ("ident", "comp", "n", "mine"))
+    def compare(ident: np.ndarray, comp: np.ndarray, n: np.ndarray, mine: np.ndarray, sketch: np.ndarray, across: bool) -> np.ndarray:
+        """across: of two blocks only pairs across them, as each meets itself elsewhere."""
         if len(ident) < 2 or (comp == comp[0]).all():
             return np.zeros((0, 2), dtype=np.int64)
-        sketch = np.stack(group["sketch"].to_numpy())
         found = []
-        across = group["i"].iloc[0] != group["j"].iloc[0]  # of two blocks only pairs across them: each meets itself elsewhere
         for start in range(0, len(ident) - 1, 64):
             rows = slice(start, start + 64)
             able = (comp[rows, None] != comp[None, start:]) & (5 * np.minimum(n[rows, None], n[None, start:]) >= 4 * np.maximum(n[rows, None], n[None, start:]))
@@ -284,16 +297,27 @@ def rest_of_groups(shared: DataFrame, comps: DataFrame, nodes: DataFrame, neares
             new = [p for p in map(tuple, pairs.tolist()) if p not in sent and not sent.add(p)]
             return pd.DataFrame(new, columns=["a", "b"], dtype="int64")
 
+        def groups(rows: pd.DataFrame, last: bool) -> tuple[Iterator[np.ndarray], int]:
+            """Pairs of each whole group of rows, and where the group begins that may go on."""
+            by = rows[["key", "i", "j"]].to_numpy()
+            cut = np.flatnonzero(np.concatenate(([True], (by[1:] != by[:-1]).any(axis=1), [last])))
+            ident, comp, n, mine = (rows[c].to_numpy() for c in ("ident", "comp", "n", "mine"))
+            sketch = np.stack(rows["sketch"].to_numpy())
+            pairs = (compare(ident[s:e], comp[s:e], n[s:e], mine[s:e], sketch[s:e], by[s, 1] != by[s, 2]) for s, e in zip(cut[:-1], cut[1:], strict=True))
+            return (p for p in pairs if len(p)), cut[-1]
+
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            by = held[["key", "i", "j"]].to_numpy()
-            cut = np.flatnonzero(np.concatenate(([True], (by[1:] != by[:-1]).any(axis=1)))) if len(held) else np.zeros(0, dtype=int)
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                if len(pairs := compare(held.iloc[s:e])):
-                    yield fresh(pairs)
-            held = held.iloc[cut[-1] if len(cut) else 0 :]
-        if held is not None and len(pairs := compare(held)):
-            yield fresh(pairs)
+            if len(held):
+                pairs, rest = groups(held, False)
+                found = list(pairs)
+                if found:
+                    yield fresh(np.concatenate(found))
+                held = held.iloc[rest:]
+        if held is not None and len(held):
+            found = list(groups(held, True)[0])
+            if found:
+                yield fresh(np.concatenate(found))
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(frugal(compare_all), "a long, b long").distinct()
 
