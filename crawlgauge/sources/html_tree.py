@@ -1,110 +1,700 @@
-"""A small HTML tree builder on the standard library's tokenizer: flat nodes in document order."""
+"""HTML to flat nodes in document order: a tokenizer of one pass and tree construction as the HTML standard has it.
+
+Trees have the elements that a browser would have: implied tbody and tr,
+paragraphs and list items that the next one ends, formatting that is reopened after
+misnesting (the adoption agency), content of tables that does not belong there before the
+table. Left out: framesets, encodings, and namespaces other than that SVG and MathML end
+where an HTML block begins.
+"""
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
-
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: A start tag of the key ends an open element of the values, within the nearest container.
-ENDS = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-    "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
-}
-CONTAINERS = frozenset("ul ol dl table thead tbody tfoot select html body div section article main".split())
-ENDS_P = frozenset(
-    "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
-)
+from collections.abc import Iterator
+from html import unescape
+
+VOID = frozenset("area base basefont bgsound br col embed hr img input keygen link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template svg iframe".split())
 CHROME = frozenset("header nav footer aside".split())
 #: Elements whose text rides along with the node.
 TEXT_OF = frozenset("title h1 h2 h3 h4 h5 h6 a script".split())
 ROOT_IDS = frozenset("root app __next __nuxt svelte".split())
 MAX_DEPTH = 512
+#: Elements open at once; what would nest deeper (only elements whose end is optional can) stays beside the others.
+OPEN_MOST = 600
 _OPTIONAL_END = frozenset("html head body p li dt dd tr td th thead tbody tfoot option optgroup colgroup rp rt".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(/?)>", re.S)
-_RAW = frozenset("script style textarea title".split())
 
+_SPACE = " \t\n\f"
+_NAME = re.compile(r"[^\s/>]+")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_REFERENCE = re.compile(r"&(?:#[xX]?[0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=])))")
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "xmp", "iframe", "noembed", "noframes", "textarea", "title")}
+
+#: A token: (kind, name or text, attributes, whether it closes itself); kind: start, end, text or doctype.
+Token = tuple[str, str, dict, bool]
 
-def too_deep(html: str, limit: int = MAX_DEPTH) -> bool:
-    """Whether explicitly closed elements nest deeper than limit; one pass, before any tree is built."""
-    depth, raw = 0, None
-    for m in _TAG.finditer(html):
-        name = (m.group(2) or "").lower()
-        if not name or (raw and not (m.group(1) and name == raw)):
+
+def tokens(html: str) -> Iterator[Token]:
+    """Tags and texts in one pass: a search that fails ends the document, so no part is looked at again and again."""
+    html = html.replace("\r\n", "\n").replace("\r", "\n")
+    pos, size = 0, len(html)
+    while pos < size:
+        at = html.find("<", pos)
+        nxt = html[at + 1 : at + 2] if at >= 0 else ""
+        if at < 0 or not (nxt.isascii() and nxt.isalpha() or nxt in ("!", "?") or nxt == "/" and at + 2 < size):
+            end = size if at < 0 else at + 1
+            yield "text", unescape(html[pos:end]), {}, False
+            pos = end
+            continue
+        if at > pos:
+            yield "text", unescape(html[pos:at]), {}, False
+        if html.startswith("<!--", at):
+            end = at + 4 if html.startswith(">", at + 4) else html.find("-->", at + 2)
+            pos = size if end < 0 else html.find(">", end) + 1
             continue
-        raw = None
-        if name in VOID or name in _OPTIONAL_END:
+        closing = nxt == "/"
+        begin = at + 1 + closing
+        if not (html[begin].isascii() and html[begin].isalpha()):  # markup that is no tag
+            end = html.find(">", at)
+            if html[at : at + 9].lower() == "<!doctype":
+                yield "doctype", html[at + 9 : end if end >= 0 else size], {}, False
+            pos = size if end < 0 else end + 1
             continue
-        if m.group(1):
+        name = _NAME.match(html, begin)
+        pos, attrs = name.end(), {}
+        tag, alone = name[0].lower(), False
+        while True:
+            m = _ATTRIBUTE.match(html, pos)
+            if not m:
+                end = html.find(">", pos)
+                alone = end > 0 and html[end - 1] == "/" and end > name.end()
+                pos = size if end < 0 else end + 1
+                break
+            pos, value = m.end(), ""
+            if m[2]:
+                quote = html[pos : pos + 1]
+                if quote in ("'", '"'):
+                    end = html.find(quote, pos + 1)
+                    if end < 0:
+                        return  # a tag that does not end is no tag
+                    value, pos = html[pos + 1 : end], end + 1
+                else:
+                    value = _UNQUOTED.match(html, pos)[0]
+                    pos += len(value)
+                if "&" in value:
+                    value = _REFERENCE.sub(lambda r: unescape(r[0]), value)
+            attrs.setdefault(m[1].lower(), value)
+        if pos == size and html[size - 1] != ">":
+            return  # a tag that does not end is no tag
+        yield "end" if closing else "start", tag, attrs, alone
+        if not closing and tag in _RAW:
+            m = _RAW[tag].search(html, pos)
+            end = m.start() if m else size
+            if end > pos:
+                yield "text", unescape(html[pos:end]) if tag in ("title", "textarea") else html[pos:end], {}, False
+            pos = end
+        elif not closing and tag == "plaintext":
+            yield "text", html[pos:], {}, False
+            return
+
+
+def too_deep(html: str | list[Token], limit: int = MAX_DEPTH) -> bool:
+    """Whether explicitly closed elements nest deeper than limit; before any tree is built."""
+    depth = 0
+    for kind, name, _, alone in tokens(html) if isinstance(html, str) else html:
+        if kind not in ("start", "end") or name in VOID or name in _OPTIONAL_END:
+            continue
+        if kind == "end":
             depth = max(0, depth - 1)
-        elif not m.group(3):
+        elif not alone:
             depth += 1
-            raw = name if name in _RAW else None
             if depth > limit:
                 return True
     return False
 
 
-class _Builder(HTMLParser):
+#: Fixed values of the HTML standard: classes of elements in tree construction.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEAD_ONLY = frozenset("base basefont bgsound link meta title noframes style script template noscript".split())
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer header hgroup main menu nav ol p search section summary ul pre listing form plaintext xmp hr".split()
+)
+BLOCKS = frozenset("address article aside blockquote button center details dialog dir div dl fieldset figcaption figure footer header hgroup listing main menu nav ol pre search section summary ul".split())
+IMPLIED = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
+SCOPE = frozenset("applet caption html table td th marquee object template foreignobject".split())
+SPECIAL = BLOCKS | HEADINGS | SCOPE | VOID | frozenset(
+    "body colgroup dd dt form frame frameset head iframe li noembed noframes noscript p plaintext script select style summary tbody textarea tfoot thead title tr ul xmp".split()
+)
+FOREIGN_ENDS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+ROW_GROUPS = frozenset("tbody thead tfoot".split())
+TABLE_PARTS = ROW_GROUPS | frozenset("caption col colgroup td th tr".split())
+FOSTERS = ROW_GROUPS | {"table", "tr"}
+MARKER = None
+
+
+class _Node:
+    __slots__ = ("attrs", "children", "foreign", "mode", "implied", "parent", "tag", "text")
+
+    def __init__(self, tag: str, attrs: dict, text: list[str] | None = None):
+        self.tag, self.attrs, self.text, self.children, self.parent = tag, attrs, text, [], None
+        self.mode, self.foreign, self.implied = "body", None, False
+
+    def within(self, outer: _Node | None) -> None:
+        """What is being filled while this is the innermost open element: which part of a table or a selection, and which SVG or MathML."""
+        tag = self.tag
+        if tag in ("td", "th"):
+            self.mode = "cell"
+        elif tag in ROW_GROUPS:
+            self.mode = "group"
+        elif tag in ("caption", "tr", "table", "colgroup", "select"):
+            self.mode = tag
+        elif outer is not None and tag not in ("template", "body", "html"):
+            self.mode = outer.mode
+        if tag in ("svg", "math"):
+            self.foreign = tag
+        elif outer is not None and tag not in SCOPE:
+            self.foreign = outer.foreign
+
+
+class _Builder:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[list] = []  # [parent, last, tag, attrs, text]
-        self.open: list[int] = []
-
-    def _add(self, tag: str, attrs: dict, text: str | None = None) -> int:
-        self.nodes.append([self.open[-1] if self.open else -1, len(self.nodes), tag, attrs, text])
-        return len(self.nodes) - 1
-
-    def _close(self, depth: int) -> None:
-        for i in self.open[depth:]:
-            self.nodes[i][1] = len(self.nodes) - 1
-        del self.open[depth:]
-
-    def _find(self, tags, stop=frozenset()) -> int | None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            tag = self.nodes[self.open[depth]][2]
-            if tag in tags:
-                return depth
-            if tag in stop:
+        self.root = _Node("#document", {})
+        self.open: list[_Node] = []
+        self.active: list[_Node | None] = []  # formatting elements; MARKER ends what may be reopened
+        self.html = self.head = self.body = self.form = None
+        self.in_head = self.fostering = self.skip_newline = False
+        self.quirks = True
+
+    # --- places and stacks
+
+    def _place(self, target: _Node | None = None) -> tuple[_Node, int]:
+        """Parent and index where the next node goes."""
+        target = target or (self.open[-1] if self.open else self.root)
+        if self.fostering and target.tag in FOSTERS:
+            for i in range(len(self.open) - 1, -1, -1):
+                table = self.open[i]
+                if table.tag == "template":
+                    return table, len(table.children)
+                if table.tag == "table":
+                    if table.parent:
+                        return table.parent, next(j for j in range(len(table.parent.children) - 1, -1, -1) if table.parent.children[j] is table)
+                    return self.open[i - 1], len(self.open[i - 1].children)
+        return target, len(target.children)
+
+    def _put(self, node: _Node, target: _Node | None = None) -> None:
+        parent, at = self._place(target)
+        parent.children.insert(at, node)
+        node.parent = parent
+
+    def _insert(self, tag: str, attrs: dict, keep: bool = True) -> _Node:
+        node = _Node(tag, attrs)
+        self._put(node)
+        if keep and len(self.open) < OPEN_MOST:
+            node.within(self.open[-1] if self.open else None)
+            self.open.append(node)
+        return node
+
+    def _text(self, data: str) -> None:
+        parent, at = self._place()
+        if at and parent.children[at - 1].tag == "#text":
+            parent.children[at - 1].text.append(data)
+        else:
+            node = _Node("#text", {}, [data])
+            parent.children.insert(at, node)
+            node.parent = parent
+
+    def _in_scope(self, tags, more: frozenset = frozenset(), scope: frozenset = SCOPE) -> bool:
+        for node in reversed(self.open):
+            if node.tag in tags:
+                return True
+            if node.tag in scope or node.tag in more:
+                return False
+        return False
+
+    def _pop_to(self, tags) -> None:
+        while self.open and self.open.pop().tag not in tags:
+            pass
+
+    def _imply(self, but: str = "") -> None:
+        while self.open and self.open[-1].tag in IMPLIED and self.open[-1].tag != but:
+            self.open.pop()
+
+    def _close_p(self) -> None:
+        if self._in_scope(("p",), frozenset(("button",))):
+            self._imply("p")
+            self._pop_to(("p",))
+
+    def _clear_to_marker(self) -> None:
+        while self.active and self.active.pop() is not MARKER:
+            pass
+
+    def _reopen(self) -> None:
+        """Formatting elements that are no longer open are opened again."""
+        if not self.active or self.active[-1] is MARKER or self.active[-1] in self.open:
+            return
+        at = len(self.active) - 1
+        while at > 0 and self.active[at - 1] is not MARKER and self.active[at - 1] not in self.open:
+            at -= 1
+        for i in range(at, len(self.active)):
+            self.active[i] = self._insert(self.active[i].tag, self.active[i].attrs)
+
+    def _format(self, node: _Node) -> None:
+        """At most three equal elements since the last marker are kept."""
+        same = []
+        for i in range(len(self.active) - 1, -1, -1):
+            other = self.active[i]
+            if other is MARKER:
+                break
+            if other.tag == node.tag and other.attrs == node.attrs:
+                same.append(i)
+        if len(same) >= 3:
+            del self.active[same[-1]]
+        self.active.append(node)
+
+    def _adopt(self, tag: str) -> None:
+        """The adoption agency: an end tag of formatting, whatever is open in it."""
+        if self.open[-1].tag == tag and self.open[-1] not in self.active:
+            self.open.pop()
+            return
+        for _ in range(8):
+            formed = None
+            for node in reversed(self.active):
+                if node is MARKER:
+                    break
+                if node.tag == tag:
+                    formed = node
+                    break
+            if formed is None:
+                self._other_end(tag)
+                return
+            if formed not in self.open:
+                self.active.remove(formed)
+                return
+            if not self._in_scope((tag,)):
+                return
+            where = self.open.index(formed)
+            furthest = next((n for n in self.open[where + 1 :] if n.tag in SPECIAL), None)
+            if furthest is None:
+                del self.open[where:]
+                self.active.remove(formed)
+                return
+            above, mark = self.open[where - 1], self.active.index(formed)
+            last, at, steps = furthest, self.open.index(furthest), 0
+            while True:
+                steps += 1
+                at -= 1
+                node = self.open[at]
+                if node is formed:
+                    break
+                if steps > 3 and node in self.active:
+                    mark -= self.active.index(node) < mark
+                    self.active.remove(node)
+                if node not in self.active:
+                    del self.open[at]
+                    continue
+                copy = _Node(node.tag, node.attrs)
+                copy.mode, copy.foreign = node.mode, node.foreign
+                self.active[self.active.index(node)] = copy
+                self.open[at] = copy
+                if last is furthest:
+                    mark = self.active.index(copy) + 1
+                self._move(last, copy)
+                last = copy
+            self.fostering, was = above.tag in FOSTERS, self.fostering
+            if last.parent:
+                last.parent.children.remove(last)
+            self._put(last, above)
+            self.fostering = was
+            copy = _Node(formed.tag, formed.attrs)
+            copy.mode, copy.foreign = furthest.mode, furthest.foreign
+            copy.children = furthest.children
+            for child in copy.children:
+                child.parent = copy
+            furthest.children = []
+            self._move(copy, furthest)
+            mark -= self.active.index(formed) < mark
+            self.active.remove(formed)
+            self.active.insert(mark, copy)
+            self.open.remove(formed)
+            self.open.insert(self.open.index(furthest) + 1, copy)
+
+    @staticmethod
+    def _move(node: _Node, to: _Node) -> None:
+        if node.parent:
+            node.parent.children.remove(node)
+        to.children.append(node)
+        node.parent = to
+
+    def _other_end(self, tag: str) -> None:
+        for node in reversed(self.open):
+            if node.tag == tag:
+                self._imply(tag)
+                while self.open.pop() is not node:
+                    pass
+                return
+            if node.tag in SPECIAL:
+                return
+
+    # --- head and body
+
+    def _begin_html(self, attrs: dict | None = None) -> None:
+        if self.html is None:
+            self.html = self._insert("html", attrs or {})
+            self.html.implied = attrs is None
+        else:
+            for k, v in (attrs or {}).items():
+                self.html.attrs.setdefault(k, v)
+
+    def _begin_head(self, attrs: dict | None = None) -> None:
+        self._begin_html()
+        if self.head is None and self.body is None:
+            self.head = self._insert("head", attrs or {})
+            self.head.implied = attrs is None
+            self.in_head = True
+
+    def _begin_body(self, attrs: dict | None = None) -> None:
+        if self.body is not None:
+            for k, v in (attrs or {}).items():
+                self.body.attrs.setdefault(k, v)
+            return
+        self._begin_head()
+        del self.open[1:]
+        self.in_head = False
+        self.body = self._insert("body", attrs or {})
+        self.body.implied = attrs is None
+
+    def _mode(self) -> str:
+        return self.open[-1].mode
+
+    def _back_to(self, tags) -> None:
+        while self.open[-1].tag not in tags and self.open[-1].tag not in ("html", "template"):
+            self.open.pop()
+
+    # --- tokens
+
+    def feed(self, each: Iterator[Token]) -> None:
+        for kind, name, attrs, alone in each:
+            if kind == "text":
+                self._characters(name)
+            elif kind == "start":
+                self.skip_newline = False
+                self._start(name, attrs, alone)
+            elif kind == "end":
+                self.skip_newline = False
+                self._end(name)
+            elif not self.html:
+                self.quirks = name.lower().split()[:1] != ["html"]
+        self._begin_body()
+
+    def _characters(self, data: str) -> None:
+        if self.skip_newline:
+            self.skip_newline = False
+            data = data.removeprefix("\n")
+        if not data:
+            return
+        top = self.open[-1].tag if self.open else ""
+        if self.body is None and top not in HEAD_ONLY:
+            if self.head is not None and not data.strip(_SPACE):
+                self._text(data)
+                return
+            data = data.lstrip(_SPACE)
+            if not data:
+                return
+            self._begin_body()
+        elif self.body is None and top == "noscript" and data.strip(_SPACE):
+            self._begin_body()
+        if top in _RAW:
+            self._text(data)
+            return
+        outside = self.open[-1].tag in FOSTERS and bool(data.strip(_SPACE))
+        if self._mode() == "colgroup" and data.strip(_SPACE):
+            self._back_to(("colgroup",))
+            self.open.pop()
+            outside = True
+        self.fostering = outside
+        if self.body is not None and self._mode() != "select":
+            self._reopen()
+        self._text(data)
+        self.fostering = False
+
+    def _start(self, tag: str, attrs: dict, alone: bool) -> None:
+        tag = "img" if tag == "image" else tag
+        if tag == "html":
+            return self._begin_html(attrs)
+        if self.body is None:
+            if tag == "head":
+                return self._begin_head(attrs)
+            template = any(n.tag == "template" for n in self.open)
+            if tag in HEAD_ONLY and not template:
+                if self.open and self.open[-1].tag == "noscript" and tag in ("noscript", "base", "title", "script", "template"):
+                    self.open.pop()
+                self._begin_head()
+                outside = not self.in_head
+                if outside:
+                    self.open.append(self.head)
+                self._insert(tag, attrs, keep=tag not in VOID)
+                if outside:
+                    self.open.remove(self.head)
+                return None
+            if not template:
+                self._begin_body(attrs if tag == "body" else None)
+                if tag == "body":
+                    return None
+        elif tag == "head":
+            return None
+        elif tag == "body":
+            return self._begin_body(attrs)
+        foreign = self.open[-1].foreign
+        if foreign:
+            if tag in FOREIGN_ENDS:
+                self._pop_to((foreign,))
+            else:
+                self._insert(tag, attrs, keep=not alone)
                 return None
+        mode = self._mode()
+        if mode == "select" and self._start_in_select(tag, attrs):
+            return None
+        if mode not in ("body", "select") and self._start_in_table(mode, tag, attrs):
+            return None
+        self.fostering = self.open[-1].tag in FOSTERS
+        self._start_in_body(tag, attrs, alone)
+        self.fostering = False
         return None
 
-    def handle_starttag(self, tag, attrs):
-        known: dict[str, str] = {}
-        for name, value in attrs:
-            known.setdefault(name.lower(), value if value is not None else "")
-        if tag in ENDS_P and (at := self._find({"p"}, {"button", "td", "th"})) is not None:
-            self._close(at)
-        if tag in ENDS and (at := self._find(ENDS[tag], CONTAINERS - {"html", "body"} - ENDS[tag])) is not None:
-            self._close(at)
-        node = self._add(tag, known)
-        if tag not in VOID:
-            self.open.append(node)
+    def _start_in_select(self, tag: str, attrs: dict) -> bool:
+        if tag in ("option", "optgroup", "hr"):
+            if self.open[-1].tag == "option":
+                self.open.pop()
+            if tag != "option" and self.open[-1].tag == "optgroup":
+                self.open.pop()
+            self._insert(tag, attrs, keep=tag != "hr")
+            return True
+        if tag in ("select", "input", "textarea", "keygen") or tag in TABLE_PARTS | {"table"} and self._in_scope(("table",)):
+            self._pop_to(("select",))
+            if tag != "select":
+                self._start(tag, attrs, False)
+            return True
+        if tag in ("script", "template"):
+            self._insert(tag, attrs)
+        return True
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+    def _start_in_table(self, mode: str, tag: str, attrs: dict) -> bool:
+        """Whether a start tag was dealt with as a part of a table."""
+        if mode in ("cell", "caption"):
+            if tag in TABLE_PARTS:
+                self._imply()
+                self._pop_to(("td", "th") if mode == "cell" else ("caption",))
+                self._clear_to_marker()
+                self._start(tag, attrs, False)
+                return True
+            return False
+        if mode == "colgroup":
+            if tag in ("col", "template"):
+                self._insert(tag, attrs, keep=tag != "col")
+            else:
+                self._back_to(("colgroup",))
+                self.open.pop()
+                self._start(tag, attrs, False)
+            return True
+        if tag in ("td", "th"):
+            if mode == "tr":
+                self._back_to(("tr",))
+                self._insert(tag, attrs)
+                self.active.append(MARKER)
+            else:
+                self._start("tr", {}, False)
+                self._start(tag, attrs, False)
+            return True
+        if tag == "tr" and mode != "tr":
+            if mode == "group":
+                self._back_to(ROW_GROUPS)
+                self._insert(tag, attrs)
+            else:
+                self._start("tbody", {}, False)
+                self._start(tag, attrs, False)
+            return True
+        if tag in TABLE_PARTS:
+            if mode == "tr":
+                self._back_to(("tr",))
+                self.open.pop()
+            if mode in ("tr", "group") and tag != "tr":
+                self._back_to(ROW_GROUPS)
+                if self.open[-1].tag in ROW_GROUPS:
+                    self.open.pop()
+            elif mode == "tr":
+                self._start(tag, attrs, False)
+                return True
+            self._back_to(("table",))
+            if tag == "col":
+                self._insert("colgroup", {})
+                self._insert(tag, attrs, keep=False)
+            else:
+                self._insert(tag, attrs)
+                if tag == "caption":
+                    self.active.append(MARKER)
+            return True
+        if tag == "table":
+            self._pop_to(("table",))
+            self._start(tag, attrs, False)
+            return True
+        if tag in ("style", "script", "template"):
+            self._insert(tag, attrs)
+            return True
+        if tag == "input" and attrs.get("type", "").lower() == "hidden":
+            self._insert(tag, attrs, keep=False)
+            return True
+        if tag == "form":
+            if self.form is None:
+                self.form = self._insert(tag, attrs, keep=False)
+            return True
+        return False
 
-    def handle_endtag(self, tag):
-        if tag in VOID:
+    def _start_in_body(self, tag: str, attrs: dict, alone: bool) -> None:
+        if tag in TABLE_PARTS or tag in ("frame", "frameset"):
             return
-        at = self._find({tag})
-        if at is not None:
-            self._close(at)
-        elif tag == "p":
-            self._add("p", {})
+        if tag in HEAD_ONLY - {"noscript", "noframes"}:
+            self._insert(tag, attrs, keep=tag not in VOID)
+            return
+        if tag == "form" and self.form is not None:
+            return
+        if tag in HEADINGS or tag in ENDS_P:
+            self._close_p()
+        if tag in HEADINGS and self.open[-1].tag in HEADINGS:
+            self.open.pop()
+        if tag in ("li", "dd", "dt"):
+            for node in reversed(self.open):
+                if node.tag == tag or tag != "li" and node.tag in ("dd", "dt"):
+                    self._imply(node.tag)
+                    self._pop_to((node.tag,))
+                    break
+                if node.tag in SPECIAL and node.tag not in ("address", "div", "p"):
+                    break
+            self._close_p()
+        elif tag == "button" and self._in_scope(("button",)):
+            self._imply()
+            self._pop_to(("button",))
+        elif tag == "a":
+            since = self.active[len(self.active) - self.active[::-1].index(MARKER) :] if MARKER in self.active else self.active
+            old = next((n for n in reversed(since) if n.tag == "a"), None)
+            if old is not None:
+                self._adopt("a")
+                if old in self.active:
+                    self.active.remove(old)
+                if old in self.open:
+                    self.open.remove(old)
+        elif tag == "nobr":
+            self._reopen()
+            if self._in_scope(("nobr",)):
+                self._adopt("nobr")
+        elif tag == "table" and not self.quirks:
+            self._close_p()
+        elif tag in ("option", "optgroup") and self.open[-1].tag == "option":
+            self.open.pop()
+        elif tag in ("rb", "rtc", "rp", "rt") and self._in_scope(("ruby",)):
+            self._imply("rtc" if tag in ("rp", "rt") else "")
+        if tag not in ENDS_P and tag not in HEADINGS and tag not in ("li", "dd", "dt", "table", "param", "source", "track", "rb", "rtc", "rp", "rt"):
+            self._reopen()
+        node = self._insert(tag, attrs, keep=tag not in VOID and not (alone and tag in ("svg", "math")))
+        if tag in FORMATTING:
+            self._format(node)
+        elif tag in ("applet", "marquee", "object"):
+            self.active.append(MARKER)
+        elif tag == "form":
+            self.form = node
+        elif tag in ("pre", "listing", "textarea"):
+            self.skip_newline = True
 
-    def handle_data(self, data):
-        self._add("#text", {}, data)
+    def _end(self, tag: str) -> None:
+        if self.body is None:
+            if self.open and self.open[-1].tag == tag and tag in HEAD_ONLY:
+                self.open.pop()
+            elif tag == "head" and self.in_head:
+                del self.open[1:]
+                self.in_head = False
+            elif tag in ("body", "html", "br", "p"):
+                self._begin_body()
+                self._end(tag)
+            elif tag == "template" or any(n.tag == "template" for n in self.open):
+                self._other_end(tag)
+            return
+        if tag in ("body", "html"):
+            return
+        mode = self._mode()
+        if mode == "select" and tag in TABLE_PARTS | {"table"}:
+            if self._in_scope((tag,), scope=frozenset(("html", "table", "template")) - {tag}):
+                self._pop_to(("select",))
+                self._end(tag)
+        elif tag in TABLE_PARTS or tag == "table":
+            self._end_in_table(tag)
+        else:
+            self.fostering = self.open[-1].tag in FOSTERS
+            self._end_in_body(tag)
+            self.fostering = False
+
+    def _end_in_table(self, tag: str) -> None:
+        if tag == "col" or not self._in_scope((tag,), scope=frozenset(("html", "table", "template")) - {tag}):
+            return
+        while self.open[-1].tag != tag:
+            node = self.open.pop()
+            if node.tag in ("td", "th", "caption"):
+                self._clear_to_marker()
+        self.open.pop()
+        if tag in ("td", "th", "caption"):
+            self._clear_to_marker()
 
+    def _end_in_body(self, tag: str) -> None:
+        if tag == "p":
+            if not self._in_scope(("p",), frozenset(("button",))):
+                self._insert("p", {})
+            self._close_p()
+        elif tag == "br":
+            self._start_in_body("br", {}, False)
+        elif tag in FORMATTING:
+            self._adopt(tag)
+        elif tag == "form":
+            node, self.form = self.form, None
+            if node in self.open and self._in_scope(("form",)):
+                self._imply()
+                self.open.remove(node)
+        elif tag in HEADINGS:
+            if self._in_scope(HEADINGS):
+                self._imply()
+                self._pop_to(HEADINGS)
+        elif tag in BLOCKS or tag in ("li", "dd", "dt", "applet", "marquee", "object"):
+            if self._in_scope((tag,), frozenset(("ol", "ul")) - {tag} if tag == "li" else frozenset()):
+                self._imply(tag if tag in ("li", "dd", "dt") else "")
+                self._pop_to((tag,))
+                if tag in ("applet", "marquee", "object"):
+                    self._clear_to_marker()
+        else:
+            self._other_end(tag)
 
-def build(html: str) -> list[list]:
-    """[parent, last, tag, attrs, text] of elements and texts; a node's descendants are the nodes after it up to last."""
+
+def build(html: str | list[Token]) -> list[list]:
+    """[parent, last, tag, attrs, text] of elements and texts; a node's descendants are the nodes after it up to last.
+
+    html, head and body are listed only where the document writes them.
+    """
     builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    builder._close(0)
-    return builder.nodes
+    builder.feed(tokens(html) if isinstance(html, str) else iter(html))
+    out: list[list] = []
+    todo: list[tuple[_Node | int, int]] = [(child, -1) for child in reversed(builder.root.children)]
+    while todo:
+        node, parent = todo.pop()
+        if isinstance(node, int):
+            out[node][1] = len(out) - 1
+            continue
+        if node.implied:
+            todo += [(child, parent) for child in reversed(node.children)]
+            continue
+        at = len(out)
+        out.append([parent, at, node.tag, node.attrs, node.text and "".join(node.text)])
+        if node.children:
+            todo.append((at, parent))
+            todo += [(child, at) for child in reversed(node.children)]
+    return out
 
 
 def subtree_text(nodes: list[list], at: int, without: frozenset = HIDDEN) -> str:

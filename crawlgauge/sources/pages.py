@@ -71,8 +71,9 @@ def parse(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows: dict[str, list] = {"nodes": [], "main_text": [], "landmark": [], "too_deep": []}
             for html in batch.column("html").to_pylist():
-                deep = html is not None and html_tree.too_deep(html)
-                nodes = [] if deep or html is None else html_tree.build(html)
+                read = list(html_tree.tokens(html or ""))
+                deep = html_tree.too_deep(read)
+                nodes = [] if deep or html is None else html_tree.build(read)
                 text, landmark = html_tree.main_text(nodes)
                 out = []
                 for i, (parent, last, tag, attrs, own) in enumerate(nodes):
