@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: White space as browsers' \s has it.
 SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
+#: The same characters, one by one.
+WHITE = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 #: Openers of a question. Those that end in an ASCII letter need a non-word character next, the others an ASCII word character.
 ASCII_OPENERS = "what|how|why|when|where|which|who|can|should|do|does|is|are|will|que|cómo|como|porque|cuándo|cuando|dónde|donde|cuál|cual|quién|quien|puedo|puede|debo|es|son"
 OTHER_OPENERS = "¿|qué|por qué"
@@ -18,6 +21,11 @@ def utf16_length(s: Column) -> Column:
     return (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("int")
 
 
+def trimmed(s: Column | str) -> Column:
+    """Without white space at the ends, whatever kind it is."""
+    return F.btrim(F.col(s) if isinstance(s, str) else s, F.lit(WHITE))
+
+
 def collapse(s: Column) -> Column:
     """White space runs to one space, ends trimmed."""
     return F.trim(F.regexp_replace(s, f"{SPACE}+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import text, urls
 from . import nodes as N
 
 CHECKED = 10
@@ -13,11 +13,10 @@ CHECKED = 10
 
 def alternates(pages: DataFrame) -> DataFrame:
     """(page_id, final_url, pos, hreflang, href, valid_code, is_self) of each alternate link."""
-    value = lambda n, k: F.trim(F.coalesce(N.attr(n, k), F.lit("")))
+    value = lambda n, k: text.trimmed(F.coalesce(N.attr(n, k), F.lit("")))
     entries = N.where(lambda n: (n["tag"] == "link") & (N.lower_attr(n, "rel") == "alternate") & (value(n, "hreflang") != "") & (value(n, "href") != ""))
-    out = pages.withColumn("alts", entries).withColumn("alt_urls", urls.resolve_all(F.col("final_url"), F.transform("alts", lambda n: value(n, "href"))))
-    each = out.select("page_id", "final_url", "alt_urls", F.posexplode("alts").alias("pos", "n"))
-    href = F.coalesce(F.get("alt_urls", F.col("pos")), value(F.col("n"), "href"))
+    each = pages.select("page_id", "final_url", F.posexplode(entries).alias("pos", "n"))
+    href = F.coalesce("n.url", value(F.col("n"), "href"))
     code = value(F.col("n"), "hreflang")
     return each.select(
         "page_id", "final_url", "pos", code.alias("hreflang"), href.alias("href"), urls.valid_hreflang(code).alias("valid_code"),

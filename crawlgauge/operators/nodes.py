@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 NODES = "nodes"
 
 
@@ -31,11 +33,11 @@ def first(nodes: Column) -> Column:
 def meta(name: str) -> Column:
     """Content of the first meta of that name, trimmed; null if empty."""
     content = attr(first(where(lambda n: (n["tag"] == "meta") & (lower_attr(n, "name") == name))), "content")
-    return F.nullif(F.trim(content), F.lit(""))
+    return F.nullif(text.trimmed(content), F.lit(""))
 
 
 def tokens(value: Column) -> Column:
-    return F.split(F.trim(value), r"\s+")
+    return F.split(text.trimmed(value), r"\s+")
 
 
 def has_token(n: Column, name: str, token: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, urls
 from . import nodes as N
+from . import probes
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
@@ -19,23 +20,23 @@ def meta_tags(pages: DataFrame) -> DataFrame:
     titles = N.tag("title")
     canonicals = N.where(lambda n: (n["tag"] == "link") & (N.lower_attr(n, "rel") == "canonical"))
     header = F.element_at("headers", F.lit("x-robots-tag"))
-    canonical_href = F.nullif(F.trim(N.attr(N.first(canonicals), "href")), F.lit(""))
+    canonical = N.first(canonicals)
     html = N.first(N.tag("html"))
     declared = N.attr(N.first(N.where(lambda n: (n["tag"] == "meta") & n["attrs"].isNotNull() & F.map_contains_key(n["attrs"], "charset"))), "charset")
     out = pages.withColumns({
-        "title": F.nullif(F.trim(N.first(titles)["text"]), F.lit("")),
+        "title": F.nullif(text.trimmed(N.first(titles)["text"]), F.lit("")),
         "title_count": F.size(titles),
         "description": N.meta("description"),
         "canonical_count": F.size(canonicals),
-        "canonical": F.get(urls.resolve_all(F.col("final_url"), F.array(canonical_href)), F.lit(0)),
+        "canonical": F.when(text.trimmed(N.attr(canonical, "href")) != "", canonical["url"]),
         "meta_robots": N.meta("robots"),
         "x_robots_tag": header,
-        "lang": F.nullif(F.trim(N.attr(html, "lang")), F.lit("")),
-        "charset": F.coalesce(F.nullif(F.trim(declared), F.lit("")), F.nullif(F.regexp_extract(F.coalesce("content_type", F.lit("")), r"(?i)charset=([^;\s]+)", 1), F.lit(""))),
+        "lang": F.nullif(text.trimmed(N.attr(html, "lang")), F.lit("")),
+        "charset": F.coalesce(F.nullif(text.trimmed(declared), F.lit("")), F.nullif(F.regexp_extract(F.coalesce("content_type", F.lit("")), r"(?i)charset=([^;\s]+)", 1), F.lit(""))),
         "viewport": N.meta("viewport"),
         "favicon": N.attr(N.first(N.where(lambda n: (n["tag"] == "link") & N.has_token(n, "rel", "icon"))), "href"),
     })
-    directives = F.filter(F.transform(F.split(F.lower(F.concat_ws(",", "meta_robots", "x_robots_tag")), ","), lambda d: F.trim(d)), lambda d: d != "")
+    directives = F.filter(F.transform(F.split(F.lower(F.concat_ws(",", "meta_robots", "x_robots_tag")), ","), lambda d: text.trimmed(d)), lambda d: d != "")
     out = out.withColumns({
         "title_length": F.coalesce(text.utf16_length(F.col("title")), F.lit(0)),
         "description_length": F.coalesce(text.utf16_length(F.col("description")), F.lit(0)),
@@ -86,7 +87,7 @@ def meta_tags(pages: DataFrame) -> DataFrame:
 
 def _first_wins(selected: Column, key: str) -> Column:
     """map of lower-cased key to content; the first of repeated keys stays."""
-    pairs = F.transform(selected, lambda n: F.struct(N.lower_attr(n, key).alias("k"), F.trim(F.coalesce(N.attr(n, "content"), F.lit(""))).alias("v")))
+    pairs = F.transform(selected, lambda n: F.struct(N.lower_attr(n, key).alias("k"), text.trimmed(F.coalesce(N.attr(n, "content"), F.lit(""))).alias("v")))
     pairs = F.filter(pairs, lambda p: p["v"] != "")
     kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda e: e["k"] == p["k"]))
     return F.map_from_entries(kept)
@@ -97,15 +98,20 @@ def social(pages: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
     og = N.where(lambda n: (n["tag"] == "meta") & N.lower_attr(n, "property").rlike("^(og:|article:)"))
     twitter = N.where(lambda n: (n["tag"] == "meta") & N.lower_attr(n, "name").startswith("twitter:"))
     out = pages.withColumns({"open_graph": _first_wins(og, "property"), "twitter": _first_wins(twitter, "name")})
+    has_image = lambda m, k: F.map_contains_key(m, k)
     image = F.coalesce(F.element_at("open_graph", F.lit("og:image")), F.element_at("twitter", F.lit("twitter:image")))
-    out = out.withColumn("raw_image", image).withColumn("og_image_url", F.get(urls.resolve_all(F.col("final_url"), F.array(F.col("raw_image"))), F.lit(0)))
+    named = lambda key, name: N.first(N.where(lambda n: (n["tag"] == "meta") & (N.lower_attr(n, key) == name) & (text.trimmed(N.attr(n, "content")) != "")))
+    url = F.when(has_image("open_graph", "og:image"), named("property", "og:image")["url"]).otherwise(named("name", "twitter:image")["url"])
+    out = out.withColumn("raw_image", image).withColumn("og_image_url", url)
     if fetches is None:
         out = out.withColumn("og_image_status", F.lit(None).cast("int"))
     else:
-        probed = fetches.select(urls.visit_key(F.col("url")).alias("image_key"), F.col("status").alias("og_image_status"))
+        probed = probes.outcomes(fetches).select(F.col("key").alias("image_key"), F.col("status").alias("og_image_status"), F.lit(True).alias("image_probed"))
         out = out.join(probed, urls.visit_key(F.col("og_image_url")) == F.col("image_key"), "left").drop("image_key")
-    reachable = F.col("og_image_status").between(200, 299)
-    has = lambda m, k: F.map_contains_key(m, k)
+    # a probe that got no answer found nothing
+    probed = F.col("image_probed") if fetches is not None else F.lit(None).cast("boolean")
+    reachable = F.when(probed, F.coalesce(F.col("og_image_status").between(200, 299), F.lit(False)))
+    has = has_image
     score = sum(F.when(has("open_graph", k), points).otherwise(0) for k, points in fixed.OG_POINTS.items())
     score = score + F.when(has("twitter", "twitter:card"), 10).otherwise(0) + F.when(has("open_graph", "og:site_name"), 5).otherwise(0) + F.when(reachable, 5).otherwise(0)
     relative = has("open_graph", "og:image") & ~F.element_at("open_graph", F.lit("og:image")).rlike("(?i)^https?://")
@@ -119,10 +125,10 @@ def social(pages: DataFrame, fetches: DataFrame | None = None) -> DataFrame:
         N.finding("twitter_card_missing", "warn", ~has("twitter", "twitter:card")),
         N.finding("image_invalid", "fail", F.col("raw_image").isNotNull() & F.col("og_image_url").isNull()),
         N.finding("image_reachable", "pass", reachable),
-        N.finding("image_unreachable", "fail", F.col("og_image_status").isNotNull() & ~reachable),
+        N.finding("image_unreachable", "fail", ~reachable),
         N.finding("image_relative", "fail", relative),
     )
-    return out.withColumns({"og_image_reachable": reachable, "social_score": text.clamp(score), "social_grade": text.grade(score), "social_findings": found}).drop("raw_image")
+    return out.withColumns({"og_image_reachable": reachable, "social_score": text.clamp(score), "social_grade": text.grade(score), "social_findings": found}).drop("raw_image", "image_probed")
 
 
 def headings(pages: DataFrame) -> DataFrame:
@@ -202,16 +208,16 @@ def top_terms(pages: DataFrame, most: int = 15) -> DataFrame:
 def images(pages: DataFrame) -> DataFrame:
     """images array, counts; image_score."""
     src = lambda n: F.coalesce(N.attr(n, "src"), N.attr(n, "data-src"))
-    imgs = F.filter(N.tag("img"), lambda n: F.trim(F.coalesce(src(n), F.lit(""))) != "")
-    out = pages.withColumn("img_nodes", imgs).withColumn("img_urls", urls.resolve_all(F.col("final_url"), F.transform("img_nodes", src)))
+    imgs = F.filter(N.tag("img"), lambda n: text.trimmed(F.coalesce(src(n), F.lit(""))) != "")
+    out = pages.withColumn("img_nodes", imgs)
 
-    def one(n: Column, i: Column) -> Column:
-        url = F.coalesce(F.get("img_urls", i), src(n))
+    def one(n: Column) -> Column:
+        url = F.coalesce(n["url"], src(n))
         kind = F.lower(F.regexp_extract(url, r"\.([A-Za-z0-9_]{2,5})(?:[?#]|$)", 1))
         alt = N.attr(n, "alt")
         size_missing = N.attr(n, "width").isNull() | N.attr(n, "height").isNull()
         return F.struct(
-            url.alias("src"), alt.isNull().alias("missing_alt"), F.coalesce(F.trim(alt) == "", F.lit(False)).alias("empty_alt"),
+            url.alias("src"), alt.isNull().alias("missing_alt"), F.coalesce(text.trimmed(alt) == "", F.lit(False)).alias("empty_alt"),
             size_missing.alias("missing_dimensions"), (N.lower_attr(n, "loading") == "lazy").alias("lazy_loaded"), kind.isin("webp", "avif").alias("modern_format"),
         )
 
@@ -232,7 +238,7 @@ def images(pages: DataFrame) -> DataFrame:
         N.finding("lazy_loading", "pass", lazy > 0), N.finding("lazy_loading_absent", "warn", (lazy == 0) & (n > 5)),
     )
     out = out.withColumns({"legacy_format": n - F.col("modern_format"), "image_score": text.clamp(score), "image_grade": text.grade(score), "image_findings": found})
-    return out.drop("img_nodes", "img_urls", "picture_sources")
+    return out.drop("img_nodes", "picture_sources")
 
 
 def links(pages: DataFrame, checked: DataFrame | None = None) -> DataFrame:
@@ -240,17 +246,17 @@ def links(pages: DataFrame, checked: DataFrame | None = None) -> DataFrame:
 
     checked(page_id, checked_count, broken_count): the outcome of link_status(); None: links were not probed.
     """
-    href = lambda n: F.trim(F.coalesce(N.attr(n, "href"), F.lit("")))
+    href = lambda n: text.trimmed(F.coalesce(N.attr(n, "href"), F.lit("")))
     anchors = F.filter(N.tag("a"), lambda n: (href(n) != "") & ~href(n).rlike("(?i)^(#|mailto:|tel:|javascript:|data:)"))
-    out = pages.withColumn("anchors", anchors).withColumn("hrefs", urls.resolve_all(F.col("final_url"), F.transform("anchors", href)))
+    out = pages.withColumn("anchors", anchors)
     imgs = N.tag("img")
 
-    def one(n: Column, i: Column) -> Column:
+    def one(n: Column) -> Column:
         label = text.collapse(F.coalesce(n["text"], F.lit("")))
         image = N.first(F.filter(imgs, lambda m: N.inside(m, n) & F.map_contains_key(m["attrs"], "alt")))
-        named = (F.trim(F.coalesce(N.attr(image, "alt"), F.lit(""))) != "") | (F.trim(F.coalesce(N.attr(n, "aria-label"), F.lit(""))) != "")
+        named = (text.trimmed(F.coalesce(N.attr(image, "alt"), F.lit(""))) != "") | (text.trimmed(F.coalesce(N.attr(n, "aria-label"), F.lit(""))) != "")
         rel = N.attr(n, "rel")
-        url = F.get("hrefs", i)
+        url = n["url"]
         return F.struct(
             url.alias("href"), label.alias("text"), (urls.host(url) == urls.host(F.col("final_url"))).alias("internal"), rel.alias("rel"),
             F.coalesce(F.lower(rel).rlike(r"\bnofollow\b"), F.lit(False)).alias("nofollow"),
@@ -258,7 +264,7 @@ def links(pages: DataFrame, checked: DataFrame | None = None) -> DataFrame:
             ((label == "") & ~named).alias("empty_anchor"), F.lower(label).isin(fixed.GENERIC_ANCHORS).alias("generic"),
         )
 
-    out = out.withColumn("links", F.filter(F.transform("anchors", one), lambda x: x["href"].isNotNull())).drop("anchors", "hrefs")
+    out = out.withColumn("links", F.filter(F.transform("anchors", one), lambda x: x["href"].isNotNull())).drop("anchors")
     count = lambda test: F.size(F.filter("links", test))
     out = out.withColumns({
         "total_links": F.size("links"), "internal_links": count(lambda x: x["internal"]), "external_links": count(lambda x: ~x["internal"]),
@@ -296,10 +302,9 @@ def link_sample(pages: DataFrame, most: int = fixed.LINK_SAMPLE) -> DataFrame:
 
 
 def link_status(sample: DataFrame, fetches: DataFrame) -> DataFrame:
-    """(page_id, checked_count, broken_count) of sampled links joined with fetches(url, status)."""
-    probed = fetches.select(urls.visit_key(F.col("url")).alias("key"), "status")
-    joined = sample.join(probed, urls.visit_key(F.col("href")) == F.col("key"), "left")
-    return joined.groupBy("page_id").agg(F.count("key").alias("checked_count"), F.count_if(urls.broken(F.col("status"))).alias("broken_count"))
+    """(page_id, checked_count, broken_count) of sampled links joined with fetches(url, status, ...), see probes.outcomes. A probe without an answer is broken."""
+    joined = sample.join(probes.outcomes(fetches), urls.visit_key(F.col("href")) == F.col("key"), "left")
+    return joined.groupBy("page_id").agg(F.count("key").alias("checked_count"), F.count_if(F.col("key").isNotNull() & F.coalesce(urls.broken(F.col("status")), F.lit(True))).alias("broken_count"))
 
 
 def external_domains(pages: DataFrame, most: int = 20) -> DataFrame:

@@ -1,14 +1,19 @@
-"""Redirect chains and canonical hosts."""
+"""Redirect chains, followed over a fetch log, and canonical hosts."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text, urls
 from . import nodes as N
 
 TEMPORARY = (302, 307)
+REDIRECTS = (301, 302, 303, 307, 308)
+#: Redirects that are followed.
+MOST_HOPS = 10
 
 
 def trace(fetches: DataFrame) -> DataFrame:
@@ -27,6 +32,59 @@ def trace(fetches: DataFrame) -> DataFrame:
     return out.withColumn("redirect_findings", found)
 
 
+def resolved(log: DataFrame) -> DataFrame:
+    """log(url, status, location, ...) with ``key``, the URL as a browser writes it, and ``target``, the location made absolute; null where there is none or it cannot be.
+
+    A stage of its own, so that what follows can join by it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            asked = batch.column("url").to_pylist()
+            key = [urls.resolve_one(u, "") or u for u in asked]
+            target = [urls.resolve_one(u, x) for u, x in zip(asked, batch.column("location").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.string()), pa.array(target, pa.string())], [*batch.schema.names, "key", "target"])
+
+    return log.mapInArrow(run, T.StructType([*log.schema.fields, T.StructField("key", T.StringType()), T.StructField("target", T.StringType())]))
+
+
+def follow(log: DataFrame, most: int = MOST_HOPS) -> DataFrame:
+    """(url, final_url, hop_count, outcome, has_temporary_redirect, path) of each URL of a fetch log(url, status, location).
+
+    outcome: final, loop (the chain comes back to a URL that it left), too_many (more than
+    ``most`` redirects), or unknown (it leads to a URL that the log lacks). Chains double
+    each round: every URL knows its next 1, 2, 4, ... hops, and what it does not yet know it
+    takes from the URL where it stands; so rounds grow with the logarithm of ``most``, and a
+    chain that has ended takes no part any more. path holds at most twice ``most`` URLs. Of
+    several rows of a URL the one of the greatest status, then location, counts.
+    """
+    known = resolved(log.select("url", "status", "location")).select(urls.visit_key(F.col("key")).alias("key"), F.struct("status", urls.visit_key(F.col("target")).alias("target")).alias("s"))
+    known = known.groupBy("key").agg(F.max("s").alias("s")).select("key", "s.status", "s.target")
+    moves = F.col("status").isin(*REDIRECTS) & F.col("target").isNotNull()
+    step = F.struct(F.col("target").alias("url"), F.col("status").isin(*TEMPORARY).alias("temporary"))
+    jumps = known.select("key", F.when(moves, F.array(step)).otherwise(F.array().cast("array<struct<url:string,temporary:boolean>>")).alias("hops"))
+    reach = 1
+    chains = jumps.withColumn("open", F.size("hops") > 0)
+    while reach <= most:
+        at = F.element_at("hops", -1)["url"]
+        further = chains.select(F.col("key").alias("at"), F.col("hops").alias("more"), F.col("open").alias("more_open"))
+        going = chains.where("open").withColumn("at", at).join(further, "at", "left")
+        # a chain is settled when it stands at a URL that leads nowhere; where it comes back to a URL it has left it goes on to the end of the rounds
+        going = going.select("key", F.concat("hops", F.coalesce("more", F.array().cast("array<struct<url:string,temporary:boolean>>"))).alias("hops"), F.coalesce("more_open", F.lit(False)).alias("open"))
+        chains = chains.where("not open").unionByName(going)
+        reach *= 2
+    path = F.concat(F.array("key"), F.transform("hops", lambda h: h["url"]))
+    back = F.filter(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.array_contains(F.slice("path", F.lit(1), i), F.get("path", i)))
+    first_back = F.when(F.size("path") > 1, F.array_min(back))
+    out = chains.withColumn("path", path).withColumn("back", first_back)
+    looped = F.col("back").isNotNull() & (F.col("back") <= most)
+    hops = F.least(F.when(looped, F.col("back")).otherwise(F.size("path") - 1), F.lit(most))
+    out = out.select("key", F.slice("hops", F.lit(1), hops).alias("hops"), F.slice("path", F.lit(1), hops + 1).alias("path"), (F.size("path") - 1).alias("all"), hops.alias("hop_count"), looped.alias("looped"))
+    ends = out.withColumn("final_url", F.element_at("path", -1)).join(known.select(F.col("key").alias("final_url"), F.lit(True).alias("there")), "final_url", "left")
+    outcome = F.when(F.col("looped"), "loop").when(F.col("all") > most, "too_many").when(F.col("there"), "final").otherwise("unknown")
+    return ends.select(F.col("key").alias("url"), "final_url", F.col("hop_count").cast("int").alias("hop_count"), outcome.alias("outcome"), F.exists("hops", lambda h: h["temporary"]).alias("has_temporary_redirect"), "path")
+
+
 def host_variants(domains: DataFrame) -> DataFrame:
     """(domain, variant) of the four ways to ask for a domain's root."""
     base = urls.apex(F.col("domain"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, text
 from . import nodes as N
 
 READ_BYTES, WARNINGS = 512_000, 100
@@ -20,10 +20,10 @@ def lines(robots: DataFrame) -> DataFrame:
     body = F.make_valid_utf8(F.substring(F.coalesce("body", F.lit("")).cast("binary"), 1, READ_BYTES).cast("string"))
     there = robots.where(~F.coalesce(F.col("status").isin(*ABSENT), F.lit(False)))
     each = there.select("origin", F.posexplode(F.split(body, r"\r\n|\r|\n", -1)).alias("line", "raw"))
-    bare = each.withColumn("bare", F.trim(F.regexp_replace("raw", "#.*$", "")))
+    bare = each.withColumn("bare", text.trimmed(F.regexp_replace("raw", "#.*$", "")))
     colon = F.instr("bare", ":")
     return bare.where(F.col("bare") != "").select(
-        "origin", "line", F.when(colon > 0, F.lower(F.trim(F.substring_index("bare", ":", 1)))).alias("field"), F.when(colon > 0, F.trim(F.expr("substring(bare, instr(bare, ':') + 1)"))).alias("value")
+        "origin", "line", F.when(colon > 0, F.lower(text.trimmed(F.substring_index("bare", ":", 1)))).alias("field"), F.when(colon > 0, text.trimmed(F.expr("substring(bare, instr(bare, ':') + 1)"))).alias("value")
     )
 
 

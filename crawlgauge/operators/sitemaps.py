@@ -132,7 +132,8 @@ def report(entries: DataFrame, sites: DataFrame) -> DataFrame:
     totals = entries.groupBy("sitemap_url").agg(
         F.count("*").alias("url_count"), F.count("lastmod").alias("with_lastmod"), F.count_if(~shaped).alias("invalid_lastmod"),
         F.max(at).alias("newest_lastmod"), F.min(at).alias("oldest_lastmod"),
-        F.count_if(urls.origin(F.col("loc")) != urls.origin(F.col("sitemap_url"))).alias("off_origin"), F.count_if(~F.lower("loc").startswith("https://")).alias("non_https"),
+        F.count_if(urls.host(F.col("loc")) != urls.host(F.col("sitemap_url"))).alias("off_origin"),  # what is no URL has no host
+        F.count_if(~urls.scheme(F.col("loc")).isin("https", "")).alias("non_https"),
     )
     repeats = entries.groupBy("sitemap_url", "loc").agg(F.count("*").alias("n")).where("n > 1").groupBy("sitemap_url").agg(F.count("*").alias("duplicate_urls"))
     out = sites.join(totals, "sitemap_url", "left").join(repeats, "sitemap_url", "left").fillna(0, ["url_count", "with_lastmod", "invalid_lastmod", "off_origin", "non_https", "duplicate_urls"])
@@ -143,7 +144,7 @@ def report(entries: DataFrame, sites: DataFrame) -> DataFrame:
     score = 40 - F.when(F.col("kind") == "unknown", 25).otherwise(0) + F.when(F.col("via") == "robots.txt", 10).otherwise(0) + F.when(n > 0, 15).otherwise(0) + text.round_half_up(20 * coverage) + F.when((F.col("off_origin") == 0) & (n > 0), 5).otherwise(0)
     found = N.findings(
         N.finding("sitemap_found", "pass"), N.finding("sitemap_unknown", "fail", F.col("kind") == "unknown"), N.finding("sitemap_undeclared", "warn", F.col("via") != "robots.txt"),
-        N.finding("sitemap_empty", "fail", n == 0), N.finding("lastmod_none", "warn", (n > 0) & (F.col("with_lastmod") == 0)),
+        N.finding("sitemap_empty", "fail", (n == 0) & (F.col("kind") != "index")), N.finding("lastmod_none", "warn", (n > 0) & (F.col("with_lastmod") == 0)),
         N.finding("lastmod_coverage", F.when(coverage >= 0.9, "pass").otherwise("warn"), F.col("with_lastmod") > 0), N.finding("lastmod_invalid", "fail", F.col("invalid_lastmod") > 0),
         N.finding("off_origin", "fail", F.col("off_origin") > 0), N.finding("non_https", "warn", F.col("non_https") > 0), N.finding("duplicates", "warn", F.col("duplicate_urls") > 0),
         N.finding("urls_too_many", "fail", n > fixed.SITEMAP_URLS), N.finding("index", "info", F.col("kind") == "index"),

@@ -71,7 +71,7 @@ def _evaluate(types: Column, properties: Column, kind: str) -> Column:
 
 def structured_data(pages: DataFrame) -> DataFrame:
     """items array, parse_errors, types_found, which families are there; schema_score."""
-    scripts = N.where(lambda n: (n["tag"] == "script") & (F.trim(N.lower_attr(n, "type")) == "application/ld+json"))
+    scripts = N.where(lambda n: (n["tag"] == "script") & (text.trimmed(N.lower_attr(n, "type")) == "application/ld+json"))
     scopes = N.where(lambda n: F.map_contains_key(n["attrs"], "itemscope") & F.map_contains_key(n["attrs"], "itemtype"))
     props = N.where(lambda n: F.map_contains_key(n["attrs"], "itemprop"))
     out = pages.withColumns({"ld": json_ld(F.transform(scripts, lambda n: F.coalesce(n["text"], F.lit("")))), "scopes": scopes, "props": props})
@@ -79,7 +79,7 @@ def structured_data(pages: DataFrame) -> DataFrame:
     micro = F.transform(
         "scopes",
         lambda s: _evaluate(
-            F.array(F.regexp_replace(F.trim(N.attr(s, "itemtype")), r"(?i)^https?://schema\.org/", "")),
+            F.array(F.regexp_replace(text.trimmed(N.attr(s, "itemtype")), r"(?i)^https?://schema\.org/", "")),
             F.array_distinct(F.transform(F.filter("props", lambda p: N.inside(p, s)), lambda p: N.attr(p, "itemprop"))),
             "microdata",
         ),

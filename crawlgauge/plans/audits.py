@@ -63,11 +63,14 @@ def error_kind(message: Column) -> Column:
 
 
 def with_site(pages: DataFrame, robots_txt: DataFrame | None) -> DataFrame:
-    """Pages with their origin's robots report and the search crawlers that it blocks there; nulls where none was fetched."""
+    """Pages with their origin's robots report, its findings, and the search crawlers that it blocks there; nulls where none was fetched."""
     pages = pages.withColumns({"origin": urls.origin(F.col("final_url")), "path": urls.path(F.col("final_url"))})
     if robots_txt is None:
-        return pages.withColumns({"robots_score": F.lit(None).cast("int"), "blocks_everything": F.lit(None).cast("boolean"), "sitemap_count": F.lit(None).cast("long"), "blocked_search": F.lit(None).cast("array<string>")})
-    report = robots.site_report(robots_txt).select("origin", "robots_score", "blocks_everything", "sitemap_count")
+        return pages.withColumns({"robots_score": F.lit(None).cast("int"), "blocks_everything": F.lit(None).cast("boolean"), "sitemap_count": F.lit(None).cast("long"), "blocked_search": F.lit(None).cast("array<string>"), "robots_findings": F.lit(None).cast("array<struct<code:string,severity:string>>")})
+    # one robots.txt an origin: an answer before an error, then the longer one
+    rank = F.struct(F.col("status").alias("status"), (-F.length(F.coalesce("body", F.lit("")))).alias("size"), F.col("body").alias("body"))
+    robots_txt = robots_txt.groupBy("origin").agg(F.min(rank).alias("r")).select("origin", "r.status", "r.body")
+    report = robots.site_report(robots_txt).select("origin", "robots_score", "blocks_everything", "sitemap_count", "robots_findings")
     access = robots.access_summary(robots.crawler_access(pages.select("origin", "path").distinct().join(robots_txt.select("origin"), "origin", "left_semi"), robots_txt))
     return pages.join(report, "origin", "left").join(access.select("origin", "path", F.col("blocked_citation_critical").alias("blocked_search")), ["origin", "path"], "left")
 
@@ -119,7 +122,8 @@ def seo_audit(pages: DataFrame, include_geo: bool = False) -> DataFrame:
         "structured_data": F.col("schema_score"), "images": F.col("image_score"), "links": F.col("links_score"), "robots": robots_score,
     }
     none = F.array().cast("array<struct<code:string,severity:string>>")
-    found = {"meta": F.concat("meta_findings", "social_findings"), "headings": F.col("heading_findings"), "content": F.col("content_findings"), "structured_data": F.col("schema_findings"), "images": F.col("image_findings"), "links": F.col("link_findings"), "robots": none}
+    robots_found = F.coalesce("robots_findings", none)
+    found = {"meta": F.concat("meta_findings", "social_findings"), "headings": F.col("heading_findings"), "content": F.col("content_findings"), "structured_data": F.col("schema_findings"), "images": F.col("image_findings"), "links": F.col("link_findings"), "robots": robots_found}
     sections = F.array(*[
         F.struct(F.lit(k).alias("id"), scores[k].cast("int").alias("score"), text.grade(scores[k]).alias("grade"), F.lit(w).alias("weight"), issues(found[k]).alias("issues"))
         for k, w in fixed.SECTION_WEIGHTS.items()

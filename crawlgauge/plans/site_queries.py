@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls
-from ..operators import hreflang, llms_txt, onpage, redirects, robots, sitemaps, structured_data
+from ..operators import hreflang, llms_txt, onpage, probes, redirects, robots, sitemaps, structured_data
 from ..sources import pages as src
+from . import audits
 
 ROBOTS = [
     "User-agent: *\nDisallow:", "User-agent: *\nDisallow: /fr/\nAllow: /fr/8\nSitemap: https://x.example/s.xml", "User-agent: gptbot\nDisallow: /\n\nUser-agent: *\nDisallow: /de",
     "User-agent: GPTBot\nUser-agent: ClaudeBot\nDisallow: /*/1*\n# end\n\nUser-agent: Googlebot\nDisallow: /*$", "User-agent: *\nDisallow: /\n\nUser-agent: GPTBot\nDisallow:", "User-agent: OAI-SearchBot\nDisallow: /\nCrawl-delay: 3",
     "Disallow: /early\nnonsense\nUser-agent: *\nDisallow: /e*5$\nAllow: /en/9\nfoo: bar", "User-agent: ClaudeBot\nDisallow: /es\n\nUser-agent: claudebot\nDisallow: /en/2",
+    "\ufeffUser-agent:\t*\nDisallow:\t/es\t", "User-agent: *\u00a0\r\n\tDisallow : /en\u00a0# why",
 ]
 LLMS = ["# Name\n> About\n## Docs\n- [a](https://a.example/a)\n## Optional\n* [b](/b)", "plain", "# Only a title\n- [x](y)", ""]
 HEADS = [
@@ -59,7 +61,7 @@ def crawler_access_by_purpose(spark, sf_dir):
 def sitemap_lastmod_stats(spark, sf_dir):
     n = F.col("page_id")
     lastmod = F.when(n % 4 == 0, F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"))).when(n % 4 == 1, "last week").when(n % 4 == 2, F.concat(F.lit("2023-05-05T"), F.lpad((n % 24).cast("string"), 2, "0"), F.lit(":30:00Z")))
-    entries = _pages(spark, sf_dir).select(F.concat(F.lit("https://"), urls.host(F.col("url")), F.lit("/sitemap.xml")).alias("sitemap_url"), urls.visit_key(F.col("url")).alias("loc"), lastmod.alias("lastmod"))
+    entries = _pages(spark, sf_dir).select(F.concat(F.lit("https://"), urls.host(F.col("url")), F.lit("/sitemap.xml")).alias("sitemap_url"), F.when(n % 7 == 3, "no url").when(n % 11 == 5, "https://other.example/x").otherwise(urls.visit_key(F.col("url"))).alias("loc"), lastmod.alias("lastmod"))
     sites = entries.select("sitemap_url").distinct().withColumns({"kind": F.lit("urlset"), "via": F.when(F.length("sitemap_url") % 2 == 0, "robots.txt").otherwise("convention")})
     out = sitemaps.report(entries, sites)
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
@@ -146,6 +148,82 @@ def crawler_findings(spark, sf_dir):
     return out.select("origin", "allowed_count", "blocked_count", F.array_join("blocked_citation_critical", ",").alias("search_blocked"), codes.alias("findings"))
 
 
+def redirect_log(spark, sf_dir):
+    """A fetch log: runs of pages that redirect each to the next, some back, some by a path alone, some out of the log."""
+    n = F.col("page_id")
+    base = F.concat(urls.visit_key(F.col("url")), F.lit("/~"), n.cast("string"))
+    nodes = _pages(spark, sf_dir).select("page_id", base.alias("url"))
+    to = F.when((n % 60 >= 40) & (n % 60 < 58), n + 1).when(n % 4 == 0, F.lit(None)).when(n % 12 == 11, n - 2).when(n % 30 == 13, F.lit(-1)).otherwise(n + 1)
+    joined = nodes.withColumn("to", to).join(nodes.select(F.col("page_id").alias("to"), F.col("url").alias("next")), "to", "left")
+    location = F.when(F.col("to") == -1, F.concat(F.lit("https://gone.example/"), n.cast("string"))).when((n % 5 == 2) & (urls.scheme(F.col("next")) == urls.scheme(F.col("url"))), F.regexp_replace("next", "^[a-z]+:", "")).otherwise(F.col("next"))
+    return joined.select("page_id", "url", F.when(location.isNull(), 200).when(n % 3 == 1, 302).otherwise(301).alias("status"), location.alias("location"))
+
+
+def redirect_chains(spark, sf_dir):
+    return redirects.follow(redirect_log(spark, sf_dir)).select("url", "final_url", "hop_count", "outcome", "has_temporary_redirect")
+
+
+def rejected_pages(spark, sf_dir):
+    n = F.col("page_id")
+    pages = src.with_http_defaults(_pages(spark, sf_dir)).withColumns({
+        "status": F.when(n % 9 == 1, 404).when(n % 9 == 4, 503).otherwise(200), "content_type": F.when(n % 5 == 2, "application/pdf").when(n % 5 == 3, "").otherwise("text/html"), "html": F.when(n % 13 != 6, F.when(n % 17 == 8, F.repeat(F.lit("<div>"), 600)).otherwise(F.col("html"))),
+    })
+    return src.load(pages).where("size(causes) > 0").select("page_id", F.array_join("causes", ",").alias("causes"))
+
+
+ALTERNATES = [
+    '<link rel="alternate" hreflang="de" href="/d"><link rel="alternate" hreflang="DE" href="/e"><link rel="alternate" hreflang="x-default" href="/">', '<link rel="alternate" hreflang="english" href="/e"><link rel="alternate" hreflang="zh-Hant-TW" href="/z">', "",
+    '<link rel="alternate" hreflang=" fr " href=" /f "><link rel="alternate" hreflang="en_US" href="/u"><link rel="alternate" hreflang="es-419" href="/s">',
+]
+
+
+def hreflang_report(spark, sf_dir):
+    parsed = _spliced(spark, sf_dir, head=_choice(ALTERNATES, F.col("page_id")))
+    out = hreflang.page_report(parsed, hreflang.alternates(parsed))
+    codes = F.array_join(F.transform("hreflang_findings", lambda f: F.concat(f["severity"], F.lit(":"), f["code"])), ",")
+    return out.select("page_id", F.col("alternates").cast("long").alias("alternates"), "has_x_default", F.array_join("duplicate_codes", ",").alias("duplicate_codes"), F.array_join("invalid_codes", ",").alias("invalid_codes"), codes.alias("findings"))
+
+
+DIRECTIVES = [
+    '<title>\n  A title of fitting length, in lines\n</title><meta name="robots" content=" NOINDEX,\n nofollow ">', '<meta name="robots" content="none"><meta name="description" content="\n\tshort\n">', '<meta name="robots" content="index, follow"><link rel="canonical" href=" /self ">', "",
+]
+
+
+def meta_directives(spark, sf_dir):
+    """Each page's title goes, so that the spliced head says all."""
+    html = F.regexp_replace("html", "(?s)<title>.*?</title>|<meta name=\"?(?:description|robots)[^>]*>|<link rel=\"?canonical[^>]*>", "")
+    html = F.regexp_replace(html, F.lit("</head>"), F.concat(_choice(DIRECTIVES, F.col("page_id")), F.lit("</head>")))
+    found = onpage.meta_tags(src.parse(src.with_http_defaults(_pages(spark, sf_dir).select("page_id", "url", html.alias("html")))))
+    return found.select("page_id", "title", "title_length", "description", "description_length", F.array_join("robots_directives", ",").alias("directives"), "indexable", "followable")
+
+
+def seo_robots_section(spark, sf_dir):
+    """The audit joined with robots.txt and with answer-engine readiness: the robots section, its issues, and what follows from them."""
+    pages = audits.with_site(audits.analysed(src.with_http_defaults(_pages(spark, sf_dir))), robots_table(spark, sf_dir))
+    out = audits.seo_audit(audits.geo_audit(pages), include_geo=True)
+    section = F.get(F.filter("sections", lambda s: s["id"] == "robots"), F.lit(0))
+    access = F.get(F.filter("signals", lambda s: s["id"] == "crawler_access"), F.lit(0))
+    return out.select(
+        "page_id", section["score"].alias("robots_score"), section["grade"].alias("robots_grade"), F.array_join(section["issues"], ",").alias("issues"), access["earned"].alias("crawler_access"),
+        F.array_contains("top_recommendations", "unblock_robots").alias("advises_unblocking"), F.array_join("blocked_search", ",").alias("blocked_search"),
+    )
+
+
+def link_probes(spark, sf_dir):
+    """The link audit with probes: links of all pages are probed once each, at most 5 of a host; answers by a rule, some of them missing, refused or repeated."""
+    parsed = onpage.links(src.parse(src.with_http_defaults(_pages(spark, sf_dir))))
+    sample = onpage.link_sample(parsed)
+    planned = probes.plan(sample, 5)
+    size = F.length("key")
+    status = F.when(size % 7 == 0, 404).when(size % 7 == 1, 403).when(size % 7 == 2, F.lit(None)).otherwise(200)
+    first = planned.where(size % 11 != 0).select(F.col("key").alias("url"), status.alias("status"), F.lit("GET").alias("method"), F.lit(1).alias("fetched_at"))
+    later = first.where(F.length("url") % 7 == 0).select("url", F.lit(200).alias("status"), "method", F.lit(0).alias("fetched_at"))
+    refused = first.where(F.length("url") % 3 == 0).select("url", F.lit(405).alias("status"), F.lit("HEAD").alias("method"), F.lit(2).alias("fetched_at"))
+    checked = onpage.link_status(sample, first.unionByName(later).unionByName(refused))
+    out = onpage.links(src.parse(src.with_http_defaults(_pages(spark, sf_dir))), checked)
+    return out.select("page_id", "checked_count", "broken_count", "links_score")
+
+
 SITEMAP_FILES = [
     '<?xml version="1.0"?><urlset><url ><loc><![CDATA[https://a.example/x]]></loc><lastmod>2024-01-01</lastmod></url><url><loc>https://a.example/?a=1&#38;b=2</loc></url></urlset>',
     "<sitemapindex><sitemap><loc> https://a.example/1.xml </loc></sitemap><sitemap><loc>https://a.example/2.xml</loc></sitemap></sitemapindex>",
@@ -159,7 +237,7 @@ def sitemap_files(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
+    redirect_chains, rejected_pages, hreflang_report, meta_directives, seo_robots_section, link_probes, robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
     schema_missing_required, image_alt_score, social_score, llms_sections, private_hosts,
 )}
 
@@ -177,10 +255,11 @@ def _numbered(name: str, values: list[str]) -> str:
 _PG = """pg AS (SELECT page_id, url, html, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host,
   regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(regexp_replace(url, '#.*$', ''), '(\\?.*)$', 1) AS q FROM pages)"""
 _NORMAL = "scheme || '://' || host || CASE WHEN regexp_replace(p, '/+$', '') = '' THEN '/' ELSE regexp_replace(p, '/+$', '') END || q"
+_WHITE = "' ' || " + " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 160, 0xFEFF))
 _RULES = f"""{_numbered("bodies", ROBOTS)}, {_PG},
 raws AS (SELECT i, unnest(string_split(body, chr(10))) AS raw, generate_subscripts(string_split(body, chr(10)), 1) AS ln FROM bodies),
-bare AS (SELECT i, ln, trim(regexp_replace(raw, '#.*$', '')) AS b FROM raws),
-fields AS (SELECT i, ln, lower(trim(split_part(b, ':', 1))) AS field, trim(substr(b, instr(b, ':') + 1)) AS value FROM bare WHERE contains(b, ':')),
+bare AS (SELECT i, ln, trim(regexp_replace(raw, '#.*$', ''), {_WHITE}) AS b FROM raws),
+fields AS (SELECT i, ln, lower(trim(split_part(b, ':', 1), {_WHITE})) AS field, trim(substr(b, instr(b, ':') + 1), {_WHITE}) AS value FROM bare WHERE contains(b, ':')),
 kept AS (SELECT *, field = 'user-agent' AS is_agent FROM fields WHERE (field = 'user-agent' AND value <> '') OR field IN ('allow', 'disallow', 'crawl-delay', 'host', 'clean-param', 'noindex')),
 seen AS (SELECT *, max(CASE WHEN is_agent THEN 1 ELSE 0 END) OVER (PARTITION BY i ORDER BY ln) AS s FROM kept),
 flagged AS (SELECT *, is_agent AND NOT coalesce(lag(is_agent) OVER (PARTITION BY i ORDER BY ln), false) AS opens FROM seen WHERE s = 1),
@@ -211,7 +290,7 @@ _REC = _values("recommended", "type, props", [(t, ",".join(r[1])) for t, r in fi
 #: What the bodies of ROBOTS say, by hand: groups, sitemaps, groups with a delay, whether all is blocked at the root, codes of the warnings.
 _SAY = [
     (1, 0, 0, False, ""), (1, 1, 0, False, ""), (2, 0, 0, False, ""), (2, 0, 0, False, ""), (2, 0, 0, True, ""), (1, 0, 1, False, ""),
-    (1, 0, 0, False, "warn:rule_before_agent,warn:no_colon,warn:unknown_field"), (2, 0, 0, False, ""),
+    (1, 0, 0, False, "warn:rule_before_agent,warn:no_colon,warn:unknown_field"), (2, 0, 0, False, ""), (1, 0, 0, False, ""), (1, 0, 0, False, ""),
 ]
 #: What the files of SITEMAP_FILES hold, by hand.
 _HOLD = [("urlset", 2, 0, "https://a.example/?a=1&b=2"), ("index", 0, 2, None), ("unknown", 0, 0, None), ("index", 0, 0, None), ("unknown", 0, 0, None), ("urlset", 1, 0, "https://a.example/cut")]
@@ -238,10 +317,10 @@ SQL = {
     "crawler_access_by_purpose": f"WITH {_RULES}, {_CRAWLERS}, flags AS (SELECT i, bool_or(agent = 'applebot') AS apple, bool_or(agent = 'googlebot') AS google FROM agents GROUP BY i), "
     + _judged("SELECT origin || ' ' || token AS id, origin, '/' AS path, purpose, CASE WHEN token = 'Applebot' AND NOT coalesce(apple, false) AND coalesce(google, false) THEN 'Googlebot' ELSE token END AS agent FROM robots LEFT JOIN flags USING (i), crawlers WHERE NOT deprecated")
     + " SELECT purpose, count(*) FILTER (allowed) AS allowed_count, count(*) FILTER (NOT allowed) AS blocked_count FROM judged GROUP BY purpose",
-    "sitemap_lastmod_stats": f"""WITH {_PG}, e AS (SELECT 'https://' || host || '/sitemap.xml' AS sitemap_url, scheme, host, CASE page_id % 4 WHEN 0 THEN '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') WHEN 1 THEN 'last week'
+    "sitemap_lastmod_stats": f"""WITH {_PG}, e AS (SELECT 'https://' || host || '/sitemap.xml' AS sitemap_url, page_id % 7 = 3 OR page_id % 11 = 5 AS elsewhere, CASE page_id % 4 WHEN 0 THEN '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') WHEN 1 THEN 'last week'
       WHEN 2 THEN '2023-05-05T' || lpad(CAST(page_id % 24 AS VARCHAR), 2, '0') || ':30:00Z' END AS lastmod FROM pg),
       t AS (SELECT *, try_cast(replace(replace(lastmod, 'T', ' '), 'Z', '') AS TIMESTAMP) AS tm FROM e),
-      s AS (SELECT sitemap_url, count(*) AS url_count, count(lastmod) AS with_lastmod, least(20, count(*) FILTER (lastmod = 'last week')) AS invalid_lastmod, least(20, count(*) FILTER (scheme <> 'https')) AS off_origin,
+      s AS (SELECT sitemap_url, count(*) AS url_count, count(lastmod) AS with_lastmod, least(20, count(*) FILTER (lastmod = 'last week')) AS invalid_lastmod, least(20, count(*) FILTER (elsewhere)) AS off_origin,
         strftime(max(tm), '%Y-%m-%d %H:%M:%S') AS newest_lastmod, strftime(min(tm), '%Y-%m-%d %H:%M:%S') AS oldest_lastmod FROM t GROUP BY sitemap_url)
       SELECT *, CAST(40 + CASE WHEN length(sitemap_url) % 2 = 0 THEN 10 ELSE 0 END + 15 + floor(20 * (with_lastmod / url_count) + 0.5) + CASE WHEN off_origin = 0 THEN 5 ELSE 0 END AS INTEGER) AS sitemap_score FROM s""",
     "redirect_loops": f"WITH {_PG} SELECT page_id, CAST(page_id % 5 AS INTEGER) AS hop_count, len(list_distinct(list_transform(range(page_id % 5), lambda i: i % 3))) < page_id % 5 AS has_loop, false AS https_upgrade, page_id % 5 > 1 AS has_temporary_redirect FROM pg",
@@ -264,4 +343,35 @@ SQL = {
       x AS (SELECT origin, b IS NOT NULL AS found, nullif(regexp_extract(b, '(?m)^#[ \\t]+(.+)$', 1), '') AS title, nullif(regexp_extract(b, '(?m)^>[ \\t]*(.+)$', 1), '') AS summary, coalesce(regexp_extract_all(b, '(?m)^##[ \\t]+(.+)$', 1), []) AS sec,
         coalesce(len(regexp_extract_all(b, '(?m)^[ \\t]*[-*][ \\t]*\\[[^\\]]*\\]\\([^)]*\\)')), 0) AS n FROM f)
       SELECT origin, found, title, summary, array_to_string(sec, ',') AS sections, CAST(n AS INTEGER) AS link_count, list_contains(list_transform(sec, lambda s: lower(s)), 'optional') AS has_optional FROM x""",
+    "redirect_chains": f"""WITH RECURSIVE {_PG}, nodes AS (SELECT page_id AS n, regexp_replace(url, '#.*$', '') || '/~' || page_id AS url FROM pg),
+      edges AS (SELECT a.n, a.url, CASE WHEN a.n % 60 >= 40 AND a.n % 60 < 58 THEN a.n + 1 WHEN a.n % 4 = 0 THEN NULL WHEN a.n % 12 = 11 THEN a.n - 2 WHEN a.n % 30 = 13 THEN -1 ELSE a.n + 1 END AS nxt FROM nodes a),
+      log AS (SELECT e.url, CASE WHEN e.nxt = -1 THEN 'https://gone.example/' || e.n ELSE t.url END AS target, e.n % 3 = 1 AS temporary FROM edges e LEFT JOIN nodes t ON t.n = e.nxt),
+      walk(start, here, path, temporary, hops, looped) AS (SELECT url, url, [url], false, 0, false FROM log
+        UNION ALL SELECT w.start, l.target, list_append(w.path, l.target), w.temporary OR l.temporary, hops + 1, list_contains(w.path, l.target) FROM walk w JOIN log l ON l.url = w.here WHERE l.target IS NOT NULL AND NOT w.looped AND hops < 10),
+      last AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops DESC) AS r FROM walk)
+      SELECT start AS url, here AS final_url, hops AS hop_count, CASE WHEN looped THEN 'loop' WHEN EXISTS (SELECT 1 FROM log l WHERE l.url = here AND l.target IS NOT NULL) THEN 'too_many' WHEN EXISTS (SELECT 1 FROM log l WHERE l.url = here) THEN 'final' ELSE 'unknown' END AS outcome,
+        temporary AS has_temporary_redirect FROM last WHERE r = 1""",
+    "rejected_pages": """WITH c AS (SELECT page_id, concat_ws(',', CASE WHEN page_id % 9 = 1 THEN 'http_404' WHEN page_id % 9 = 4 THEN 'http_503' END,
+        CASE WHEN page_id % 13 <> 6 AND (page_id % 5 = 2 OR page_id % 5 = 3 AND page_id % 17 = 8) THEN 'not_html' END, CASE WHEN page_id % 13 = 6 THEN 'no_body' END) AS causes FROM pages)
+      SELECT page_id, CASE WHEN causes = '' THEN 'too_deep' ELSE causes END AS causes FROM c WHERE causes <> '' OR page_id % 17 = 8""",
+    "hreflang_report": f"""WITH {_numbered("heads", ALTERNATES)}, t AS (SELECT page_id, list_transform(regexp_extract_all(body, 'hreflang="([^"]*)"', 1), lambda x: trim(x)) AS c FROM pages JOIN heads ON page_id % {len(ALTERNATES)} = i),
+      x AS (SELECT page_id, len(c) AS n, list_contains(list_transform(c, lambda v: lower(v)), 'x-default') AS d, list_filter(c, lambda v: NOT regexp_matches(v, '(?i)^[a-z]{{2,3}}(-[a-z]{{4}})?(-([a-z]{{2}}|[0-9]{{3}}))?$') AND lower(v) <> 'x-default') AS bad,
+        list_distinct(list_filter(list_transform(c, lambda v: lower(v)), lambda v: len(list_filter(c, lambda u: lower(u) = v)) > 1)) AS dup, page_id % {len(ALTERNATES)} = 0 AND regexp_matches(url, '^[a-z]+://[^/]*/?(#.*)?$') AS self FROM t JOIN pages USING (page_id))
+      SELECT page_id, CAST(n AS BIGINT) AS alternates, d AS has_x_default, array_to_string(dup, ',') AS duplicate_codes, array_to_string(bad, ',') AS invalid_codes,
+        concat_ws(',', CASE WHEN n = 0 THEN 'info:hreflang_none' ELSE 'pass:hreflang_found' END, CASE WHEN n > 0 AND NOT self THEN 'fail:self_reference_missing' WHEN self THEN 'pass:self_reference' END,
+          CASE WHEN n > 0 AND NOT d THEN 'warn:x_default_missing' WHEN d THEN 'pass:x_default' END, CASE WHEN len(dup) > 0 THEN 'fail:duplicate_codes' END, CASE WHEN len(bad) > 0 THEN 'fail:invalid_codes' END) AS findings FROM x""",
+    "meta_directives": f"""WITH {_numbered("heads", DIRECTIVES)}, t AS (SELECT page_id, nullif(trim(regexp_extract(body, '(?s)<title>(.*?)</title>', 1), {_WHITE}), '') AS title, nullif(trim(regexp_extract(body, '(?s)name="description" content="([^"]*)"', 1), {_WHITE}), '') AS description,
+        list_filter(list_transform(string_split(lower(regexp_extract(body, '(?s)name="robots" content="([^"]*)"', 1)), ','), lambda x: trim(x, {_WHITE})), lambda x: x <> '') AS d FROM pages JOIN heads ON page_id % {len(DIRECTIVES)} = i)
+      SELECT page_id, title, CAST(coalesce(length(title), 0) AS INTEGER) AS title_length, description, CAST(coalesce(length(description), 0) AS INTEGER) AS description_length, array_to_string(d, ',') AS directives,
+        NOT list_has_any(d, ['noindex', 'none']) AS indexable, NOT list_has_any(d, ['nofollow', 'none']) AS followable FROM t""",
 }
+_REPORTS = SQL["robots_reports"]
+SQL["seo_robots_section"] = f"""WITH {_RULES}, {_CRAWLERS}, flags AS (SELECT i, bool_or(agent = 'applebot') AS apple, bool_or(agent = 'googlebot') AS google FROM agents GROUP BY i),
+  paths AS (SELECT DISTINCT {_PATH} FROM pg), """ + _judged(
+    "SELECT origin || ' ' || path || ' ' || token AS id, origin, path, token, ordinal, CASE WHEN token = 'Applebot' AND NOT coalesce(apple, false) AND coalesce(google, false) THEN 'Googlebot' ELSE token END AS agent FROM paths JOIN robots USING (origin) LEFT JOIN flags USING (i), crawlers WHERE NOT deprecated AND purpose = 'search'"
+) + f""", b AS (SELECT origin, path, coalesce(string_agg(token, ',' ORDER BY ordinal) FILTER (NOT allowed), '') AS blocked FROM judged GROUP BY origin, path),
+  rep AS ({_REPORTS}), f AS (SELECT origin, robots_score, blocks_everything, string_split(findings, ',') AS l FROM rep),
+  g AS (SELECT origin, robots_score, blocks_everything, list_concat(list_filter(l, lambda x: x LIKE 'fail:%'), list_filter(l, lambda x: x LIKE 'warn:%'))[1:3] AS worst FROM f)
+  SELECT page_id, CAST(robots_score AS INTEGER) AS robots_score, {'CASE WHEN robots_score >= 90 THEN ' + repr('A') + ' WHEN robots_score >= 80 THEN ' + repr('B') + ' WHEN robots_score >= 70 THEN ' + repr('C') + ' WHEN robots_score >= 60 THEN ' + repr('D') + ' ELSE ' + repr('F') + ' END'} AS robots_grade,
+    array_to_string(list_transform(worst, lambda x: substr(x, 6)), ',') AS issues, CASE WHEN blocked = '' THEN 25 ELSE 0 END AS crawler_access, blocks_everything AS advises_unblocking, blocked AS blocked_search
+  FROM (SELECT page_id, {_PATH} FROM pg) p JOIN b USING (origin, path) JOIN g USING (origin)"""

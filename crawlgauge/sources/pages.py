@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from . import html_tree
 
 MAX_HTML_BYTES = 2_000_000
 
-NODES = "array<struct<id:int,parent:int,last:int,tag:string,attrs:map<string,string>,text:string>>"
-_NODE = pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
+NODES = "array<struct<id:int,parent:int,last:int,tag:string,attrs:map<string,string>,text:string,url:string>>"
+_NODE = pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("url", pa.string())])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +59,52 @@ def loadable(pages: DataFrame) -> DataFrame:
     )
 
 
+def causes(pages: DataFrame) -> Column:
+    """Codes of all gates that a page fails, in the order in which they are tried."""
+    there = F.col("html").isNotNull()
+    return F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("status").between(200, 299), F.lit(False)), F.concat(F.lit("http_"), F.coalesce(F.col("status").cast("string"), F.lit("none")))),
+        F.when(there & ~F.coalesce(looks_like_html(F.col("content_type"), F.col("html")), F.lit(False)), F.lit("not_html")),
+        F.when(~there, F.lit("no_body")),
+    ))
+
+
+def load(pages: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """pages parsed, with ``causes``: why a page is rejected, all gates in order; empty where it is accepted. A rejected page has no nodes.
+
+    counts, an Observation, tells after an action on the result how many pages, accepted and too_deep there were.
+    """
+    gated = pages.withColumn("causes", causes(pages)).withColumn("html", F.when(F.size("causes") == 0, F.col("html")))
+    out = parse(gated).withColumn("causes", F.when(F.col("too_deep"), F.array(F.lit("too_deep"))).otherwise(F.col("causes")))
+    if counts is not None:
+        out = out.observe(counts, F.count("*").alias("pages"), F.count_if(F.size("causes") == 0).alias("accepted"), F.count_if("too_deep").alias("too_deep"))
+    return out
+
+
+def load_both(pages: DataFrame, path: str, counts: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): one pass over pages writes both under path; rejected has page_id, url and causes."""
+    out = load(pages, counts).withColumn("rejected", F.size("causes") > 0)
+    out.write.partitionBy("rejected").parquet(path)
+    both = pages.sparkSession.read.schema(out.schema).parquet(path)
+    return both.where("not rejected").drop("rejected", "causes"), both.where("rejected").select("page_id", "url", "causes")
+
+
+def referred(tag: str, attrs: dict[str, str]) -> str | None:
+    """What an element refers to, as it stands."""
+    if tag in ("a", "link"):
+        return attrs.get("href")
+    if tag == "img":
+        return attrs.get("src", attrs.get("data-src"))
+    if tag == "meta" and (attrs.get("property", "").lower() == "og:image" or attrs.get("name", "").lower() == "twitter:image"):
+        return attrs.get("content")
+    return None
+
+
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id and, from its html: nodes, main_text, landmark, too_deep. One pass over each page in Arrow batches.
+    """pages' columns and, from html: nodes, main_text, landmark, too_deep. One pass over each page in Arrow batches.
 
-    Only page_id and html enter Python; join back other columns, or carry them as below.
+    A node's url is what it refers to (href of links and anchors, src of images, content of a
+    preview image), absolute, against the page's final_url.
     """
     keep = [c for c in pages.columns if c != "html"]
     out_fields = [(f.name, f.dataType.simpleString()) for f in pages.select(*keep).schema.fields]
@@ -70,7 +113,8 @@ def parse(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {"nodes": [], "main_text": [], "landmark": [], "too_deep": []}
-            for html in batch.column("html").to_pylist():
+            bases = batch.column("final_url").to_pylist() if "final_url" in keep else [None] * batch.num_rows
+            for html, base in zip(batch.column("html").to_pylist(), bases, strict=True):
                 read = list(html_tree.tokens(html or ""))
                 deep = html_tree.too_deep(read)
                 nodes = [] if deep or html is None else html_tree.build(read)
@@ -80,7 +124,7 @@ def parse(pages: DataFrame) -> DataFrame:
                     if tag in html_tree.TEXT_OF or attrs.get("id") in html_tree.ROOT_IDS or "data-reactroot" in attrs:
                         own = html_tree.subtree_text(nodes, i, frozenset())
                     if tag != "#text":
-                        out.append({"id": i, "parent": parent, "last": last, "tag": tag, "attrs": list(attrs.items()), "text": own})
+                        out.append({"id": i, "parent": parent, "last": last, "tag": tag, "attrs": list(attrs.items()), "text": own, "url": urls.resolve_one(base, referred(tag, attrs))})
                 for name, value in zip(rows, (out, text, landmark, deep), strict=True):
                     rows[name].append(value)
             arrays = [batch.column(c) for c in keep]
