@@ -24,11 +24,12 @@ def plan(wanted: DataFrame, most: int) -> DataFrame:
 def outcomes(fetches: DataFrame) -> DataFrame:
     """(key, status) of each visit key of fetches(url, status): its latest fetch by fetched_at where that column is there; null status: no answer came.
 
-    An answer by which a server refuses HEAD counts only where no other came (column method).
+    An answer by which a server refuses HEAD counts only where no other came; of answers of the same time that to HEAD counts (column method).
     """
     at = F.col("fetched_at") if "fetched_at" in fetches.columns else F.lit(0)
-    answered = ~((F.col("method") == "HEAD") & F.col("status").isin(*HEAD_REFUSED)) if "method" in fetches.columns else F.lit(True)
-    order = F.struct(F.coalesce(answered, F.lit(True)).alias("answered"), at.alias("at"), F.col("status").alias("status"))
+    head = F.coalesce(F.col("method") == "HEAD", F.lit(False)) if "method" in fetches.columns else F.lit(False)
+    answered = ~(head & F.coalesce(F.col("status").isin(*HEAD_REFUSED), F.lit(False)))
+    order = F.struct(answered.alias("answered"), at.alias("at"), head.alias("head"), F.col("status").alias("status"))
     return fetches.groupBy(urls.visit_key(F.col("url")).alias("key")).agg(F.max(order).alias("best")).select("key", F.col("best.status").alias("status"))
 
 

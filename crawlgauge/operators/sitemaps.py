@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, text, urls
 from . import nodes as N
+from . import probes
 
 SAMPLE, CHILDREN = 20, 3
 
@@ -36,11 +37,14 @@ def gunzipped(raw: pd.Series) -> pd.DataFrame:
 
 
 def discovered(origins: DataFrame, robots_sitemaps: DataFrame, fetches: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
-    """(origin, sitemap_url, via): an explicit one (origin, sitemap_url), else the first that robots.txt names, else the first usual place that answers. fetches(url, status)."""
-    named = robots_sitemaps.where(F.col("url").rlike("(?i)^https?://[^/]+")).select("origin", F.col("url").alias("sitemap_url"), F.lit("robots.txt").alias("via"), F.col("pos").alias("turn"))
+    """(origin, sitemap_url, via): an explicit one (origin, sitemap_url), else the first that robots.txt names, if that is a URL, else the first usual place that answers.
+
+    fetches(url, status, ...), see probes.outcomes: a place answers by HEAD or, where HEAD is refused, by GET.
+    """
+    named = robots_sitemaps.groupBy("origin").agg(F.min_by("url", "pos").alias("sitemap_url")).where(F.col("sitemap_url").rlike("(?i)^https?://[^/]+")).select("origin", "sitemap_url", F.lit("robots.txt").alias("via"), F.lit(0).alias("turn"))
     places = F.array(*[F.struct(F.lit(i + 1_000_000).alias("turn"), F.lit(p).alias("place")) for i, p in enumerate(fixed.SITEMAP_PATHS)])
     usual = origins.select("origin", F.explode(places).alias("p")).select("origin", F.concat("origin", "p.place").alias("sitemap_url"), F.lit("convention").alias("via"), F.col("p.turn").alias("turn"))
-    usual = usual.join(fetches.where("status between 200 and 299").select(F.col("url").alias("sitemap_url")), "sitemap_url", "left_semi")
+    usual = usual.join(probes.outcomes(fetches).where("status between 200 and 299").select(F.col("key").alias("sitemap_url")), "sitemap_url", "left_semi")
     both = named.unionByName(usual.select(*named.columns))
     if explicit is not None:
         both = both.unionByName(explicit.select("origin", "sitemap_url", F.lit("explicit").alias("via"), F.lit(-1).alias("turn")))
@@ -105,10 +109,11 @@ def parsed(sitemaps: DataFrame) -> DataFrame:
 
 
 def from_raw(fetched: DataFrame) -> DataFrame:
-    """fetched(sitemap_url, raw binary), gunzipped where it is gzip, as parsed(); a file beyond the read limit is unknown."""
-    plain = fetched.withColumn("_g", gunzipped(F.col("raw")))
+    """fetched(sitemap_url, raw binary), gunzipped where it is gzip, as parsed(), with ``cut``: whether the read limit was met. A plain file beyond it is read so far; one that unpacks beyond it is unknown."""
+    limit = F.lit(fixed.SITEMAP_READ)
+    plain = fetched.withColumn("_long", F.coalesce(F.octet_length("raw") > limit, F.lit(False))).withColumn("_g", gunzipped(F.substring("raw", F.lit(1), limit)))
     text_ = F.when(~F.col("_g.too_large"), F.make_valid_utf8(F.col("_g.data").cast("string")))
-    return parsed(plain.select(*[c for c in fetched.columns if c != "raw"], text_.alias("xml")))
+    return parsed(plain.select(*[c for c in fetched.columns if c != "raw"], (F.col("_long") | F.coalesce("_g.too_large", F.lit(False))).alias("cut"), text_.alias("xml")))
 
 
 def with_children(maps: DataFrame, fetched: DataFrame, most: int = CHILDREN) -> DataFrame:
@@ -150,3 +155,45 @@ def report(entries: DataFrame, sites: DataFrame) -> DataFrame:
         N.finding("urls_too_many", "fail", n > fixed.SITEMAP_URLS), N.finding("index", "info", F.col("kind") == "index"),
     )
     return out.withColumns({"sitemap_score": text.clamp(score), "sitemap_grade": text.grade(score), "sitemap_findings": found})
+
+
+def _latest(fetches: DataFrame) -> DataFrame:
+    """(key, status, raw) of each URL's latest GET; null status: it failed."""
+    got = fetches.where(F.col("method") != "HEAD") if "method" in fetches.columns else fetches
+    at = F.col("fetched_at") if "fetched_at" in fetches.columns else F.lit(0)
+    return got.groupBy(urls.visit_key(F.col("url")).alias("key")).agg(F.max_by(F.struct("status", "raw"), F.struct(at, "status")).alias("g")).select("key", "g.status", "g.raw")
+
+
+def lifecycle(origins: DataFrame, robots_sitemaps: DataFrame, fetches: DataFrame, explicit: DataFrame | None = None, most: int = CHILDREN) -> DataFrame:
+    """One report an origin, from a log of raw fetches(url, status, raw, ...) to findings: discovery, unpacking, an index's first children, validation.
+
+    A child file is read once, however many indexes name it. Children that did not answer
+    with a sitemap are warned of; a file that met the read limit makes the counts lower bounds.
+    An origin without a sitemap, or whose sitemap has an error status, scores 0.
+    """
+    ok = F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    raw = _latest(fetches)
+    sites = discovered(origins, robots_sitemaps, fetches, explicit).withColumn("key", urls.visit_key(F.col("sitemap_url"))).join(raw.select("key", "status"), "key", "left")
+    mains = from_raw(sites.where(ok).select("key").distinct().join(raw, "key").select(F.col("key").alias("main"), "raw"))
+    named = mains.where("kind = 'index'").select("main", F.posexplode(F.slice("children", 1, most)).alias("nth", "child")).withColumn("key", urls.visit_key(F.col("child")))
+    read = from_raw(named.select("key").distinct().join(raw.where(ok), "key").select("key", "raw")).select("key", "entries", F.col("cut").alias("child_cut"))
+    children = named.join(raw.select("key", "status"), "key", "left").join(read, "key", "left")
+    warned = F.when(~ok, F.struct(F.when(F.col("status").isNull(), "child_unread").otherwise("child_status").alias("code"), F.lit("warn").alias("severity")))
+    of_main = children.groupBy("main").agg(
+        F.count_if(ok).alias("followed"), F.coalesce(F.bool_or("child_cut"), F.lit(False)).alias("child_cut"),
+        F.transform(F.array_sort(F.collect_list(F.when(warned.isNotNull(), F.struct("nth", warned.alias("f"))))), lambda x: x["f"]).alias("warned"),
+    )
+    entries = mains.select(F.col("main").alias("sitemap_url"), F.explode("entries").alias("e")).unionByName(children.select(F.col("main").alias("sitemap_url"), F.explode("entries").alias("e"))).select("sitemap_url", "e.*")
+    known = mains.select("main", "kind", "cut", F.size("children").alias("child_count")).join(of_main, "main", "left")
+    reported = report(entries, sites.where(ok).drop("status").drop("sitemap_url").withColumnRenamed("key", "sitemap_url").join(known.withColumnRenamed("main", "sitemap_url"), "sitemap_url"))
+    is_index = lambda f: f["code"] == "index"
+    capped = N.findings(N.finding("read_cap", "warn", F.coalesce("cut", F.lit(False)) | F.coalesce("child_cut", F.lit(False))))
+    none = F.array().cast("array<struct<code:string,severity:string>>")
+    told = F.concat(F.coalesce("warned", none), F.filter("sitemap_findings", lambda f: ~is_index(f)), capped, F.filter("sitemap_findings", is_index))
+    reported = reported.select("origin", "kind", "child_count", "followed", "url_count", "with_lastmod", "newest_lastmod", "oldest_lastmod", "off_origin", "non_https", "duplicate_urls", "invalid_lastmod", "sitemap_score", "sitemap_grade", told.alias("told"))
+    out = origins.select("origin").join(sites.select("origin", "sitemap_url", "via", "status"), "origin", "left").join(reported, "origin", "left")
+    failed = N.findings(N.finding("sitemap_missing", "fail", F.col("sitemap_url").isNull()), N.finding("sitemap_status", "fail", F.col("sitemap_url").isNotNull()))
+    return out.withColumns({
+        "found": F.col("kind").isNotNull(), "kind": F.coalesce("kind", F.lit("unknown")), "url_count": F.coalesce("url_count", F.lit(0)), "child_count": F.coalesce("child_count", F.lit(0)), "followed": F.coalesce("followed", F.lit(0)),
+        "sitemap_score": F.coalesce("sitemap_score", F.lit(0)), "sitemap_grade": F.coalesce("sitemap_grade", F.lit("F")), "sitemap_findings": F.coalesce("told", failed),
+    }).drop("told")

@@ -3,6 +3,8 @@ each is made from the page table's own rows by a fixed rule, the same in Spark a
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,8 +238,27 @@ def sitemap_files(spark, sf_dir):
     return sitemaps.from_raw(files).select("page_id", "kind", F.size("entries").alias("entry_count"), F.size("children").alias("child_count"), F.get("entries", F.size("entries") - 1)["loc"].alias("last_loc"))
 
 
+def sitemap_lifecycle(spark, sf_dir):
+    """From a log of raw bytes, packed and plain, to each origin's sitemap report; which place answers, and how, follows from the origin's length."""
+    table = robots_table(spark, sf_dir)
+    kind = F.length("origin") % 5
+    file = lambda i, pack=False: F.lit(gzip.compress(SITEMAP_FILES[i].encode(), mtime=0) if pack else SITEMAP_FILES[i].encode())
+    row = lambda path, method, status, raw=None: F.struct(F.concat("origin", F.lit(path)).alias("url"), F.lit(method).alias("method"), F.lit(status).alias("status"), (F.lit(None).cast("binary") if raw is None else raw).alias("raw"))
+    rows = (
+        F.when(kind == 0, F.array(row("/sitemap.xml", "HEAD", 405), row("/sitemap.xml", "GET", 200, file(0, True))))
+        .when(kind == 1, F.array(row("/sitemap.xml", "HEAD", 404), row("/sitemap_index.xml", "HEAD", 200), row("/sitemap_index.xml", "GET", 200, file(1))))
+        .when(kind == 2, F.array(row("/sitemap.xml", "HEAD", 200), row("/sitemap.xml", "GET", 500)))
+        .when(kind == 4, F.array(row("/sitemap.xml", "HEAD", 200), row("/sitemap.xml", "GET", 200, file(3))))
+    )
+    log = table.select(F.explode(rows).alias("r")).select("r.*")
+    shared = [("https://a.example/1.xml", "GET", 200, bytearray(gzip.compress(SITEMAP_FILES[5].encode(), mtime=0))), ("https://a.example/2.xml", "GET", 500, None), ("https://x.example/s.xml", "GET", 200, bytearray(SITEMAP_FILES[2].encode()))]
+    out = sitemaps.lifecycle(table.select("origin"), robots.sitemaps(table), log.unionByName(spark.createDataFrame(shared, log.schema)))
+    codes = F.array_join(F.transform("sitemap_findings", lambda f: F.concat(f["severity"], F.lit(":"), f["code"])), ",")
+    return out.select("origin", "sitemap_url", "via", "status", "found", "kind", F.col("url_count").cast("long").alias("url_count"), F.col("followed").cast("long").alias("followed"), F.col("sitemap_score").cast("int").alias("sitemap_score"), codes.alias("findings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    redirect_chains, rejected_pages, hreflang_report, meta_directives, seo_robots_section, link_probes, robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
+    sitemap_lifecycle,    redirect_chains, rejected_pages, hreflang_report, meta_directives, seo_robots_section, link_probes, robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
     schema_missing_required, image_alt_score, social_score, llms_sections, private_hosts,
 )}
 
@@ -295,6 +316,15 @@ _SAY = [
 #: What the files of SITEMAP_FILES hold, by hand.
 _HOLD = [("urlset", 2, 0, "https://a.example/?a=1&b=2"), ("index", 0, 2, None), ("unknown", 0, 0, None), ("index", 0, 0, None), ("unknown", 0, 0, None), ("urlset", 1, 0, "https://a.example/cut")]
 
+#: What becomes of each kind of origin, by hand: place, via, status, found, kind, URLs, children read, score, findings. 9: robots.txt names an empty file.
+_LIFE = [
+    (0, "/sitemap.xml", "convention", 200, True, "urlset", 2, 0, 65, "pass:sitemap_found,warn:sitemap_undeclared,warn:lastmod_coverage,fail:off_origin"),
+    (1, "/sitemap_index.xml", "convention", 200, True, "index", 1, 1, 55, "warn:child_status,pass:sitemap_found,warn:sitemap_undeclared,warn:lastmod_none,fail:off_origin,info:index"),
+    (2, "/sitemap.xml", "convention", 500, False, "unknown", 0, 0, 0, "fail:sitemap_status"), (3, None, None, None, False, "unknown", 0, 0, 0, "fail:sitemap_missing"),
+    (4, "/sitemap.xml", "convention", 200, True, "index", 0, 0, 40, "pass:sitemap_found,warn:sitemap_undeclared,info:index"),
+    (9, "https://x.example/s.xml", "robots.txt", 200, True, "unknown", 0, 0, 25, "pass:sitemap_found,fail:sitemap_unknown,fail:sitemap_empty"),
+]
+
 SQL = {
     "robots_reports": f"""WITH {_PG}, {_values("say", "i, groups, maps, delays, blocks, warned", [(i, *s) for i, s in enumerate(_SAY)])},
       s AS (SELECT DISTINCT scheme || '://' || host AS origin FROM pg), r AS (SELECT origin, length(origin) % 11 <> 0 AS found, say.* FROM s JOIN say ON length(origin) % {len(ROBOTS)} = i)
@@ -343,6 +373,9 @@ SQL = {
       x AS (SELECT origin, b IS NOT NULL AS found, nullif(regexp_extract(b, '(?m)^#[ \\t]+(.+)$', 1), '') AS title, nullif(regexp_extract(b, '(?m)^>[ \\t]*(.+)$', 1), '') AS summary, coalesce(regexp_extract_all(b, '(?m)^##[ \\t]+(.+)$', 1), []) AS sec,
         coalesce(len(regexp_extract_all(b, '(?m)^[ \\t]*[-*][ \\t]*\\[[^\\]]*\\]\\([^)]*\\)')), 0) AS n FROM f)
       SELECT origin, found, title, summary, array_to_string(sec, ',') AS sections, CAST(n AS INTEGER) AS link_count, list_contains(list_transform(sec, lambda s: lower(s)), 'optional') AS has_optional FROM x""",
+    "sitemap_lifecycle": f"""WITH {_PG}, {_values("told", "k, place, via, status, found, kind, n, followed, score, findings", _LIFE)}, s AS (SELECT DISTINCT scheme || '://' || host AS origin FROM pg),
+      j AS (SELECT origin, told.* FROM s JOIN told ON k = CASE WHEN length(origin) % {len(ROBOTS)} = 1 THEN 9 ELSE length(origin) % 5 END)
+      SELECT origin, CASE WHEN k = 9 THEN place ELSE origin || place END AS sitemap_url, via, CAST(status AS INTEGER) AS status, found, kind, CAST(n AS BIGINT) AS url_count, CAST(followed AS BIGINT) AS followed, CAST(score AS INTEGER) AS sitemap_score, findings FROM j""",
     "redirect_chains": f"""WITH RECURSIVE {_PG}, nodes AS (SELECT page_id AS n, regexp_replace(url, '#.*$', '') || '/~' || page_id AS url FROM pg),
       edges AS (SELECT a.n, a.url, CASE WHEN a.n % 60 >= 40 AND a.n % 60 < 58 THEN a.n + 1 WHEN a.n % 4 = 0 THEN NULL WHEN a.n % 12 = 11 THEN a.n - 2 WHEN a.n % 30 = 13 THEN -1 ELSE a.n + 1 END AS nxt FROM nodes a),
       log AS (SELECT e.url, CASE WHEN e.nxt = -1 THEN 'https://gone.example/' || e.n ELSE t.url END AS target, e.n % 3 = 1 AS temporary FROM edges e LEFT JOIN nodes t ON t.n = e.nxt),
