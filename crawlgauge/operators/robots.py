@@ -91,24 +91,45 @@ def matches(pattern: Column, path: Column) -> Column:
     return F.coalesce(fits & (F.length(pattern) <= fixed.PATTERN_MOST), F.lit(False))
 
 
+def literal_prefix(pattern: Column) -> Column:
+    """What every path that a pattern matches begins with: all before the first * and without a $ at the end."""
+    return F.substring_index(F.regexp_replace(pattern, r"\$$", ""), "*", 1)
+
+
+def rule_index(robots: DataFrame) -> DataFrame:
+    """(origin, agent, prefix, type, pattern, ordinal): the rules that can match anything, keyed by the prefix that a path must have."""
+    able = rules(robots).where((F.col("type").isNotNull()) & (F.col("path") != "") & (F.length("path") <= fixed.PATTERN_MOST))
+    return able.select("origin", "agent", literal_prefix(F.col("path")).alias("prefix"), "type", F.col("path").alias("pattern"), "ordinal")
+
+
 def verdicts(asked: DataFrame, robots: DataFrame) -> DataFrame:
-    """asked(origin, agent, path, ...) with allowed, matched_agent, matched_type, matched_path.
+    """asked(origin, agent, path, ...) with status, allowed, matched_agent, matched_type, matched_path.
 
     An agent is judged by the rules of all groups that name it, else by those of ``*``: the
     longest matching pattern wins, on a tie allow, then the first. A server error denies all.
+    Repeated and null questions are answered each; an origin without robots.txt allows.
+
+    A question meets only rules whose literal prefix its path has: one probe for each length
+    that prefixes of its agent have there, joined on (origin, agent, prefix). Agents that fall
+    to the same group ask once. Every join is followed by a shuffle on other keys, so that
+    adaptive execution may split what a hot origin brings to it.
     """
-    # rules of an agent are one array, folded in each asked row: no row is multiplied or grouped, so repeated rows stay
-    sets = rules(robots).groupBy("origin", "agent").agg(F.collect_list(F.when(F.col("type").isNotNull() & (F.col("path") != ""), F.struct("type", "path", "ordinal"))).alias("rules"))
-    named = sets.select(F.col("origin").alias("a_origin"), F.col("agent").alias("known_agent"), F.col("rules").alias("own_rules"))
-    star = sets.where("agent = '*'").select(F.col("origin").alias("star_origin"), F.col("agent").alias("star"), F.col("rules").alias("star_rules"))
+    index = rule_index(robots)
+    sized = index.groupBy("origin", "agent").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    agents = rules(robots).select("origin", "agent").distinct().join(sized, ["origin", "agent"], "left").groupBy("origin").agg(F.collect_list(F.struct("agent", "lengths")).alias("agents"))
+    sites = robots.groupBy("origin").agg(F.min("status").alias("status")).join(agents, "origin", "left").select(F.col("origin").alias("s_origin"), "status", "agents")
     # only the asked row as a struct enters the joins, so its columns may have any names
-    base = asked.select(F.struct("*").alias("_row")).join(robots.select(F.col("origin").alias("s_origin"), "status"), F.col("_row.origin") == F.col("s_origin"), "left")
-    base = base.join(named, (F.col("_row.origin") == F.col("a_origin")) & (F.lower("_row.agent") == F.col("known_agent")), "left").join(star, F.col("_row.origin") == F.col("star_origin"), "left")
-    chosen = F.when(F.col("known_agent").isNotNull(), F.col("own_rules")).otherwise(F.col("star_rules"))
-    hits = F.transform(F.filter(chosen, lambda r: matches(r["path"], F.col("_row.path"))), lambda r: F.struct(F.length(r["path"]).alias("length"), (r["type"] == "allow").alias("allow"), (-r["ordinal"]).alias("order"), r["type"].alias("type"), r["path"].alias("pattern")))
-    best = base.withColumns({"matched_agent": F.coalesce("known_agent", "star"), "best": F.array_max(hits)})
+    named = lambda name: F.get(F.filter("agents", lambda a: a["agent"] == name), F.lit(0))
+    base = asked.select(F.struct("*").alias("_row")).join(sites, F.col("_row.origin") == F.col("s_origin"), "left")
+    base = base.withColumn("chosen", F.coalesce(named(F.lower("_row.agent")), named(F.lit("*")))).drop("agents", "s_origin")
+    questions = base.groupBy(F.col("_row.origin").alias("q_origin"), F.col("chosen.agent").alias("q_agent"), F.col("_row.path").alias("q_path")).agg(F.any_value("chosen.lengths").alias("lengths"))
+    probes = questions.select("q_origin", "q_agent", "q_path", F.explode(F.filter("lengths", lambda n: n <= F.length("q_path"))).alias("n")).withColumn("q_prefix", F.substring(F.col("q_path"), F.lit(1), F.col("n")))
+    met = probes.join(index, (F.col("q_origin") == F.col("origin")) & (F.col("q_agent") == F.col("agent")) & (F.col("q_prefix") == F.col("prefix"))).where(matches(F.col("pattern"), F.col("q_path")))
+    rank = F.struct(F.length("pattern").alias("length"), (F.col("type") == "allow").alias("allow"), (-F.col("ordinal")).alias("order"), "type", "pattern")
+    best = met.groupBy("q_origin", "q_agent", "q_path").agg(F.max(rank).alias("best"))
+    out = base.join(best, (F.col("_row.origin") == F.col("q_origin")) & (F.col("chosen.agent") == F.col("q_agent")) & (F.col("_row.path") == F.col("q_path")), "left")
     allowed = F.when(F.col("status") >= 500, False).when(F.col("best").isNull(), True).otherwise(F.col("best.allow"))
-    return best.select("_row.*", "status", allowed.alias("allowed"), "matched_agent", F.col("best.type").alias("matched_type"), F.col("best.pattern").alias("matched_path"))
+    return out.select("_row.*", "status", allowed.alias("allowed"), F.col("chosen.agent").alias("matched_agent"), F.col("best.type").alias("matched_type"), F.col("best.pattern").alias("matched_path"))
 
 
 def crawler_access(sites: DataFrame, robots: DataFrame, include_deprecated: bool = False) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from crawlgauge.functions import fixed
@@ -46,6 +48,45 @@ def test_repeated_questions_are_answered_each(spark):
     assert len(got) == 5 and sorted((r["origin"], r["allowed"], r["matched_path"]) for r in got)[0] == ("o", False, "/x")
 
 
+def test_many_rules_are_probed_by_prefix(spark):
+    """3,000 rules of one host: answers of brute force, and few rules met by each path."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    part = lambda: rng.choice("abcd") + str(rng.randrange(12))
+    listed = [(rng.choice(["allow", "disallow"]), "/" + "/".join(part() for _ in range(rng.randrange(1, 4))) + rng.choice(["", "", "$", "/*", "*.x$", "/*/b1"])) for _ in range(3000)] + [("allow", "/*.png$"), ("disallow", "*q=1"), ("disallow", "/")]
+    body = "User-agent: one\n" + "\n".join(f"{k}: {p}" for k, p in listed) + "\nUser-agent: *\nDisallow: /a"
+    robots = spark.createDataFrame([("o", 200, body)], "origin string, status int, body string")
+    paths = ["/" + "/".join(part() for _ in range(rng.randrange(1, 5))) + rng.choice(["", ".x", ".png", "?q=1", "/"]) for _ in range(300)] + ["/", "", "/é"]
+    asked = spark.createDataFrame([("o", a, p) for p in paths for a in ("One", "two", "three")], "origin string, agent string, path string")
+
+    def fits(pattern, path):
+        bare = pattern[:-1] if pattern.endswith("$") else pattern
+        parts = [re.escape(x) for x in bare.split("*")]
+        return re.match(".*".join(parts) + ("$" if pattern.endswith("$") else ""), path)
+
+    def judge(rules, path):
+        hits = [(len(p), k == "allow", -i) for i, (k, p) in enumerate(rules) if fits(p, path)]
+        return max(hits)[1] if hits else True
+
+    got = R.verdicts(asked, robots).collect()
+    assert len(got) == len(paths) * 3
+    for r in got:
+        assert r["allowed"] == judge(listed if r["agent"] == "One" else [("disallow", "/a")], r["path"]), (r["agent"], r["path"])
+    index = R.rule_index(robots).where("agent = 'one'")
+    met = spark.createDataFrame([(p,) for p in paths], "path string").join(index, F.expr("substring(path, 1, length(prefix)) = prefix"))
+    assert index.count() == len(listed) and met.count() < len(paths) * 60
+
+
+def test_names_of_asked_columns_do_not_clash(spark):
+    robots = spark.createDataFrame([("o", 200, "User-agent: *\nDisallow: /x"), ("o", 503, None)], "origin string, status int, body string")
+    asked = spark.createDataFrame([("o", "a", "/x", 1, "p"), ("o", "a", None, 2, "p"), (None, "a", "/x", 3, "p"), ("o", None, "/x", 4, "p")], "origin string, agent string, path string, lengths int, prefix string")
+    got = {r["lengths"]: (r["allowed"], r["matched_path"], r["prefix"]) for r in R.verdicts(asked, robots).collect()}
+    assert got == {1: (False, "/x", "p"), 2: (True, None, "p"), 3: (True, None, "p"), 4: (False, "/x", "p")}
+
+
 def test_only_the_first_bytes_count(spark):
     body = "#" + "é" * ((R.READ_BYTES + 20) // 2) + "\nUser-Agent: *\nDisallow: /far"
     robots = spark.createDataFrame([("o", 200, body)], "origin string, status int, body string")
