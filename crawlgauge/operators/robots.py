@@ -96,10 +96,13 @@ def literal_prefix(pattern: Column) -> Column:
     return F.substring_index(F.regexp_replace(pattern, r"\$$", ""), "*", 1)
 
 
+def _able() -> Column:
+    return F.col("type").isNotNull() & (F.col("path") != "") & (F.length("path") <= fixed.PATTERN_MOST)
+
+
 def rule_index(robots: DataFrame) -> DataFrame:
     """(origin, agent, prefix, type, pattern, ordinal): the rules that can match anything, keyed by the prefix that a path must have."""
-    able = rules(robots).where((F.col("type").isNotNull()) & (F.col("path") != "") & (F.length("path") <= fixed.PATTERN_MOST))
-    return able.select("origin", "agent", literal_prefix(F.col("path")).alias("prefix"), "type", F.col("path").alias("pattern"), "ordinal")
+    return rules(robots).where(_able()).select("origin", "agent", literal_prefix(F.col("path")).alias("prefix"), "type", F.col("path").alias("pattern"), "ordinal")
 
 
 def verdicts(asked: DataFrame, robots: DataFrame) -> DataFrame:
@@ -115,8 +118,8 @@ def verdicts(asked: DataFrame, robots: DataFrame) -> DataFrame:
     adaptive execution may split what a hot origin brings to it.
     """
     index = rule_index(robots)
-    sized = index.groupBy("origin", "agent").agg(F.collect_set(F.length("prefix")).alias("lengths"))
-    agents = rules(robots).select("origin", "agent").distinct().join(sized, ["origin", "agent"], "left").groupBy("origin").agg(F.collect_list(F.struct("agent", "lengths")).alias("agents"))
+    sized = rules(robots).groupBy("origin", "agent").agg(F.collect_set(F.when(_able(), F.length(literal_prefix(F.col("path"))))).alias("lengths"))
+    agents = sized.groupBy("origin").agg(F.collect_list(F.struct("agent", "lengths")).alias("agents"))
     sites = robots.groupBy("origin").agg(F.min("status").alias("status")).join(agents, "origin", "left").select(F.col("origin").alias("s_origin"), "status", "agents")
     # only the asked row as a struct enters the joins, so its columns may have any names
     named = lambda name: F.get(F.filter("agents", lambda a: a["agent"] == name), F.lit(0))
