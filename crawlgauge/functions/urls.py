@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from bisect import bisect_right
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import addresses
+
 DEFAULT_PORT = {"http": 80, "https": 443}
 
 
@@ -81,15 +84,7 @@ def resolve_all(base: pd.Series, hrefs: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else [resolve_one(b, x) for x in h] for b, h in zip(base, hrefs, strict=True)], dtype=object)
 
 
-#: Address ranges that are not public.
-NOT_PUBLIC = [
-    ipaddress.ip_network(n)
-    for n in (
-        "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
-        "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
-        "::/128", "::1/128", "::/96", "64:ff9b::/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10", "fec0::/10", "ff00::/8",
-    )
-]
+_RANGES = {version: addresses.pairs(version) for version in (4, 6)}
 
 
 def _number(part: str) -> int:
@@ -104,21 +99,20 @@ def _ipv4(name: str) -> ipaddress.IPv4Address | None:
     if not 1 <= len(parts) <= 4 or not re.fullmatch(r"0[xX][0-9a-fA-F]*|[0-9]+", parts[-1]):
         return None
     try:
-        numbers = [_number(p) for p in parts]
-        value = numbers[-1]
-        for i, n in enumerate(numbers[:-1]):
-            value += n << 8 * (3 - i)
-        return ipaddress.IPv4Address(value)
+        *before, last = [_number(p) for p in parts]
+        if any(n > 255 for n in before) or last >= 256 ** (4 - len(before)):
+            return None
+        return ipaddress.IPv4Address(sum(n << 8 * (3 - i) for i, n in enumerate(before)) + last)
     except ValueError:
         return None
 
 
 def private_host(name: str | None) -> bool | None:
-    """Whether a host is local by name or not a public address."""
+    """Whether a host is local by name or not a public address, for use inside a task; addresses.is_private is its column expression."""
     if name is None:
         return None
     name = name.strip().lower().strip("[]").rstrip(".")
-    if name == "localhost" or name.endswith((".localhost", ".local", ".internal", ".home.arpa")) or not name:
+    if name == "localhost" or name.endswith(tuple(addresses.LOCAL_ENDS)) or not name:
         return True
     try:
         address = _ipv4(name) or ipaddress.ip_address(name.split("%")[0])
@@ -126,12 +120,9 @@ def private_host(name: str | None) -> bool | None:
         return False
     mapped = getattr(address, "ipv4_mapped", None)
     address = mapped or address
-    return any(address in n for n in NOT_PUBLIC if n.version == address.version)
-
-
-@F.pandas_udf(T.BooleanType())
-def is_private_host(names: pd.Series) -> pd.Series:
-    return names.map(private_host).astype("boolean")
+    ranges = _RANGES[address.version]
+    at = bisect_right(ranges, int(address), key=lambda r: r[0]) - 1
+    return at >= 0 and int(address) <= ranges[at][1]
 
 
 def admit_one(url: str | None) -> str | None:

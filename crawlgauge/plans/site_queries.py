@@ -8,7 +8,7 @@ import gzip
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed, urls
+from ..functions import addresses, fixed, urls
 from ..operators import hreflang, llms_txt, onpage, probes, redirects, robots, sitemaps, structured_data
 from ..sources import pages as src
 from . import audits
@@ -134,7 +134,24 @@ def llms_sections(spark, sf_dir):
 
 def private_hosts(spark, sf_dir):
     hosts = _pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host")).distinct()
-    return hosts.select("host", urls.is_private_host(F.col("host")).alias("private"), urls.admitted(F.col("host")).alias("admitted"))
+    return hosts.select("host", addresses.is_private(F.col("host")).alias("private"), urls.admitted(F.col("host")).alias("admitted"))
+
+
+def address_ranges(spark, sf_dir):
+    """Addresses made from page numbers, half of them at the edges of the ranges, each in one of eight spellings."""
+    n = F.col("page_id")
+    ends = F.array(*[F.lit(x) for first, last in addresses.pairs(4) for x in (first - 1, first, last, last + 1) if 0 <= x < 2**32])
+    number = F.when(n % 2 == 0, F.pmod(n * 2654435761, F.lit(2**32))).otherwise(F.element_at(ends, (F.pmod(F.floor(n / 2), F.size(ends)) + 1).cast("int")))
+    made = _pages(spark, sf_dir).select("page_id", number.cast("long").alias("number"))
+    byte = lambda i: F.shiftright("number", 24 - 8 * i).bitwiseAND(F.lit(255))
+    dotted = F.concat_ws(".", *[byte(i).cast("string") for i in range(4)])
+    half = lambda i: F.lower(F.hex(byte(2 * i) * 256 + byte(2 * i + 1)))
+    spellings = [
+        dotted, F.col("number").cast("string"), F.concat(F.lit("0x"), F.hex("number")), F.concat(F.lit("0"), F.conv(byte(0).cast("string"), 10, 8), F.lit("."), (F.col("number") % 2**24).cast("string")),
+        F.concat(F.lit("[::ffff:"), dotted, F.lit("]")), F.concat(F.lit("::FFFF:"), half(0), F.lit(":"), half(1)), F.concat(F.lit("64:ff9b::"), dotted), F.concat(F.lit("2606:4700::"), half(0), F.lit(":"), half(1)),
+    ]
+    host = F.element_at(F.array(*spellings), (n % len(spellings) + 1).cast("int"))
+    return made.select("page_id", host.alias("host")).select("page_id", "host", addresses.is_private(F.col("host")).alias("private"))
 
 
 def robots_reports(spark, sf_dir):
@@ -258,7 +275,7 @@ def sitemap_lifecycle(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    sitemap_lifecycle,    redirect_chains, rejected_pages, hreflang_report, meta_directives, seo_robots_section, link_probes, robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
+    address_ranges, sitemap_lifecycle, redirect_chains, rejected_pages, hreflang_report, meta_directives, seo_robots_section, link_probes, robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
     schema_missing_required, image_alt_score, social_score, llms_sections, private_hosts,
 )}
 
@@ -342,6 +359,16 @@ SQL = {
       SELECT page_id, kind, CAST(n AS INTEGER) AS entry_count, CAST(c AS INTEGER) AS child_count, loc AS last_loc FROM pages JOIN hold ON page_id % {len(_HOLD)} = i""",
     "private_hosts": f"WITH {_PG} SELECT DISTINCT host, false AS private, 'https://' || host || '/' AS admitted FROM pg",
 
+    "address_ranges": f"""WITH {_values("nets", "i, net", [(i, n) for i, n in enumerate(addresses.NOT_PUBLIC) if "." in n])},
+      parsed AS (SELECT string_split(split_part(net, '/', 1), '.') AS o, CAST(split_part(net, '/', 2) AS INTEGER) AS bits FROM nets),
+      ranges AS (SELECT lo, lo + CAST(pow(2, 32 - bits) AS BIGINT) - 1 AS hi FROM (SELECT ((CAST(o[1] AS BIGINT) * 256 + CAST(o[2] AS BIGINT)) * 256 + CAST(o[3] AS BIGINT)) * 256 + CAST(o[4] AS BIGINT) AS lo, bits FROM parsed)),
+      whole AS (SELECT lo, hi FROM ranges WHERE lo <> 4026531840), joined AS (SELECT lo, CASE WHEN lo = 3758096384 THEN 4294967295 ELSE hi END AS hi FROM whole),
+      edges AS (SELECT list(x ORDER BY lo, k) AS e FROM (SELECT lo, unnest([lo - 1, lo, hi, hi + 1]) AS x, generate_subscripts([1, 2, 3, 4], 1) AS k FROM joined) WHERE x BETWEEN 0 AND 4294967295),
+      made AS (SELECT page_id, page_id % 8 AS s, CASE WHEN page_id % 2 = 0 THEN page_id * 2654435761 % 4294967296 ELSE e[CAST(page_id // 2 % len(e) AS INTEGER) + 1] END AS a FROM pages, edges),
+      bytes AS (SELECT *, a // 16777216 AS b0, a // 65536 % 256 AS b1, a // 256 % 256 AS b2, a % 256 AS b3, concat_ws('.', a // 16777216, a // 65536 % 256, a // 256 % 256, a % 256) AS dotted, printf('%x:%x', a // 65536, a % 65536) AS halves FROM made)
+      SELECT page_id, CASE s WHEN 0 THEN dotted WHEN 1 THEN CAST(a AS VARCHAR) WHEN 2 THEN printf('0x%X', a) WHEN 3 THEN '0' || ltrim(CAST(b0 // 64 * 100 + b0 // 8 % 8 * 10 + b0 % 8 AS VARCHAR)) || '.' || CAST(a % 16777216 AS VARCHAR)
+        WHEN 4 THEN '[::ffff:' || dotted || ']' WHEN 5 THEN '::FFFF:' || halves WHEN 6 THEN '64:ff9b::' || dotted ELSE '2606:4700::' || halves END AS host,
+        CASE s WHEN 6 THEN true WHEN 7 THEN false ELSE EXISTS (SELECT 1 FROM ranges WHERE a BETWEEN lo AND hi) END AS private FROM bytes""",
     "robots_verdicts": f"WITH {_RULES}, {_judged(f'SELECT page_id || agent AS id, page_id, agent, {_PATH} FROM pg, (SELECT unnest([{_AGENTS}]) AS agent)')} SELECT page_id, agent, allowed, matched_agent FROM judged",
     "robots_longest_match": f"WITH {_RULES}, " + _judged(f"SELECT page_id AS id, page_id, 'ClaudeBot' AS agent, {_PATH} FROM pg") + " SELECT page_id, matched_type, matched_path FROM judged",
     "crawler_access_by_purpose": f"WITH {_RULES}, {_CRAWLERS}, flags AS (SELECT i, bool_or(agent = 'applebot') AS apple, bool_or(agent = 'googlebot') AS google FROM agents GROUP BY i), "
