@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed, text, urls
 from ..operators import nodes as N
@@ -40,10 +41,47 @@ def rendered(findings: Column) -> Column:
     return F.array_join(F.transform(by_severity(findings), lambda f: F.concat(mark(f["severity"]), F.lit(" "), f["code"])), "\n")
 
 
-def capped(df: DataFrame, arrays: list[str], most: int = fixed.LIST_MOST) -> DataFrame:
-    """Lists cut to ``most`` elements, and how many lists were cut."""
-    cut = sum((F.when(F.size(a) > most, 1).otherwise(0) for a in arrays), F.lit(0))
-    return df.withColumn("lists_cut", cut).withColumns({a: F.slice(a, 1, most) for a in arrays})
+def _holds_lists(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_lists(f.dataType) for f in kind)
+    return isinstance(kind, T.ArrayType) or isinstance(kind, T.MapType) and _holds_lists(kind.valueType)
+
+
+def cut(value: Column, kind: T.DataType, most: int) -> Column:
+    """value with every list in it, at any depth of its type, cut to its first ``most`` elements; values without lists stay as they are."""
+    if not _holds_lists(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        short = F.slice(value, 1, most)
+        return F.transform(short, lambda x: cut(x, kind.elementType, most)) if _holds_lists(kind.elementType) else short
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: cut(v, kind.valueType, most))
+    return F.when(value.isNotNull(), F.struct(*[cut(value[f.name], f.dataType, most).alias(f.name) for f in kind]))
+
+
+def lists_over(value: Column, kind: T.DataType, most: int) -> Column:
+    """How many lists in value, at any depth, are longer than ``most``. What lies beyond a cut isn't entered."""
+    if not _holds_lists(kind):
+        return F.lit(0)
+    if isinstance(kind, T.StructType):
+        return sum((lists_over(value[f.name], f.dataType, most) for f in kind if _holds_lists(f.dataType)), F.lit(0))
+    inner = kind.valueType if isinstance(kind, T.MapType) else kind.elementType
+    own = F.when(F.size(value) > most, 1).otherwise(0) if isinstance(kind, T.ArrayType) else F.lit(0)
+    if not _holds_lists(inner):
+        return own
+    entered = F.map_values(value) if isinstance(kind, T.MapType) else F.slice(value, 1, most)
+    return own + F.coalesce(F.aggregate(entered, F.lit(0), lambda n, x: n + lists_over(x, inner, most)), F.lit(0))
+
+
+def capped(df: DataFrame, most: int = fixed.LIST_MOST, findings: str | None = None) -> DataFrame:
+    """df with every list in every column cut to ``most`` elements and ``lists_cut``, how many were cut. Counts and scores stay.
+
+    Where a column of findings is named, an info finding is added to it if anything was cut,
+    after it was cut itself. A null list stays null. Built from the schema alone.
+    """
+    over = sum((lists_over(F.col(f"`{f.name}`"), f.dataType, most) for f in df.schema), F.lit(0))
+    out = df.select(*[cut(F.col(f"`{f.name}`"), f.dataType, most).alias(f.name) for f in df.schema], over.cast("int").alias("lists_cut"))
+    return out.withColumn(findings, F.concat(F.col(findings), N.findings(N.finding("lists_cut", "info", F.col("lists_cut") > 0)))) if findings else out
 
 
 def truncated(s: Column, most: int = 25_000) -> Column:

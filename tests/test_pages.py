@@ -150,7 +150,7 @@ def test_gates_and_output(spark):
     rows = spark.createDataFrame([(404, "text/html", "x"), (200, "image/png", "x"), (200, "", " <!DOCTYPE html>"), (200, None, "plain")], "status int, content_type string, html string")
     assert [r["error"] for r in src.loadable(rows).collect()] == ["http_404", "not_html", None, "not_html"]
     lists = spark.createDataFrame([(list(range(1000)), list(range(500)), [1])], "a array<int>, b array<int>, c array<int>")
-    cut = audits.capped(lists, ["a", "b", "c"]).first()
+    cut = audits.capped(lists).first()
     assert (len(cut["a"]), len(cut["b"]), len(cut["c"]), cut["lists_cut"]) == (200, 200, 1, 2)
     found = spark.createDataFrame([([("a", "info"), ("b", "pass"), ("c", "fail"), ("d", "warn"), ("e", "fail")],)], "f array<struct<code:string,severity:string>>")
     assert found.select(audits.rendered(F.col("f"))).first()[0] == "x c\nx e\n! d\n+ b\nx a"
@@ -159,6 +159,23 @@ def test_gates_and_output(spark):
     assert [r[0] for r in kinds.select(audits.error_kind(F.col("m"))).collect()] == ["timeout", "unknown_host", "not_found", "other"]
 
 
+def test_lists_are_cut_at_every_depth(spark):
+    kind = "id int, findings array<struct<code:string,severity:string>>, top struct<name:string,entries:array<struct<tags:array<int>,m:map<string,array<int>>>>>, `a.b` array<array<array<int>>>"
+    found = lambda n: [(f"f{i}", "warn") for i in range(n)]
+    entry = ([1, 2, 3, 4], {"x": [1, 2, 3, 4, 5], "y": [1], "z": None})
+    rows = [
+        (1, found(1), ("n", [entry, ([1], {}), (None, None), entry]), [[[1] * 4], [[1]] * 4, [None]]),  # entries, a.b's inner ones, and two lists of the first entry; the last entry is cut off
+        (2, found(5), ("n", []), [[[]]]), (3, found(3), None, None), (4, None, ("n", [entry]), []),
+    ]
+    got = {r["id"]: r for r in audits.capped(spark.createDataFrame(rows, kind), 3, "findings").collect()}
+    assert [got[i]["lists_cut"] for i in (1, 2, 3, 4)] == [5, 1, 0, 2]
+    one = got[1].asDict(recursive=True)
+    assert one["top"] == {"name": "n", "entries": [{"tags": [1, 2, 3], "m": {"x": [1, 2, 3], "y": [1], "z": None}}, {"tags": [1], "m": {}}, {"tags": None, "m": None}]}
+    assert one["a.b"] == [[[1, 1, 1]], [[1], [1], [1]], [None]]
+    assert [tuple(f) for f in got[1]["findings"]] == [("f0", "warn"), ("lists_cut", "info")] and [f["code"] for f in got[2]["findings"]] == ["f0", "f1", "f2", "lists_cut"]
+    assert len(got[3]["findings"]) == 3 and got[3]["top"] is None and got[3]["a.b"] is None and got[4]["findings"] is None
+
+
 def test_local_addresses_and_html_signs(spark):
     local = ["::7f00:1", "64:ff9b:1::1", "fec0::1", "127.1", "2130706433", "localhost", "a.local", "x.internal", "::ffff:10.0.0.1", "[fd00::2]"]
     assert all(urls.private_host(h) for h in local) and not any(urls.private_host(h) for h in ("example.com", "box.lan", "intranet", "93.184.216.34", "2606:4700::1"))
