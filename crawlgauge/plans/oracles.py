@@ -108,7 +108,45 @@ def _ints(*names: str) -> str:
 _KEPT = f"length(term) >= 4 AND term NOT IN ({_STOP})"
 _NORMAL = """scheme || '://' || host || CASE WHEN regexp_replace(p, '/+$', '') = '' THEN '/' ELSE regexp_replace(p, '/+$', '') END || q"""
 
+#: Codes that the rules give a page; the pages have neither descriptions, canonical links, viewports, images nor structured data.
+_META = """CASE WHEN title IS NULL THEN 'fail:title_missing' WHEN title_length < 30 THEN 'warn:title_short' WHEN title_length > 60 THEN 'warn:title_long' ELSE 'pass:title_ok' END, 'fail:description_missing', 'warn:canonical_missing', 'pass:indexable',
+  CASE WHEN lang IS NULL THEN 'warn:lang_missing' ELSE 'pass:lang_declared' END, CASE WHEN charset IS NULL THEN 'warn:charset_missing' END, 'fail:viewport_missing'"""
+_HEADING = """CASE h1_count WHEN 0 THEN 'fail:h1_missing' WHEN 1 THEN 'pass:h1_single' ELSE 'warn:h1_several' END, CASE WHEN headings < 2 THEN 'warn:headings_few' ELSE 'pass:headings_enough' END, 'pass:levels_in_order',
+  CASE WHEN len(heading_texts) > headings THEN 'warn:headings_empty' END, CASE WHEN questions > 0 THEN 'pass:questions_present' ELSE 'info:questions_absent' END"""
+_CONTENT = f"""CASE WHEN thin_content THEN 'warn:content_thin' ELSE 'pass:content_deep' END, CASE WHEN landmark THEN 'pass:landmark_present' ELSE 'warn:landmark_missing' END, CASE WHEN reading_ease >= 50 THEN 'pass:easy_to_read' ELSE 'warn:hard_to_read' END,
+  CASE WHEN avg_words_per_sentence > 25 THEN 'warn:sentences_long' END, CASE WHEN paragraph_count < 3 AND word_count > 200 THEN 'warn:paragraphs_few' END, CASE WHEN text_to_html_ratio < 5 AND bytes > 50000 THEN 'warn:text_ratio_low' END, CASE WHEN bytes > {fixed.HEAVY_HTML} THEN 'warn:html_heavy' END"""
+_LINK = """CASE WHEN total_links = 0 THEN 'fail:internal_none' WHEN total_links < 3 THEN 'warn:internal_few' ELSE 'pass:internal_enough' END, 'info:external_none', CASE WHEN empty_anchors > 0 THEN 'warn:anchors_empty' END,
+  CASE WHEN generic_count = 0 THEN 'pass:generic_none' ELSE 'warn:generic_some' END, 'info:broken_unchecked'"""
+_RENDER = "CASE WHEN renders THEN 'pass:renders' ELSE 'warn:words_few' END, CASE WHEN script_bytes > 0.5 * bytes AND bytes > 50000 THEN 'warn:script_heavy' END"
+
+
+def _worst(codes: str) -> str:
+    """Codes of three findings at most, failures first."""
+    of = lambda severity: f"list_transform(list_filter([{codes}], lambda x: x LIKE '{severity}:%'), lambda x: substr(x, 6))"
+    return f"array_to_string(list_concat({of('fail')}, {of('warn')})[1:3], ',')"
+
+
+def _level(score: str, section: str) -> str:
+    return f"CASE WHEN {score} >= 80 THEN 'pass' WHEN {score} >= 60 THEN 'warn' ELSE 'fail' END || ':{section}'"
+
+
+def _signal(earned: str, weight: int, name: str) -> str:
+    return f"CASE WHEN ({earned}) / {weight} >= 0.85 THEN 'pass' WHEN ({earned}) / {weight} >= 0.4 THEN 'warn' ELSE 'fail' END || ':{name}'"
+
+
+_EXTRACT = "CASE WHEN h1_count = 1 THEN 4 ELSE 0 END + CASE WHEN headings >= 3 THEN 4 ELSE 0 END + CASE WHEN blocks > 0 THEN 4 ELSE 0 END + CASE WHEN questions > 0 THEN 3 ELSE 0 END"
+_DEPTH = "CASE WHEN thin_content THEN 0 ELSE 4 END + CASE WHEN reading_ease >= 45 THEN 2 ELSE 0 END + CASE WHEN avg_words_per_sentence <= 25 THEN 1 ELSE 0 END"
+
 SQL = {
+    "page_findings": BASE + f"SELECT page_id, concat_ws(',', {_META}) AS meta_codes, concat_ws(',', {_HEADING}) AS heading_codes, concat_ws(',', {_CONTENT}) AS content_codes, concat_ws(',', {_LINK}) AS link_codes, concat_ws(',', {_RENDER}) AS render_codes FROM scored",
+    "seo_recommendations": BASE + f"""SELECT page_id,
+        concat_ws(',', CASE WHEN seo_score >= 80 THEN 'pass:overall' ELSE 'info:overall' END, {_level("floor(meta_score * 0.75 + 0.5)", "meta")}, {_level("heading_score", "headings")}, {_level("content_score", "content")}, 'fail:structured_data', 'pass:images', {_level("links_score", "links")}, 'fail:robots') AS findings,
+        concat_ws(',', 'pass:crawler_access', CASE WHEN renders THEN 'pass' ELSE 'warn' END || ':server_rendering', 'fail:structured_data', {_signal(_EXTRACT, 15, "extractable_structure")}, 'fail:attribution', 'fail:freshness', {_signal(_DEPTH, 7, "depth")}) AS geo_signals,
+        {_worst(_META + ", 'fail:og_image_missing'")} AS meta_issues, {_worst(_HEADING)} AS headings_issues, {_worst(_CONTENT)} AS content_issues, 'schema_none,publisher_none' AS structured_data_issues, '' AS images_issues, {_worst(_LINK)} AS links_issues, '' AS robots_issues,
+        array_to_string(list_filter(list_concat([CASE WHEN title IS NULL THEN 'add_title' END, 'add_description', CASE WHEN h1_count = 0 THEN 'add_h1' END, 'add_structured_data', CASE WHEN thin_content THEN 'extend_content' END, 'add_canonical'],
+          list_filter([CASE WHEN NOT renders THEN 'improve_server_rendering' END, 'improve_structured_data', CASE WHEN {_EXTRACT} < 12 THEN 'improve_extractable_structure' END, 'improve_attribution', 'improve_freshness', CASE WHEN {_DEPTH} < 5 THEN 'improve_depth' END], lambda x: x IS NOT NULL)[1:5]), lambda x: x IS NOT NULL)[1:8], ',') AS recommendations FROM judged""",
+    "capped_lists": BASE + f"""SELECT page_id, CAST(CASE WHEN headings > {fixed.LIST_MOST} THEN 1 ELSE 0 END + CASE WHEN word_count > {fixed.LIST_MOST} THEN 1 ELSE 0 END AS INTEGER) AS lists_cut, CAST(least(headings, {fixed.LIST_MOST}) AS INTEGER) AS headings, md5(array_to_string(word_list[1:{fixed.LIST_MOST}], ' ')) AS words_md5,
+        CASE WHEN greatest(headings, word_count) > {fixed.LIST_MOST} THEN 'lists_cut' WHEN headings < 2 THEN 'headings_few' ELSE 'headings_enough' END AS last_finding FROM spoken""",
     "page_title_length": BASE + f"SELECT page_id, title, {_ints('title_length')} FROM counted",
     "page_lang_counts": BASE + "SELECT lang, count(*) AS pages FROM mains GROUP BY lang",
     "page_charset": BASE + "SELECT page_id, charset FROM mains",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, urls
@@ -89,7 +89,34 @@ def dom_nodes(spark, sf_dir):
     return each.select("page_id", "n.id", "n.parent", "n.last", "n.tag", F.map_keys("n.attrs").alias("attributes"))
 
 
+def _codes(findings: str) -> Column:
+    return F.array_join(F.transform(findings, lambda f: F.concat(f["severity"], F.lit(":"), f["code"])), ",")
+
+
+def page_findings(spark, sf_dir):
+    """The coded findings of each on-page analysis, in the order in which they are found."""
+    found = onpage.rendering(onpage.links(onpage.headings(onpage.meta_tags(_content(spark, sf_dir)))))
+    return found.select("page_id", *[_codes(f"{name}_findings").alias(f"{name}_codes") for name in ("meta", "heading", "content", "link", "render")])
+
+
+def seo_recommendations(spark, sf_dir):
+    """What the audit with answer-engine readiness tells of each page: its findings, each section's worst issues, what to do first."""
+    out = audits.seo_audit(audits.geo_audit(audited(spark, sf_dir)), include_geo=True)
+    issues = lambda name: F.array_join(F.get(F.filter("sections", lambda s: s["id"] == name), F.lit(0))["issues"], ",").alias(f"{name}_issues")
+    return out.select("page_id", _codes("seo_findings").alias("findings"), _codes("geo_findings").alias("geo_signals"), *[issues(k) for k in fixed.SECTION_WEIGHTS], F.array_join("top_recommendations", ",").alias("recommendations"))
+
+
+def capped_lists(spark, sf_dir):
+    """Reports of nested lists cut to the usual length, with the finding that tells of it."""
+    report = onpage.headings(_content(spark, sf_dir)).select("page_id", F.struct("headings", F.struct(F.col("word_list").alias("words")).alias("content")).alias("report"), F.slice("heading_findings", 1, 2).alias("findings"))
+    out = audits.capped(report, findings="findings")
+    return out.select("page_id", "lists_cut", F.size("report.headings").alias("headings"), F.md5(F.array_join("report.content.words", " ")).alias("words_md5"), F.element_at("findings", -1)["code"].alias("last_finding"))
+
+
 QUERIES = {
+    "page_findings": page_findings,
+    "seo_recommendations": seo_recommendations,
+    "capped_lists": capped_lists,
     "page_title_length": _select(onpage.meta_tags, "title", "title_length"),
     "page_lang_counts": page_lang_counts,
     "page_charset": _select(onpage.meta_tags, "charset"),

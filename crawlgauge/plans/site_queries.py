@@ -118,6 +118,28 @@ def schema_missing_required(spark, sf_dir):
     return found.select("page_id", item["type"].alias("type"), F.array_join(item["missing_required"], ",").alias("missing_required"), item["valid"].alias("valid"), "schema_score")
 
 
+def microdata_items(spark, sf_dir):
+    """Microdata of every ruled type with more or fewer of its properties, in every third page inside an item of another type, and RDFa beside it."""
+    n = F.col("page_id")
+    ruled = F.array(*[F.struct(F.lit(t).alias("type"), F.array(*map(F.lit, [*r[0], *r[1]])).alias("props")) for t, r in fixed.SCHEMA_RULES.items()])
+    item = F.element_at(ruled, (n % len(fixed.SCHEMA_RULES) + 1).cast("int"))
+    spans = F.array_join(F.transform(F.slice(item["props"], F.lit(1), (n % 7).cast("int")), lambda p: F.concat(F.lit('<span itemprop="'), p, F.lit('">x</span>'))), "")
+    scope = lambda kind, inner: F.concat(F.lit('<div itemscope itemtype=" https://schema.org/'), kind, F.lit(' ">'), inner, F.lit("</div>"))
+    one = scope(item["type"], spans)
+    body = F.concat(F.when(n % 3 == 0, scope(F.lit("Thing"), F.concat(F.lit('<b itemprop="extra">x</b>'), one))).otherwise(one), F.repeat(F.lit('<i typeof="Person">x</i>'), (n % 4).cast("int")))
+    found = structured_data.structured_data(_spliced(spark, sf_dir, body=body))
+    each = found.select("page_id", "microdata_items", "rdfa_items", F.explode("items").alias("item"))
+    listed = lambda name: F.array_join(F.array_sort(F.col(f"item.{name}")), ",").alias(name)
+    return each.select("page_id", "microdata_items", "rdfa_items", "item.format", "item.type", listed("properties"), listed("missing_required"), listed("missing_recommended"), "item.valid")
+
+
+def splice_findings(spark, sf_dir):
+    """The coded findings of previews and images over pages that are given some."""
+    pages = _spliced(spark, sf_dir, head=_choice(HEADS, F.col("page_id")), body=_choice(BODIES, F.col("page_id")))
+    codes = lambda name: F.array_join(F.transform(name, lambda f: F.concat(f["severity"], F.lit(":"), f["code"])), ",")
+    return onpage.images(onpage.social(pages)).select("page_id", codes("social_findings").alias("social_codes"), codes("image_findings").alias("image_codes"))
+
+
 def image_alt_score(spark, sf_dir):
     return onpage.images(_spliced(spark, sf_dir, body=_choice(BODIES, F.col("page_id")))).select("page_id", "total_images", "missing_alt", "missing_dimensions", "image_score")
 
@@ -275,7 +297,7 @@ def sitemap_lifecycle(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    address_ranges, sitemap_lifecycle, redirect_chains, rejected_pages, hreflang_report, meta_directives, seo_robots_section, link_probes, robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
+    microdata_items, splice_findings, address_ranges, sitemap_lifecycle, redirect_chains, rejected_pages, hreflang_report, meta_directives, seo_robots_section, link_probes, robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
     schema_missing_required, image_alt_score, social_score, llms_sections, private_hosts,
 )}
 
@@ -390,6 +412,18 @@ SQL = {
     "schema_missing_required": f"""WITH {_numbered("ld", LD)}, {_REQUIRED}, {_REC}, m AS (SELECT page_id, body, json_extract_string(body, '$."@type"') AS type FROM pages JOIN ld ON page_id % {len(LD)} = i),
       x AS (SELECT page_id, m.type, list_filter(string_split(r.props, ','), lambda p: NOT list_contains(json_keys(body), p)) AS missing, len(list_filter(string_split(c.props, ','), lambda p: NOT list_contains(json_keys(body), p))) AS lacking FROM m JOIN required r USING (type) JOIN recommended c USING (type))
       SELECT page_id, type, array_to_string(missing, ',') AS missing_required, len(missing) = 0 AS valid, CAST(35 + CASE WHEN len(missing) = 0 THEN 25 ELSE 0 END + CASE WHEN lacking = 0 THEN 10 ELSE 0 END AS INTEGER) AS schema_score FROM x""",
+    "microdata_items": f"""WITH {_values("ruled", "i, type, required, recommended", [(i, t, ",".join(r[0]), ",".join(r[1])) for i, (t, r) in enumerate(fixed.SCHEMA_RULES.items())])},
+      named AS (SELECT i, type, list_filter(string_split(required, ','), lambda p: p <> '') AS req, list_filter(string_split(recommended, ','), lambda p: p <> '') AS rec FROM ruled),
+      given AS (SELECT page_id, type, req, rec, list_distinct(list_concat(req, rec)[1:page_id % 7]) AS props FROM pages JOIN named ON page_id % {len(fixed.SCHEMA_RULES)} = i),
+      items AS (SELECT page_id, type, req, rec, props FROM given UNION ALL SELECT page_id, 'Thing', [], [], list_append(props, 'extra') FROM given WHERE page_id % 3 = 0)
+      SELECT page_id, CAST(CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS microdata_items, CAST(page_id % 4 AS INTEGER) AS rdfa_items, 'microdata' AS format, type, array_to_string(list_sort(props), ',') AS properties,
+        array_to_string(list_sort(list_filter(req, lambda p: NOT list_contains(props, p))), ',') AS missing_required, array_to_string(list_sort(list_filter(rec, lambda p: NOT list_contains(props, p))), ',') AS missing_recommended,
+        len(list_filter(req, lambda p: NOT list_contains(props, p))) = 0 AS valid FROM items""",
+    "splice_findings": f"""WITH {_numbered("heads", HEADS)}, {_numbered("bodies", BODIES)}, t AS (SELECT page_id, h.body AS head, regexp_extract_all(b.body, '<img[^>]*>') AS imgs, regexp_extract_all(h.body, 'property="([^"]*)"', 1) AS og FROM pages JOIN heads h ON page_id % {len(HEADS)} = h.i JOIN bodies b ON page_id % {len(BODIES)} = b.i),
+      c AS (SELECT *, len(imgs) AS n, len(list_filter(imgs, lambda g: NOT contains(g, ' alt='))) AS a, len(list_filter(imgs, lambda g: NOT contains(g, ' width='))) AS d, len(list_filter(imgs, lambda g: regexp_matches(g, '\\.(webp|avif)"'))) AS m, len(list_filter(imgs, lambda g: contains(g, 'lazy'))) AS z FROM t)
+      SELECT page_id, concat_ws(',', {", ".join(f"CASE WHEN list_contains(og, '{k}') THEN 'pass:{k.replace(':', '_')}_present' ELSE '{'fail' if k == 'og:image' else 'warn'}:{k.replace(':', '_')}_missing' END" for k in fixed.OG_POINTS)}, CASE WHEN contains(head, 'twitter:card') THEN 'pass:twitter_card_present' ELSE 'warn:twitter_card_missing' END) AS social_codes,
+        concat_ws(',', CASE WHEN n = 0 THEN 'info:images_none' WHEN a = 0 THEN 'pass:alt_complete' ELSE 'fail:alt_missing' END, CASE WHEN n > 0 AND d = 0 THEN 'pass:dimensions_complete' WHEN d > 0 THEN 'warn:dimensions_missing' END,
+          CASE WHEN n > 0 AND m > 0 THEN 'pass:modern_formats' WHEN n > 0 THEN 'warn:legacy_formats' END, CASE WHEN z > 0 THEN 'pass:lazy_loading' WHEN n > 5 THEN 'warn:lazy_loading_absent' END) AS image_codes FROM c""",
     "image_alt_score": f"""WITH {_numbered("bodies", BODIES)}, t AS (SELECT page_id, regexp_extract_all(body, '<img[^>]*>') AS imgs FROM pages JOIN bodies ON page_id % {len(BODIES)} = i),
       c AS (SELECT page_id, len(imgs) AS n, len(list_filter(imgs, lambda g: NOT contains(g, ' alt='))) AS a, len(list_filter(imgs, lambda g: NOT contains(g, ' width='))) AS d, len(list_filter(imgs, lambda g: regexp_matches(g, '\\.(webp|avif)"'))) AS m, len(list_filter(imgs, lambda g: contains(g, 'lazy'))) AS z FROM t)
       SELECT page_id, CAST(n AS INTEGER) AS total_images, CAST(a AS INTEGER) AS missing_alt, CAST(d AS INTEGER) AS missing_dimensions,
