@@ -36,11 +36,15 @@ def walk(value) -> Iterator[dict]:
             yield value
 
 
+def _no_number(name: str):
+    raise ValueError(name)
+
+
 def read_block(block: str) -> tuple[list[dict], str | None]:
     if not block.strip():
         return [], "empty"
     try:
-        value = json.loads(block)
+        value = json.loads(block, parse_constant=_no_number)  # JSON has no NaN or Infinity
         items = [{"types": _types(n["@type"]), "properties": [k for k in n if not k.startswith("@")]} for n in walk(value)]
     except (ValueError, RecursionError):
         return [], "invalid"

@@ -212,6 +212,30 @@ def rejected_pages(spark, sf_dir):
     return src.load(pages).where("size(causes) > 0").select("page_id", F.array_join("causes", ",").alias("causes"))
 
 
+def responses_loaded(spark, sf_dir):
+    """A log of raw responses: bodies with a byte-order mark, broken bytes or beyond the cap, headers that repeat; loaded and audited."""
+    n, html = F.col("page_id"), F.encode("html", "UTF-8")
+    body = F.when(n % 50 == 7, F.concat(html, F.encode(F.repeat(F.lit("x"), 2_000_000), "UTF-8"))).when(n % 4 == 1, F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), html)).when(n % 4 == 2, F.concat(html, F.lit(bytearray(b"\xff")), F.encode(F.lit("é"), "UTF-8"), F.lit(bytearray(b"\xe2\x82")))).when(n % 20 != 0, html)
+    header = lambda name, value: F.struct(F.lit(name).alias("name"), F.lit(value).alias("value"))
+    often = F.array(header("Content-Type", " text/html; charset=UTF-8"), header("Set-Cookie", "a=1"), header("X-Robots-Tag", "noarchive"), header("set-cookie", "b=2"))
+    headers = F.when(n % 3 == 0, F.concat(often, F.array(header("x-robots-tag", "NOINDEX ")))).otherwise(often)
+    log = _pages(spark, sf_dir).select("page_id", "url", F.lit(None).cast("string").alias("final_url"), F.lit(200).alias("status"), headers.alias("headers"), body.alias("body"))
+    read = src.from_responses(log)
+    found = onpage.meta_tags(src.load(read.withColumn("html_md5", F.md5("html"))))
+    return found.select("page_id", "bytes", "truncated", "html_md5", F.element_at("headers", F.lit("set-cookie")).alias("cookie"), "x_robots_tag", "content_type", "indexable", F.array_join("causes", ",").alias("causes"))
+
+
+def external_domains(spark, sf_dir):
+    """Domains that pages link to outside, from links made by a rule: other pages' hosts, some twice."""
+    pages = _pages(spark, sf_dir)
+    next_ = pages.select((F.col("page_id") - 1).alias("page_id"), urls.host(F.col("url")).alias("next_host"))
+    link = lambda host, path: F.concat(F.lit('<a href="https://'), host, F.lit(f'/{path}">see</a>'))
+    body = F.concat(F.lit('<a href="//cdn.example/x">see</a>'), F.coalesce(F.concat(link(F.col("next_host"), "a"), F.when(F.col("page_id") % 2 == 0, link(F.upper("next_host"), "b")).otherwise("")), F.lit("")))
+    html = pages.join(next_, "page_id", "left").select("page_id", "url", F.regexp_replace("html", F.lit("<article>"), F.concat(F.lit("<article>"), body)).alias("html"))
+    found = onpage.external_domains(onpage.links(src.parse(src.with_http_defaults(html))))
+    return found.select("page_id", "domain", "count", "rank")
+
+
 ALTERNATES = [
     '<link rel="alternate" hreflang="de" href="/d"><link rel="alternate" hreflang="DE" href="/e"><link rel="alternate" hreflang="x-default" href="/">', '<link rel="alternate" hreflang="english" href="/e"><link rel="alternate" hreflang="zh-Hant-TW" href="/z">', "",
     '<link rel="alternate" hreflang=" fr " href=" /f "><link rel="alternate" hreflang="en_US" href="/u"><link rel="alternate" hreflang="es-419" href="/s">',
@@ -297,7 +321,7 @@ def sitemap_lifecycle(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    microdata_items, splice_findings, address_ranges, sitemap_lifecycle, redirect_chains, rejected_pages, hreflang_report, meta_directives, seo_robots_section, link_probes, robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
+    responses_loaded, external_domains, microdata_items, splice_findings, address_ranges, sitemap_lifecycle, redirect_chains, rejected_pages, hreflang_report, meta_directives, seo_robots_section, link_probes, robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
     schema_missing_required, image_alt_score, social_score, llms_sections, private_hosts,
 )}
 
@@ -412,6 +436,13 @@ SQL = {
     "schema_missing_required": f"""WITH {_numbered("ld", LD)}, {_REQUIRED}, {_REC}, m AS (SELECT page_id, body, json_extract_string(body, '$."@type"') AS type FROM pages JOIN ld ON page_id % {len(LD)} = i),
       x AS (SELECT page_id, m.type, list_filter(string_split(r.props, ','), lambda p: NOT list_contains(json_keys(body), p)) AS missing, len(list_filter(string_split(c.props, ','), lambda p: NOT list_contains(json_keys(body), p))) AS lacking FROM m JOIN required r USING (type) JOIN recommended c USING (type))
       SELECT page_id, type, array_to_string(missing, ',') AS missing_required, len(missing) = 0 AS valid, CAST(35 + CASE WHEN len(missing) = 0 THEN 25 ELSE 0 END + CASE WHEN lacking = 0 THEN 10 ELSE 0 END AS INTEGER) AS schema_score FROM x""",
+    "responses_loaded": """WITH r AS (SELECT page_id, octet_length(encode(html)) AS n, html, page_id % 50 = 7 AS long, page_id % 4 AS k, page_id % 20 = 0 AS bare FROM pages),
+      t AS (SELECT page_id, CASE WHEN long THEN 2000000 WHEN k = 1 THEN n + 3 WHEN k = 2 THEN n + 5 WHEN bare THEN 0 ELSE n END AS bytes, long,
+        CASE WHEN long THEN html || repeat('x', 2000000 - n) WHEN k = 2 THEN html || chr(65533) || 'é' || chr(65533) WHEN bare THEN '' ELSE html END AS txt FROM r)
+      SELECT page_id, CAST(bytes AS BIGINT) AS bytes, long AS truncated, md5(txt) AS html_md5, 'b=2' AS cookie, CASE WHEN page_id % 3 = 0 THEN 'noarchive, NOINDEX' ELSE 'noarchive' END AS x_robots_tag, 'text/html; charset=UTF-8' AS content_type, page_id % 3 <> 0 AS indexable, '' AS causes FROM t""",
+    "external_domains": f"""WITH {_PG}, h AS (SELECT a.page_id, a.host, b.host AS nh FROM pg a LEFT JOIN pg b ON b.page_id = a.page_id + 1),
+      e AS (SELECT page_id, 'cdn.example' AS domain, 1 AS n, 0 AS pos FROM h UNION ALL SELECT page_id, nh, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END, 1 FROM h WHERE nh IS NOT NULL AND nh <> host)
+      SELECT page_id, domain, CAST(n AS BIGINT) AS "count", CAST(row_number() OVER (PARTITION BY page_id ORDER BY n DESC, pos) AS INTEGER) AS "rank" FROM e""",
     "microdata_items": f"""WITH {_values("ruled", "i, type, required, recommended", [(i, t, ",".join(r[0]), ",".join(r[1])) for i, (t, r) in enumerate(fixed.SCHEMA_RULES.items())])},
       named AS (SELECT i, type, list_filter(string_split(required, ','), lambda p: p <> '') AS req, list_filter(string_split(recommended, ','), lambda p: p <> '') AS rec FROM ruled),
       given AS (SELECT page_id, type, req, rec, list_distinct(list_concat(req, rec)[1:page_id % 7]) AS props FROM pages JOIN named ON page_id % {len(fixed.SCHEMA_RULES)} = i),

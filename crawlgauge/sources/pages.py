@@ -31,10 +31,11 @@ def with_http_defaults(pages: DataFrame) -> DataFrame:
 
 
 def headers_map(names_and_values: Column) -> Column:
-    """array<struct<name,value>> to a map with lower-case names; of repeated names the last wins."""
-    folded = F.transform(names_and_values, lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")))
-    last = F.filter(folded, lambda h, i: ~F.exists(F.slice(folded, i + 2, F.size(folded)), lambda later: later["name"] == h["name"]))
-    return F.map_from_entries(last)
+    """array<struct<name,value>> to a map with lower-case names. Values of a repeated name are joined by a comma, of cookies the last stays; headers without a name or value are left out."""
+    folded = F.transform(F.filter(names_and_values, lambda h: h["name"].isNotNull() & h["value"].isNotNull()), lambda h: F.struct(F.lower(h["name"]).alias("name"), F.btrim(h["value"], F.lit(" \t\r\n")).alias("value")))
+    of = lambda name: F.transform(F.filter(folded, lambda h: h["name"] == name), lambda h: h["value"])
+    names = F.array_distinct(F.transform(folded, lambda h: h["name"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.when(n == "set-cookie", F.element_at(of(n), -1)).otherwise(F.array_join(of(n), ", "))))
 
 
 def looks_like_html(content_type: Column, body: Column) -> Column:
@@ -49,6 +50,28 @@ def capped(body: Column, limit: int = MAX_HTML_BYTES) -> Column:
     return F.struct(F.substring(body, 1, limit).alias("data"), F.least(F.octet_length(body), F.lit(limit)).alias("bytes"), (F.octet_length(body) > limit).alias("truncated"))
 
 
+def decoded(data: Column) -> Column:
+    """Bytes as UTF-8 text, as browsers decode them: no byte-order mark, U+FFFD for what is broken."""
+    marked = F.substring(data, 1, 3) == F.lit(bytearray(b"\xef\xbb\xbf"))
+    return F.make_valid_utf8(F.when(marked, F.substring(data, F.lit(4), F.octet_length(data))).otherwise(data).cast("string"))
+
+
+def from_responses(log: DataFrame, limit: int = MAX_HTML_BYTES) -> DataFrame:
+    """log(page_id, url, final_url, status, headers array<struct<name,value>>, body binary) as pages for load() and parse().
+
+    Headers become a map, the body is read up to ``limit`` bytes and decoded; ``bytes`` and
+    ``truncated`` tell of what was read. A response without a body has an empty text, one
+    without a final URL ended where it began. The cap is applied to the bytes in the JVM, so
+    that no longer body reaches the parse stage.
+    """
+    headers = F.coalesce(headers_map(F.col("headers")), F.create_map().cast("map<string,string>"))
+    read = log.withColumns({"_headers": headers, "_read": capped(F.coalesce("body", F.lit(bytearray())), limit)})
+    return read.select(
+        "page_id", "url", F.coalesce("final_url", "url").alias("final_url"), "status", F.col("_headers").alias("headers"), F.element_at("_headers", F.lit("content-type")).alias("content_type"),
+        F.col("_read.bytes").cast("long").alias("bytes"), "_read.truncated", decoded(F.col("_read.data")).alias("html"),
+    )
+
+
 def loadable(pages: DataFrame) -> DataFrame:
     """pages with ``error``: null where the page passes the status, type and size gates."""
     return pages.withColumn(

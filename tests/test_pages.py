@@ -159,6 +159,28 @@ def test_gates_and_output(spark):
     assert [r[0] for r in kinds.select(audits.error_kind(F.col("m"))).collect()] == ["timeout", "unknown_host", "not_found", "other"]
 
 
+def test_json_has_no_nan():
+    from crawlgauge.operators.structured_data import read_block
+
+    assert read_block('{"@type": "Thing", "x": NaN}') == ([], "invalid") and read_block('{"@type": "Thing", "x": -Infinity}') == ([], "invalid")
+
+
+def test_responses_become_pages(spark):
+    h = lambda *pairs: list(pairs)
+    rows = [
+        (1, "https://a.example/", None, 200, h(("Content-Type", "text/html"), ("X-Tag", "a"), ("x-tag", " b "), (None, "c"), ("d", None)), bytearray(b"\xef\xbb\xbf<p>\xc3\xa9")),
+        (2, "https://a.example/", "https://b.example/", 200, None, bytearray("ééé".encode())), (3, "https://a.example/", None, 204, h(), None),
+        (4, "u", None, 200, h(("Set-Cookie", "a"), ("SET-COOKIE", "b")), bytearray(b"\xf0\x9f\x98\xff\xed\xa0\x80|")),
+    ]
+    log = spark.createDataFrame(rows, "page_id int, url string, final_url string, status int, headers array<struct<name:string,value:string>>, body binary")
+    got = {r["page_id"]: r for r in src.from_responses(log, 9).collect()}
+    assert (got[1]["html"], got[1]["bytes"], got[1]["truncated"], got[1]["content_type"], got[1]["headers"]) == ("<p>é", 8, False, "text/html", {"content-type": "text/html", "x-tag": "a, b"})
+    cut = {r["page_id"]: r for r in src.from_responses(log, 5).collect()}
+    assert (cut[2]["html"], cut[2]["bytes"], cut[2]["truncated"], cut[2]["final_url"], cut[2]["headers"]) == ("éé\ufffd", 5, True, "https://b.example/", {})
+    assert (got[3]["html"], got[3]["bytes"], got[3]["truncated"], got[3]["content_type"], got[3]["final_url"]) == ("", 0, False, None, "https://a.example/")
+    assert got[4]["html"] == b"\xf0\x9f\x98\xff\xed\xa0\x80|".decode(errors="replace") and got[4]["headers"] == {"set-cookie": "b"}
+
+
 def test_lists_are_cut_at_every_depth(spark):
     kind = "id int, findings array<struct<code:string,severity:string>>, top struct<name:string,entries:array<struct<tags:array<int>,m:map<string,array<int>>>>>, `a.b` array<array<array<int>>>"
     found = lambda n: [(f"f{i}", "warn") for i in range(n)]
