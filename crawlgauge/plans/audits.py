@@ -84,8 +84,15 @@ def capped(df: DataFrame, most: int = fixed.LIST_MOST, findings: str | None = No
     return out.withColumn(findings, F.concat(F.col(findings), N.findings(N.finding("lists_cut", "info", F.col("lists_cut") > 0)))) if findings else out
 
 
-def truncated(s: Column, most: int = 25_000) -> Column:
-    return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s)
+def truncated(s: Column, most: int = fixed.TEXT_MOST) -> Column:
+    """Text up to ``most`` characters, and how many more there were."""
+    return F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("\n\n["), (F.length(s) - most).cast("string"), F.lit(" characters left out]"))).otherwise(s)
+
+
+def with_json_text(df: DataFrame, findings: str | None = None, most: int = fixed.TEXT_MOST) -> DataFrame:
+    """df with its lists cut (see capped) and ``text``: each row as JSON, nulls included, truncated. The columns stay whole beside it."""
+    out = capped(df, findings=findings)
+    return out.withColumn("text", truncated(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), most))
 
 
 def error_kind(message: Column) -> Column:

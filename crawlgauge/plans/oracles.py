@@ -138,6 +138,8 @@ _EXTRACT = "CASE WHEN h1_count = 1 THEN 4 ELSE 0 END + CASE WHEN headings >= 3 T
 _DEPTH = "CASE WHEN thin_content THEN 0 ELSE 4 END + CASE WHEN reading_ease >= 45 THEN 2 ELSE 0 END + CASE WHEN avg_words_per_sentence <= 25 THEN 1 ELSE 0 END"
 
 SQL = {
+    "json_results": BASE + f""", j AS (SELECT page_id, CAST(to_json({{'page_id': page_id, 'title': title, 'h1_count': h1_count, 'words': word_list[1:{fixed.LIST_MOST}], 'lists_cut': CASE WHEN word_count > {fixed.LIST_MOST} THEN 1 ELSE 0 END}}) AS VARCHAR) AS t FROM spoken)
+        SELECT page_id, CASE WHEN length(t) > 1500 THEN t[1:1500] || chr(10) || chr(10) || '[' || (length(t) - 1500) || ' characters left out]' ELSE t END AS "text" FROM j""",
     "page_findings": BASE + f"SELECT page_id, concat_ws(',', {_META}) AS meta_codes, concat_ws(',', {_HEADING}) AS heading_codes, concat_ws(',', {_CONTENT}) AS content_codes, concat_ws(',', {_LINK}) AS link_codes, concat_ws(',', {_RENDER}) AS render_codes FROM scored",
     "seo_recommendations": BASE + f"""SELECT page_id,
         concat_ws(',', CASE WHEN seo_score >= 80 THEN 'pass:overall' ELSE 'info:overall' END, {_level("floor(meta_score * 0.75 + 0.5)", "meta")}, {_level("heading_score", "headings")}, {_level("content_score", "content")}, 'fail:structured_data', 'pass:images', {_level("links_score", "links")}, 'fail:robots') AS findings,

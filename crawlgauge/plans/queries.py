@@ -113,7 +113,14 @@ def capped_lists(spark, sf_dir):
     return out.select("page_id", "lists_cut", F.size("report.headings").alias("headings"), F.md5(F.array_join("report.content.words", " ")).alias("words_md5"), F.element_at("findings", -1)["code"].alias("last_finding"))
 
 
+def json_results(spark, sf_dir):
+    """Results as JSON text of at most 1,500 characters, made from lists already cut."""
+    found = onpage.headings(onpage.meta_tags(_content(spark, sf_dir))).select("page_id", "title", "h1_count", F.col("word_list").alias("words"))
+    return audits.with_json_text(found, most=1500).select("page_id", "text")
+
+
 QUERIES = {
+    "json_results": json_results,
     "page_findings": page_findings,
     "seo_recommendations": seo_recommendations,
     "capped_lists": capped_lists,
