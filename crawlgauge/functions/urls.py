@@ -5,17 +5,13 @@ from __future__ import annotations
 import ipaddress
 import re
 from bisect import bisect_right
-from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import addresses
-
-DEFAULT_PORT = {"http": 80, "https": 443}
-
+from . import addresses, web_url
 
 def visit_key(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
@@ -61,22 +57,8 @@ def broken(status: Column) -> Column:
 
 
 def resolve_one(base: str | None, href: str | None) -> str | None:
-    """href against base as a browser writes it: percent-encoded path, ASCII host; None if it cannot be."""
-    if base is None or href is None:
-        return None
-    try:
-        parts = urlsplit(urljoin(base, href.strip().replace("\\", "/")))
-        if not parts.scheme:
-            return None
-        if parts.scheme not in DEFAULT_PORT:
-            return urlunsplit(parts)
-        name = (parts.hostname or "").encode("idna").decode() if parts.hostname else ""
-        if not name:
-            return None
-        port = "" if parts.port in (None, DEFAULT_PORT[parts.scheme]) else f":{parts.port}"
-        return urlunsplit((parts.scheme, name + port, quote(parts.path, safe="/%:@!$&'()*+,;=~-._|[]^") or "/", quote(parts.query, safe="%/?:@!$&()*+,;=~-._|[]^{}`\\"), quote(parts.fragment, safe="%/?:@!$&'()*+,;=~-._|[]^{}\\#")))
-    except (ValueError, UnicodeError):
-        return None
+    """href against base as a browser writes it; None if it cannot be."""
+    return None if base is None or href is None else web_url.resolve(base, href)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -87,26 +69,6 @@ def resolve_all(base: pd.Series, hrefs: pd.Series) -> pd.Series:
 _RANGES = {version: addresses.pairs(version) for version in (4, 6)}
 
 
-def _number(part: str) -> int:
-    if re.fullmatch(r"0[xX][0-9a-fA-F]*", part):
-        return int(part[2:] or "0", 16)
-    return int(part, 8) if len(part) > 1 and part.startswith("0") else int(part)
-
-
-def _ipv4(name: str) -> ipaddress.IPv4Address | None:
-    """A host that browsers read as an IPv4 address, such as 127.1, 0x7f.1 or 2130706433."""
-    parts = name.rstrip(".").split(".")
-    if not 1 <= len(parts) <= 4 or not re.fullmatch(r"0[xX][0-9a-fA-F]*|[0-9]+", parts[-1]):
-        return None
-    try:
-        *before, last = [_number(p) for p in parts]
-        if any(n > 255 for n in before) or last >= 256 ** (4 - len(before)):
-            return None
-        return ipaddress.IPv4Address(sum(n << 8 * (3 - i) for i, n in enumerate(before)) + last)
-    except ValueError:
-        return None
-
-
 def private_host(name: str | None) -> bool | None:
     """Whether a host is local by name or not a public address, for use inside a task; addresses.is_private is its column expression."""
     if name is None:
@@ -115,7 +77,7 @@ def private_host(name: str | None) -> bool | None:
     if name == "localhost" or name.endswith(tuple(addresses.LOCAL_ENDS)) or not name:
         return True
     try:
-        address = _ipv4(name) or ipaddress.ip_address(name.split("%")[0])
+        address = web_url.ipv4(name) or ipaddress.ip_address(name.split("%")[0])
     except ValueError:
         return False
     mapped = getattr(address, "ipv4_mapped", None)
@@ -134,8 +96,8 @@ def admit_one(url: str | None) -> str | None:
         if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:(?!\d+(?:[/?#]|$))", url):
             return None
         url = "https://" + url
-    out = resolve_one(url, "")
-    name = urlsplit(out).hostname if out else None
+    read = web_url.parse(url)
+    out, name = (read.href, read.host) if read else (None, None)
     if not name or (private_host(name) or "." not in name and ":" not in name):
         return None
     return out

@@ -159,6 +159,19 @@ def private_hosts(spark, sf_dir):
     return hosts.select("host", addresses.is_private(F.col("host")).alias("private"), urls.admitted(F.col("host")).alias("admitted"))
 
 
+def urls_resolved(spark, sf_dir):
+    """References made from page numbers, one row each, read at their page's URL: dots, backslashes, each component's encoding, ports, names, addresses."""
+    n = F.col("page_id").cast("string")
+    number = F.pmod(F.col("page_id") * F.lit(2654435761), F.lit(2**32)).cast("string")
+    made = F.array(
+        F.concat(F.lit("../x y?a b#"), n), F.concat(F.lit("?k="), n, F.lit("&v={a}^'")), F.lit("#\u00e9"), F.concat(F.lit("\\\\HOST"), n, F.lit(".Example:80\\a\\.\\b")), F.lit("http:rel"),
+        F.concat(F.lit(" HTTPS://User:@H"), n, F.lit(".EXAMPLE:0443/%7E/..\t")), F.concat(F.lit("//"), number), F.concat(F.lit("//a<"), n), F.concat(F.lit("mailto:A B@"), n),
+        F.concat(F.lit("//x:"), (F.col("page_id") * 7).cast("string")), F.concat(F.lit(".//./..//%2e/\u00fc|^"), n), F.concat(F.lit("//M\u00dcNCHEN.example:/"), n),
+    )
+    rows = _pages(spark, sf_dir).select("page_id", urls.resolve_all("url", made).alias("resolved"))
+    return rows.select("page_id", F.posexplode("resolved").alias("kind", "resolved")).withColumn("kind", F.col("kind").cast("long"))
+
+
 def address_ranges(spark, sf_dir):
     """Addresses made from page numbers, half of them at the edges of the ranges, each in one of eight spellings."""
     n = F.col("page_id")
@@ -321,7 +334,7 @@ def sitemap_lifecycle(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    responses_loaded, external_domains, microdata_items, splice_findings, address_ranges, sitemap_lifecycle, redirect_chains, rejected_pages, hreflang_report, meta_directives, seo_robots_section, link_probes, robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
+    urls_resolved, responses_loaded, external_domains, microdata_items, splice_findings, address_ranges, sitemap_lifecycle, redirect_chains, rejected_pages, hreflang_report, meta_directives, seo_robots_section, link_probes, robots_reports, crawler_findings, sitemap_files, robots_verdicts, robots_longest_match, crawler_access_by_purpose, sitemap_lastmod_stats, redirect_loops, host_variants, hreflang_reciprocity,
     schema_missing_required, image_alt_score, social_score, llms_sections, private_hosts,
 )}
 
@@ -405,6 +418,12 @@ SQL = {
       SELECT page_id, kind, CAST(n AS INTEGER) AS entry_count, CAST(c AS INTEGER) AS child_count, loc AS last_loc FROM pages JOIN hold ON page_id % {len(_HOLD)} = i""",
     "private_hosts": f"WITH {_PG} SELECT DISTINCT host, false AS private, 'https://' || host || '/' AS admitted FROM pg",
 
+    "urls_resolved": f"""WITH {_PG}, parts AS (SELECT page_id, CAST(page_id AS VARCHAR) AS n, scheme, host, scheme || '://' || host AS site, CASE WHEN p = '' THEN '/' ELSE p END AS p, q, page_id * 2654435761 % 4294967296 AS a FROM pg),
+      folders AS (SELECT *, regexp_replace(p, '[^/]*$', '') AS dir FROM parts)
+      SELECT page_id, unnest(range(0, 12)) AS kind, unnest([
+        site || regexp_replace(dir, '[^/]+/$', '') || 'x%20y?a%20b#' || n, site || p || '?k=' || n || '&v={{a}}^%27', site || p || q || '#%C3%A9', scheme || '://host' || n || '.example' || CASE WHEN scheme = 'http' THEN '' ELSE ':80' END || '/a/b',
+        CASE WHEN scheme = 'http' THEN site || dir || 'rel' ELSE 'http://rel/' END, 'https://User@h' || n || '.example/', scheme || '://' || concat_ws('.', a // 16777216, a // 65536 % 256, a // 256 % 256, a % 256) || '/', NULL, 'mailto:A B@' || n,
+        CASE WHEN page_id * 7 <= 65535 THEN scheme || '://x' || CASE WHEN page_id * 7 = CASE WHEN scheme = 'http' THEN 80 ELSE 443 END THEN '' ELSE ':' || page_id * 7 END || '/' END, site || dir || '/%C3%BC|%5E' || n, scheme || '://xn--mnchen-3ya.example/' || n]) AS resolved FROM folders""",
     "address_ranges": f"""WITH {_values("nets", "i, net", [(i, n) for i, n in enumerate(addresses.NOT_PUBLIC) if "." in n])},
       parsed AS (SELECT string_split(split_part(net, '/', 1), '.') AS o, CAST(split_part(net, '/', 2) AS INTEGER) AS bits FROM nets),
       ranges AS (SELECT lo, lo + CAST(pow(2, 32 - bits) AS BIGINT) - 1 AS hi FROM (SELECT ((CAST(o[1] AS BIGINT) * 256 + CAST(o[2] AS BIGINT)) * 256 + CAST(o[3] AS BIGINT)) * 256 + CAST(o[4] AS BIGINT) AS lo, bits FROM parsed)),

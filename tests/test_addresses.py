@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from crawlgauge.functions import addresses as A
-from crawlgauge.functions import urls
+from crawlgauge.functions import urls, web_url
 
 NETS = [ipaddress.ip_network(n) for n in A.NOT_PUBLIC]
 #: host, number of the IPv4 address that it is read as.
@@ -36,7 +36,7 @@ def test_spellings_of_ipv4(spark):
     assert rows.withColumn("got", A.ipv4(A.bare(F.col("host")))).where("not (got <=> expected)").collect() == []
     for host, number in SPELLED:
         if host:
-            got = urls._ipv4(host.lower())
+            got = web_url.ipv4(host.lower())
             assert (None if got is None else int(got)) == number, host
 
 
