@@ -4,12 +4,15 @@ TEMPLATES are notices of licences: short references and full texts. Their words
 indexed as postings, word to (template, position), and each mandatory phrase under its
 rarest word, word to (phrase, position); how rare a word is follows from the documents in
 which it occurs, over all documents. A document's licence words are looked up, rarest
-first: each place of a word and each posting of a phrase propose a start, and the phrase's
-other words must stand at the same distance from it. A template with a phrase in full
-gives its label. Its postings are then intersected by relative position: the rarest word
-of the notice that the document holds proposes alignments (place less position), and
-words that stand at one alignment add up. ``score`` is the best share of a notice's rarity
-mass that stands at one alignment. Templates without a phrase here are never visited.
+first. The rarest words of a notice that the document holds propose alignments (place less
+position), the notice's postings are intersected by relative position, and words that
+stand at one alignment add up: a notice is proposed if SHARE of its rarity mass does. Each
+place of a phrase's rarest word proposes a start of the phrase, and its other words must
+stand at the same distance from it. A notice with one of its mandatory phrases in full
+gives its label; one that is proposed without such a phrase, with words changed or left
+out there, is named in ``unverified``. ``score`` is the best share of the notices that are
+proposed or labelled; 0 without any. Short references (under LEAST_WORDS) are mostly phrase;
+they are labelled wherever it stands and not proposed otherwise.
 
 Edge cases: a null text is an empty one; it has no words, no labels and score 0. Texts of
 any length are scanned whole, a batch of them at a time; of equally rare words the first
@@ -29,6 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import frugal, small_batches, table
 
+#: A notice is proposed by its postings from this share of its rarity mass at one alignment.
+SHARE = 0.5
+#: Shorter notices are references: half of "licensed under cc by" proposes nothing, so only their phrases count.
+LEAST_WORDS = 20
 #: The base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: label, notice, mandatory phrases (any one of them, in full). First short references, then notices in full.
@@ -51,13 +58,13 @@ TEMPLATES = [
         Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
         and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
         included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.""",
-        ["permission is hereby granted free of charge to any person obtaining a copy"],
+        ["permission is hereby granted free of charge to any person obtaining a copy", "shall be included in all copies or substantial portions of the software"],
     ),
     (
         "isc",
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and
         this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.""",
-        ["isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee"],
+        ["isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee", "provided that the above copyright notice and this permission notice appear in all copies"],
     ),
     (
         "bsd",
@@ -65,21 +72,21 @@ TEMPLATES = [
         source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
         copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of
         the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
-        ["redistributions of source code must retain the above copyright notice"],
+        ["redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"],
     ),
     (
         "apache-2.0",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
         http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
         BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-        ["you may not use this file except in compliance with the license"],
+        ["you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"],
     ),
     (
         "gpl",
         """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,
         either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
         even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-        ["under the terms of the gnu general public license"],
+        ["under the terms of the gnu general public license", "see the gnu general public license for more details"],
     ),
     (
         "lgpl",
@@ -91,25 +98,25 @@ TEMPLATES = [
         "mpl-2.0",
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
         https://mozilla.org/MPL/2.0/.""",
-        ["this source code form is subject to the terms of the mozilla public license"],
+        ["this source code form is subject to the terms of the mozilla public license", "if a copy of the mpl was not distributed with this file"],
     ),
     (
         "unlicense",
         """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either
         in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
-        ["anyone is free to copy modify publish use compile sell or distribute this software"],
+        ["anyone is free to copy modify publish use compile sell or distribute this software", "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
     ),
     (
         "zlib",
         """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
         software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.""",
-        ["zlib license", "permission is granted to anyone to use this software for any purpose including commercial applications"],
+        ["zlib license", "permission is granted to anyone to use this software for any purpose including commercial applications", "in no event will the authors be held liable for any damages arising from the use of this software"],
     ),
     (
         "bsl-1.0",
         """Boost Software License, Version 1.0. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
         documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software.""",
-        ["boost software license", "free of charge to any person or organization obtaining a copy of the software"],
+        ["boost software license", "free of charge to any person or organization obtaining a copy of the software", "to use reproduce display distribute execute and transmit the software"],
     ),
     (
         "cc-by",
@@ -123,7 +130,7 @@ TEMPLATES = [
         ["creative commons attribution sharealike"],
     ),
 ]
-SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, unverified string"
 
 #: Bytes of UTF-8 text to word bytes: A-Z to a-z, ASCII that is no letter or digit to a space, all others kept.
 _FOLD = bytes(
@@ -146,6 +153,7 @@ class PositionalIndex:
         self.phrases += [(words_of(p), label, t) for t, (label, _, phrases) in enumerate(templates) for p in phrases]
         self.vocabulary = {w for words in [*notices, *(p for p, _, _ in self.phrases)] for w in words}
         self.idf = idf = dict.fromkeys(self.vocabulary, 1.0) if idf is None else idf
+        self.size = [len(notice) for notice in notices]
         self.mass = [sum(idf[w] for w in notice) for notice in notices]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for t, notice in enumerate(notices):
@@ -165,27 +173,44 @@ class PositionalIndex:
                     if p >= at and words[p - at : p - at + len(phrase)] == phrase:
                         yield n, p - at
 
-    def coverage(self, found: set[int], places: dict[bytes, list[int]]) -> float:
-        """Best share of a found template's rarity mass at one alignment that its rarest present word proposes."""
-        held: dict[int, list[tuple[bytes, int]]] = {t: [] for t in found}
+    def shares(self, named: set[int], places: dict[bytes, list[int]]) -> dict[int, float]:
+        """Each proposed or named notice's best share of rarity mass at one alignment.
+
+        A notice whose held words lack SHARE of its mass is left at once. Of the others the
+        rarest words propose alignments (place less position), as many as it takes for the
+        rest to weigh less than SHARE: so each alignment of that share is proposed. Postings
+        then add up where they meet a proposed alignment.
+        """
+        held: dict[int, list[tuple[float, int, bytes]]] = {}
         for w in places.keys() & self.postings.keys():
             for t, i in self.postings[w]:
-                if t in held:
-                    held[t].append((w, i))
-        best = 0.0
+                if self.size[t] < LEAST_WORDS and t not in named:
+                    continue
+                held.setdefault(t, []).append((self.idf[w], i, w))
+        out = {}
         for t, present in held.items():
-            if not present or not self.mass[t]:
+            least = 0.0 if t in named else SHARE * self.mass[t] * (1 - 1e-9)
+            left = sum(x[0] for x in present)
+            if not self.mass[t] or left < least:
                 continue
-            rarest, at = max(present, key=lambda x: (self.idf[x[0]], -x[1]))
-            mass = dict.fromkeys((p - at for p in places[rarest]), 0.0)
-            for w, i in present:
+            mass: dict[int, float] = {}
+            for idf, i, w in sorted(present, key=lambda x: (-x[0], x[1])):
+                opens = left >= least
+                left -= idf
                 for p in places[w]:
-                    if p - i in mass:
-                        mass[p - i] += self.idf[w]
-            best = max(best, min(1.0, max(mass.values()) / self.mass[t]))
-        return best
+                    if opens or p - i in mass:
+                        mass[p - i] = mass.get(p - i, 0.0) + idf
+            share = min(1.0, max(mass.values(), default=0.0) / self.mass[t])
+            if t in named or share >= SHARE * (1 - 1e-9):
+                out[t] = share
+        return out
 
     def scan(self, text: str | None) -> tuple:
+        """What stands in a text, without ``unverified``."""
+        return self.judge(text)[:-1]
+
+    def judge(self, text: str | None) -> tuple:
+        """The SCHEMA columns of a text."""
         words = words_of(text)
         places: dict[bytes, list[int]] = {}
         for i, w in enumerate(words):
@@ -200,9 +225,11 @@ class PositionalIndex:
                 base_labels.add(label)
             else:
                 found.add(t)
+        shares = self.shares(found, places)
+        unverified = {self.labels[t] for t in shares} - labels
         return (
             len(words), len(starts), min(starts, default=None), max(starts, default=None),
-            ",".join(sorted(base_labels)), ",".join(sorted(labels)), self.coverage(found, places) if found else 0.0,
+            ",".join(sorted(base_labels)), ",".join(sorted(labels)), max(shares.values(), default=0.0), ",".join(sorted(unverified)),
         )
 
 
@@ -233,7 +260,7 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> DataFrame:
 
     def scan_all(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out = pd.DataFrame([index.scan(t) for t in texts], columns=names)
+            out = pd.DataFrame([index.judge(t) for t in texts], columns=names)
             yield out.astype({"first_word": "Int64", "last_word": "Int64", "n_words": "int64", "n_base": "int64", "score": "float64"})
 
     found = F.pandas_udf(frugal(scan_all), SCHEMA)
@@ -243,7 +270,7 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    return found.select("row.doc_id", *names[:-1], F.round("score", 6).alias("score"))
+    return found.select("row.doc_id", *names[:-2], F.round("score", 6).alias("score"), "unverified")
 
 
 def _rows(name: str, columns: str, rows: list[tuple]) -> str:
@@ -266,14 +293,15 @@ rarity AS (
 hits AS (SELECT k, ph, label, p - j AS s FROM held JOIN base USING (w) GROUP BY k, ph, label, p - j, len HAVING count(*) = len),
 base_of AS (SELECT k, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, list_distinct(list(label)) AS labels FROM hits GROUP BY k),
 named AS (SELECT DISTINCT k, t FROM (SELECT k, t FROM held JOIN mandatory USING (w) GROUP BY k, t, ph, p - j, len HAVING count(*) = len)),
-present AS (SELECT DISTINCT named.k, named.t, i, notice.w, idf FROM named JOIN notice ON notice.t = named.t JOIN rarity ON rarity.w = notice.w JOIN held ON held.k = named.k AND held.w = notice.w),
-anchors AS (SELECT *, row_number() OVER (PARTITION BY k, t ORDER BY idf DESC, i) AS r FROM present),
-aligned AS (SELECT DISTINCT k, t, p - i AS s FROM anchors JOIN held USING (k, w) WHERE r = 1),
-mass AS (SELECT k, t, s, sum(idf) AS m FROM aligned JOIN present USING (k, t) JOIN held USING (k, w) WHERE p = s + i GROUP BY k, t, s),
-totals AS (SELECT t, sum(idf) AS total FROM notice JOIN rarity USING (w) GROUP BY t),
-scores AS (SELECT k, max(least(1.0, m / total)) AS score FROM mass JOIN totals USING (t) GROUP BY k),
-labels_of AS (SELECT k, list_distinct(list(label)) AS labels FROM (SELECT k, label FROM named JOIN (SELECT DISTINCT t, label FROM notice) USING (t) UNION ALL SELECT k, label FROM hits) GROUP BY k)
+totals AS (SELECT t, any_value(label) AS label, sum(idf) AS total, count(*) AS size FROM notice JOIN rarity USING (w) GROUP BY t),
+mass AS (SELECT k, t, p - i AS s, sum(idf) AS m FROM held JOIN notice USING (w) JOIN rarity USING (w) GROUP BY k, t, p - i),
+best AS (SELECT k, t, max(m) AS m FROM mass GROUP BY k, t),
+shares AS (SELECT k, t, label, least(1.0, m / total) AS share FROM best JOIN totals USING (t) LEFT JOIN (SELECT k, t, true AS is_named FROM named) n USING (k, t) WHERE is_named OR size >= {LEAST_WORDS} AND m >= {SHARE} * total * (1 - 1e-9)),
+scores AS (SELECT k, max(share) AS score FROM shares GROUP BY k),
+labels_of AS (SELECT k, list_distinct(list(label)) AS labels FROM (SELECT k, label FROM named JOIN (SELECT DISTINCT t, label FROM notice) USING (t) UNION ALL SELECT k, label FROM hits) GROUP BY k),
+unverified AS (SELECT k, list_sort(list_distinct(list(shares.label))) AS u FROM shares LEFT JOIN labels_of l USING (k) WHERE NOT coalesce(list_contains(l.labels, shares.label), false) GROUP BY k)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
-       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels, coalesce(array_to_string(list_sort(l.labels), ','), '') AS labels, round(coalesce(CAST(score AS DOUBLE), 0), 6) AS score
-FROM texts LEFT JOIN base_of b USING (k) LEFT JOIN labels_of l USING (k) LEFT JOIN scores USING (k)
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels, coalesce(array_to_string(list_sort(l.labels), ','), '') AS labels, round(coalesce(CAST(score AS DOUBLE), 0), 6) AS score,
+       coalesce(array_to_string(u, ','), '') AS unverified
+FROM texts LEFT JOIN base_of b USING (k) LEFT JOIN labels_of l USING (k) LEFT JOIN scores USING (k) LEFT JOIN unverified USING (k)
 """

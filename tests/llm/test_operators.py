@@ -55,6 +55,48 @@ def test_op2_full_notices_and_their_parts():
     assert index.scan(shuffled)[5:] == ("", 0.0)  # all the words, none of the phrases
 
 
+def test_op2_postings_propose_and_phrases_verify():
+    index = license_scan.PositionalIndex()
+    mit = next(t[1] for t in license_scan.TEMPLATES if t[0] == "mit" and len(t[1]) > 100)
+    words = mit.split()
+    _, _, _, _, _, labels, score, unverified = index.judge(mit.replace("hereby granted", "freely granted"))
+    assert labels == "mit" and 0.9 < score < 1 and unverified == ""  # the other phrase stands
+    assert index.judge(" ".join(words[len(words) // 5 :]))[5:] == ("mit", pytest.approx(0.8, abs=0.05), "")
+    both = mit.replace("hereby granted", "freely granted").replace("in all copies", "with all copies")
+    assert index.judge(both)[5:] == ("", pytest.approx(0.98, abs=0.02), "mit")  # proposed, not verified
+    assert index.judge(" ".join(words[: len(words) // 3]).replace("hereby", "freely"))[5:] == ("", 0.0, "")  # under half of it
+
+
+def test_op2_shares_match_brute_force():
+    rng = random.Random(8)
+    templates = license_scan.TEMPLATES
+    words = sorted({w for _, notice, _ in templates for w in license_scan.words_of(notice)})
+    idf = {w: rng.choice((0.1, 1.0, 4.0)) for w in license_scan.PositionalIndex().vocabulary}
+    index = license_scan.PositionalIndex(idf=idf)
+    proposed = 0
+    for _ in range(150):
+        parts = [rng.choices(words, k=rng.randrange(30))]
+        for _ in range(rng.randrange(3)):
+            notice = license_scan.words_of(rng.choice(templates)[1])
+            parts += [[w if rng.random() < 0.75 else rng.choice(words) for w in notice[rng.randrange(3) :]], rng.choices(words, k=rng.randrange(9))]
+        text = [w for p in parts for w in p]
+        places = {}
+        for i, w in enumerate(text):
+            places.setdefault(w, []).append(i)
+        named = set(rng.sample(range(len(templates)), 2))
+        expected = {}
+        for t, (_, notice, _) in enumerate(templates):
+            notice = license_scan.words_of(notice)
+            mass = max((sum(idf[w] for i, w in enumerate(notice) if 0 <= s + i < len(text) and text[s + i] == w) for s in range(-len(notice), len(text))), default=0)
+            share = mass / sum(idf[w] for w in notice)
+            if share >= license_scan.SHARE - 1e-12 and len(notice) >= license_scan.LEAST_WORDS or (t in named and mass):
+                expected[t] = share
+        got = {t: x for t, x in index.shares(named, places).items() if x}
+        assert got == pytest.approx(expected)
+        proposed += len(expected.keys() - named)
+    assert proposed > 40
+
+
 def test_op3_keeps_groups_together(spark, documents):
     rows = spark.createDataFrame(documents[["doc_id", "text"]])
     out = sharding.shard_documents(rows).toPandas().merge(documents, on="doc_id")
