@@ -178,11 +178,14 @@ def features(docs: DataFrame) -> DataFrame:
                 rows.append((len(x), ident if len(x) else None, bit_sketch(x) if first else None, keys.view(np.int64) if first else None, parts))
             out = pd.DataFrame(rows, columns=["n", "ident", "sketch", "keys", "parts"])
             out["ident"] = pd.array([r[1] for r in rows], dtype="Int64")
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", pd.arrays.IntegerArray(batch["id"].to_numpy(), batch["no_id"].to_numpy()))
             out.insert(1, "k", batch["k"].to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("k"), "text").mapInPandas(frugal(compute), FEATURES)
+    # a column with nulls would reach pandas as doubles, which round large ids
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(F.coalesce(doc_id, F.lit(0)).cast("long").alias("id"), doc_id.isNull().alias("no_id"), doc_key().alias("k"), "text")
+    return rows.mapInPandas(frugal(compute), FEATURES)
 
 
 def words_sent(found: DataFrame, often: np.ndarray) -> DataFrame:
@@ -302,7 +305,7 @@ def rest_of_groups(shared: DataFrame, comps: DataFrame, nodes: DataFrame, neares
             by = rows[["key", "i", "j"]].to_numpy()
             cut = np.flatnonzero(np.concatenate(([True], (by[1:] != by[:-1]).any(axis=1), [last])))
             ident, comp, n, mine = (rows[c].to_numpy() for c in ("ident", "comp", "n", "mine"))
-            sketch = np.stack(rows["sketch"].to_numpy())
+            sketch = np.stack(rows["sketch"].to_numpy()).view(np.uint64)  # of signed numbers numpy counts the bits of the absolute value
             pairs = (compare(ident[s:e], comp[s:e], n[s:e], mine[s:e], sketch[s:e], by[s, 1] != by[s, 2]) for s, e in zip(cut[:-1], cut[1:], strict=True))
             return (p for p in pairs if len(p)), cut[-1]
 

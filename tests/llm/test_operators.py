@@ -341,6 +341,45 @@ def test_op8_finds_near_copies_of_all_sizes(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: least[groups[t]] for i, t in rows}
 
 
+def test_op8_links_similar_variants_of_an_absent_base(spark):
+    """Most words are shared by documents of which only some pairs are similar, so a group's least member is similar to few others."""
+    rng = random.Random(8)
+    rows = []
+    for size in (68, 130, 260):
+        base = H.words(size, size + 1).split()
+        for v in range(150):
+            text = base.copy()
+            for p in rng.sample(range(size), round(size / 45 * rng.uniform(0.6, 1.6))):
+                text[p] = f"v{size}x{v}x{p}"
+            rows.append((len(rows), " ".join(text)))
+    groups = H.jaccard_components([t for _, t in rows])
+    least = {}
+    for i, t in rows:
+        least[groups[t]] = min(least.get(groups[t], i), i)
+    got = ngram_join.with_component_id(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(H.shingles(t)), least[groups[t]]) for i, t in rows}
+
+
+@pytest.mark.parametrize("nearest", [True, False])
+def test_op8_counts_every_bit_of_sketches(spark, nearest):
+    sketch = lambda *first: [int(x) for x in np.array([*first, *[7] * (16 - len(first))], dtype=np.uint64).view(np.int64)]
+    # 1 is far from both others; 2 and 3 differ in three bits, one of them the highest of a number
+    rows = [(1, 90, sketch(*[2**64 - 1] * 8), 1), (2, 90, sketch(0), 2), (3, 90, sketch(2**63 + 5), 3)]
+    nodes = spark.createDataFrame(rows, "ident long, n long, sketch array<long>, k long")
+    shared = spark.createDataFrame([(5, i, 1) for i in (1, 2, 3)], "key long, ident long, pivot long")
+    comps = spark.createDataFrame([], "id long, component long")
+    assert [tuple(r) for r in ngram_join.rest_of_groups(shared, comps, nodes, nearest).collect()] == [(2, 3)]
+
+
+def test_op8_keeps_large_ids_beside_null(spark):
+    text, other = H.words(40, 5), H.words(40, 6)
+    big = 2**62 + 1
+    rows = [(big, text), (big + 1, text), (None, text), (-big, other), (None, other), (big + 2, None), (None, None)]
+    got = ngram_join.with_component_id(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).collect()
+    want = [(big, big), (big + 1, big), (None, big), (-big, -big), (None, -big), (big + 2, big + 2), (None, None)]
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_op8_counts_words_over_all_documents(spark, documents):
     sets = {t: ngram_join.shingle_set(t) for t in documents["text"] if isinstance(t, str)}
     different = {ngram_join.identity(x): x for x in sets.values() if len(x)}
