@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from html import unescape
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +17,9 @@ from ..sources import pages as src
 SEVERITIES = ("fail", "warn", "pass", "info")
 
 
-def analysed(pages: DataFrame) -> DataFrame:
-    """All on-page analyses of pages (with HTTP columns, see with_http_defaults) that pass the gates."""
-    parsed = src.parse(src.loadable(pages).where("error is null").drop("error")).where("not too_deep")
+def analysed(pages: DataFrame, references: Callable[[str], str] = unescape) -> DataFrame:
+    """All on-page analyses of pages (with HTTP columns, see with_http_defaults) that pass the gates. references: see html_tree.tokens."""
+    parsed = src.parse(src.loadable(pages).where("error is null").drop("error"), references).where("not too_deep")
     for step in (onpage.meta_tags, onpage.social, onpage.headings, onpage.content, structured_data.structured_data, onpage.images, onpage.links, onpage.rendering):
         parsed = step(parsed)
     return parsed

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -123,11 +124,11 @@ def referred(tag: str, attrs: dict[str, str]) -> str | None:
     return None
 
 
-def parse(pages: DataFrame) -> DataFrame:
+def parse(pages: DataFrame, references: Callable[[str], str] = unescape) -> DataFrame:
     """pages' columns and, from html: nodes, main_text, landmark, too_deep. One pass over each page in Arrow batches.
 
     A node's url is what it refers to (href of links and anchors, src of images, content of a
-    preview image), absolute, against the page's final_url.
+    preview image), absolute, against the page's final_url. references: see html_tree.tokens.
     """
     keep = [c for c in pages.columns if c != "html"]
     out_fields = [(f.name, f.dataType.simpleString()) for f in pages.select(*keep).schema.fields]
@@ -138,7 +139,7 @@ def parse(pages: DataFrame) -> DataFrame:
             rows: dict[str, list] = {"nodes": [], "main_text": [], "landmark": [], "too_deep": []}
             bases = batch.column("final_url").to_pylist() if "final_url" in keep else [None] * batch.num_rows
             for html, base in zip(batch.column("html").to_pylist(), bases, strict=True):
-                read = list(html_tree.tokens(html or ""))
+                read = list(html_tree.tokens(html or "", references))
                 deep = html_tree.too_deep(read)
                 nodes = [] if deep or html is None else html_tree.build(read)
                 text, landmark = html_tree.main_text(nodes)
