@@ -22,7 +22,7 @@ def cut(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["term_stopword_anti_join", "page_title_length", "heading_outline", "json_results", "capped_lists", "reading_ease", "flesch_by_lang", "top_terms"])
+@pytest.mark.parametrize("name", ["term_stopword_anti_join", "page_title_length", "heading_outline", "json_results", "capped_lists", "reading_ease", "flesch_by_lang", "top_terms", "text_html_ratio"])
 def test_cut_references_equal_sql(spark, cut, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{cut}/pages.parquet/*.parquet')")
